@@ -1,0 +1,147 @@
+"""Change scores per window behind the call surface of the published score.
+
+The published formulas are not available, so these are this library's own estimators with the
+same configuration, outputs and invariants; values are not comparable with published ones.
+"""
+
+from __future__ import annotations
+
+from dataclasses import asdict, dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.vectors import doubles, square_distance
+from .ordered import neighbors
+from .windows import Design, membership, window_ids
+
+
+@dataclass(frozen=True)
+class ScoreConfig:
+    """Weights, saturation rates, gains and limits of the score."""
+
+    alpha_j: float = 0.42
+    alpha_s: float = 0.33
+    alpha_a: float = 0.25
+    k_j: float = 3.0
+    k_s: float = 2.6
+    k_a: float = 2.4
+    hill_gamma: float = 0.72
+    hill_c: float = 0.22
+    complexity_gain: float = 0.055
+    temporal_gain: float = 0.055
+    temporal_threshold: float = 0.6
+    transition_width_fraction: float = 0.09
+    max_sustained: float = 0.985
+    transition_weight: float = 0.0
+
+    def as_dict(self) -> dict[str, float]:
+        return asdict(self)
+
+
+_RAW = "window_index bigint, jacobian_raw double, stretching_raw double, expansion_raw double, entropy_raw double, temporal_raw double"
+
+
+def _describe(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Descriptors of one window: `size` rows in rank order, a bounded group."""
+    x = np.stack(pdf.sort_values("rk")["v"].to_numpy()).astype(float)
+    centred = x - x.mean(0)
+    cov = centred.T @ centred / len(x)
+    a, b = centred[:-1], centred[1:]
+    step_map = np.linalg.pinv(a, rcond=1e-10) @ b
+    steps = np.linalg.norm(np.diff(x, axis=0), axis=1) + 1e-10
+    lam = np.clip(np.linalg.eigvalsh(cov), 0, None)
+    p = lam / lam.sum() if lam.sum() > 0 else np.full(len(lam), 1 / len(lam))
+    entropy = float(-(p[p > 0] * np.log(p[p > 0])).sum() / np.log(len(p))) if len(p) > 1 else 0.0
+    var = (centred**2).sum(0)
+    lag = np.divide((a * b).sum(0), var, out=np.zeros_like(var), where=var > 0)
+    return pd.DataFrame({
+        "window_index": [pdf["window_index"].iloc[0]], "jacobian_raw": [float(np.linalg.norm(step_map, 2))],
+        "stretching_raw": [max(float(np.mean(np.log(steps[1:] / steps[:-1]))), 0.0)], "expansion_raw": [float(np.trace(cov))],
+        "entropy_raw": [entropy], "temporal_raw": [float(np.abs(lag).mean())],
+    })
+
+
+def descriptors(ranked: DataFrame, vec: str, d: Design, n: int) -> DataFrame:
+    """Raw descriptors per window of one modality; independent of the transition weight."""
+    rows = membership(ranked.select("rk", doubles(F.col(vec)).alias("v")), d, n)
+    return rows.groupBy("window_index").applyInPandas(_describe, _RAW)
+
+
+def transition_energy(ranked: DataFrame, vec: str, dims: int, d: Design, n: int) -> DataFrame:
+    """Squared distance between the centroids of the windows before and after, over the mean
+    within-window variance of the two. Pane sums only; the two end windows take their one side
+    as zero change."""
+    import math
+
+    pane = math.gcd(d.size, d.step)
+    v = doubles(F.col(vec))
+    sums = ranked.groupBy(F.floor(F.col("rk") / pane).alias("_pane")).agg(
+        *[F.sum(v[i]).alias(f"s{i}") for i in range(dims)], sum((F.sum(v[i] * v[i]) for i in range(dims)), F.lit(0.0)).alias("q")
+    )
+    spread = sums.withColumn("window_index", F.explode(window_ids(F.col("_pane") * pane, d, n, span=pane)))
+    m = F.array(*[F.sum(f"s{i}") / d.size for i in range(dims)])
+    win = spread.groupBy("window_index").agg(m.alias("m"), (F.sum("q") / d.size).alias("q2"))
+    spread_var = F.col("q2") - F.aggregate("m", F.lit(0.0), lambda a, x: a + x * x)
+    win = win.select("window_index", "m", spread_var.alias("s2"))
+    near = neighbors(win, [], "window_index", ["m", "s2"])
+    both = F.col("prev_m").isNotNull() & F.col("next_m").isNotNull()
+    pooled = (F.col("prev_s2") + F.col("next_s2")) / 2
+    energy = F.when(both & (pooled > 0), square_distance(F.col("prev_m"), F.col("next_m")) / pooled).otherwise(0.0)
+    return near.select("window_index", energy.alias("transition_energy"))
+
+
+def score(raw: DataFrame, energy: DataFrame, positions: DataFrame, config: ScoreConfig, critical: float | None = None) -> DataFrame:
+    """Scaled and saturated components, sustained and transition instability, and the score.
+
+    Without a given critical position the window of largest transition energy is the centre.
+    """
+    c = config
+    t = raw.join(energy, "window_index").join(positions.select("window_index", "parameter"), "window_index")
+    names = ("jacobian", "stretching", "expansion")
+    lim = t.agg(
+        *[F.min(f"{x}_raw").alias(f"_lo_{x}") for x in names], *[F.max(f"{x}_raw").alias(f"_hi_{x}") for x in names],
+        F.max("transition_energy").alias("_top"), F.min("parameter").alias("_p0"), F.max("parameter").alias("_p1"),
+        F.max_by("parameter", F.struct("transition_energy", -F.col("window_index"))).alias("_peak"),
+    )
+    t = t.crossJoin(F.broadcast(lim))  # a single row of limits
+    for x, k in zip(names, (c.k_j, c.k_s, c.k_a)):
+        span = F.col(f"_hi_{x}") - F.col(f"_lo_{x}")
+        t = t.withColumn(f"{x}_scaled", F.when(span > 0, (F.col(f"{x}_raw") - F.col(f"_lo_{x}")) / span).otherwise(0.0))
+        t = t.withColumn(f"{x}_saturated", 1 - F.exp(-F.lit(k) * F.col(f"{x}_scaled")))
+    core = c.alpha_j * F.col("jacobian_saturated") + c.alpha_s * F.col("stretching_saturated") + c.alpha_a * F.col("expansion_saturated")
+    t = t.withColumn("core", core)
+    hill = F.pow("core", F.lit(c.hill_gamma)) / (F.pow("core", F.lit(c.hill_gamma)) + c.hill_c)
+    t = t.withColumn("complexity_factor", 1 + c.complexity_gain * F.col("entropy_raw"))
+    t = t.withColumn("temporal_factor", 1 + c.temporal_gain * F.greatest(F.col("temporal_raw") - c.temporal_threshold, F.lit(0.0)))
+    t = t.withColumn("sustained_instability", F.least(F.lit(c.max_sustained), hill * F.col("complexity_factor") * F.col("temporal_factor")))
+    center = F.col("_peak") if critical is None else F.lit(float(critical))
+    width = F.greatest(F.lit(1e-12), c.transition_width_fraction * (F.col("_p1") - F.col("_p0")))
+    t = t.withColumn("critical_window", F.exp(-F.pow((F.col("parameter") - center) / width, 2) / 2))
+    t = t.withColumn("transition_base", F.when(F.col("_top") > 0, F.col("transition_energy") / F.col("_top")).otherwise(0.0))
+    t = t.withColumn("transition_instability", F.col("transition_base") * F.col("critical_window"))
+    free = 1 - F.col("sustained_instability")
+    t = t.withColumn("score", F.col("sustained_instability") + c.transition_weight * F.col("transition_instability") * free)
+    t = t.withColumn("resolved_critical_value", center).withColumn("critical_value_source", F.lit("transition_energy_peak" if critical is None else "given"))
+    return t.select(*[x for x in t.columns if not x.startswith("_")]).withColumn("transition_weight", F.lit(c.transition_weight))
+
+
+def weight_invariance(a: DataFrame, b: DataFrame, columns: list[str], tolerance: float = 1e-12) -> DataFrame:
+    """Largest difference of each descriptor between two runs that only differ in the weight."""
+    j = a.select("window_index", *[F.col(c).alias(f"a_{c}") for c in columns]).join(b.select("window_index", *[F.col(c).alias(f"b_{c}") for c in columns]), "window_index")
+    gaps = [F.struct(F.lit(c).alias("descriptor"), F.max(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}"))).alias("max_difference")) for c in columns]
+    return j.agg(F.array(*gaps).alias("r")).select(F.inline("r")).withColumn("identical", F.col("max_difference") <= tolerance)
+
+
+def bounded(scored: DataFrame) -> DataFrame:
+    """The invariants: scores in [0, 1), everything finite, energy not negative."""
+    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    return scored.agg(
+        F.count(F.lit(1)).alias("n_windows"),
+        F.bool_and((F.col("score") >= 0) & (F.col("score") < 1)).alias("score_in_unit"),
+        F.bool_and((F.col("sustained_instability") >= 0) & (F.col("sustained_instability") < 1)).alias("sustained_in_unit"),
+        F.bool_and(ok("score") & ok("transition_instability") & ok("transition_energy")).alias("finite"),
+        F.bool_and(F.col("transition_energy") >= 0).alias("energy_not_negative"),
+    )
