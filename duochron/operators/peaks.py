@@ -204,27 +204,70 @@ def spaced(peaks: DataFrame, distance: int) -> DataFrame:
     return kept.where(F.coalesce(F.col("_keep"), valley)).select(*peaks.columns)
 
 
+# ------------------------------------------------------------------- short curves
+_FOUND = "series string, idx bigint, y double, left_low double, right_low double, left_base bigint, right_base bigint, prominence double"
+
+
+def _scan_curve(pdf: pd.DataFrame, distance: int) -> pd.DataFrame:
+    """Peaks, distance pruning and prominence of one curve of at most one block."""
+    pdf = pdf.sort_values("idx")
+    idx, y = pdf["idx"].to_numpy(), pdf["y"].to_numpy(float)
+    edges = np.flatnonzero(np.diff(y) != 0) + 1
+    first, last = np.r_[0, edges], np.r_[edges, len(y)] - 1
+    level = y[first]
+    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
+    at = (first[top] + last[top]) // 2
+    if distance > 2:
+        alive = dict.fromkeys(at.tolist(), True)
+        for k in sorted(alive, key=lambda k: (y[k], k), reverse=True):
+            if alive[k]:
+                for j in range(k - distance + 1, k + distance):
+                    if j != k and j in alive:
+                        alive[j] = False
+        at = np.array([k for k, a in alive.items() if a], dtype=int)
+    out = []
+    for k in at:
+        higher = np.flatnonzero(y > y[k])
+        cut = int(np.searchsorted(higher, k))
+        lo = int(higher[cut - 1]) + 1 if cut else 0
+        hi = int(higher[cut]) if cut < len(higher) else len(y)
+        left = k - int(np.argmin(y[lo : k + 1][::-1]))
+        right = k + int(np.argmin(y[k:hi]))
+        out.append((pdf["series"].iat[0], idx[k], y[k], y[left], y[right], idx[left], idx[right], y[k] - max(y[left], y[right])))
+    return pd.DataFrame(out, columns=["series", "idx", "y", "left_low", "right_low", "left_base", "right_base", "prominence"])
+
+
+def found_peaks(p: DataFrame, distance: int = 1, block: int = BLOCK) -> DataFrame:
+    """Peaks at least `distance` apart with prominence and bases.
+
+    When every curve fits one block, a curve is a bounded group and one pass does it all; longer
+    curves take the blockwise steps.
+    """
+    if p.where(F.col("idx") >= block).limit(1).collect():
+        return prominences(p, spaced(local_maxima(p, block), distance), block)
+    return p.select("series", "idx", "y").groupBy("series").applyInPandas(lambda pdf: _scan_curve(pdf, distance), _FOUND)
+
+
 # ------------------------------------------------------------ the two peak tables
-def discovery_peaks(p: DataFrame, min_share: float = RELATIVE_PROMINENCE, distance: int = MIN_DISTANCE) -> DataFrame:
+def discovery_peaks(p: DataFrame, min_share: float = RELATIVE_PROMINENCE, distance: int = MIN_DISTANCE, block: int = BLOCK) -> DataFrame:
     """Peaks kept at least `distance` apart, then at least `min_share` of the range prominent."""
     ext = extent(p).select("series", (F.col("y_max") - F.col("y_min")).alias("range")).where("range > 0")
     # distance pruning acts on all local maxima; prominence is then judged on the survivors
-    found = prominences(p, spaced(local_maxima(p), distance)).join(ext, S).where(F.col("prominence") >= min_share * F.col("range"))
-    pos = p.select("series", "idx", "x")
-    return found.join(pos, ["series", "idx"]).select(
+    found = found_peaks(p, distance, block).join(ext, S).where(F.col("prominence") >= min_share * F.col("range"))
+    return materialize(found.join(p.select("series", "idx", "x"), ["series", "idx"]).select(
         "series", "idx", "x", "y", "prominence", (F.col("prominence") / F.col("range")).alias("relative_prominence")
-    )
+    ))
 
 
-def validation_peaks(p: DataFrame) -> DataFrame:
-    """Every local maximum with prominence, material and edge flags and half-height positions."""
+def validation_peaks(p: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Every local maximum with prominence, bases, material and edge flags."""
     ext = extent(p).join(spacing(p), S)
-    found = prominences(p).join(ext.drop("y_mean"), S).join(p.select("series", "idx", "x"), ["series", "idx"])
+    found = found_peaks(p, 1, block).join(ext.drop("y_mean"), S).join(p.select("series", "idx", "x"), ["series", "idx"])
     rng = F.col("y_max") - F.col("y_min")
     threshold = F.greatest(F.lit(PROMINENCE_FLOOR), F.lit(PROMINENCE_SHARE) * rng)
     by_point = (F.col("idx") < EDGE_POINTS) | (F.col("idx") >= F.col("n_points") - EDGE_POINTS)
     by_position = F.least(F.col("x") - F.col("x_min"), F.col("x_max") - F.col("x")) <= EDGE_SPACINGS * F.col("median_spacing")
-    flagged = found.select(
+    return materialize(found.select(
         "series", "idx", "x", "y", "prominence", "left_base", "right_base",
         F.when(rng > 0, F.col("prominence") / rng).alias("prominence_share"),
         (F.col("prominence") >= threshold).alias("material"),
@@ -232,8 +275,7 @@ def validation_peaks(p: DataFrame) -> DataFrame:
         by_position.alias("position_edge"),
         (by_point | by_position).alias("edge"),
         (F.col("idx") == F.col("top_idx")).alias("is_global_max"),
-    )
-    return flagged
+    ))
 
 
 def half_height(p: DataFrame, peaks: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -283,7 +325,7 @@ def greedy_families(peaks: DataFrame, tolerance: float = DISCOVERY_TOLERANCE, sm
             return pdf.assign(family_id=out)
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema) + ", family_id bigint"
-        return ranked.groupBy("modality").applyInPandas(assign, schema).drop("_k", "_tie")
+        return materialize(ranked.groupBy("modality").applyInPandas(assign, schema).drop("_k", "_tie"))
     ranked = materialize(ranked)
     starts = ranked.where("_k = 0").select("modality", F.col("_k").alias("start"), F.lit(0).cast("bigint").alias("family_id"))
     frontier = starts
@@ -335,7 +377,7 @@ def complete_linkage(peaks: DataFrame, tolerance: float | Column, by: str = "mod
             return pdf.assign(family_id=out)
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema) + ", family_id bigint"
-        return ranked.groupBy(by).applyInPandas(link, schema).drop("_k", "_tie", "_tol")
+        return materialize(ranked.groupBy(by).applyInPandas(link, schema).drop("_k", "_tie", "_tol"))
     ranked = materialize(ranked)
     clusters = ranked.select(by, F.col("_k").alias("c"), F.col("_k").alias("first"), F.col("x").alias("lo"), F.col("x").alias("hi"), "_tol")
     while True:

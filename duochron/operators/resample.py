@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash32
 from ..session import materialize
-from .ordered import contiguous_strata, fixed_strata, neighbors, not_increasing, rank_rows, running
+from .ordered import contiguous_strata, fixed_strata, not_increasing, rank_rows, running
 from .profiles import _crossing, area_quantiles, interpolate, js_divergence
 from .stats import spearman
-from .windows import Design, window_ids
+from .windows import Design, mean_scores
 
 # Seeds, replicate counts, strata and block sizes of the two branches.
 DISCOVERY_SEED = 20260920
@@ -63,31 +63,7 @@ def bootstrap(
 
 def replicate_profiles(rows: DataFrame, clock: str, modalities: dict[str, str], d: Design, n: int) -> DataFrame:
     """Window means and median position per replicate: (series, replicate, modality, idx, x, y)."""
-    pane = _pane(d)
-    sums = [F.sum(c).alias(f"s_{m}") for m, c in modalities.items()]
-    panes = rows.groupBy("replicate", F.floor(F.col("pos") / pane).alias("_pane")).agg(*sums)
-    spread = panes.withColumn("idx", F.explode(window_ids(F.col("_pane") * pane, d, n, span=pane)))
-    means = spread.groupBy("replicate", "idx").agg(*[F.round(F.sum(f"s_{m}") / d.size, 9).alias(f"y_{m}") for m in modalities])
-    lo, hi = (d.size - 1) // 2, d.size // 2
-    picks = []
-    for slot, off in (("lo", lo), ("hi", hi)):
-        at = F.col("pos") - off
-        w = F.floor(at / d.step).cast("bigint")
-        picks.append(F.struct(F.lit(slot).alias("slot"), F.when((at >= 0) & (at % d.step == 0) & (w < d.count(n)), w).alias("w")))
-    hit = rows.select("replicate", F.col(clock).alias("c"), F.explode(F.filter(F.array(*picks), lambda p: p["w"].isNotNull())).alias("p"))
-    pos = hit.groupBy("replicate", F.col("p.w").alias("idx")).agg(
-        ((F.max(F.when(F.col("p.slot") == "lo", F.col("c"))) + F.max(F.when(F.col("p.slot") == "hi", F.col("c")))) / 2).alias("x")
-    )
-    wide = means.join(pos, ["replicate", "idx"])
-    stacked = F.inline(F.array(*[F.struct(F.lit(m).alias("modality"), F.col(f"y_{m}").alias("y")) for m in modalities]))
-    long = wide.select("replicate", "idx", "x", stacked)
-    return long.select(F.concat_ws("|", "modality", "replicate").alias("series"), "replicate", "modality", "idx", "x", "y")
-
-
-def _pane(d: Design) -> int:
-    import math
-
-    return math.gcd(d.size, d.step)
+    return mean_scores(rows, [d], n, modalities, clock, ["replicate"], "pos").drop("window_config")
 
 
 def bootstrap_profiles(

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .ordered import SMALL_ROWS, rank_rows, running
@@ -187,7 +188,7 @@ def _upper_tail(hits: int, n1: int, n2: int, total_hits: int) -> float:
     return min(p, 1.0)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def fisher_greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """One-sided (greater) exact p of the 2x2 table [[a, b], [c, d]]."""
     return pd.Series([_upper_tail(int(p), int(p + q), int(r + s), int(p + r)) for p, q, r, s in zip(a, b, c, d)])

@@ -48,91 +48,95 @@ def membership(ranked: DataFrame, d: Design, n: int, rk: str = "rk") -> DataFram
     return ranked.withColumn("window_index", F.explode(window_ids(F.col(rk), d, n)))
 
 
-def window_positions(ranked: DataFrame, key: str, designs: Sequence[Design], n: int, rk: str = "rk") -> DataFrame:
-    """Median, minimum and maximum of the order key per window, read at computed ranks."""
-    def window_at(d: Design, offset: int) -> Column:
-        # the window whose offset-th row has this rank
-        shifted = F.col(rk) - offset
-        w = F.floor(shifted / d.step).cast("bigint")
-        return F.when((shifted >= 0) & (shifted % d.step == 0) & (w < d.count(n)), w)
-
-    picks = []
+def window_table(
+    ranked: DataFrame, designs: Sequence[Design], n: int, sums: dict[str, Column], key: str | None = None, by: Sequence[str] = (), rk: str = "rk"
+) -> DataFrame:
+    """All windows of all designs in one pass over the ranked rows.
+
+    Each row feeds one pane per design (combined before the shuffle); panes then go to their
+    windows. Columns: `by`, design keys, one total per entry of `sums`, and with `key` its
+    median, minimum and maximum per window, read at computed ranks.
+    """
+    by, pos = list(by), F.col(rk)
+    cells = []
     for i, d in enumerate(designs):
+        pane = math.gcd(d.size, d.step)
         lo, hi = (d.size - 1) // 2, d.size // 2
-        for slot, offset in (("first", 0), ("lo", lo), ("hi", hi), ("last", d.size - 1)):
-            picks.append(F.struct(F.lit(i).alias("design"), F.lit(slot).alias("slot"), window_at(d, offset).alias("w")))
-    hits = ranked.select(F.col(key).alias("_key"), F.explode(F.filter(F.array(*picks), lambda p: p["w"].isNotNull())).alias("p"))
-    at = lambda slot: F.max(F.when(F.col("p.slot") == slot, F.col("_key")))
-    per = hits.groupBy("p.design", F.col("p.w").alias("window_index")).agg(
-        ((at("lo") + at("hi")) / 2).alias("parameter"), at("first").alias("position_min"), at("last").alias("position_max")
+        off = pos % pane
+        at = lambda place: F.when(off == place % pane, F.col(key)) if key else F.lit(None)
+        cells.append(F.struct(
+            F.lit(i).alias("design"), F.floor(pos / pane).cast("bigint").alias("pane"),
+            at(0).alias("k_first"), at(lo).alias("k_lo"), at(hi).alias("k_hi"), at(pane - 1).alias("k_last"),
+        ))
+    terms = ranked.select(*by, rk, *([key] if key else []), *[e.alias(f"_t_{o}") for o, e in sums.items()])
+    spread = terms.select(*by, *[f"_t_{o}" for o in sums], F.explode(F.array(*cells)).alias("c"))
+    slots = ("k_first", "k_lo", "k_hi", "k_last") if key else ()
+    panes = spread.groupBy(*by, "c.design", "c.pane").agg(*[F.sum(f"_t_{o}").alias(o) for o in sums], *[F.max(f"c.{s}").alias(s) for s in slots])
+    holders = None
+    for i, d in enumerate(designs):
+        pane = math.gcd(d.size, d.step)
+        mine = window_ids(F.col("pane") * pane, d, n, span=pane)
+        holders = F.when(F.col("design") == i, mine) if holders is None else holders.when(F.col("design") == i, mine)
+    held = panes.withColumn("window_index", F.explode(holders))
+    pick = _picker(designs)
+    pane_of = lambda rank: F.floor(rank / pick(lambda d: math.gcd(d.size, d.step)))
+    turn = F.col("pane") - pane_of(F.col("window_index") * pick(lambda d: d.step))
+    aggs = [F.sum(o).alias(o) for o in sums]
+    if key:
+        in_pane = lambda slot, rank: F.max(F.when(turn == pane_of(pick(rank)), F.col(slot)))
+        aggs += [
+            ((in_pane("k_lo", lambda d: (d.size - 1) // 2) + in_pane("k_hi", lambda d: d.size // 2)) / 2).alias("parameter"),
+            in_pane("k_first", lambda d: 0).alias("position_min"),
+            in_pane("k_last", lambda d: d.size - 1).alias("position_max"),
+        ]
+    per = held.groupBy(*by, "design", "window_index").agg(*aggs)
+    start = F.col("window_index") * pick(lambda d: d.step)
+    return per.select(
+        *by, pick(lambda d: d.name).alias("window_config"), pick(lambda d: d.size).alias("window_size"), pick(lambda d: d.step).alias("step_size"),
+        "window_index", start.alias("start_rank"), (start + pick(lambda d: d.size)).alias("stop_rank"),
+        *[c for c in per.columns if c not in (*by, "design", "window_index")],
     )
-    return _with_design(per, designs)
 
 
-def _with_design(per: DataFrame, designs: Sequence[Design]) -> DataFrame:
-    pick = lambda attr: F.element_at(F.array(*[F.lit(getattr(d, attr)) for d in designs]), F.col("design") + 1)
-    start = F.col("window_index") * pick("step")
-    return per.select(
-        pick("name").alias("window_config"),
-        pick("size").alias("window_size"),
-        pick("step").alias("step_size"),
-        "window_index",
-        start.alias("start_rank"),
-        (start + pick("size")).alias("stop_rank"),
-        *[c for c in per.columns if c not in ("design", "window_index")],
-    )
+def _picker(designs: Sequence[Design]):
+    """Value of the row's design, by its number."""
+    return lambda f: F.element_at(F.array(*[F.lit(f(d)) for d in designs]), F.col("design") + 1)
 
 
-def window_totals(
-    ranked: DataFrame, designs: Sequence[Design], n: int, sums: dict[str, Column], rk: str = "rk"
-) -> DataFrame:
-    """Sum of each expression per window, through panes. Columns: design keys + `sums`."""
-    outs = []
-    for d in designs:
-        pane = math.gcd(d.size, d.step)
-        panes = ranked.groupBy(F.floor(F.col(rk) / pane).alias("_pane")).agg(*[F.sum(e).alias(o) for o, e in sums.items()])
-        spread = panes.withColumn("window_index", F.explode(window_ids(F.col("_pane") * pane, d, n, span=pane)))
-        outs.append(spread.groupBy("window_index").agg(*[F.sum(o).alias(o) for o in sums]).withColumn("window_config", F.lit(d.name)))
-    union = outs[0]
-    for o in outs[1:]:
-        union = union.unionByName(o)
-    return union
-
-
-def composition(ranked: DataFrame, label: str, labels: Sequence[str], designs: Sequence[Design], n: int) -> DataFrame:
-    """Label counts, fractions and the dominant label (first of `labels` on ties) per window."""
-    sums = {f"n_{l}": (F.col(label) == l).cast("bigint") for l in labels}
-    totals = window_totals(ranked, designs, n, {k: F.coalesce(v, F.lit(0)) for k, v in sums.items()})
-    size = F.element_at(F.create_map(*[x for d in designs for x in (F.lit(d.name), F.lit(d.size))]), F.col("window_config"))
+def window_positions(ranked: DataFrame, key: str, designs: Sequence[Design], n: int) -> DataFrame:
+    return window_table(ranked, designs, n, {}, key)
+
+
+def _label_sums(label: str, labels: Sequence[str]) -> dict[str, Column]:
+    return {f"n_{l}": F.coalesce((F.col(label) == l).cast("bigint"), F.lit(0)) for l in labels}
+
+
+def _shares(labels: Sequence[str]) -> list[Column]:
     best = F.greatest(*[F.col(f"n_{l}") for l in labels])
     dominant = F.coalesce(*[F.when(F.col(f"n_{l}") == best, F.lit(l)) for l in labels])
-    return totals.select(
-        "window_config", "window_index", *sums, *[(F.col(f"n_{l}") / size).alias(f"fraction_{l}") for l in labels],
-        dominant.alias("dominant_label"),
-    )
+    return [*[(F.col(f"n_{l}") / F.col("window_size")).alias(f"fraction_{l}") for l in labels], dominant.alias("dominant_label")]
 
 
 def common_windows(
     ranked: DataFrame, key: str, label: str, labels: Sequence[str], designs: Sequence[Design], n: int
 ) -> DataFrame:
-    """The window family both modalities share: ranks, positions, label make-up."""
-    return window_positions(ranked, key, designs, n).join(
-        composition(ranked, label, labels, designs, n), ["window_config", "window_index"]
-    )
+    """The window family both modalities share: ranks, positions, label counts and fractions,
+    and the dominant label (first of `labels` on ties)."""
+    t = window_table(ranked, designs, n, _label_sums(label, labels), key)
+    return t.select("*", *_shares(labels))
 
 
-def mean_scores(ranked: DataFrame, designs: Sequence[Design], n: int, values: dict[str, str]) -> DataFrame:
-    """Long profile of window means: (series, window_config, modality, idx, x, y) per modality.
+def mean_scores(
+    ranked: DataFrame, designs: Sequence[Design], n: int, values: dict[str, str], key: str = "clock", by: Sequence[str] = (), rk: str = "rk"
+) -> DataFrame:
+    """Long curves of window means: (series, by..., modality, window_config, idx, x, y).
 
-    `values` maps a modality name to its column; `key` must be called clock in `ranked`.
+    `values` maps a modality name to its column.
     """
-    sums = {f"s_{m}": F.col(c) for m, c in values.items()}
-    totals = window_totals(ranked, designs, n, sums)
-    pos = window_positions(ranked, "clock", designs, n).select("window_config", "window_index", "window_size", "parameter")
-    wide = totals.join(pos, ["window_config", "window_index"])
+    t = window_table(ranked, designs, n, {f"s_{m}": F.col(c) for m, c in values.items()}, key, by, rk)
     stacked = F.inline(F.array(*[F.struct(F.lit(m).alias("modality"), F.round(F.col(f"s_{m}") / F.col("window_size"), 9).alias("y")) for m in values]))
-    long = wide.select("window_config", F.col("window_index").alias("idx"), F.col("parameter").alias("x"), stacked)
-    return long.select(F.concat_ws("|", "modality", "window_config").alias("series"), "modality", "window_config", "idx", "x", "y")
+    long = t.select(*by, "window_config", F.col("window_index").alias("idx"), F.col("parameter").alias("x"), stacked)
+    return long.select(F.concat_ws("|", "modality", "window_config", *[F.col(c).cast("string") for c in by]).alias("series"), *by, "modality", "window_config", "idx", "x", "y")
 
 
 # ------------------------------------------------------------------ landmarks
