@@ -301,7 +301,7 @@ def order_coherence(entities: DataFrame, id: str, clock: str, vec: str, n: int,
     observed = rank_rows(base, [clock, id], (), "_k", at_most=n).withColumn("perm", F.lit(-1))
     rnd = base.select(F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"), id, clock, "_v")
     rnd = rank_rows(rnd.withColumn("_h", hash32(seed, F.col("perm"), F.col(id))), ["_h", id], ["perm"], "_k", at_most=n * permutations).drop("_h")
-    steps = neighbors(observed.unionByName(rnd, allowMissingColumns=True).select("perm", "_k", "_v"), ["perm"], "_k", ["_v"]).where(F.col("prev__v").isNotNull())
+    steps = neighbors(observed.unionByName(rnd, allowMissingColumns=True).select("perm", "_k", "_v"), ["perm"], "_k", ["_v"], at_most=n * (permutations + 1)).where(F.col("prev__v").isNotNull())
     med = quantiles(steps.select("perm", distance(F.col("_v"), F.col("prev__v")).alias("d")), ["perm"], "d", {"m": 0.5})
     obs = med.where("perm = -1").select(F.col("m").alias("observed_median"))
     q = quantiles(med.where("perm >= 0"), [], "m", {"random_median": 0.5, "random_low": 0.025, "random_high": 0.975})

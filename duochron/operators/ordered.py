@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +21,28 @@ from pyspark.sql.window import Window
 
 from ..session import materialize
 
-SMALL_ROWS = 1_000_000  # up to this many rows one sorted task is cheaper than a range partitioning
+SMALL_ROWS = 250_000  # up to this many rows one sorted task is cheaper than a distributed order
 ROWS_PER_RANGE = 1_000_000
 BLOCK = 16_384
 
+_COUNTED: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def rows(df: DataFrame) -> int:
+    """Row count of a table, counted once per DataFrame."""
+    if df not in _COUNTED:
+        _COUNTED[df] = df.count()
+    return _COUNTED[df]
+
+
+def is_small(at_most: int | None) -> bool:
+    """Is the table known to be small enough for plain window functions?"""
+    return at_most is not None and at_most <= SMALL_ROWS
+
+
+def _window(by: Sequence[str]):
+    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+
 
 def rank_rows(
     df: DataFrame,
@@ -41,10 +60,9 @@ def rank_rows(
     column, so one repeated order value is split over many tasks. `at_most` is a row bound the
     caller has already counted; without it the rows are counted here.
     """
-    n = df.count() if at_most is None else at_most
+    n = rows(df) if at_most is None else at_most
     if n <= small_rows:
-        w = Window.partitionBy(*by).orderBy(*order) if by else Window.partitionBy(F.lit(0)).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("bigint") - 1)
+        return df.withColumn(out, F.row_number().over(_window(by).orderBy(*order)).cast("bigint") - 1)
     keys = [*by, *order]
     parts = max(2, math.ceil(n / rows_per_range))
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
@@ -65,13 +83,18 @@ def rank_rows(
 
 
 def neighbors(
-    df: DataFrame, by: Sequence[str], idx: str, cols: Sequence[str], offset: int = 1, block: int = BLOCK
+    df: DataFrame, by: Sequence[str], idx: str, cols: Sequence[str], offset: int = 1, block: int = BLOCK, at_most: int | None = None
 ) -> DataFrame:
     """Add prev_<c> and next_<c>: the values `offset` positions away on a dense `idx`.
 
     Rows at a block edge are also sent to the adjacent block, so each block is an ordinary
-    bounded window partition and the whole series needs one shuffle.
+    bounded window partition and the whole series needs one shuffle. A table known to be small
+    (`at_most` rows) is one plain window.
     """
+    if is_small(at_most):
+        w = _window(by).orderBy(idx)
+        lag_lead = {f"prev_{c}": F.lag(c, offset).over(w) for c in cols} | {f"next_{c}": F.lead(c, offset).over(w) for c in cols}
+        return df.withColumns(lag_lead)
     home = F.floor(F.col(idx) / block).cast("bigint")
     within = F.col(idx) % block
     targets = F.filter(
@@ -99,13 +122,17 @@ def running(
     outputs: dict[str, tuple[str, Column]],
     reverse: bool = False,
     block: int = BLOCK,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Inclusive cumulative aggregates along `idx`: out -> ("sum" | "min" | "max", expression).
 
     Two levels: one row of totals per block, a window over those few rows, and a window
-    inside each block. NULL values are skipped.
+    inside each block. NULL values are skipped. A table known to be small is one plain window.
     """
     direction = F.col(idx).desc() if reverse else F.col(idx).asc()
+    if is_small(at_most):
+        w = _window(by).orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({o: _COMBINE[k][0](e).over(w) for o, (k, e) in outputs.items()})
     block_order = F.col("_block").desc() if reverse else F.col("_block").asc()
     blocked = df.withColumn("_block", F.floor(F.col(idx) / block).cast("bigint"))
     for o, (_, expr) in outputs.items():
@@ -121,15 +148,15 @@ def running(
     return joined.drop("_block", *extra)
 
 
-def adjacent(df: DataFrame, by: Sequence[str], idx: str, col: str) -> DataFrame:
+def adjacent(df: DataFrame, by: Sequence[str], idx: str, col: str, at_most: int | None = None) -> DataFrame:
     """Add d_<col>: value minus the previous value (NULL on the first row)."""
-    near = neighbors(df, by, idx, [col])
+    near = neighbors(df, by, idx, [col], at_most=at_most)
     return near.withColumn(f"d_{col}", F.col(col) - F.col(f"prev_{col}")).drop(f"prev_{col}", f"next_{col}")
 
 
-def not_increasing(df: DataFrame, by: Sequence[str], idx: str, col: str) -> DataFrame:
+def not_increasing(df: DataFrame, by: Sequence[str], idx: str, col: str, at_most: int | None = None) -> DataFrame:
     """Per series: number of steps, and how many of them do not strictly increase."""
-    steps = adjacent(df.select(*by, idx, col), by, idx, col)
+    steps = adjacent(df.select(*by, idx, col), by, idx, col, at_most)
     return steps.groupBy(*by).agg(
         F.count(f"d_{col}").alias("n_steps"),
         F.count_if(F.col(f"d_{col}") <= 0).alias("n_not_increasing"),

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .ordered import BLOCK, neighbors, rank_rows, running
+from .ordered import BLOCK, neighbors, rank_rows, rows as row_count, running
 from .profiles import extent, spacing
 from .stats import quantiles
 
@@ -290,7 +290,7 @@ def half_height(p: DataFrame, peaks: DataFrame, block: int = BLOCK) -> DataFrame
         F.max(F.when(F.col("side") == -1, F.col("hit"))).alias("li"),
         F.max(F.when(F.col("side") == 1, F.col("hit"))).alias("ri"),
     )
-    pair = neighbors(p.select("series", "idx", "x", "y"), S, "idx", ["x", "y"], block=block)
+    pair = neighbors(p.select("series", "idx", "x", "y"), S, "idx", ["x", "y"], block=block, at_most=row_count(p))
     lft = pair.select("series", F.col("idx").alias("li"), F.col("x").alias("_lx"), F.col("y").alias("_ly"), F.col("next_x").alias("_lx2"), F.col("next_y").alias("_ly2"))
     rgt = pair.select("series", F.col("idx").alias("ri"), F.col("x").alias("_rx"), F.col("y").alias("_ry"), F.col("prev_x").alias("_rx2"), F.col("prev_y").alias("_ry2"))
     full = ends.join(lft, ["series", "li"]).join(rgt, ["series", "ri"])
@@ -311,7 +311,7 @@ def greedy_families(peaks: DataFrame, tolerance: float = DISCOVERY_TOLERANCE, sm
     next family start is found by a join: the running median from a start is the element half
     way, so one pass per family (few, each spans at least the tolerance) replaces a scan.
     """
-    n = peaks.count()
+    n = row_count(peaks)
     ranked = rank_rows(peaks.withColumn("_tie", F.concat_ws("|", "series", "idx")), ["x", "_tie"], ["modality"], "_k", at_most=n)
     if n <= small_rows:
         def assign(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -355,7 +355,7 @@ def complete_linkage(peaks: DataFrame, tolerance: float | Column, by: str = "mod
     """
     tol = tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))
     rows = peaks.withColumn("_tol", tol)
-    n = peaks.count()
+    n = row_count(peaks)
     ranked = rank_rows(rows.withColumn("_tie", F.concat_ws("|", "series", "idx")), ["x", "_tie"], [by], "_k", at_most=n)
     if n <= small_rows:
         def link(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -522,7 +522,7 @@ def track(peaks: DataFrame, centers: dict[str, float], tolerance: float, need: C
 def stability(p: DataFrame, peaks: DataFrame, centers: dict[str, float], tolerance: float, plateau: float = 0.9) -> DataFrame:
     """How a curve behaves around a frozen centre: local range, roughness, plateau width, peaks."""
     center = F.create_map(*[v for m, c in centers.items() for v in (F.lit(m), F.lit(float(c)))])[F.col("modality")]
-    near = neighbors(p.where(F.abs(F.col("x") - center) <= tolerance), S, "idx", ["y"])
+    near = neighbors(p.where(F.abs(F.col("x") - center) <= tolerance), S, "idx", ["y"], at_most=row_count(p))
     local = near.groupBy("series", "modality").agg(
         F.count(F.lit(1)).alias("_n"), (F.max("y") - F.min("y")).alias("local_range"), F.avg(F.abs(F.col("y") - F.col("prev_y"))).alias("roughness"), F.max("y").alias("_top")
     ).where("_n >= 2")

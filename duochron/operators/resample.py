@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash32
 from ..session import materialize
-from .ordered import contiguous_strata, fixed_strata, not_increasing, rank_rows, running
+from .ordered import contiguous_strata, fixed_strata, not_increasing, rank_rows, rows as row_count, running
 from .profiles import _crossing, area_quantiles, interpolate, js_divergence
 from .stats import spearman
 from .windows import Design, mean_scores
@@ -80,7 +80,7 @@ def bootstrap_profiles(
         rows = bootstrap(stratified, values, todo, seed, attempt=attempt)
         prof = materialize(replicate_profiles(rows, clock, modalities, d, n).withColumn("attempt", F.lit(attempt)))
         first = next(iter(modalities))
-        bad = [r["replicate"] for r in not_increasing(prof.where(F.col("modality") == first), ["replicate"], "idx", "x").where("n_not_increasing > 0").select("replicate").collect()]
+        bad = [r["replicate"] for r in not_increasing(prof.where(F.col("modality") == first), ["replicate"], "idx", "x", row_count(prof)).where("n_not_increasing > 0").select("replicate").collect()]
         good = prof.where(~F.col("replicate").isin(bad)) if bad else prof
         kept = good if kept is None else kept.unionByName(good)
         attempt += 1
@@ -113,7 +113,7 @@ def block_permutation(n: int, block: int, replicates: int, seed: int, spark) ->
         "size", F.least(F.lit(block), F.lit(n) - F.col("block") * block)
     )
     order = rank_rows(keyed, ["_h", "block"], ["replicate"], "_o", at_most=n_blocks * replicates)
-    cum = running(order, ["replicate"], "_o", {"_end": ("sum", F.col("size"))})
+    cum = running(order, ["replicate"], "_o", {"_end": ("sum", F.col("size"))}, at_most=n_blocks * replicates)
     return cum.select("replicate", "block", (F.col("block") * block).alias("first"), "size", (F.col("_end") - F.col("size")).alias("start"))
 
 
@@ -140,14 +140,16 @@ def circular_shifts(curve: DataFrame, value: str, n: int, span: int) -> DataFram
 
 def alignment(pairs: DataFrame, key: str) -> DataFrame:
     """Validation metrics per key from rows (key, idx, x, a, b): mass centres, Spearman, JS."""
+    n = row_count(pairs)
+
     def center(col: str) -> DataFrame:
         rows = pairs.select(F.col(key).cast("string").alias("series"), "idx", "x", F.greatest(F.col(col), F.lit(0.0)).alias("m"))
         total = rows.groupBy("series").agg(F.sum("m").alias("_total"))
-        cum = running(rows, ["series"], "idx", {"_c": ("sum", F.col("m"))}).join(total, "series").where("_total > 0")
+        cum = running(rows, ["series"], "idx", {"_c": ("sum", F.col("m"))}, at_most=n).join(total, "series").where("_total > 0")
         return _crossing(cum.withColumn("_c", F.col("_c") / F.col("_total")), {f"q50_{col}": 0.5})
 
     base = pairs.withColumn("series", F.col(key).cast("string"))
-    rho = spearman(base, "a", "b", ["series"], "spearman_rho")
+    rho = spearman(base, "a", "b", ["series"], "spearman_rho", n)
     js = js_divergence(base, ["series"], "a", "b")
     out = center("a").join(center("b"), "series").join(rho, "series").join(js, "series")
     gap = F.col("q50_a") - F.col("q50_b")
@@ -169,16 +171,17 @@ def grid_alignment(profiles: DataFrame, key: str, a: str, b: str, lower: float,
         "gx", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("g") / (points - 1)
     )
     asked = grid.select(key, F.explode(F.array(F.lit(a), F.lit(b))).alias("modality"), F.col("g").cast("bigint").alias("g"), "gx")
-    read = interpolate(asked, p.select(key, "modality", "idx", "x", "y"), [key, "modality"])
+    read = interpolate(materialize(asked), p.select(key, "modality", "idx", "x", "y"), [key, "modality"])
     curves = read.select(F.concat_ws("|", "modality", F.col(key).cast("string")).alias("series"), key, "modality", F.col("g").alias("idx"), F.col("gx").alias("x"), F.col("gy").alias("y"))
-    mid = area_quantiles(curves.select("series", "idx", "x", "y"), {"q50": 0.5}).select("series", "q50", "baseline")
+    curves = materialize(curves)
+    mid = area_quantiles(curves, {"q50": 0.5}).select("series", "q50", "baseline")
     tagged = curves.join(mid, "series")
     side = lambda m, c: F.max(F.when(F.col("modality") == m, F.col(c)))
     centers = tagged.groupBy(key).agg(side(a, "q50").alias("q50_a"), side(b, "q50").alias("q50_b"), F.count_distinct("modality").alias("_m")).where("_m = 2").drop("_m")
-    both = tagged.groupBy(key, "idx").agg(
+    both = materialize(tagged.groupBy(key, "idx").agg(
         side(a, "y").alias("ya"), side(b, "y").alias("yb"), (side(a, "y") - side(a, "baseline")).alias("ea"), (side(b, "y") - side(b, "baseline")).alias("eb")
-    )
+    ))
     rounded = both.select(key, F.round("ya", 9).alias("ya"), F.round("yb", 9).alias("yb"))
-    out = centers.join(spearman(rounded, "ya", "yb", [key], "spearman_rho"), key).join(js_divergence(both, [key], "ea", "eb"), key)
+    out = centers.join(spearman(rounded, "ya", "yb", [key], "spearman_rho", row_count(both)), key).join(js_divergence(both, [key], "ea", "eb"), key)
     gap = F.col("q50_a") - F.col("q50_b")
     return out.select(key, "q50_a", "q50_b", gap.alias("signed_gap"), F.abs(gap).alias("absolute_gap"), "spearman_rho", "js_distance")

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .ordered import SMALL_ROWS, rank_rows, running
+from pyspark.sql.window import Window
+
+from .ordered import SMALL_ROWS, rank_rows, rows as row_count, running
 
 
 # ---------------------------------------------------------------- quantiles
 def quantiles(
-    df: DataFrame, by: Sequence[str], x: str, qs: dict[str, float], small_rows: int = SMALL_ROWS
+    df: DataFrame, by: Sequence[str], x: str, qs: dict[str, float], small_rows: int = SMALL_ROWS, at_most: int | None = None
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per entry of `qs`.
 
@@ -26,7 +28,7 @@ def quantiles(
     quantile are kept.
     """
     rows = df.select(*by, x).where(F.col(x).isNotNull())
-    if rows.count() <= small_rows:
+    if (row_count(df) if at_most is None else at_most) <= small_rows:
         return rows.groupBy(*by).agg(*[F.percentile(x, F.lit(q)).alias(o) for o, q in qs.items()])
     # equal values collapse first: ties only need their count
     counts = rows.groupBy(*by, x).agg(F.count(F.lit(1)).alias("_c"))
@@ -68,13 +70,18 @@ def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # ------------------------------------------------------------- rank statistics
 def average_ranks(
-    df: DataFrame, x: str, by: Sequence[str] = (), out: str = "rank", small_rows: int = SMALL_ROWS
+    df: DataFrame, x: str, by: Sequence[str] = (), out: str = "rank", small_rows: int = SMALL_ROWS, at_most: int | None = None
 ) -> DataFrame:
     """Add the average rank (1-based, ties share their mean) of `x` within `by`.
 
-    Ranks are computed on the distinct values and joined back, so a value held by a third of
-    the rows is one row in the sort.
+    Past `small_rows`, ranks are computed on the distinct values and joined back, so a value
+    held by a third of the rows is one row in the sort.
     """
+    n = row_count(df) if at_most is None else at_most
+    if n <= small_rows:
+        ordered = Window.partitionBy(*by, F.lit(0)).orderBy(x)
+        ties = Window.partitionBy(*by, F.lit(0), x)
+        return df.withColumn(out, F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / 2)
     counts = df.groupBy(*by, x).agg(F.count(F.lit(1)).alias("_c"))
     ranked = rank_rows(counts, [x], by, "_idx", small_rows)
     cum = running(ranked, by, "_idx", {"_cum": ("sum", F.col("_c"))})
@@ -82,10 +89,11 @@ def average_ranks(
     return df.join(table, [*by, x])
 
 
-def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), out: str = "rho") -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), out: str = "rho", at_most: int | None = None) -> DataFrame:
     """Spearman correlation per group; NULL under two rows or with a constant side."""
+    n = row_count(df) if at_most is None else at_most
     rows = df.select(*by, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_ranks(average_ranks(rows, x, by, "_rx"), y, by, "_ry")
+    ranked = average_ranks(average_ranks(rows, x, by, "_rx", at_most=n), y, by, "_ry", at_most=n)
     return correlation(ranked, "_rx", "_ry", by, out)
 
 
@@ -102,8 +110,9 @@ def dominance(df: DataFrame, label: str, x: str, labels: Sequence[str]) -> DataF
     """
     rows = df.where(F.col(label).isin(list(labels)) & F.col(x).isNotNull())
     counts = rows.groupBy(x).agg(*[F.count_if(F.col(label) == l).alias(f"c{i}") for i, l in enumerate(labels)])
-    ranked = rank_rows(counts, [x], (), "_idx")
-    cum = running(ranked, [], "_idx", {f"s{i}": ("sum", F.col(f"c{i}")) for i in range(len(labels))})
+    n = row_count(df)
+    ranked = rank_rows(counts, [x], (), "_idx", at_most=n)
+    cum = running(ranked, [], "_idx", {f"s{i}": ("sum", F.col(f"c{i}")) for i in range(len(labels))}, at_most=n)
     pairs = [(i, j) for i in range(len(labels)) for j in range(i + 1, len(labels))]
     wins = cum.agg(
         *[F.sum(F.col(f"c{i}")).cast("double").alias(f"n{i}") for i in range(len(labels))],
@@ -202,10 +211,10 @@ def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 def bh_adjust(df: DataFrame, p: str, tie: str, out: str = "fdr") -> DataFrame:
     """Benjamini-Hochberg: running minimum of p*n/rank from the largest p down, at most 1."""
-    n = df.count()
-    ranked = rank_rows(df, [p, tie], (), "_idx")
+    n = row_count(df)
+    ranked = rank_rows(df, [p, tie], (), "_idx", at_most=n)
     scaled = F.col(p) * n / (F.col("_idx") + 1)
-    return running(ranked, [], "_idx", {out: ("min", scaled)}, reverse=True).withColumn(out, F.least(F.col(out), F.lit(1.0))).drop("_idx")
+    return running(ranked, [], "_idx", {out: ("min", scaled)}, reverse=True, at_most=n).withColumn(out, F.least(F.col(out), F.lit(1.0))).drop("_idx")
 
 
 # --------------------------------------------------------- multivariate fit
