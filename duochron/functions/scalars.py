@@ -73,19 +73,24 @@ def normalize_chromosome(c: Column) -> Column:
     return F.when((t == "") | t.startswith("chr"), t).otherwise(F.concat(F.lit("chr"), t))
 
 
-def chromosome_token(c: Column) -> Column:
-    """Canonical token 1..19, X, Y without prefix; NULL for every other sequence name."""
-    bare = F.upper(F.regexp_replace(F.trim(c), "(?i)^chr", ""))
-    number = F.when(bare.rlike("^[0-9]{1,9}$"), bare.cast("int"))
-    return F.when(bare.isin("X", "Y"), bare).when(number.between(1, LAST_AUTOSOME), number.cast("string"))
+def chromosome_code(c: Column) -> Column:
+    """1..19 for the autosomes, 20 for X, 21 for Y; NULL for every other sequence name.
+
+    One map lookup on the bare name, so the text work happens once per row.
+    """
+    bare = F.regexp_replace(F.upper(F.trim(c)), "^(CHR)?(0*(?=[0-9]))?", "")
+    codes = {**{str(i): i for i in range(1, LAST_AUTOSOME + 1)}, "X": X_CODE, "Y": Y_CODE}
+    return F.try_element_at(F.create_map(*[F.lit(v) for kv in codes.items() for v in kv]), bare)
 
 
-def chromosome_code(token: Column) -> Column:
-    return F.when(token == "X", X_CODE).when(token == "Y", Y_CODE).otherwise(token.cast("int"))
+def chromosome_token(c: Column) -> Column:
+    """Canonical token 1..19, X, Y without prefix; NULL for every other sequence name."""
+    code = chromosome_code(c)
+    return F.when(code == X_CODE, "X").when(code == Y_CODE, "Y").otherwise(code.cast("string"))
 
 
-def chromosome_order(token: Column) -> Column:
-    return F.coalesce(chromosome_code(token), F.lit(NON_CANONICAL_ORDER))
+def chromosome_order(c: Column) -> Column:
+    return F.coalesce(chromosome_code(c), F.lit(NON_CANONICAL_ORDER))
 
 
 def encode_bin(chrom: Column, midpoint: Column) -> Column:
@@ -94,7 +99,7 @@ def encode_bin(chrom: Column, midpoint: Column) -> Column:
     A coordinate past the space reserved per chromosome is an error, never a silent clash.
     """
     local = F.floor(midpoint / BIN_WIDTH).cast("bigint")
-    code = chromosome_code(chromosome_token(chrom)).cast("bigint")
+    code = chromosome_code(chrom).cast("bigint")
     checked = F.when(local >= BINS_PER_CHROMOSOME, F.raise_error(F.lit("coordinate past the bin space")).cast("bigint"))
     return F.when(code.isNotNull() & (midpoint >= 0), F.coalesce(checked, code * BINS_PER_CHROMOSOME + local))
 

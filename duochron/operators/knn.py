@@ -60,7 +60,7 @@ def _keep_nearest(pairs: DataFrame, k: int) -> DataFrame:
 def _unit(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     if len(queries) == 0 or len(candidates) == 0:
         return pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "dist": pd.Series(dtype=float)})
-    return _top(queries["did"].to_numpy(), np.stack(queries["v"].to_numpy()), candidates["did"].to_numpy(), np.stack(candidates["v"].to_numpy()), k)
+    return _top(queries["did"].to_numpy(), np.stack(queries["v"].to_numpy()), candidates["cid"].to_numpy(), np.stack(candidates["cv"].to_numpy()), k)
 
 
 def _assign_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -130,10 +130,10 @@ def knn(
     chunk = lambda parts: F.pmod(F.xxhash64("did"), parts).cast("int")
     # a query goes to every candidate chunk of its surviving cells, and the other way round
     q = placed.join(units.withColumnRenamed("qc", "cell"), ["g", "cell"]).select(
-        "did", "v", "g", F.col("cell").alias("qc"), "cc", chunk(F.col("qn")).alias("qk"), F.explode(F.sequence(F.lit(0), F.col("cn") - 1)).alias("ck")
+        F.col("did").alias("did"), F.col("v").alias("v"), F.col("g").alias("g"), F.col("cell").alias("qc"), F.col("cc").alias("cc"), chunk(F.col("qn")).alias("qk"), F.explode(F.sequence(F.lit(0), F.col("cn") - 1)).alias("ck")
     )
     c = placed.join(units.withColumnRenamed("cc", "cell"), ["g", "cell"]).select(
-        "did", "v", F.col("g").alias("cg"), F.col("qc").alias("cqc"), F.col("cell").alias("ccc"), chunk(F.col("cn")).alias("cck"),
+        F.col("did").alias("cid"), F.col("v").alias("cv"), F.col("g").alias("cg"), F.col("qc").alias("cqc"), F.col("cell").alias("ccc"), chunk(F.col("cn")).alias("cck"),
         F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("cqk"),
     )
     found = q.groupBy("g", "qc", "cc", "qk", "ck").cogroup(c.groupBy("cg", "cqc", "ccc", "cqk", "cck")).applyInPandas(

@@ -31,10 +31,14 @@ def log_odds(pfm: np.ndarray) -> np.ndarray:
     return np.log(p / BACKGROUND)
 
 
-def threshold(pwm: np.ndarray, p: float = MATCH_P) -> float:
-    """Smallest score whose upper tail under the background is at most p (exact distribution of
-    the scores rounded to SCORE_UNIT, one column at a time)."""
-    units = np.rint(pwm / SCORE_UNIT).astype(int)
+def in_units(pwm: np.ndarray) -> np.ndarray:
+    """Scores rounded to SCORE_UNIT as integers: sums are exact, so a cut is exact too."""
+    return np.rint(pwm / SCORE_UNIT).astype(np.int64)
+
+
+def threshold(units: np.ndarray, p: float = MATCH_P) -> int:
+    """Smallest attainable score whose upper tail under the background is at most p, from the
+    exact score distribution, one matrix column at a time."""
     low = units.min(0)
     dist = np.ones(1)
     for col, base in zip(units.T, low):
@@ -43,22 +47,22 @@ def threshold(pwm: np.ndarray, p: float = MATCH_P) -> float:
             nxt[s - base : s - base + len(dist)] += BACKGROUND * dist
         dist = nxt
     tail = np.cumsum(dist[::-1])[::-1]
-    ok = np.flatnonzero(tail <= p * (1 + 1e-9))
-    at = int(ok[0]) if len(ok) else len(dist)
-    return (int(low.sum()) + at - 0.5 * len(low)) * SCORE_UNIT
+    ok = np.flatnonzero((tail <= p * (1 + 1e-9)) & (dist > 0))
+    return int(low.sum()) + (int(ok[0]) if len(ok) else len(dist))
 
 
 _CODE = np.full(256, 4)
 _CODE[[ord(c) for c in "ACGT"]] = range(4)
+_NEVER = -(10**12)
 
 
-def _hits(code: np.ndarray, pwm: np.ndarray, cut: float) -> int:
-    width = pwm.shape[1]
+def _hits(code: np.ndarray, units: np.ndarray, cut: int) -> int:
+    width = units.shape[1]
     n = len(code) - width + 1
     if n <= 0:
         return 0
-    padded = np.vstack([pwm, np.full(width, -np.inf)])  # any other letter never matches
-    s = np.zeros(n)
+    padded = np.vstack([units, np.full(width, _NEVER)])  # any other letter never matches
+    s = np.zeros(n, dtype=np.int64)
     for j in range(width):
         s += padded[code[j : j + n], j]
     return int((s >= cut).sum())
@@ -74,9 +78,9 @@ def scan(sequences: DataFrame, id: str, seq: str, motifs: DataFrame) -> DataFram
         raise ValueError("motif library too large to ship to the tasks")
     prepared = []
     for r in table:
-        pwm = log_odds(np.array(r["pfm"], float))
-        rev = pwm[::-1, ::-1]  # complement swaps A-T and C-G
-        prepared.append((r["motif_id"], pwm, threshold(pwm), rev, threshold(rev)))
+        fwd = in_units(log_odds(np.array(r["pfm"], float)))
+        rev = fwd[::-1, ::-1]  # complement swaps A-T and C-G
+        prepared.append((r["motif_id"], fwd, threshold(fwd), rev, threshold(rev)))
     shared = sequences.sparkSession.sparkContext.broadcast(prepared)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,8 +90,8 @@ def scan(sequences: DataFrame, id: str, seq: str, motifs: DataFrame) -> DataFram
                 if s is None:
                     continue
                 code = _CODE[np.frombuffer(s.upper().encode("latin-1", "replace"), dtype=np.uint8)]
-                for name, pwm, cut, rev, rcut in shared.value:
-                    f, r = _hits(code, pwm, cut), _hits(code, rev, rcut)
+                for name, fwd, cut, rev, rcut in shared.value:
+                    f, r = _hits(code, fwd, cut), _hits(code, rev, rcut)
                     if f or r:
                         out.append((i, name, f, r, f + r))
             yield pd.DataFrame(out, columns=["id", "motif_id", "forward_hits", "reverse_hits", "total_hits"])

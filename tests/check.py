@@ -56,7 +56,7 @@ def main():
     names = sys.argv[2:]
     sf_dir = f"/root/testdata/sf{sf}"
     spark = local_session(8)
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con, queries, sql = duck(sf_dir), e.queries(), e.oracle_sql()
     failed = []
     for name in names or queries:
@@ -76,7 +76,7 @@ def main():
             if err:
                 failed.append(name)
         except Exception as x:  # noqa: BLE001
-            print(f"{name}: ERROR {type(x).__name__} {str(x)[:1500]}", flush=True)
+            print(f"{name}: ERROR {type(x).__name__} {str(x)[:400]}", flush=True)
             failed.append(name)
     print("failed:", failed)
 
