@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 
 
 def load_all() -> None:
-    from . import core, curves, features, graphs, inference, places  # noqa: F401
+    from . import core, curves, features, graphs, inference, places, reports  # noqa: F401

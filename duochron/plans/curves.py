@@ -59,9 +59,9 @@ valid AS (SELECT p.series, e.modality, e.window_config, p.idx, c.x, p.y, p.promi
  FROM prom p JOIN ext e USING (series) JOIN space s USING (series) JOIN tops t USING (series) JOIN profile c ON c.series = p.series AND c.idx = p.idx)"""
 
 
-def disc_sql() -> str:
+def disc_sql(base: str = T.PROFILES) -> str:
     """Discovery peaks: greedy distance pruning written as the order-by-height recursion."""
-    return f"""WITH RECURSIVE {T.PROFILES.lstrip()}, {EXT}, {RUNS},
+    return f"""WITH RECURSIVE {base.lstrip()}, {EXT}, {RUNS},
 ordered AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY y DESC, idx DESC) AS o, count(*) OVER (PARTITION BY series) AS m FROM maxima),
 pick AS (
   SELECT series, 0::BIGINT AS o, []::BIGINT[] AS kept FROM ordered GROUP BY series

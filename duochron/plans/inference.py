@@ -143,7 +143,18 @@ def region_timing_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("replicate", *[F.round(c, 5).alias(c) for c in ("q50_a", "q50_b", "signed_gap")])
 
 
-@query("peak_stability_bootstrap")
+def _stability_sql() -> str:
+    from .curves import disc_sql
+
+    return disc_sql(f"{T.RANKED}, {_CHUNKS}") + """, ctr AS (SELECT series, modality, CASE modality WHEN 'A' THEN 15.0 ELSE 14.0 END AS c FROM ext),
+near AS (SELECT p.series, p.x, p.y, abs(p.y - lag(p.y) OVER (PARTITION BY p.series ORDER BY p.idx)) AS dy FROM profile p JOIN ctr USING (series) WHERE abs(p.x - c) <= 3),
+loc AS (SELECT series, max(y) - min(y) AS rng, avg(dy) AS rough, max(y) AS top FROM near GROUP BY series HAVING count(*) >= 2), pla AS (SELECT series, max(x) - min(x) AS w FROM near JOIN loc USING (series) WHERE y >= 0.9 * top GROUP BY series),
+el AS (SELECT series, count(*) FILTER (abs(x - c) <= 3) AS ne, count(*) AS np FROM disc JOIN ctr USING (series) GROUP BY series)
+SELECT modality, count(*) AS n_replicates, round(avg(CASE WHEN coalesce(ne, 0) > 0 THEN 1 ELSE 0 END), 6) AS detection_rate, round(avg(coalesce(np, 0)), 6) AS mean_peaks, round(avg(rough), 6) AS mean_roughness, round(avg(w), 6) AS mean_plateau_width, round(avg(rng), 6) AS mean_local_range
+FROM ctr LEFT JOIN el USING (series) LEFT JOIN loc USING (series) LEFT JOIN pla USING (series) GROUP BY modality"""
+
+
+@query("peak_stability_bootstrap", _stability_sql())
 def peak_stability_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     p = _booted(spark, sf, False)
     s = pk.stability(p, _with_keys(pk.discovery_peaks(p)), CENTERS, TOLERANCE)

@@ -57,10 +57,15 @@ def matrix_market(spark: SparkSession, path: str) -> DataFrame:
     size_line = rf"^\s*{n_rows}\s+{n_cols}\s+{n_stored}\s*$"
     lines = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != "")).withColumn("_o", F.monotonically_increasing_id())
     header = lines.where(F.col("value").rlike(size_line)).agg(F.min("_o").alias("_h"))
-    t = F.split(F.trim("value"), r"\s+")
     body = lines.crossJoin(F.broadcast(header)).where(F.col("_o") != F.col("_h"))  # one row: the header position
-    ok = F.when(F.size(t) < 3, F.raise_error(F.lit("malformed MatrixMarket entry")).cast("bigint"))
-    return body.select(F.coalesce(ok, t[0].cast("bigint") - 1).alias("row"), (t[1].cast("bigint") - 1).alias("col"), t[2].cast("double").alias("value"))
+    return parse_entries(body.select("value"))
+
+
+def parse_entries(lines: DataFrame) -> DataFrame:
+    """(row, col, value) of 1-based coordinate lines, made 0-based; a short line is an error."""
+    t = F.split(F.trim("value"), r"\s+")
+    short = F.when(F.size(t) < 3, F.raise_error(F.lit("malformed MatrixMarket entry")).cast("bigint"))
+    return lines.select(F.coalesce(short, t[0].cast("bigint") - 1).alias("row"), (t[1].cast("bigint") - 1).alias("col"), t[2].cast("double").alias("value"))
 
 
 def dense_header(spark: SparkSession, path: str) -> DataFrame:
@@ -69,21 +74,28 @@ def dense_header(spark: SparkSession, path: str) -> DataFrame:
     return first.select(F.posexplode(F.slice(F.split("value", "\t"), F.lit(2), F.size(F.split("value", "\t")))).alias("position", "raw")).withColumn("barcode", normalize_barcode(F.col("raw")))
 
 
+def unfold_dense(lines: DataFrame, names: DataFrame, width: int) -> DataFrame:
+    """Long-form (feature, entity, count) of dense lines `feature<TAB>c1<TAB>c2...`, zeros dropped.
+
+    `names` maps a 0-based position to its entity; unlisted columns are dropped before they
+    count. A row of another width or a negative count is an error.
+    """
+    t = F.split("value", "\t")
+    wrong = F.when(F.size(t) != width + 1, F.raise_error(F.concat(F.lit("row width differs at "), t[0])).cast("string"))
+    cells = F.filter(F.transform(F.slice(t, F.lit(2), F.size(t)), lambda c, i: F.struct(i.alias("position"), c.cast("double").alias("c"))), lambda s: s["c"] != 0)
+    long = lines.select(F.coalesce(wrong, t[0]).alias("feature"), F.inline(cells))
+    checked = F.when(F.col("c") < 0, F.raise_error(F.lit("negative count")).cast("double")).otherwise(F.col("c"))
+    return long.join(names.select("position", "entity"), "position").select("feature", "entity", checked.alias("count"))
+
+
 def dense_matrix(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
-    """Long-form (feature, entity, count) of a dense table, zeros dropped, columns chosen before
-    the rows are unfolded. `wanted` has the barcodes to keep in column `barcode`."""
+    """Long-form counts of a dense feature x barcode table; `wanted` has the barcodes to keep."""
     head = dense_header(spark, path)
     lines = spark.read.text(path).withColumn("_o", F.monotonically_increasing_id()).where("_o > 0").drop("_o")
-    t = F.split("value", "\t")
-    width = head.count()
-    ok = F.when(F.size(t) != width + 1, F.raise_error(F.concat(F.lit("row width differs at "), t[0])).cast("string"))
-    long = lines.select(F.coalesce(ok, t[0]).alias("feature"), F.posexplode(F.slice(t, F.lit(2), F.size(t))).alias("position", "c"))
     names = head.select("position", F.col("barcode").alias("entity"))
     if wanted is not None:
         names = names.join(wanted.select(F.col("barcode").alias("entity")).distinct(), "entity", "left_semi")
-    count = F.col("c").cast("double")
-    checked = F.when(count < 0, F.raise_error(F.lit("negative count")).cast("double")).otherwise(count)
-    return long.join(names, "position").select("feature", "entity", checked.alias("count")).where("count <> 0")
+    return unfold_dense(lines, names, head.count())
 
 
 def bed(spark: SparkSession, path: str) -> DataFrame:
@@ -92,24 +104,37 @@ def bed(spark: SparkSession, path: str) -> DataFrame:
     return rank_rows(raw, ["_o"], (), "position").select("position", "chrom", "start", "end")
 
 
-def fragments(spark: SparkSession, path: str) -> DataFrame:
-    """Interval records with a flag instead of an error for malformed lines; # lines skipped."""
+def parse_fragments(lines: DataFrame) -> DataFrame:
+    """Interval records of text lines, malformed ones flagged instead of failing; # lines skipped.
+
+    Five tab fields with whole-number coordinates make a record.
+    """
     t = F.split("value", "\t")
-    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    start, end = t[1].try_cast("bigint"), t[2].try_cast("bigint")
-    good = (F.size(t) >= 5) & start.isNotNull() & end.isNotNull()
-    rows = lines.select(
-        F.when(good, t[0]).alias("chrom"), F.when(good, start).alias("start"), F.when(good, end).alias("end"), F.when(good, t[3]).alias("barcode"),
-        F.when(good, t[4].try_cast("int")).alias("n"), F.coalesce(~good, F.lit(True)).alias("malformed"),
+    start, end = F.get(t, F.lit(1)).try_cast("bigint"), F.get(t, F.lit(2)).try_cast("bigint")
+    good = F.coalesce((F.size(t) >= 5) & start.isNotNull() & end.isNotNull(), F.lit(False))
+    rest = [c for c in lines.columns if c != "value"]
+    return lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(
+        *rest, F.when(good, F.get(t, F.lit(0))).alias("chrom"), F.when(good, start).alias("start"), F.when(good, end).alias("end"),
+        F.when(good, F.get(t, F.lit(3))).alias("barcode"), F.when(good, F.get(t, F.lit(4)).try_cast("int")).alias("n"), (~good).alias("malformed"),
     )
-    return rows.repartition("barcode") if path.endswith(".gz") else rows
 
 
-def header_fields(spark: SparkSession, path: str) -> DataFrame:
+def fragments(spark: SparkSession, path: str) -> DataFrame:
+    rows = parse_fragments(spark.read.text(path))
+    return rows.repartition() if path.endswith(".gz") else rows
+
+
+def parse_header_fields(lines: DataFrame) -> DataFrame:
     """key=value pairs of the # header lines."""
-    return spark.read.text(path).where(F.col("value").startswith("#")).select(
-        F.trim(F.regexp_extract("value", r"^#+\s*([^=]+)=(.*)$", 1)).alias("key"), F.trim(F.regexp_extract("value", r"^#+\s*([^=]+)=(.*)$", 2)).alias("val")
-    ).where(F.col("key") != "")
+    pair = r"^#+\s*([^=]+)=(.*)$"
+    rest = [c for c in lines.columns if c != "value"]
+    return lines.where(F.col("value").rlike(pair)).select(
+        *rest, F.trim(F.regexp_extract("value", pair, 1)).alias("key"), F.trim(F.regexp_extract("value", pair, 2)).alias("val")
+    )
+
+
+def header_fields(spark: SparkSession, path: str) -> DataFrame:
+    return parse_header_fields(spark.read.text(path))
 
 
 def targets_found(targets: DataFrame, observed: DataFrame, key: str) -> DataFrame:
@@ -147,19 +172,27 @@ def anchor_bed(spark: SparkSession, path: str, genes: DataFrame) -> tuple[DataFr
     return resolve_symbols(kept, "name", genes), malformed
 
 
-def pfms(spark: SparkSession, path: str) -> DataFrame:
-    """Count matrices in the bracketed text format: (motif_id, tf_name, pfm 4 x L, length)."""
-    blocks = spark.read.text(path, lineSep=">").where(F.trim("value") != "")
+def parse_pfms(blocks: DataFrame) -> DataFrame:
+    """Count matrices of bracketed text blocks (header line without its mark, then four rows):
+    (motif_id, tf_name, pfm 4 x L, motif_length). A missing or uneven row is an error."""
     head = F.split(F.split("value", r"\r?\n")[0], "\t")
-    row = lambda base: F.transform(
-        F.filter(F.split(F.regexp_extract("value", rf"(?m)^\s*{base}\s*\[([^\]]*)\]", 1), r"\s+"), lambda x: x != ""), lambda x: x.cast("double")
+
+    def row(base: str) -> Column:
+        inside = F.regexp_extract("value", rf"(?m)^\s*{base}\s*\[([^\]]*)\]", 1)
+        return F.transform(F.filter(F.split(inside, r"\s+"), lambda x: x != ""), lambda x: x.cast("double"))
+
+    t = blocks.where(F.trim("value") != "").select(
+        F.trim(head[0]).alias("motif_id"), F.coalesce(F.trim(F.get(head, F.lit(1))), F.trim(head[0])).alias("tf_name"), F.array(*[row(b) for b in "ACGT"]).alias("pfm")
     )
-    t = blocks.select(F.trim(head[0]).alias("motif_id"), F.coalesce(F.trim(F.get(head, F.lit(1))), F.trim(head[0])).alias("tf_name"), F.array(*[row(b) for b in "ACGT"]).alias("pfm"))
     width = F.size(F.col("pfm")[0])
     bad = (width == 0) | F.exists("pfm", lambda r: F.size(r) != width)
     return t.withColumn("motif_length", F.when(bad, F.raise_error(F.concat(F.lit("incomplete matrix "), F.col("motif_id"))).cast("int")).otherwise(width))
 
 
+def pfms(spark: SparkSession, path: str) -> DataFrame:
+    return parse_pfms(spark.read.text(path, lineSep=">"))
+
+
 def extract_sequences(intervals: DataFrame, sequences: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", tile: int = 65_536) -> DataFrame:
     """Upper-cased sequence of each interval from a table of whole sequences (chrom, seq).
 
