@@ -210,9 +210,9 @@ def branch_metrics(edges: DataFrame, labels: DataFrame, id: str, label: str, vec
         (cross / F.count(F.lit(1))).alias("cross_fraction"),
         F.when(cross > 0, adj / cross).alias("adjacent_of_cross"),
         F.when(cross > 0, byp / cross).alias("bypass_of_cross"),
-        (n(a, b) / row(a)).alias("first_to_middle"),
-        (n(b, c) / row(b)).alias("middle_to_last"),
-        (n(c, b) / row(c)).alias("last_to_middle"),
+        F.try_divide(n(a, b), row(a)).alias("first_to_middle"),
+        F.try_divide(n(b, c), row(b)).alias("middle_to_last"),
+        F.try_divide(n(c, b), row(c)).alias("last_to_middle"),
     ).withColumn("min_bridge", F.least("first_to_middle", "middle_to_last", "last_to_middle"))
     cent = labels.groupBy(label).agg(mean_vector(doubles(F.col(vec)), dims).alias("m"))
     pick = lambda x: F.max(F.when(F.col(label) == x, F.col("m")))
@@ -278,7 +278,7 @@ def clock_permutations(entities: DataFrame, id: str, clock: str, n: int, permuta
     """(perm, id, clock): the clock dealt anew to the entities, each value used once."""
     by_rank = rank_rows(entities.select(id, clock), [id], (), "_r", at_most=n)
     order = by_rank.select(F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"), id, clock)
-    order = rank_rows(order.withColumn("_h", hash32(seed, F.col("perm"), F.col(id))), ["_h", id], ["perm"], "_r", at_most=n * permutations)
+    order = rank_rows(order.withColumn("_h", hash32(seed, F.col("perm"), F.col(id))), ["_h", id], ["perm"], "_r", at_most=n)
     return order.select("perm", "_r", clock).join(by_rank.select("_r", id), "_r").select("perm", id, clock)
 
 
@@ -300,8 +300,8 @@ def order_coherence(entities: DataFrame, id: str, clock: str, vec: str, n: int,
     base = entities.select(id, clock, doubles(F.col(vec)).alias("_v"))
     observed = rank_rows(base, [clock, id], (), "_k", at_most=n).withColumn("perm", F.lit(-1))
     rnd = base.select(F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"), id, clock, "_v")
-    rnd = rank_rows(rnd.withColumn("_h", hash32(seed, F.col("perm"), F.col(id))), ["_h", id], ["perm"], "_k", at_most=n * permutations).drop("_h")
-    steps = neighbors(observed.unionByName(rnd, allowMissingColumns=True).select("perm", "_k", "_v"), ["perm"], "_k", ["_v"], at_most=n * (permutations + 1)).where(F.col("prev__v").isNotNull())
+    rnd = rank_rows(rnd.withColumn("_h", hash32(seed, F.col("perm"), F.col(id))), ["_h", id], ["perm"], "_k", at_most=n).drop("_h")
+    steps = neighbors(observed.unionByName(rnd, allowMissingColumns=True).select("perm", "_k", "_v"), ["perm"], "_k", ["_v"], at_most=n).where(F.col("prev__v").isNotNull())
     med = quantiles(steps.select("perm", distance(F.col("_v"), F.col("prev__v")).alias("d")), ["perm"], "d", {"m": 0.5})
     obs = med.where("perm = -1").select(F.col("m").alias("observed_median"))
     q = quantiles(med.where("perm >= 0"), [], "m", {"random_median": 0.5, "random_low": 0.025, "random_high": 0.975})

@@ -51,21 +51,47 @@ def threshold(units: np.ndarray, p: float = MATCH_P) -> int:
     return int(low.sum()) + (int(ok[0]) if len(ok) else len(dist))
 
 
-_CODE = np.full(256, 4)
+_CODE = np.full(256, 4, dtype=np.int64)
 _CODE[[ord(c) for c in "ACGT"]] = range(4)
-_NEVER = -(10**12)
+_NEVER = -(10**8)  # score of any letter outside A, C, G, T: such a window never matches
+LETTERS_PER_PASS = 1 << 21
 
 
-def _hits(code: np.ndarray, units: np.ndarray, cut: int) -> int:
+def _tables(units: np.ndarray) -> list[np.ndarray]:
+    """Score tables over letter triples: one lookup covers three matrix columns."""
     width = units.shape[1]
-    n = len(code) - width + 1
-    if n <= 0:
-        return 0
-    padded = np.vstack([units, np.full(width, _NEVER)])  # any other letter never matches
-    s = np.zeros(n, dtype=np.int64)
-    for j in range(width):
-        s += padded[code[j : j + n], j]
-    return int((s >= cut).sum())
+    padded = np.vstack([units, np.full(width, _NEVER)])
+    out = []
+    for j in range(0, width, 3):
+        cols = [padded[:, j + i] if j + i < width else np.zeros(5, dtype=np.int64) for i in range(3)]
+        out.append((cols[0][:, None, None] + cols[1][None, :, None] + cols[2][None, None, :]).ravel().astype(np.int32))
+    return out
+
+
+def _match_starts(triples: np.ndarray, n: int, tables: list[np.ndarray], width: int, cut: int) -> np.ndarray:
+    """Start positions whose score reaches the cut, in a code of n letters."""
+    m = n - width + 1
+    if m <= 0:
+        return np.zeros(0, dtype=np.int64)
+    s = tables[0][triples[:m]].astype(np.int64)
+    for i, t in enumerate(tables[1:], 1):
+        s += t[triples[3 * i : 3 * i + m]]
+    return np.flatnonzero(s >= cut)
+
+
+def _scan_texts(texts: list[str], motifs: list[tuple]) -> list[tuple]:
+    """(text number, motif, forward hits, reverse hits) of several texts joined by a stop letter."""
+    codes = [_CODE[np.frombuffer(t.upper().encode("latin-1", "replace"), dtype=np.uint8)] for t in texts]
+    starts = np.cumsum([0] + [len(c) + 1 for c in codes])
+    line = np.full(starts[-1] + 2, 4, dtype=np.int64)
+    for at, c in zip(starts, codes):
+        line[at : at + len(c)] = c
+    triples = line[:-2] * 25 + line[1:-1] * 5 + line[2:]
+    out = []
+    for name, width, fwd, cut, rev, rcut in motifs:
+        per = [np.bincount(np.searchsorted(starts, _match_starts(triples, int(starts[-1]), t, width, c), side="right") - 1, minlength=len(texts)) for t, c in ((fwd, cut), (rev, rcut))]
+        out.extend((int(i), name, int(per[0][i]), int(per[1][i])) for i in np.flatnonzero(per[0] + per[1]))
+    return out
 
 
 def scan(sequences: DataFrame, id: str, seq: str, motifs: DataFrame) -> DataFrame:
@@ -80,23 +106,24 @@ def scan(sequences: DataFrame, id: str, seq: str, motifs: DataFrame) -> DataFram
     for r in table:
         fwd = in_units(log_odds(np.array(r["pfm"], float)))
         rev = fwd[::-1, ::-1]  # complement swaps A-T and C-G
-        prepared.append((r["motif_id"], fwd, threshold(fwd), rev, threshold(rev)))
-    shared = sequences.sparkSession.sparkContext.broadcast(prepared)
+        prepared.append((r["motif_id"], fwd.shape[1], _tables(fwd), threshold(fwd), _tables(rev), threshold(rev)))
+    spark = sequences.sparkSession
+    shared = spark.sparkContext.broadcast(prepared)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for i, s in zip(pdf["id"], pdf["s"]):
-                if s is None:
-                    continue
-                code = _CODE[np.frombuffer(s.upper().encode("latin-1", "replace"), dtype=np.uint8)]
-                for name, fwd, cut, rev, rcut in shared.value:
-                    f, r = _hits(code, fwd, cut), _hits(code, rev, rcut)
-                    if f or r:
-                        out.append((i, name, f, r, f + r))
+            pdf = pdf[pdf["s"].notna()]
+            group = (pdf["s"].str.len().cumsum() // LETTERS_PER_PASS).to_numpy()
+            ids, texts, out = pdf["id"].to_numpy(), pdf["s"].to_numpy(), []
+            for g in np.unique(group):
+                at = np.flatnonzero(group == g)
+                out.extend((ids[at[i]], m, f, r, f + r) for i, m, f, r in _scan_texts(list(texts[at]), shared.value))
             yield pd.DataFrame(out, columns=["id", "motif_id", "forward_hits", "reverse_hits", "total_hits"])
 
     src = sequences.select(F.col(id).alias("id"), F.col(seq).alias("s"))
+    cores = spark.sparkContext.defaultParallelism
+    if src.rdd.getNumPartitions() < cores:
+        src = src.repartition(cores, "id")  # scanning is compute-bound: use every core
     t = src.schema["id"].dataType.simpleString()
     return src.mapInPandas(run, f"id {t}, motif_id string, forward_hits bigint, reverse_hits bigint, total_hits bigint").withColumnRenamed("id", id)
 

@@ -36,7 +36,7 @@ def rows(df: DataFrame) -> int:
 
 
 def is_small(at_most: int | None) -> bool:
-    """Is the table known to be small enough for plain window functions?"""
+    """Is the largest group (the table, without groups) known to fit a plain window function?"""
     return at_most is not None and at_most <= SMALL_ROWS
 
 
@@ -57,8 +57,8 @@ def rank_rows(
 
     Past `small_rows` the rows are range-partitioned on (by, order), written once, and each
     range adds the count of its group's earlier ranges. The range key holds the tie-breaking
-    column, so one repeated order value is split over many tasks. `at_most` is a row bound the
-    caller has already counted; without it the rows are counted here.
+    column, so one repeated order value is split over many tasks. `at_most` bounds the rows
+    of the largest group; without it the table is counted here.
     """
     n = rows(df) if at_most is None else at_most
     if n <= small_rows:
@@ -88,8 +88,8 @@ def neighbors(
     """Add prev_<c> and next_<c>: the values `offset` positions away on a dense `idx`.
 
     Rows at a block edge are also sent to the adjacent block, so each block is an ordinary
-    bounded window partition and the whole series needs one shuffle. A table known to be small
-    (`at_most` rows) is one plain window.
+    bounded window partition and the whole series needs one shuffle. Groups known to be small
+    (`at_most` rows each) are plain windows.
     """
     if is_small(at_most):
         w = _window(by).orderBy(idx)
@@ -127,7 +127,7 @@ def running(
     """Inclusive cumulative aggregates along `idx`: out -> ("sum" | "min" | "max", expression).
 
     Two levels: one row of totals per block, a window over those few rows, and a window
-    inside each block. NULL values are skipped. A table known to be small is one plain window.
+    inside each block. NULL values are skipped. Groups known to be small are plain windows.
     """
     direction = F.col(idx).desc() if reverse else F.col(idx).asc()
     if is_small(at_most):

@@ -138,7 +138,7 @@ def interpolate(points: DataFrame, curve: DataFrame, key: Sequence[str], at_most
     near = neighbors(curve.select(*key, "idx", "x", "y"), key, "idx", ["x", "y"], at_most=n)
     seg = near.select(*key, F.col("idx").alias("_lo"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("next_x").alias("_ex"), F.col("next_y").alias("_ey"))
     first = curve.groupBy(*key).agg(F.min_by("y", "idx").alias("_first"))
-    t = (F.col("gx") - F.col("_x")) / (F.col("_ex") - F.col("_x"))
+    t = F.coalesce(F.try_divide(F.col("gx") - F.col("_x"), F.col("_ex") - F.col("_x")), F.lit(0.0))
     value = F.when(F.col("_lo").isNull(), F.col("_first")).when(F.col("_ex").isNull(), F.col("_y")).otherwise(F.col("_y") + t * (F.col("_ey") - F.col("_y")))
     read = placed.join(seg, [*key, "_lo"], "left").join(first, key).select(*key, "gx", value.alias("gy"))
     return points.join(read, [*key, "gx"])

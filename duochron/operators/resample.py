@@ -44,19 +44,20 @@ def strata(ranked: DataFrame, n: int, size: int | None = None, parts: int | None
 
 
 def bootstrap(
-    stratified: DataFrame, values: Sequence[str], replicates: int | Sequence[int], seed: int, rk: str = "rk", attempt: int = 0
+    stratified: DataFrame, values: Sequence[str], replicates: int | Sequence[int], seed: int, n: int, rk: str = "rk", attempt: int = 0
 ) -> DataFrame:
     """Draw with replacement inside strata and keep the drawn entities in rank order.
 
     Both modalities travel on the drawn row, so every replicate stays paired. Returns
     (replicate, pos, values...): `pos` is the place in the replicate's order. Repeated draws
-    collapse to a multiplicity before the join, and positions come from blockwise sums.
+    collapse to a multiplicity before the join, and positions come from cumulative counts.
+    `n` is the number of entities.
     """
     reps = F.sequence(F.lit(0), F.lit(replicates - 1)) if isinstance(replicates, int) else F.array(*[F.lit(r) for r in replicates])
     slots = stratified.select(F.explode(reps).alias("replicate"), rk, "s_first", "s_size")
     drawn = F.col("s_first") + F.pmod(hash32(seed, F.col("replicate"), attempt, F.col(rk)), F.col("s_size"))
     times = slots.select("replicate", drawn.alias(rk)).groupBy("replicate", rk).agg(F.count(F.lit(1)).alias("m"))
-    placed = running(times, ["replicate"], rk, {"_end": ("sum", F.col("m"))}).join(stratified.select(rk, *values), rk)
+    placed = running(times, ["replicate"], rk, {"_end": ("sum", F.col("m"))}, at_most=n).join(stratified.select(rk, *values), rk)
     copies = F.explode(F.sequence(F.col("_end") - F.col("m"), F.col("_end") - 1))
     return placed.select("replicate", copies.alias("pos"), *values)
 
@@ -77,7 +78,7 @@ def bootstrap_profiles(
     todo: list[int] | int = replicates
     kept, attempt = None, 0
     while True:
-        rows = bootstrap(stratified, values, todo, seed, attempt=attempt)
+        rows = bootstrap(stratified, values, todo, seed, n, attempt=attempt)
         prof = materialize(replicate_profiles(rows, clock, modalities, d, n).withColumn("attempt", F.lit(attempt)))
         first = next(iter(modalities))
         bad = [r["replicate"] for r in not_increasing(prof.where(F.col("modality") == first), ["replicate"], "idx", "x", row_count(prof)).where("n_not_increasing > 0").select("replicate").collect()]
@@ -112,8 +113,8 @@ def block_permutation(n: int, block: int, replicates: int, seed: int, spark) ->
     keyed = ids.withColumn("_h", hash32(seed, F.col("replicate"), F.col("block"))).withColumn(
         "size", F.least(F.lit(block), F.lit(n) - F.col("block") * block)
     )
-    order = rank_rows(keyed, ["_h", "block"], ["replicate"], "_o", at_most=n_blocks * replicates)
-    cum = running(order, ["replicate"], "_o", {"_end": ("sum", F.col("size"))}, at_most=n_blocks * replicates)
+    order = rank_rows(keyed, ["_h", "block"], ["replicate"], "_o", at_most=n_blocks)
+    cum = running(order, ["replicate"], "_o", {"_end": ("sum", F.col("size"))}, at_most=n_blocks)
     return cum.select("replicate", "block", (F.col("block") * block).alias("first"), "size", (F.col("_end") - F.col("size")).alias("start"))
 
 
@@ -133,14 +134,14 @@ def circular_shifts(curve: DataFrame, value: str, n: int, span: int) -> DataFram
     """(offset, idx, value): the curve rolled by every admissible offset."""
     lo, hi = admissible_offsets(n, span)
     if hi < lo:
-        raise ValueError("curve too short for any admissible shift")
+        return curve.where(F.lit(False)).select(F.lit(0).alias("offset"), "idx", value)  # too short for any shift
     rolled = curve.select("idx", value, F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("offset"))
     return rolled.select("offset", F.pmod(F.col("idx") + F.col("offset"), F.lit(n)).cast("bigint").alias("idx"), value)
 
 
 def alignment(pairs: DataFrame, key: str) -> DataFrame:
     """Validation metrics per key from rows (key, idx, x, a, b): mass centres, Spearman, JS."""
-    n = row_count(pairs)
+    n = pairs.groupBy(key).count().agg(F.max("count")).first()[0] or 0  # rows of the longest curve
 
     def center(col: str) -> DataFrame:
         rows = pairs.select(F.col(key).cast("string").alias("series"), "idx", "x", F.greatest(F.col(col), F.lit(0.0)).alias("m"))

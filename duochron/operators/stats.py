@@ -99,8 +99,10 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), out: str = "
 
 def correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = (), out: str = "r") -> DataFrame:
     """Pearson correlation per group; NULL under two rows or with a constant side."""
+    # covariance over deviations, because corr itself divides by zero on a constant side
     ok = (F.count(F.lit(1)) > 1) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return df.groupBy(*by).agg(F.when(ok, F.corr(x, y)).alias(out))
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return df.groupBy(*by).agg(F.when(ok, r).alias(out))
 
 
 def dominance(df: DataFrame, label: str, x: str, labels: Sequence[str]) -> DataFrame:
