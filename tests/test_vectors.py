@@ -1,11 +1,14 @@
 """Neighbours, components, factors and clocks against dense references."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from duochron.operators import clock as C, decompose as D, instability as I, knn as K, motifs as M, representation as R, windows as W
 from duochron.operators.ordered import rank_rows
+from duochron.session import materialize
 
 
 def brute_knn(x, k):
@@ -53,17 +56,18 @@ def test_factor_matches_dense_svd(spark):
 
 def test_leading_vectors_match_dense_eigh(spark):
     rng = np.random.default_rng(6)
-    x = np.sort(rng.random(120))[:, None]
+    x = np.sort(rng.random(60))[:, None]
     df = spark.createDataFrame([(i, [float(r[0]), 0.0]) for i, r in enumerate(x)], "id bigint, v array<double>")
-    t = C.transitions(C.gauss_graph(K.knn(df, "id", "v", 8)))
+    t = materialize(C.transitions(C.gauss_graph(K.knn(df, "id", "v", 8))))
     p = t.toPandas()
-    dense = np.zeros((120, 120))
+    dense = np.zeros((60, 60))
     dense[p.src, p.dst] = p.t
     want = np.sort(np.linalg.eigvalsh(dense))[::-1][:4]
-    got, _ = C.leading_vectors(t, 4, 785)
-    assert np.allclose(got, want, atol=1e-6) and abs(got[0] - 1) < 1e-9
+    got, _ = C.leading_vectors(t, 4, 785, steps=6, cycles=1)
+    assert np.allclose(got, want, atol=1e-4) and abs(got[0] - 1) < 1e-6
 
 
+@pytest.mark.skipif(not os.environ.get("DUOCHRON_ALL"), reason="about a minute; set DUOCHRON_ALL=1")
 def test_clock_follows_a_line_and_skips_islands(spark):
     n = 90
     pts = [(i, [i / 10.0, 0.0]) for i in range(n)] + [(1000 + i, [500.0 + i / 10, 0.0]) for i in range(20)]
