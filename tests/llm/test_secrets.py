@@ -1,0 +1,98 @@
+"""Secret spans against a literal reading of the patterns, and planted keys and tokens."""
+
+import base64
+import hashlib
+import hmac
+import json
+import re
+
+from duochron.llm import plans, secrets
+
+SF = "/root/testdata/sf0.001"
+
+
+def literal(text):
+    text = text or ""
+    out = []
+    for m in re.finditer(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)", text):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    for k, (kind, p, least) in enumerate((("access", "AKIA[A-Z0-9]+", 20), ("hex", "[0-9a-f]+", 24)), 1):
+        out += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(p, text) if len(m[0]) >= least]
+    listed = ",".join(x for _, _, x in sorted(out))
+    n = [sum(k == i for _, k, _ in out) for i in range(3)]
+    return *n, hashlib.sha256(listed.encode()).hexdigest()
+
+
+def row(r):
+    return r.n_assign, r.n_access, r.n_hex, r.base_sha256
+
+
+def test_whole_table(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    out = plans.QUERIES["op5_secrets"](spark, SF).collect()
+    assert {r.doc_id: row(r) for r in out} == {i: literal(t) for i, t in docs.items()}
+    more = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for t in more:
+        base = secrets.base_spans(t)
+        listed = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, b, k in base)
+        assert (*(sum(k == i for _, _, k in base) for i in range(3)), hashlib.sha256(listed.encode()).hexdigest()) == literal(t)
+    assert any(secrets.base_spans(t) for t in more)
+
+
+def wrap(tag, *parts):
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+def number(n):
+    b = n.to_bytes(n.bit_length() // 8 + 1, "big")
+    return wrap(2, b)
+
+
+RSA = wrap(0x30, number(0), *(number(3**k) for k in (300, 5, 290, 150, 151, 152, 153, 154)))
+OID = wrap(6, bytes.fromhex("2a864886f70d010101"))
+PKCS8 = wrap(0x30, number(0), wrap(0x30, OID, b"\x05\x00"), wrap(4, RSA))
+EC = wrap(0x30, number(1), wrap(4, bytes(range(32))))
+PUBLIC = wrap(0x30, wrap(0x30, OID, b"\x05\x00"), wrap(3, b"\0" + RSA))
+SSH = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(32))))
+
+
+def url(b):
+    return base64.urlsafe_b64encode(b).decode().rstrip("=")
+
+
+def jwt(head, claims=b'{"sub":"1"}'):
+    body = url(head) + "." + url(claims)
+    return body + "." + url(hmac.digest(b"k", body.encode(), "sha256"))
+
+
+def test_structures():
+    for data, kind in ((RSA, "key"), (PKCS8, "key"), (EC, "key"), (PUBLIC, "key"), (SSH, "ssh"), (b"openssh-key-v1\0" + bytes(40), "ssh")):
+        t = "né " + base64.b64encode(data).decode() + " end"
+        assert (3, len(t) - 4, secrets.KINDS.index(kind)) in secrets.confirmed_spans(t)
+        h = "x: " + data.hex().upper()
+        assert secrets.confirmed_spans(h) == [(3, len(h), secrets.KINDS.index(kind))]
+        for bad in (data[:-1], data + b"\0"):
+            if not data.startswith(b"openssh"):
+                assert secrets.confirmed_spans(base64.b64encode(bad).decode()) == []
+    good = jwt(json.dumps({"alg": "HS256", "typ": "JWT"}).encode())
+    assert secrets.confirmed_spans("a " + good) == [(2, 2 + len(good), secrets.KINDS.index("jwt"))]
+    assert secrets.confirmed_spans(jwt(b'{"typ":"JWT"}')) == [] and secrets.confirmed_spans(good[:-5]) == []
+    armour = "-----BEGIN RSA PRIVATE KEY-----\n" + re.sub("(.{64})", r"\1\n", base64.b64encode(RSA).decode()) + "\n-----END RSA PRIVATE KEY-----"
+    assert secrets.confirmed_spans("k\n" + armour) == [(2, 2 + len(armour), 3)]
+    assert secrets.confirmed_spans("The quick brown fox " * 50 + "A" * 400) == []
+
+
+def test_odd_rows(spark):
+    texts = [None, "", "token token=abc token: abcdef é", "AKIA" + "A" * 16 + " AKIA123", "0123456789abcdef01234567", "0123456789abcdef0123456 x", "paſſword=abcdefg toKen=abcdefg", "API_KEY = 'deadbeefdeadbeefdeadbeef'", "é" * 100000 + " secret=" + "f" * 30, "tokens\x0b=abcdefgh"]
+    rows = [(i // 2 if i else None, t, "x", i) for i, t in enumerate(texts + texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, spans string, base int")
+    out = secrets.report(df).collect()
+    assert sorted((str(r.doc_id), row(r)) for r in out) == sorted((str(i), literal(t)) for i, t, _, _ in rows)
+    m = secrets.masked(df)
+    assert m.columns == df.columns
+    text = {r.base: r.text for r in m.collect()}
+    assert text[0] is None and text[1] == "" and text[2] == "token token=abc [assign] é" and text[7] == "[assign]'" and text[5] == texts[5]
+    assert secrets.report(df.limit(0)).count() == 0
