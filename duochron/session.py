@@ -19,27 +19,32 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: spark.checkpoint.dir. Only one JVM on one machine
+    (local mode, as in tests) may do without the setting and gets a temporary folder."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if shared is None:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="duochron-ckpt-")
-    sc.setCheckpointDir(shared)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared)
+    return shared
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and cut its lineage.
 
     Lost executors then re-read the files instead of recomputing, so values that depend on
-    where a row landed (range-partition numbers) can never change between two readers.
+    where a row landed (range-partition numbers) can never change between two readers. Spark
+    removes the files when the DataFrame is gone, where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set, as `local_session` does.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
