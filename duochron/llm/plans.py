@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, contamination, quality, secrets, simhash
+from . import bpe, contamination, packed, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,3 +55,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_packed")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = packed.shared_folder(spark, "packed")
+    packed.write(table(spark, sf_dir, "documents"), to, tokenizer_file("byte_bpe_50k.json"))
+    return packed.documents(spark, to)
