@@ -15,6 +15,7 @@ last, so the table is walked once from left to right. Decoding writes the arcs'
 from __future__ import annotations
 
 import json
+import struct
 
 import pyarrow as pa
 import regex
@@ -109,7 +110,8 @@ class Codec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.label = dict(enumerate(self.automaton.label)) | {i: t for t, i in self.special.items()}
         self.known: dict[bytes, list[int]] = {}
-        self.chunks: dict[bytes, tuple[str, str]] = {}
+        self.chunks: dict[bytes, tuple[str, str, bytes]] = {}
+        self.kind = "H" if max(self.label) < 1 << 16 else "I"
 
     def word(self, word: bytes) -> list[int]:
         """The tokens of one pre-split word, by one walk over its prefixes."""
@@ -170,14 +172,18 @@ class Codec:
         return " ".join(self.label[i] for i in ids)
 
     def both(self, text: bytes) -> tuple[str, str]:
-        """(decimal ids, decoded text), each joined by blanks. Nothing crosses ASCII white space, so the
+        """(decimal ids, decoded text), each joined by blanks."""
+        return self.all(text)[:2]
+
+    def all(self, text: bytes) -> tuple[str, str, bytes]:
+        """(decimal ids, decoded text, little-endian ids). Nothing crosses ASCII white space, so the
         text is done by the chunks between it, and frequent chunks once."""
-        ids, labels, known = [], [], self.chunks
+        ids, labels, packed, known = [], [], [], self.chunks
         for c in text.split():
             got = known.get(c)
             if got is None:
                 found = self.chunk(c.decode())
-                got = (" ".join(map(str, found)), self.decode(found))
+                got = (" ".join(map(str, found)), self.decode(found), struct.pack(f"<{len(found)}{self.kind}", *found))
                 if len(c) <= 64:
                     if len(known) >= TABLE_SIZE:
                         known.clear()
@@ -185,7 +191,8 @@ class Codec:
             if got[0]:
                 ids.append(got[0])
                 labels.append(got[1])
-        return " ".join(ids), " ".join(labels)
+                packed.append(got[2])
+        return " ".join(ids), " ".join(labels), b"".join(packed)
 
 
 _CODECS: dict[str, Codec] = {}
@@ -199,8 +206,9 @@ def codec(path: str) -> Codec:
 
 
 def coded(docs: DataFrame, keep: list[str], text: str, path: str, texts: bool = True) -> DataFrame:
-    """The `keep` columns of every row with ids (decimal, joined by blanks) and decoded; with
-    texts=False with n_tokens and the SHA-256 of both instead, so that neither leaves the task.
+    """The `keep` columns of every row with n_tokens, ids (binary: two little-endian bytes each, four in
+    a vocabulary over 65,536) and decoded; with texts=False with the SHA-256 of the decimal ids, joined by
+    blanks, and of the decoded text instead, so that neither leaves the task.
 
     Null is like empty: no ids. Rows stay where they are and `keep` must not hold the added names. `path`
     must name the same file on every machine, as an installed package does.
@@ -216,15 +224,16 @@ def coded(docs: DataFrame, keep: list[str], text: str, path: str, texts: bool =
         def make(column: pa.Array) -> dict[str, object]:
             n, ids, decoded = [], [], []
             for t in raw(column):
-                a, b = c.both(t or b"")
+                a, b, p = c.all(t or b"")
                 n.append(a.count(" ") + 1 if a else 0)
-                ids.append(a if texts else hashlib.sha256(a.encode()).hexdigest())
+                ids.append(p if texts else hashlib.sha256(a.encode()).hexdigest())
                 decoded.append(b if texts else hashlib.sha256(b.encode()).hexdigest())
-            return {"ids": ids, "decoded": decoded} if texts else {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": ids, "decoded_sha256": decoded}
+            return {"n_tokens": pa.array(n, pa.int64()), names[0]: pa.array(ids, pa.binary() if texts else pa.string()), names[1]: pa.array(decoded, pa.string())}
 
         return make
 
-    adds = "ids string, decoded string" if texts else "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    names = ("ids", "decoded") if texts else ("ids_sha256", "decoded_sha256")
+    adds = f"n_tokens bigint, {names[0]} {'binary' if texts else 'string'}, {names[1]} string"
     return map_text(docs, keep, text, build, adds, piece=500)
 
 

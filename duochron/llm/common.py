@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..session import materialize
+from ..session import checkpoint_folder, materialize
 
-__all__ = ["materialize", "fresh", "map_text", "raw"]
+__all__ = ["fresh", "map_text", "materialize", "raw", "shared_folder", "stored"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -25,6 +26,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors reach, under spark.checkpoint.dir."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written as Parquet to the shared folder and read again: smaller than a checkpoint of rows, and
+    kept until the folder is emptied."""
+    to = shared_folder(df.sparkSession, name)
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, contamination, packed, quality, secrets, simhash, substrings
+from .common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,6 +65,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_packed")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    to = packed.shared_folder(spark, "packed")
+    to = shared_folder(spark, "packed")
     packed.write(table(spark, sf_dir, "documents"), to, tokenizer_file("byte_bpe_50k.json"))
     return packed.documents(spark, to)

@@ -21,7 +21,6 @@ window that a third of all rows share is counted with partial sums before the sh
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_folder
-from .common import raw
+from .common import raw, stored
 
 WINDOW = 35
 K = 5
@@ -98,13 +96,6 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written as Parquet to the shared folder and read again: smaller than a checkpoint of rows."""
-    to = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(to)
-    return df.sparkSession.read.schema(df.schema).parquet(to)
-
-
 # ------------------------------------------------------------------ the graph
 def edges(numbered: DataFrame, window: int) -> DataFrame:
     """(edge, reach, row, at) of every chosen k-mer; reach is null for the last one of a text."""

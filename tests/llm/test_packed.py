@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 from duochron.llm import packed, plans
+from duochron.llm.common import shared_folder
 from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -59,12 +60,12 @@ def test_odd_rows(spark, known, block, monkeypatch):
     monkeypatch.undo()
     rows = [(i * 7 % 19, t) for i, t in enumerate(ODD)] + [(None, "no id"), (3, "again"), (3, "again")]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, payload string, shard int")
-    to = packed.shared_folder(spark, "test")
+    to = shared_folder(spark, "test")
     packed.write(df, to, PATH)
     assert got(packed.documents(spark, to)) == expect(rows)
     flat = np.concatenate(ids_of([t for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))]))
     part = packed.ids_between(spark, to, 40, 300).orderBy("position").collect()
     assert [r.id for r in part] == flat[40:300].tolist() and part[0].position == 40
-    empty = packed.shared_folder(spark, "test")
+    empty = shared_folder(spark, "test")
     packed.write(df.limit(0), empty, PATH)
     assert packed.documents(spark, empty).count() == 0
