@@ -141,11 +141,11 @@ def gc_fraction(seq: Column) -> Column:
     return F.when(valid > 0, F.length(F.regexp_replace(s, "[^GC]", "")) / valid)
 
 
-def hash32(*parts) -> Column:
-    """Uniform 32-bit number from the parts: the same in Spark, DuckDB and any retry."""
+def hash60(*parts) -> Column:
+    """Uniform 60-bit number from the parts: the same in Spark, DuckDB and any retry."""
     cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]
     text = F.concat_ws(":", *[c.cast("string") for c in cols])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def fixed6(c: Column) -> Column:

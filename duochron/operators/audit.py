@@ -23,32 +23,6 @@ def require_one_row(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def normalized_name(name: str) -> str:
-    return name.strip().lower().replace(" ", "_").replace("-", "_")
-
-
-def find_column(columns: Sequence[str], aliases: Sequence[str]) -> str | None:
-    """First alias present by normalised name, else a unique prefixed match such as a:alias."""
-    table = {normalized_name(c): c for c in columns}
-    for alias in aliases:
-        if normalized_name(alias) in table:
-            return table[normalized_name(alias)]
-    for alias in aliases:
-        key = normalized_name(alias)
-        hits = [c for n, c in table.items() if n.endswith(f":{key}") or n.endswith(f"_{key}")]
-        if len(hits) == 1:
-            return hits[0]
-    return None
-
-
-def choose_metadata(tables: dict[str, DataFrame], preferred: str, wanted: dict[str, Sequence[str]]) -> tuple[str, DataFrame]:
-    """The preferred table when it holds any wanted column, else the first other one."""
-    if preferred in tables and any(find_column(tables[preferred].columns, a) for a in wanted.values()):
-        return preferred, tables[preferred]
-    name = next(n for n in tables if n != preferred)
-    return name, tables[name]
-
-
 def set_metrics(reference: DataFrame, observed: DataFrame, key: str) -> DataFrame:
     """Recall, precision, Jaccard and exactness of two key universes, one shuffle on the key."""
     sides = reference.select(key).withColumn("_s", F.lit(1)).unionAll(observed.select(key).withColumn("_s", F.lit(2)))

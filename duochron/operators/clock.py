@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import hash32
+from ..functions.scalars import hash60
 from ..session import materialize
 from .knn import components, knn
 
@@ -85,7 +85,7 @@ def _multiply(t: DataFrame, state: DataFrame, col: str, width: int) -> DataFrame
 def leading_vectors(t: DataFrame, k: int, seed: int, block: int = BLOCK_VECTORS, steps: int = KRYLOV_STEPS, cycles: int = 2) -> tuple[np.ndarray, DataFrame]:
     """Largest eigenvalues and unit eigenvectors (v, psi) of the symmetric edge matrix."""
     b = max(block, k // 2 + 1)
-    start = F.array(*[F.lit(2.0) * hash32(seed, F.col("v"), i) / F.lit(2.0**32) - 1.0 for i in range(b)])
+    start = F.array(*[F.lit(2.0) * hash60(seed, F.col("v"), i) / F.lit(2.0**60) - 1.0 for i in range(b)])
     state = materialize(t.select(F.col("src").alias("v")).distinct().select("v", start.alias("last")))
     values = np.array([])
     for cycle in range(cycles):

@@ -104,7 +104,7 @@ def group_effects(counts: DataFrame, groups: DataFrame, names: Sequence[str], si
     wide = per.crossJoin(F.broadcast(libs))  # a single row of group totals
     for g in names:
         wide = wide.withColumn(f"{g}_cpm", F.col(f"{g}_count") / F.col(f"{g}_lib") * 1e6)
-        wide = wide.withColumn(f"{g}_fraction", F.col(f"{g}_detected") / F.lit(float(sizes[g])))
+        wide = wide.withColumn(f"{g}_fraction", F.try_divide(F.col(f"{g}_detected"), F.lit(float(sizes[g]))))  # NULL for an empty group
     for a, b in zip(names[:-1], names[1:]):
         wide = wide.withColumn(f"log2fc_{b}_vs_{a}", F.log2((F.col(f"{b}_cpm") + CPM_PSEUDOCOUNT) / (F.col(f"{a}_cpm") + CPM_PSEUDOCOUNT)))
         wide = wide.withColumn(f"delta_{b}_vs_{a}", F.col(f"{b}_fraction") - F.col(f"{a}_fraction"))
@@ -119,12 +119,12 @@ def presence_effects(counts: DataFrame, groups: DataFrame, names: Sequence[str],
         mine = F.col("group") == g
         aggs += [
             F.count_if(mine).alias(f"{g}_entities"),
-            (F.count_if(mine) / F.lit(float(sizes[g]))).alias(f"{g}_fraction"),
+            F.try_divide(F.count_if(mine), F.lit(float(sizes[g]))).alias(f"{g}_fraction"),
             F.coalesce(F.sum(F.when(mine, F.col("count"))), F.lit(0.0)).alias(f"{g}_sum"),
         ]
     wide = tagged.groupBy("feature").agg(*aggs)
     for g in names:
-        wide = wide.withColumn(f"{g}_mean", F.col(f"{g}_sum") / F.lit(float(sizes[g])))
+        wide = wide.withColumn(f"{g}_mean", F.try_divide(F.col(f"{g}_sum"), F.lit(float(sizes[g]))))
     for a, b in zip(names[:-1], names[1:]):
         fa, fb = F.col(f"{a}_fraction"), F.col(f"{b}_fraction")
         wide = wide.withColumn(f"delta_{b}_vs_{a}", fb - fa)

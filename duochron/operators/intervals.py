@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import distance_class, encode_bin
-from .ordered import running
+from .ordered import running, same_keys
 
 # Bin widths and edges of the matching strata, pool sizes per candidate.
 ACCESS_BIN_WIDTH = 0.05
 GC_INNER_EDGES = [0.35, 0.45, 0.55, 0.65]
-POOL_PER_CANDIDATE = 40
 BACKGROUND_PER_CANDIDATE = 10
 
 POSITION_BLOCK = 1 << 20
@@ -34,7 +33,8 @@ def nearest(
     queries: DataFrame, anchors: DataFrame, group: str, position: str, payload: Sequence[str], tie: Sequence[str]
 ) -> DataFrame:
     """Nearest anchor of each query within `group`; equal distances take the lower position,
-    equal positions the first anchor in `tie` order. Groups without anchors keep NULLs.
+    equal positions the first anchor in `tie` order. Groups without anchors, and queries with a NULL
+    group or position, keep NULLs.
 
     Only distinct positions are compared, so a position shared by a third of the queries is
     one row; carrying the last and next anchor works in coordinate blocks, so a group holding
@@ -42,7 +42,7 @@ def nearest(
     """
     q = queries.select(group, position).distinct().withColumn("_q", F.lit(True))
     best = anchors.groupBy(group, position).agg(F.min(F.struct(*tie, *[c for c in payload if c not in tie])).alias("_a"))
-    line = q.join(best.select(group, position, F.lit(True).alias("_has")), [group, position], "full")
+    line = q.where(F.col(group).isNotNull() & F.col(position).isNotNull()).join(best.select(group, position, F.lit(True).alias("_has")), [group, position], "full")
     at = F.when(F.col("_has"), F.col(position))
     fwd = running(line, [group], position, {"_prev": ("max", at)}, block=POSITION_BLOCK)
     both = running(fwd, [group], position, {"_next": ("min", at)}, reverse=True, block=POSITION_BLOCK).where("_q")
@@ -52,7 +52,7 @@ def nearest(
     named = placed.join(best.withColumnRenamed(position, "anchor_position"), [group, "anchor_position"], "left")
     table = named.select(group, position, "anchor_position", *[F.col(f"_a.{c}").alias(c) for c in payload])
     signed = F.col(position) - F.col("anchor_position")
-    return queries.join(table, [group, position]).withColumn("signed_distance", signed).withColumn(
+    return same_keys(queries, table, [group, position], "left").withColumn("signed_distance", signed).withColumn(
         "distance", F.abs(signed)
     ).withColumn("distance_class", distance_class(F.abs(signed)))
 
@@ -60,9 +60,10 @@ def nearest(
 def resolve_symbols(anchors: DataFrame, name: str, genes: DataFrame) -> DataFrame:
     """Symbol of an anchor: transcript table first, then a name that already is a symbol.
 
-    `genes` has transcript_id and gene_symbol. The last listed symbol of a transcript wins.
+    `genes` has transcript_id, gene_symbol and line, its place in the list. The last listed symbol of
+    a transcript wins.
     """
-    by_transcript = genes.groupBy(F.col("transcript_id").alias(name)).agg(F.max("gene_symbol").alias("_mapped"))
+    by_transcript = genes.groupBy(F.col("transcript_id").alias(name)).agg(F.max_by("gene_symbol", "line").alias("_mapped"))
     symbols = genes.select(F.col("gene_symbol").alias(name)).distinct().withColumn("_known", F.lit(True))
     j = anchors.join(by_transcript, name, "left").join(symbols, name, "left")
     return j.withColumn("symbol", F.coalesce("_mapped", name)).withColumn(
@@ -84,7 +85,7 @@ def sample_per_stratum(df: DataFrame, strata: Sequence[str], h: Column, tie: str
     and only the piece at the cut is sorted. A stratum holding most rows is never one task.
     """
     strata = list(strata)
-    rows = df.withColumn("_h", h).withColumn("_piece", F.shiftright(F.col("_h"), 20))
+    rows = df.withColumn("_h", h).withColumn("_piece", F.shiftright(F.col("_h"), 48))
     sizes = rows.groupBy(*strata, "_piece").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*strata).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     cuts = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0))).join(requested, strata).where(F.col("_b") < F.col("n"))

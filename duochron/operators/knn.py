@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import hash32
+from ..functions.scalars import hash60
 from ..functions.vectors import distance, doubles, mean_vector
 from ..session import materialize
 from .ordered import neighbors, rank_rows
@@ -253,7 +253,7 @@ def random_pairs(entities: DataFrame, id: str, n: int, pairs: int, seed: int, rk
     """(pair, a, b): ids at hash-drawn ranks, repeats allowed. `entities` carries dense ranks."""
     spark = entities.sparkSession
     draw = spark.range(pairs).select(
-        F.col("id").alias("pair"), F.pmod(hash32(seed, F.lit("a"), F.col("id")), F.lit(n)).alias("_a"), F.pmod(hash32(seed, F.lit("b"), F.col("id")), F.lit(n)).alias("_b")
+        F.col("id").alias("pair"), F.pmod(hash60(seed, F.lit("a"), F.col("id")), F.lit(n)).alias("_a"), F.pmod(hash60(seed, F.lit("b"), F.col("id")), F.lit(n)).alias("_b")
     )
     at = entities.select(F.col(rk), F.col(id))
     return draw.join(at.withColumnsRenamed({rk: "_a", id: "a"}), "_a").join(at.withColumnsRenamed({rk: "_b", id: "b"}), "_b").select("pair", "a", "b")
@@ -276,9 +276,9 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def clock_permutations(entities: DataFrame, id: str, clock: str, n: int, permutations: int, seed: int) -> DataFrame:
     """(perm, id, clock): the clock dealt anew to the entities, each value used once."""
-    by_rank = rank_rows(entities.select(id, clock), [id], (), "_r", at_most=n)
+    by_rank = rank_rows(entities.select(id, clock), [id], (), "_r")
     order = by_rank.select(F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"), id, clock)
-    order = rank_rows(order.withColumn("_h", hash32(seed, F.col("perm"), F.col(id))), ["_h", id], ["perm"], "_r", at_most=n)
+    order = rank_rows(order.withColumn("_h", hash60(seed, F.col("perm"), F.col(id))), ["_h", id], ["perm"], "_r")
     return order.select("perm", "_r", clock).join(by_rank.select("_r", id), "_r").select("perm", id, clock)
 
 
@@ -298,10 +298,10 @@ def order_coherence(entities: DataFrame, id: str, clock: str, vec: str, n: int,
     """Median distance between consecutive entities along the clock over the median of the same
     along random orders, with the 2.5 and 97.5 % points of the random medians."""
     base = entities.select(id, clock, doubles(F.col(vec)).alias("_v"))
-    observed = rank_rows(base, [clock, id], (), "_k", at_most=n).withColumn("perm", F.lit(-1))
+    observed = rank_rows(base, [clock, id], (), "_k").withColumn("perm", F.lit(-1))
     rnd = base.select(F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"), id, clock, "_v")
-    rnd = rank_rows(rnd.withColumn("_h", hash32(seed, F.col("perm"), F.col(id))), ["_h", id], ["perm"], "_k", at_most=n).drop("_h")
-    steps = neighbors(observed.unionByName(rnd, allowMissingColumns=True).select("perm", "_k", "_v"), ["perm"], "_k", ["_v"], at_most=n).where(F.col("prev__v").isNotNull())
+    rnd = rank_rows(rnd.withColumn("_h", hash60(seed, F.col("perm"), F.col(id))), ["_h", id], ["perm"], "_k").drop("_h")
+    steps = neighbors(observed.unionByName(rnd, allowMissingColumns=True).select("perm", "_k", "_v"), ["perm"], "_k", ["_v"]).where(F.col("prev__v").isNotNull())
     med = quantiles(steps.select("perm", distance(F.col("_v"), F.col("prev__v")).alias("d")), ["perm"], "d", {"m": 0.5})
     obs = med.where("perm = -1").select(F.col("m").alias("observed_median"))
     q = quantiles(med.where("perm >= 0"), [], "m", {"random_median": 0.5, "random_low": 0.025, "random_high": 0.975})
@@ -309,42 +309,32 @@ def order_coherence(entities: DataFrame, id: str, clock: str, vec: str, n: int,
 
 
 # ------------------------------------------------------------------- silhouette
-MAX_SILHOUETTE = 5_000  # fixed value: entities sampled for the silhouette
+MAX_LABELS = 10_000  # labels whose sums are compared with every entity
 
 
-def silhouette(df: DataFrame, id: str, vec: str, label: str, max_entities: int = MAX_SILHOUETTE, seed: int = 785) -> DataFrame:
-    """Mean silhouette over a hash sample of at most `max_entities` (everything when fewer).
+def silhouette(df: DataFrame, id: str, vec: str, label: str) -> DataFrame:
+    """Mean silhouette over all entities, with squared Euclidean distances.
 
-    Labels with a single entity are left out. The sample is small by definition of the
-    statistic, so it is shipped to the tasks that score its slices.
+    The mean squared distance from x to a label is |x|^2 - 2 x . S / n + Q / n with the label's count n,
+    vector sum S and sum of squares Q, so one small row per label replaces the pairs. Labels with a single
+    entity are left out; the number of labels is checked before their sums are sent to the tasks.
     """
-    valid = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c")).where("_c >= 2").select(label)
-    rows = df.join(valid, label, "left_semi").select(F.col(id).alias("id"), F.col(label).cast("string").alias("label"), doubles(F.col(vec)).alias("v"))
-    sample = rows.orderBy(hash32(seed, F.col("id")), "id").limit(max_entities)
-    held = sample.toPandas()
-    names, codes = np.unique(held["label"].to_numpy(), return_inverse=True)
-    if len(names) < 2:
-        return df.sparkSession.createDataFrame([(len(held), len(names), None)], "n_scored bigint, n_labels bigint, silhouette double")
-    shared = df.sparkSession.sparkContext.broadcast((held["id"].to_numpy(), np.stack(held["v"].to_numpy()), codes, len(names)))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, mat, code, n_labels = shared.value
-        size = np.bincount(code, minlength=n_labels)
-        place = {i: p for p, i in enumerate(ids)}
-        for pdf in batches:
-            out = []
-            for i in pdf["id"]:
-                p = place[i]
-                d = np.sqrt(((mat - mat[p]) ** 2).sum(1))
-                tot = np.bincount(code, weights=d, minlength=n_labels)
-                own = code[p]
-                if size[own] < 2:
-                    out.append(0.0)
-                    continue
-                a = tot[own] / (size[own] - 1)
-                other = np.delete(tot / size, own).min()
-                out.append((other - a) / max(a, other) if max(a, other) > 0 else 0.0)
-            yield pd.DataFrame({"s": out})
-
-    slices = df.sparkSession.createDataFrame(held[["id"]]).repartition(max(1, len(held) // 256))
-    return slices.mapInPandas(score, "s double").agg(F.count(F.lit(1)).alias("n_scored"), F.lit(len(names)).cast("bigint").alias("n_labels"), F.avg("s").alias("silhouette"))
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), doubles(F.col(vec)).alias("v"))
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    dims = rows.select(F.size("v").alias("d")).first()
+    sums = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(square).alias("q"), F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(dims["d"] if dims else 1)]).alias("s")).where("n >= 2")
+    sums = materialize(sums)
+    n_labels = sums.count()
+    if n_labels > MAX_LABELS:
+        raise ValueError("too many labels for a silhouette")
+    if n_labels < 2:
+        return rows.join(sums.select("label"), "label", "left_semi").agg(F.count(F.lit(1)).alias("n_scored"), F.lit(n_labels).cast("bigint").alias("n_labels"), F.lit(None).cast("double").alias("silhouette"))
+    one = F.broadcast(sums.agg(F.collect_list(F.struct("label", "n", "q", "s")).alias("all")))  # one bounded row
+    dot = lambda s: F.aggregate(F.zip_with("v", s, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    far = lambda g: g["n"] * square - 2 * dot(g["s"]) + g["q"]
+    own = F.filter("all", lambda g: g["label"] == F.col("label"))[0]
+    near = F.array_min(F.transform(F.filter("all", lambda g: g["label"] != F.col("label")), lambda g: far(g) / g["n"]))
+    held = rows.join(sums.select("label"), "label", "left_semi").crossJoin(one)
+    scored = held.select((far(own) / (own["n"] - 1)).alias("a"), near.alias("b"))
+    top = F.greatest("a", "b")
+    return scored.agg(F.count(F.lit(1)).alias("n_scored"), F.lit(n_labels).cast("bigint").alias("n_labels"), F.avg(F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0)).alias("silhouette"))

@@ -11,9 +11,7 @@ library goes through three building blocks instead:
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,50 +19,29 @@ from pyspark.sql.window import Window
 
 from ..session import materialize
 
-SMALL_ROWS = 250_000  # up to this many rows one sorted task is cheaper than a distributed order
-ROWS_PER_RANGE = 1_000_000
 BLOCK = 16_384
 
-_COUNTED: WeakKeyDictionary = WeakKeyDictionary()
 
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal `keys` where NULL equals NULL, as in a grouping; the keys of `left` stay."""
+    if not keys:
+        return left.crossJoin(right)  # a table without groups has one row of totals
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    on = F.lit(True)
+    for k, n in names.items():
+        on = on & left[k].eqNullSafe(F.col(n))
+    return left.join(right.withColumnsRenamed(names), on, how).drop(*names.values())
 
-def rows(df: DataFrame) -> int:
-    """Row count of a table, counted once per DataFrame."""
-    if df not in _COUNTED:
-        _COUNTED[df] = df.count()
-    return _COUNTED[df]
 
+def rank_rows(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "rk") -> DataFrame:
+    """0-based position of each row along `order` (a total order) within `by`; NULL is a group.
 
-def is_small(at_most: int | None) -> bool:
-    """Is the largest group (the table, without groups) known to fit a plain window function?"""
-    return at_most is not None and at_most <= SMALL_ROWS
-
-
-def _window(by: Sequence[str]):
-    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-
-
-def rank_rows(
-    df: DataFrame,
-    order: Sequence[str],
-    by: Sequence[str] = (),
-    out: str = "rk",
-    small_rows: int = SMALL_ROWS,
-    rows_per_range: int = ROWS_PER_RANGE,
-    at_most: int | None = None,
-) -> DataFrame:
-    """0-based position of each row along `order` (a total order) within `by`.
-
-    Past `small_rows` the rows are range-partitioned on (by, order), written once, and each
-    range adds the count of its group's earlier ranges. The range key holds the tie-breaking
-    column, so one repeated order value is split over many tasks. `at_most` bounds the rows
-    of the largest group; without it the table is counted here.
+    The rows are range-partitioned on (by, order) into spark.sql.shuffle.partitions ranges, written
+    once, and each range adds the count of its group's earlier ranges. The range key holds the
+    tie-breaking column, so one repeated order value is split over many tasks.
     """
-    n = rows(df) if at_most is None else at_most
-    if n <= small_rows:
-        return df.withColumn(out, F.row_number().over(_window(by).orderBy(*order)).cast("bigint") - 1)
     keys = [*by, *order]
-    parts = max(2, math.ceil(n / rows_per_range))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ranged = materialize(
         df.repartitionByRange(parts, *keys)
@@ -75,26 +52,17 @@ def rank_rows(
     per_range = ranged.groupBy(*by, "_range").agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = per_range.select(*by, "_range", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    return (
-        ranged.join(base, [*by, "_range"])
-        .withColumn(out, F.col("_base") + F.col("_local") - F.col("_first"))
-        .drop("_range", "_local", "_first", "_base")
-    )
+    return same_keys(ranged, base, [*by, "_range"]).withColumn(out, F.col("_base") + F.col("_local") - F.col("_first")).drop("_range", "_local", "_first", "_base")
 
 
 def neighbors(
-    df: DataFrame, by: Sequence[str], idx: str, cols: Sequence[str], offset: int = 1, block: int = BLOCK, at_most: int | None = None
+    df: DataFrame, by: Sequence[str], idx: str, cols: Sequence[str], offset: int = 1, block: int = BLOCK
 ) -> DataFrame:
     """Add prev_<c> and next_<c>: the values `offset` positions away on a dense `idx`.
 
     Rows at a block edge are also sent to the adjacent block, so each block is an ordinary
-    bounded window partition and the whole series needs one shuffle. Groups known to be small
-    (`at_most` rows each) are plain windows.
+    bounded window partition and the whole series needs one shuffle.
     """
-    if is_small(at_most):
-        w = _window(by).orderBy(idx)
-        lag_lead = {f"prev_{c}": F.lag(c, offset).over(w) for c in cols} | {f"next_{c}": F.lead(c, offset).over(w) for c in cols}
-        return df.withColumns(lag_lead)
     home = F.floor(F.col(idx) / block).cast("bigint")
     within = F.col(idx) % block
     targets = F.filter(
@@ -121,18 +89,16 @@ def running(
     idx: str,
     outputs: dict[str, tuple[str, Column]],
     reverse: bool = False,
-    block: int = BLOCK,
-    at_most: int | None = None,
+    block: int = BLOCK
 ) -> DataFrame:
     """Inclusive cumulative aggregates along `idx`: out -> ("sum" | "min" | "max", expression).
 
     Two levels: one row of totals per block, a window over those few rows, and a window
-    inside each block. NULL values are skipped. Groups known to be small are plain windows.
+    inside each block. NULL values are skipped and NULL is a group. The input is written once,
+    so that what led to it is not run again for the totals.
     """
+    df = materialize(df)
     direction = F.col(idx).desc() if reverse else F.col(idx).asc()
-    if is_small(at_most):
-        w = _window(by).orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({o: _COMBINE[k][0](e).over(w) for o, (k, e) in outputs.items()})
     block_order = F.col("_block").desc() if reverse else F.col("_block").asc()
     blocked = df.withColumn("_block", F.floor(F.col(idx) / block).cast("bigint"))
     for o, (_, expr) in outputs.items():
@@ -141,22 +107,22 @@ def running(
     before = Window.partitionBy(*by).orderBy(block_order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_block", *[_COMBINE[k][0](f"_t_{o}").over(before).alias(f"_b_{o}") for o, (k, _) in outputs.items()])
     inner = Window.partitionBy(*by, "_block").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
-    joined = blocked.join(offsets, [*by, "_block"])
+    joined = same_keys(blocked, offsets, [*by, "_block"])
     for o, (k, _) in outputs.items():
         joined = joined.withColumn(o, _COMBINE[k][1](F.col(f"_b_{o}"), _COMBINE[k][0](f"_v_{o}").over(inner)))
     extra = [f"_{p}_{o}" for o in outputs for p in ("v", "b")]
     return joined.drop("_block", *extra)
 
 
-def adjacent(df: DataFrame, by: Sequence[str], idx: str, col: str, at_most: int | None = None) -> DataFrame:
+def adjacent(df: DataFrame, by: Sequence[str], idx: str, col: str) -> DataFrame:
     """Add d_<col>: value minus the previous value (NULL on the first row)."""
-    near = neighbors(df, by, idx, [col], at_most=at_most)
+    near = neighbors(df, by, idx, [col])
     return near.withColumn(f"d_{col}", F.col(col) - F.col(f"prev_{col}")).drop(f"prev_{col}", f"next_{col}")
 
 
-def not_increasing(df: DataFrame, by: Sequence[str], idx: str, col: str, at_most: int | None = None) -> DataFrame:
+def not_increasing(df: DataFrame, by: Sequence[str], idx: str, col: str) -> DataFrame:
     """Per series: number of steps, and how many of them do not strictly increase."""
-    steps = adjacent(df.select(*by, idx, col), by, idx, col, at_most)
+    steps = adjacent(df.select(*by, idx, col), by, idx, col)
     return steps.groupBy(*by).agg(
         F.count(f"d_{col}").alias("n_steps"),
         F.count_if(F.col(f"d_{col}") <= 0).alias("n_not_increasing"),

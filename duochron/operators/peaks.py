@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .ordered import BLOCK, neighbors, rank_rows, rows as row_count, running
+from .ordered import BLOCK, neighbors, rank_rows, running, same_keys
 from .profiles import extent, spacing
 from .stats import quantiles
 
@@ -243,6 +243,8 @@ def found_peaks(p: DataFrame, distance: int = 1, block: int = BLOCK) -> DataFram
     When every curve fits one block, a curve is a bounded group and one pass does it all; longer
     curves take the blockwise steps.
     """
+    if distance > 4:
+        raise ValueError("adjacent-only pruning holds for distances up to 4 windows")
     if p.where(F.col("idx") >= block).limit(1).collect():
         return prominences(p, spaced(local_maxima(p, block), distance), block)
     return p.select("series", "idx", "y").groupBy("series").applyInPandas(lambda pdf: _scan_curve(pdf, distance), _FOUND)
@@ -290,7 +292,7 @@ def half_height(p: DataFrame, peaks: DataFrame, block: int = BLOCK) -> DataFrame
         F.max(F.when(F.col("side") == -1, F.col("hit"))).alias("li"),
         F.max(F.when(F.col("side") == 1, F.col("hit"))).alias("ri"),
     )
-    pair = neighbors(p.select("series", "idx", "x", "y"), S, "idx", ["x", "y"], block=block, at_most=row_count(p))
+    pair = neighbors(p.select("series", "idx", "x", "y"), S, "idx", ["x", "y"], block=block)
     lft = pair.select("series", F.col("idx").alias("li"), F.col("x").alias("_lx"), F.col("y").alias("_ly"), F.col("next_x").alias("_lx2"), F.col("next_y").alias("_ly2"))
     rgt = pair.select("series", F.col("idx").alias("ri"), F.col("x").alias("_rx"), F.col("y").alias("_ry"), F.col("prev_x").alias("_rx2"), F.col("prev_y").alias("_ry2"))
     full = ends.join(lft, ["series", "li"]).join(rgt, ["series", "ri"])
@@ -302,100 +304,80 @@ def half_height(p: DataFrame, peaks: DataFrame, block: int = BLOCK) -> DataFrame
 
 
 # --------------------------------------------------------------------- families
-def greedy_families(peaks: DataFrame, tolerance: float = DISCOVERY_TOLERANCE, small_rows: int = 100_000) -> DataFrame:
-    """Add family_id per modality: in position order, a peak joins the latest family while it
+def _pieces(peaks: DataFrame, by: str, gap: Column) -> DataFrame:
+    """Peaks ranked by position within `by` (_k), cut where neighbours lie more than `gap` apart: no
+    family reaches across such a gap, so the pieces (_piece, the rank of their first peak) are independent."""
+    ranked = rank_rows(peaks.withColumn("_tie", F.concat_ws("|", "series", "idx")), ["x", "_tie"], [by], "_k")
+    near = neighbors(ranked, [by], "_k", ["x"])
+    opens = F.col("prev_x").isNull() | (F.col("x") - F.col("prev_x") > gap)
+    return running(near.withColumn("_opens", opens).drop("prev_x", "next_x"), [by], "_k", {"_piece": ("max", F.when(F.col("_opens"), F.col("_k")))}).drop("_opens", "_tie")
+
+
+def _numbered(heads: DataFrame, by: str, base: int) -> DataFrame:
+    """family_id from the flag _head (a family's first peak): families counted along the positions."""
+    return materialize(running(heads, [by], "_k", {"family_id": ("sum", F.col("_head").cast("bigint"))}).withColumn("family_id", F.col("family_id") + (base - 1)).drop("_k", "_piece", "_head"))
+
+
+def _by_piece(pieces: DataFrame, by: str, heads) -> DataFrame:
+    """Add _head to every peak, from `heads`: (rows of one piece in order) -> family of each row. A
+    family's first row is its head; each piece is one short group."""
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_k")
+        family = heads(pdf)
+        return pdf.assign(_head=np.concatenate(([True], family[1:] != family[:-1])))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", _head boolean"
+    return pieces.groupBy(by, "_piece").applyInPandas(mark, schema)
+
+
+def greedy_families(peaks: DataFrame, tolerance: float = DISCOVERY_TOLERANCE) -> DataFrame:
+    """Add family_id (from 0) per modality: in position order, a peak joins the latest family while it
     is within `tolerance` of that family's running median, else it opens the next family.
 
-    Sorted positions make the latest family the nearest one. A gap above the tolerance always
-    opens a family, so curves split there and the pieces are independent. For large pieces the
-    next family start is found by a join: the running median from a start is the element half
-    way, so one pass per family (few, each spans at least the tolerance) replaces a scan.
+    Sorted positions make the latest family the nearest one, and its median the element half way.
     """
-    n = row_count(peaks)
-    ranked = rank_rows(peaks.withColumn("_tie", F.concat_ws("|", "series", "idx")), ["x", "_tie"], ["modality"], "_k", at_most=n)
-    if n <= small_rows:
-        def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_k")
-            x, start, fam = pdf["x"].to_numpy(float), 0, 0
-            out = np.zeros(len(x), dtype=np.int64)
-            for j in range(1, len(x)):
-                if x[j] - np.median(x[start:j]) > tolerance:
-                    start, fam = j, fam + 1
-                out[j] = fam
-            return pdf.assign(family_id=out)
-
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema) + ", family_id bigint"
-        return materialize(ranked.groupBy("modality").applyInPandas(assign, schema).drop("_k", "_tie"))
-    ranked = materialize(ranked)
-    starts = ranked.where("_k = 0").select("modality", F.col("_k").alias("start"), F.lit(0).cast("bigint").alias("family_id"))
-    frontier = starts
-    values = ranked.select("modality", F.col("_k").alias("_m"), F.col("x").alias("_mx"))
-    while True:
-        after = ranked.join(F.broadcast(frontier), "modality").where(F.col("_k") > F.col("start"))
-        half = (F.col("_k") - 1 + F.col("start")) / 2
-        probe = after.select("modality", "_k", "x", "family_id", F.floor(half).alias("_lo"), F.ceil(half).alias("_hi"))
-        probe = probe.join(values.withColumnsRenamed({"_m": "_lo", "_mx": "_xl"}), ["modality", "_lo"])
-        probe = probe.join(values.withColumnsRenamed({"_m": "_hi", "_mx": "_xh"}), ["modality", "_hi"])
-        opens = probe.where(F.col("x") - (F.col("_xl") + F.col("_xh")) / 2 > tolerance)
-        frontier = materialize(opens.groupBy("modality", "family_id").agg(F.min("_k").alias("start")).select("modality", "start", F.col("family_id") + 1))
-        frontier = frontier.toDF("modality", "start", "family_id")
-        if not frontier.limit(1).collect():
-            break
-        starts = starts.unionByName(frontier)
-    opened = ranked.join(starts.select("modality", F.col("start").alias("_k"), F.col("family_id").alias("_f")), ["modality", "_k"], "left")
-    return running(opened, ["modality"], "_k", {"family_id": ("max", F.col("_f"))}).drop("_k", "_tie", "_f")
 
+    def heads(pdf: pd.DataFrame) -> np.ndarray:
+        x, start, family = pdf["x"].to_numpy(float), 0, np.zeros(len(pdf), np.int64)
+        for j in range(1, len(x)):
+            median = (x[(start + j - 1) // 2] + x[(start + j) // 2]) / 2
+            if x[j] - median > tolerance:
+                start = j
+            family[j] = start
+        return family
+
+    return _numbered(_by_piece(_pieces(peaks, "modality", F.lit(float(tolerance))), "modality", heads), "modality", 0)
 
-def complete_linkage(peaks: DataFrame, tolerance: float | Column, by: str = "modality", small_rows: int = 100_000) -> DataFrame:
-    """Add family_id (1-based, by position): complete linkage on positions, cut at `tolerance`.
 
-    On a line the closest cluster is an adjacent one, at a distance of the width of the union.
-    Clusters that are each other's closest can merge at the same time without changing the
-    tree, so each round is a lag/lead over clusters; rounds repeat until none merge.
+def linked_rounds(x: np.ndarray, tol: np.ndarray) -> np.ndarray:
+    """Complete linkage of sorted positions: the index of each one's first cluster member.
+
+    On a line the closest cluster is an adjacent one, at a distance of the width of the union. Clusters
+    that are each other's closest (ties to the left) merge at the same time without changing the tree;
+    rounds repeat until none merge. A cluster keeps the tolerance of its first member.
     """
-    tol = tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))
-    rows = peaks.withColumn("_tol", tol)
-    n = row_count(peaks)
-    ranked = rank_rows(rows.withColumn("_tie", F.concat_ws("|", "series", "idx")), ["x", "_tie"], [by], "_k", at_most=n)
-    if n <= small_rows:
-        def link(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_k")
-            x, cut = pdf["x"].to_numpy(float), float(pdf["_tol"].iloc[0])
-            lo, hi = list(x), list(x)
-            members = [[i] for i in range(len(x))]
-            while len(lo) > 1:
-                width = [hi[i + 1] - lo[i] for i in range(len(lo) - 1)]
-                j = int(np.argmin(width))
-                if width[j] > cut:
-                    break
-                hi[j] = hi.pop(j + 1)
-                lo.pop(j + 1)
-                members[j] += members.pop(j + 1)
-            out = np.zeros(len(x), dtype=np.int64)
-            for f, m in enumerate(members, 1):
-                out[m] = f
-            return pdf.assign(family_id=out)
-
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema) + ", family_id bigint"
-        return materialize(ranked.groupBy(by).applyInPandas(link, schema).drop("_k", "_tie", "_tol"))
-    ranked = materialize(ranked)
-    clusters = ranked.select(by, F.col("_k").alias("c"), F.col("_k").alias("first"), F.col("x").alias("lo"), F.col("x").alias("hi"), "_tol")
-    while True:
-        near = neighbors(clusters, [by], "c", ["lo", "hi"])
-        left = F.coalesce(F.col("hi") - F.col("prev_lo"), F.lit(float("inf")))
-        right = F.coalesce(F.col("next_hi") - F.col("lo"), F.lit(float("inf")))
-        # ties go to the left pair, as in a first-minimum scan
-        aim = near.withColumn("_aim", F.when((left <= right) & (left <= F.col("_tol")), -1).when((right < left) & (right <= F.col("_tol")), 1).otherwise(0))
-        paired = neighbors(aim.drop("prev_lo", "prev_hi", "next_lo", "next_hi"), [by], "c", ["_aim", "hi"])
-        absorbed = (F.col("_aim") == -1) & (F.col("prev__aim") == 1)
-        grows = (F.col("_aim") == 1) & (F.col("next__aim") == -1)
-        merged = paired.where(~F.coalesce(absorbed, F.lit(False))).withColumn("_grew", F.coalesce(grows, F.lit(False))).withColumn("hi", F.when(F.col("_grew"), F.col("next_hi")).otherwise(F.col("hi")))
-        step = materialize(rank_rows(merged.select(by, "first", "lo", "hi", "_tol", "_grew"), ["first"], [by], "c"))
-        clusters = step.drop("_grew")
-        if not step.where("_grew").limit(1).collect():
+    first, lo, hi, tol = np.arange(len(x)), x.astype(float), x.astype(float), tol.astype(float)
+    while len(first) > 1:
+        width = hi[1:] - lo[:-1]
+        left, right = np.concatenate(([np.inf], width)), np.concatenate((width, [np.inf]))
+        aim = np.where((left <= right) & (left <= tol), -1, np.where((right < left) & (right <= tol), 1, 0))
+        grows = np.concatenate(((aim[:-1] == 1) & (aim[1:] == -1), [False]))
+        if not grows.any():
             break
-    heads = clusters.select(by, F.col("first").alias("_k"), (F.col("c") + 1).alias("_f"))
-    return running(ranked.join(heads, [by, "_k"], "left"), [by], "_k", {"family_id": ("max", F.col("_f"))}).drop("_k", "_tie", "_tol", "_f")
+        hi = np.where(grows, np.concatenate((hi[1:], [np.inf])), hi)
+        keep = ~np.concatenate(([False], grows[:-1]))
+        first, lo, hi, tol = first[keep], lo[keep], hi[keep], tol[keep]
+    return first[np.searchsorted(first, np.arange(len(x)), side="right") - 1]
+
+
+def complete_linkage(peaks: DataFrame, tolerance: float | Column, by: str = "modality") -> DataFrame:
+    """Add family_id (1-based, by position): complete linkage on positions, cut at `tolerance`, which may
+    differ by row."""
+    rows = peaks.withColumn("_tol", tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance)))
+    widest = same_keys(rows, rows.groupBy(by).agg(F.max("_tol").alias("_gap")), [by])
+    pieces = _pieces(widest, by, F.col("_gap")).drop("_gap")
+    return _numbered(_by_piece(pieces, by, lambda pdf: linked_rounds(pdf["x"].to_numpy(float), pdf["_tol"].to_numpy(float))).drop("_tol"), by, 1)
 
 
 def discovery_family_table(members: DataFrame, n_designs: int = 3, max_spread: float = DISCOVERY_MAX_SPREAD) -> DataFrame:
@@ -522,7 +504,7 @@ def track(peaks: DataFrame, centers: dict[str, float], tolerance: float, need: C
 def stability(p: DataFrame, peaks: DataFrame, centers: dict[str, float], tolerance: float, plateau: float = 0.9) -> DataFrame:
     """How a curve behaves around a frozen centre: local range, roughness, plateau width, peaks."""
     center = F.create_map(*[v for m, c in centers.items() for v in (F.lit(m), F.lit(float(c)))])[F.col("modality")]
-    near = neighbors(p.where(F.abs(F.col("x") - center) <= tolerance), S, "idx", ["y"], at_most=row_count(p))
+    near = neighbors(p.where(F.abs(F.col("x") - center) <= tolerance), S, "idx", ["y"])
     local = near.groupBy("series", "modality").agg(
         F.count(F.lit(1)).alias("_n"), (F.max("y") - F.min("y")).alias("local_range"), F.avg(F.abs(F.col("y") - F.col("prev_y"))).alias("roughness"), F.max("y").alias("_top")
     ).where("_n >= 2")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .ordered import neighbors, rank_rows, rows as row_count, running
+from .ordered import neighbors, rank_rows, running
 from .stats import correlation, quantiles, spearman
 
 S = ["series"]
@@ -30,9 +30,8 @@ def extent(p: DataFrame) -> DataFrame:
 
 def spacing(p: DataFrame) -> DataFrame:
     """Median distance between adjacent positions per series."""
-    n = row_count(p)
-    steps = neighbors(p.select("series", "idx", "x"), S, "idx", ["x"], at_most=n).withColumn("dx", F.col("x") - F.col("prev_x"))
-    return quantiles(steps, S, "dx", {"median_spacing": 0.5}, at_most=n)
+    steps = neighbors(p.select("series", "idx", "x"), S, "idx", ["x"]).withColumn("dx", F.col("x") - F.col("prev_x"))
+    return quantiles(steps, S, "dx", {"median_spacing": 0.5})
 
 
 def family_tolerance(p: DataFrame, floor: float = 0.02, multiple: float = 3.0) -> DataFrame:
@@ -50,14 +49,13 @@ def shape(p: DataFrame) -> DataFrame:
 
     A slope is flat when its size is at most a hundredth of the median absolute slope.
     """
-    n = row_count(p)
-    near = neighbors(p, S, "idx", ["x", "y"], at_most=n)
+    near = neighbors(p, S, "idx", ["x", "y"])
     steps = near.where(F.col("prev_x").isNotNull()).select(
         "series",
         ((F.col("y") - F.col("prev_y")) / (F.col("x") - F.col("prev_x"))).alias("slope"),
         F.abs(F.col("y") - F.col("prev_y")).alias("dy"),
     ).withColumn("size", F.abs("slope"))
-    eps = quantiles(steps, S, "size", {"median_abs_slope": 0.5}, at_most=n).withColumn(
+    eps = quantiles(steps, S, "size", {"median_abs_slope": 0.5}).withColumn(
         "_eps", F.greatest(F.lit(1e-12), F.lit(0.01) * F.col("median_abs_slope"))
     )
     signs = steps.join(eps, S).groupBy("series").agg(
@@ -120,7 +118,7 @@ def contiguous_component(p: DataFrame, mask: Column, target: Column) -> DataFram
 
 
 # ------------------------------------------------------------- interpolation
-def interpolate(points: DataFrame, curve: DataFrame, key: Sequence[str], at_most: int | None = None) -> DataFrame:
+def interpolate(points: DataFrame, curve: DataFrame, key: Sequence[str]) -> DataFrame:
     """np.interp over many curves: `points` (key, gx) read off `curve` (key, idx, x, y).
 
     Curve and distinct points are ranked together by position; a running maximum of the curve
@@ -132,10 +130,9 @@ def interpolate(points: DataFrame, curve: DataFrame, key: Sequence[str], at_most
     both = curve.select(*key, "x", F.lit(0).alias("_kind"), F.col("idx").alias("_seg")).unionByName(
         points.select(*key, F.col("gx").alias("x")).distinct().select(*key, "x", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_seg"))
     )
-    n = row_count(points) + row_count(curve) if at_most is None else at_most
-    ranked = rank_rows(both, ["x", "_kind"], key, "_pos", at_most=n)
-    placed = running(ranked, key, "_pos", {"_lo": ("max", F.col("_seg"))}, at_most=n).where("_kind = 1").select(*key, F.col("x").alias("gx"), "_lo")
-    near = neighbors(curve.select(*key, "idx", "x", "y"), key, "idx", ["x", "y"], at_most=n)
+    ranked = rank_rows(both, ["x", "_kind"], key, "_pos")
+    placed = running(ranked, key, "_pos", {"_lo": ("max", F.col("_seg"))}).where("_kind = 1").select(*key, F.col("x").alias("gx"), "_lo")
+    near = neighbors(curve.select(*key, "idx", "x", "y"), key, "idx", ["x", "y"])
     seg = near.select(*key, F.col("idx").alias("_lo"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("next_x").alias("_ex"), F.col("next_y").alias("_ey"))
     first = curve.groupBy(*key).agg(F.min_by("y", "idx").alias("_first"))
     t = F.coalesce(F.try_divide(F.col("gx") - F.col("_x"), F.col("_ex") - F.col("_x")), F.lit(0.0))
@@ -173,17 +170,16 @@ def mass_location(p: DataFrame, q: float = 0.5) -> DataFrame:
     """Position where the cumulative share of the clipped score reaches q (linear between points)."""
     rows = p.withColumn("_m", F.greatest(F.col("y"), F.lit(0.0)))
     total = rows.groupBy("series").agg(F.sum("_m").alias("_total"))
-    cum = running(rows, S, "idx", {"_c": ("sum", F.col("_m"))}, at_most=row_count(p)).join(total, S)
+    cum = running(rows, S, "idx", {"_c": ("sum", F.col("_m"))}).join(total, S)
     return _crossing(cum.where("_total > 0").withColumn("_c", F.col("_c") / F.col("_total")), {"q": q}).withColumnRenamed("q", "location")
 
 
 def area_quantiles(p: DataFrame, qs: dict[str, float]) -> DataFrame:
     """Positions at which the trapezoid area above the curve's own minimum reaches each share."""
     base = p.groupBy("series").agg(F.min("y").alias("baseline"))
-    n = row_count(p)
-    rows = neighbors(p.join(base, S).withColumn("_e", F.col("y") - F.col("baseline")), S, "idx", ["x", "_e"], at_most=n)
+    rows = neighbors(p.join(base, S).withColumn("_e", F.col("y") - F.col("baseline")), S, "idx", ["x", "_e"])
     trap = F.coalesce((F.col("x") - F.col("prev_x")) * (F.col("_e") + F.col("prev__e")) / 2, F.lit(0.0))
-    cum = running(rows, S, "idx", {"_c": ("sum", trap)}, at_most=n)
+    cum = running(rows, S, "idx", {"_c": ("sum", trap)})
     total = cum.groupBy("series").agg(F.max("_c").alias("area"), F.max("baseline").alias("baseline")).where("area > 0")
     share = cum.drop("baseline").join(total, S).withColumn("_c", F.col("_c") / F.col("area"))
     return total.join(_crossing(share.drop("prev_x", "next_x"), qs), S)

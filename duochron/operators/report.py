@@ -14,12 +14,12 @@ MAX_RENDERED_ROWS = 10_000
 
 def markdown_table(df: DataFrame) -> str:
     """A finished report table as Markdown; larger results are an error, not a cut."""
-    rows = df.limit(MAX_RENDERED_ROWS + 1).collect()
-    if len(rows) > MAX_RENDERED_ROWS:
+    escaped = [F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), r"\|", r"\\|") for c in df.columns]
+    lines = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *escaped), F.lit(" |")).alias("line")).limit(MAX_RENDERED_ROWS + 1).collect()
+    if len(lines) > MAX_RENDERED_ROWS:
         raise ValueError("table too long to render")
-    cell = lambda v: str(v).replace("|", "\\|")
-    line = lambda cells: "| " + " | ".join(cells) + " |"
-    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line([cell(v) for v in r]) for r in rows]])
+    head = " | ".join(df.columns)
+    return f"| {head} |\n|{'---|' * len(df.columns)}\n" + "\n".join(r.line for r in lines)
 
 
 def claim_boundaries(spark: SparkSession, facts: dict[str, bool]) -> DataFrame:

@@ -11,9 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash32
+from ..functions.scalars import hash60
 from ..session import materialize
-from .ordered import contiguous_strata, fixed_strata, not_increasing, rank_rows, rows as row_count, running
+from .ordered import contiguous_strata, fixed_strata, not_increasing, rank_rows, running
 from .profiles import _crossing, area_quantiles, interpolate, js_divergence
 from .stats import spearman
 from .windows import Design, mean_scores
@@ -55,9 +55,9 @@ def bootstrap(
     """
     reps = F.sequence(F.lit(0), F.lit(replicates - 1)) if isinstance(replicates, int) else F.array(*[F.lit(r) for r in replicates])
     slots = stratified.select(F.explode(reps).alias("replicate"), rk, "s_first", "s_size")
-    drawn = F.col("s_first") + F.pmod(hash32(seed, F.col("replicate"), attempt, F.col(rk)), F.col("s_size"))
+    drawn = F.col("s_first") + F.pmod(hash60(seed, F.col("replicate"), attempt, F.col(rk)), F.col("s_size"))
     times = slots.select("replicate", drawn.alias(rk)).groupBy("replicate", rk).agg(F.count(F.lit(1)).alias("m"))
-    placed = running(times, ["replicate"], rk, {"_end": ("sum", F.col("m"))}, at_most=n).join(stratified.select(rk, *values), rk)
+    placed = running(times, ["replicate"], rk, {"_end": ("sum", F.col("m"))}).join(stratified.select(rk, *values), rk)
     copies = F.explode(F.sequence(F.col("_end") - F.col("m"), F.col("_end") - 1))
     return placed.select("replicate", copies.alias("pos"), *values)
 
@@ -81,7 +81,7 @@ def bootstrap_profiles(
         rows = bootstrap(stratified, values, todo, seed, n, attempt=attempt)
         prof = materialize(replicate_profiles(rows, clock, modalities, d, n).withColumn("attempt", F.lit(attempt)))
         first = next(iter(modalities))
-        bad = [r["replicate"] for r in not_increasing(prof.where(F.col("modality") == first), ["replicate"], "idx", "x", row_count(prof)).where("n_not_increasing > 0").select("replicate").collect()]
+        bad = [r["replicate"] for r in not_increasing(prof.where(F.col("modality") == first), ["replicate"], "idx", "x").where("n_not_increasing > 0").select("replicate").collect()]
         good = prof.where(~F.col("replicate").isin(bad)) if bad else prof
         kept = good if kept is None else kept.unionByName(good)
         attempt += 1
@@ -110,11 +110,11 @@ def block_permutation(n: int, block: int, replicates: int, seed: int, spark) ->
     order. The last block may be shorter and keeps its length."""
     n_blocks = -(-n // block)
     ids = spark.range(n_blocks).select(F.col("id").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    keyed = ids.withColumn("_h", hash32(seed, F.col("replicate"), F.col("block"))).withColumn(
+    keyed = ids.withColumn("_h", hash60(seed, F.col("replicate"), F.col("block"))).withColumn(
         "size", F.least(F.lit(block), F.lit(n) - F.col("block") * block)
     )
-    order = rank_rows(keyed, ["_h", "block"], ["replicate"], "_o", at_most=n_blocks)
-    cum = running(order, ["replicate"], "_o", {"_end": ("sum", F.col("size"))}, at_most=n_blocks)
+    order = rank_rows(keyed, ["_h", "block"], ["replicate"], "_o")
+    cum = running(order, ["replicate"], "_o", {"_end": ("sum", F.col("size"))})
     return cum.select("replicate", "block", (F.col("block") * block).alias("first"), "size", (F.col("_end") - F.col("size")).alias("start"))
 
 
@@ -141,16 +141,15 @@ def circular_shifts(curve: DataFrame, value: str, n: int, span: int) -> DataFram
 
 def alignment(pairs: DataFrame, key: str) -> DataFrame:
     """Validation metrics per key from rows (key, idx, x, a, b): mass centres, Spearman, JS."""
-    n = pairs.groupBy(key).count().agg(F.max("count")).first()[0] or 0  # rows of the longest curve
 
     def center(col: str) -> DataFrame:
         rows = pairs.select(F.col(key).cast("string").alias("series"), "idx", "x", F.greatest(F.col(col), F.lit(0.0)).alias("m"))
         total = rows.groupBy("series").agg(F.sum("m").alias("_total"))
-        cum = running(rows, ["series"], "idx", {"_c": ("sum", F.col("m"))}, at_most=n).join(total, "series").where("_total > 0")
+        cum = running(rows, ["series"], "idx", {"_c": ("sum", F.col("m"))}).join(total, "series").where("_total > 0")
         return _crossing(cum.withColumn("_c", F.col("_c") / F.col("_total")), {f"q50_{col}": 0.5})
 
     base = pairs.withColumn("series", F.col(key).cast("string"))
-    rho = spearman(base, "a", "b", ["series"], "spearman_rho", n)
+    rho = spearman(base, "a", "b", ["series"], "spearman_rho")
     js = js_divergence(base, ["series"], "a", "b")
     out = center("a").join(center("b"), "series").join(rho, "series").join(js, "series")
     gap = F.col("q50_a") - F.col("q50_b")
@@ -183,6 +182,6 @@ def grid_alignment(profiles: DataFrame, key: str, a: str, b: str, lower: float,
         side(a, "y").alias("ya"), side(b, "y").alias("yb"), (side(a, "y") - side(a, "baseline")).alias("ea"), (side(b, "y") - side(b, "baseline")).alias("eb")
     ))
     rounded = both.select(key, F.round("ya", 9).alias("ya"), F.round("yb", 9).alias("yb"))
-    out = centers.join(spearman(rounded, "ya", "yb", [key], "spearman_rho", row_count(both)), key).join(js_divergence(both, [key], "ea", "eb"), key)
+    out = centers.join(spearman(rounded, "ya", "yb", [key], "spearman_rho"), key).join(js_divergence(both, [key], "ea", "eb"), key)
     gap = F.col("q50_a") - F.col("q50_b")
     return out.select(key, "q50_a", "q50_b", gap.alias("signed_gap"), F.abs(gap).alias("absolute_gap"), "spearman_rho", "js_distance")

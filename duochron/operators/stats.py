@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,30 +11,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from pyspark.sql.window import Window
-
-from .ordered import SMALL_ROWS, rank_rows, rows as row_count, running
+from .ordered import rank_rows, running, same_keys
 
 
 # ---------------------------------------------------------------- quantiles
 def quantiles(
-    df: DataFrame, by: Sequence[str], x: str, qs: dict[str, float], small_rows: int = SMALL_ROWS, at_most: int | None = None
+    df: DataFrame, by: Sequence[str], x: str, qs: dict[str, float]
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per entry of `qs`.
 
-    Small inputs use the built-in `percentile`. That keeps a group's distinct values in one
-    task, so larger inputs are ranked by range partitioning and only the two rows around each
-    quantile are kept.
+    The distinct values are ranked by range partitioning and only the two around each quantile are
+    kept, so no task holds a group's values (as the built-in `percentile` does). NULL is a group.
     """
     rows = df.select(*by, x).where(F.col(x).isNotNull())
-    if (row_count(df) if at_most is None else at_most) <= small_rows:
-        return rows.groupBy(*by).agg(*[F.percentile(x, F.lit(q)).alias(o) for o, q in qs.items()])
     # equal values collapse first: ties only need their count
     counts = rows.groupBy(*by, x).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = rank_rows(counts, [x], by, "_idx", small_rows)
+    ranked = rank_rows(counts, [x], by, "_idx")
     cum = running(ranked, by, "_idx", {"_cum": ("sum", F.col("_c"))})
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    placed = cum.join(sizes, list(by)) if by else cum.crossJoin(F.broadcast(sizes))
+    placed = same_keys(cum, sizes, by)
     first, last = F.col("_cum") - F.col("_c"), F.col("_cum") - 1
     aggs = []
     for o, q in qs.items():
@@ -57,7 +51,7 @@ def group_summary(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     m = df.where(F.col(x).isNotNull()).groupBy(*by).agg(
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd")
     )
-    return m.join(q, list(by))
+    return same_keys(m, q, by)
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -70,30 +64,24 @@ def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # ------------------------------------------------------------- rank statistics
 def average_ranks(
-    df: DataFrame, x: str, by: Sequence[str] = (), out: str = "rank", small_rows: int = SMALL_ROWS, at_most: int | None = None
+    df: DataFrame, x: str, by: Sequence[str] = (), out: str = "rank"
 ) -> DataFrame:
     """Add the average rank (1-based, ties share their mean) of `x` within `by`.
 
-    Past `small_rows`, ranks are computed on the distinct values and joined back, so a value
-    held by a third of the rows is one row in the sort.
+    Ranks are computed on the distinct values and joined back, so a value held by a third of the
+    rows is one row in the sort. NULL is a group, and a NULL value ranks first.
     """
-    n = row_count(df) if at_most is None else at_most
-    if n <= small_rows:
-        ordered = Window.partitionBy(*by, F.lit(0)).orderBy(x)
-        ties = Window.partitionBy(*by, F.lit(0), x)
-        return df.withColumn(out, F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / 2)
     counts = df.groupBy(*by, x).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = rank_rows(counts, [x], by, "_idx", small_rows)
+    ranked = rank_rows(counts, [x], by, "_idx")
     cum = running(ranked, by, "_idx", {"_cum": ("sum", F.col("_c"))})
     table = cum.select(*by, x, (F.col("_cum") - (F.col("_c") - 1) / 2).alias(out))
-    return df.join(table, [*by, x])
+    return same_keys(df, table, [*by, x])
 
 
-def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), out: str = "rho", at_most: int | None = None) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), out: str = "rho") -> DataFrame:
     """Spearman correlation per group; NULL under two rows or with a constant side."""
-    n = row_count(df) if at_most is None else at_most
     rows = df.select(*by, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_ranks(average_ranks(rows, x, by, "_rx", at_most=n), y, by, "_ry", at_most=n)
+    ranked = average_ranks(average_ranks(rows, x, by, "_rx"), y, by, "_ry")
     return correlation(ranked, "_rx", "_ry", by, out)
 
 
@@ -112,9 +100,8 @@ def dominance(df: DataFrame, label: str, x: str, labels: Sequence[str]) -> DataF
     """
     rows = df.where(F.col(label).isin(list(labels)) & F.col(x).isNotNull())
     counts = rows.groupBy(x).agg(*[F.count_if(F.col(label) == l).alias(f"c{i}") for i, l in enumerate(labels)])
-    n = row_count(df)
-    ranked = rank_rows(counts, [x], (), "_idx", at_most=n)
-    cum = running(ranked, [], "_idx", {f"s{i}": ("sum", F.col(f"c{i}")) for i in range(len(labels))}, at_most=n)
+    ranked = rank_rows(counts, [x], (), "_idx")
+    cum = running(ranked, [], "_idx", {f"s{i}": ("sum", F.col(f"c{i}")) for i in range(len(labels))})
     pairs = [(i, j) for i in range(len(labels)) for j in range(i + 1, len(labels))]
     wins = cum.agg(
         *[F.sum(F.col(f"c{i}")).cast("double").alias(f"n{i}") for i in range(len(labels))],
@@ -160,7 +147,7 @@ def bootstrap_summary(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFram
         F.avg((F.col(x) > 0).cast("int")).alias("p_positive"),
     )
     q = quantiles(rows, by, x, {"median": 0.5, "ci_low": 0.025, "ci_high": 0.975})
-    return base.join(q, list(by)) if by else base.crossJoin(q)
+    return same_keys(base, q, by)
 
 
 def p_lower(null: Column, observed: Column) -> Column:
@@ -177,32 +164,34 @@ def evidence_class(n_significant: Column) -> Column:
 
 
 # ----------------------------------------------------------------- enrichment
-def _upper_tail(hits: int, n1: int, n2: int, total_hits: int) -> float:
-    """P(X >= hits), X hypergeometric: n1 drawn from n1 + n2 of which total_hits are marked."""
-    low, high = max(hits, total_hits - n2, 0), min(n1, total_hits)
-    if hits <= max(0, total_hits - n2):
-        return 1.0
-    if low > high:
-        return 0.0
-    lg = math.lgamma
-
-    def choose(n: int, k: int) -> float:
-        return lg(n + 1) - lg(k + 1) - lg(n - k + 1)
-
-    term = math.exp(choose(n1, low) + choose(n2, total_hits - low) - choose(n1 + n2, total_hits))
-    p = term
-    for k in range(low, high):
-        term *= (n1 - k) * (total_hits - k) / ((k + 1) * (n2 - total_hits + k + 1))
-        p += term
-        if term < p * 1e-17:
-            break
-    return min(p, 1.0)
+def _log_factorials(upto: int) -> np.ndarray:
+    return np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, upto + 1, dtype=float)))))
+
+
+def upper_tails(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """P(X >= a) for each table [[a, b], [c, d]], X hypergeometric with the table's margins.
+
+    All terms of the longer or shorter tail are summed relative to their largest, in logarithms, so
+    nothing underflows; the tail that starts at or above the mode is the one summed.
+    """
+    a, b, c, d = (np.asarray(v, np.int64) for v in (a, b, c, d))
+    n1, n2, k = a + b, c + d, a + c
+    lf = _log_factorials(int((n1 + n2).max(initial=0)))
+    low, high = np.maximum(0, k - n2), np.minimum(n1, k)
+    out = np.ones(len(a))
+    for i in np.flatnonzero(a > low):
+        x = np.arange(low[i], high[i] + 1)
+        logs = -(lf[x] + lf[n1[i] - x] + lf[k[i] - x] + lf[n2[i] - k[i] + x])
+        w = np.exp(logs - logs.max())
+        cut = a[i] - low[i]
+        out[i] = w[cut:].sum() / w.sum() if logs[cut:].max() < logs.max() else 1 - w[:cut].sum() / w.sum()
+    return np.clip(out, 0.0, 1.0)
 
 
 @pandas_udf(T.DoubleType())
 def fisher_greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """One-sided (greater) exact p of the 2x2 table [[a, b], [c, d]]."""
-    return pd.Series([_upper_tail(int(p), int(p + q), int(r + s), int(p + r)) for p, q, r, s in zip(a, b, c, d)])
+    return pd.Series(upper_tails(a, b, c, d))
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -213,63 +202,58 @@ def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 def bh_adjust(df: DataFrame, p: str, tie: str, out: str = "fdr") -> DataFrame:
     """Benjamini-Hochberg: running minimum of p*n/rank from the largest p down, at most 1."""
-    n = row_count(df)
-    ranked = rank_rows(df, [p, tie], (), "_idx", at_most=n)
+    ranked = rank_rows(df, [p, tie], (), "_idx")  # writes the tests once: the count reads them from there
+    n = ranked.count()
     scaled = F.col(p) * n / (F.col("_idx") + 1)
-    return running(ranked, [], "_idx", {out: ("min", scaled)}, reverse=True, at_most=n).withColumn(out, F.least(F.col(out), F.lit(1.0))).drop("_idx")
+    return running(ranked, [], "_idx", {out: ("min", scaled)}, reverse=True).withColumn(out, F.least(F.col(out), F.lit(1.0))).drop("_idx")
 
 
 # --------------------------------------------------------- multivariate fit
-def dummies(col: str, levels: Sequence) -> list[Column]:
-    """0/1 columns of all levels but the first, named after the level."""
-    return [(F.col(col) == l).cast("int").alias(str(l)) for l in list(levels)[1:]]
+MAX_LEVELS = 500  # label levels of one model: its normal equations are that size squared
 
 
-def partial_r2(
-    df: DataFrame, dims: Sequence[str], biology: Sequence[str], technical: Sequence[str]
-) -> dict[str, float]:
+def _levels(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, object]]:
+    """(column, level) of all label columns, bounded; NULL is no level."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("l")) for c in columns]))
+    rows = df.select(cells.alias("_x")).where("_x.l is not null").distinct().limit(MAX_LEVELS + 1).collect()
+    if len(rows) > MAX_LEVELS:
+        raise ValueError("label columns have too many levels for a linear model")
+    return sorted((r["_x"]["c"], r["_x"]["l"]) for r in rows)
+
+
+def partial_r2(df: DataFrame, dims: Sequence[str], biology: Sequence[str], technical: Sequence[str]) -> dict[str, float]:
     """Share of multivariate variance each label block adds once the other is in the model.
 
-    Dummy-coded least squares needs only sums per label cell, so the data collapse to one row
-    per (biology, technical) combination; the driver solves the small normal equations with a
-    pseudo-inverse, which also handles rank-deficient dummies.
+    A one-way layout per column needs no coded matrix: the normal equations of the full model are
+    pair counts of levels and value sums per level, which Spark groups and sums. Every smaller model
+    is a block of the same equations. Levels are redundant against the mean and each other, so the
+    minimum-norm solution is taken. Rows with a NULL label count towards the mean alone.
     """
-    keys = [*biology, *technical]
-    cells = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(d).alias(f"s_{d}") for d in dims], *[F.sum(F.col(d) * F.col(d)).alias(f"q_{d}") for d in dims]
-    )
-    # the table is as large as the label grid, not the data; refuse label columns that are ids
-    grid = cells.limit(100_001).toPandas()
-    if len(grid) > 100_000:
-        raise ValueError("label columns have too many combinations for a dummy-coded model")
-    counts = grid["n"].to_numpy(float)
-    sums = grid[[f"s_{d}" for d in dims]].to_numpy(float)
-    squares = float(grid[[f"q_{d}" for d in dims]].to_numpy(float).sum())
-
-    def design(columns: Sequence[str]) -> np.ndarray:
-        blocks = [np.ones((len(grid), 1))]
-        for c in columns:
-            blocks.append(pd.get_dummies(grid[c].astype(str), drop_first=True, dtype=float).to_numpy(float))
-        return np.hstack(blocks)
-
-    def sse(columns: Sequence[str]) -> float:
-        x = design(columns)
-        beta = np.linalg.pinv(x.T @ (x * counts[:, None])) @ (x.T @ sums)
-        # squares - fit: both sides are sums over entities
-        return squares - float(np.sum(beta * (x.T @ sums)))
-
-    full, bio, tech, null = sse(keys), sse(biology), sse(technical), sse([])
-    clamp = lambda v: max(float(v), 0.0)
+    columns = list(dict.fromkeys([*biology, *technical]))
+    place = {k: i + 1 for i, k in enumerate(_levels(df, columns))}
+    marks = F.array(F.struct(F.lit("").alias("c"), F.lit("").alias("l")), *[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("l")) for c in columns])
+    held = df.select(*dims, F.filter(marks, lambda m: m["l"].isNotNull()).alias("_m"))
+    pairs = held.select("_m", F.explode("_m").alias("_a")).select("_a", F.explode("_m").alias("_b")).groupBy("_a", "_b").count().collect()
+    sums = held.select(*dims, F.explode("_m").alias("_a")).groupBy("_a").agg(*[F.sum(d).alias(d) for d in dims]).collect()
+    squares = float(df.agg(sum(F.sum(F.col(d) * F.col(d)) for d in dims)).first()[0] or 0.0)
+    at = lambda m: place.get((m["c"], m["l"]), 0)
+    gram, right = np.zeros((len(place) + 1, len(place) + 1)), np.zeros((len(place) + 1, len(dims)))
+    for r in pairs:
+        gram[at(r["_a"]), at(r["_b"])] = r["count"]
+    for r in sums:
+        right[at(r["_a"])] = [r[d] for d in dims]
+
+    def left_over(columns: Sequence[str]) -> float:
+        use = [0] + [i for (c, _), i in place.items() if c in columns]
+        g, r = gram[np.ix_(use, use)], right[use]
+        return squares - float((r * (np.linalg.pinv(g, hermitian=True) @ r)).sum())
+
+    sse = {name: left_over(cols) for name, cols in (("full", columns), ("biology", biology), ("technical", technical), ("mean", ()))}
+    gain = lambda base, more: max(0.0, 1 - sse[more] / sse[base]) if sse[base] > 0 else float("nan")
     return {
-        "technical_partial_r2": clamp((bio - full) / bio) if bio > 0 else float("nan"),
-        "biology_partial_r2": clamp((tech - full) / tech) if tech > 0 else float("nan"),
-        "biology_r2": clamp((null - bio) / null) if null > 0 else float("nan"),
-        "sse_full": full,
-        "sse_biology": bio,
-        "sse_technical": tech,
-        "sst": null,
-        "n": int(counts.sum()),
-    }
+        "technical_partial_r2": gain("biology", "full"), "biology_partial_r2": gain("technical", "full"), "biology_r2": gain("mean", "biology"),
+        "sse_full": sse["full"], "sse_biology": sse["biology"], "sse_technical": sse["technical"], "sst": sse["mean"], "n": int(gram[0, 0]),
+    }
 
 
 def one_label_r2(df: DataFrame, label: str, dims: Sequence[str]) -> DataFrame:

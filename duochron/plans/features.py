@@ -88,27 +88,27 @@ GROUPS = ["pre", "event", "late"]
 
 
 def _grouped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
-    """Orders grouped by the suppliers they buy from; feature = supplier slot (50 slots)."""
+    """Orders grouped by the suppliers they buy from; feature = supplier."""
     from ..operators.counts import collapse
 
-    li = T.table(spark, sf, "lineitem").withColumn("slot", F.col("l_suppkey") % 50)
-    low = F.min("slot")
+    li = T.table(spark, sf, "lineitem")
+    low = F.min(F.col("l_suppkey") % 50)
     groups = li.groupBy(F.col("l_orderkey").alias("entity")).agg(F.when(low < 5, "late").when(low < 10, "event").otherwise("pre").alias("group"))
     sizes = {r["group"]: r["n"] for r in groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return collapse(li, "l_orderkey", "slot", F.col("l_quantity")), groups, {g: sizes.get(g, 1) for g in GROUPS}
+    return collapse(li, "l_orderkey", "l_suppkey", F.col("l_quantity")), groups, {g: sizes.get(g, 0) for g in GROUPS}
 
 
 _GRP = """
-li AS (SELECT l_orderkey AS entity, l_suppkey % 50 AS feature, l_quantity FROM lineitem),
-grp AS (SELECT entity, CASE WHEN min(feature) < 5 THEN 'late' WHEN min(feature) < 10 THEN 'event' ELSE 'pre' END AS g FROM li GROUP BY entity),
+li AS (SELECT l_orderkey AS entity, l_suppkey AS feature, l_quantity FROM lineitem),
+grp AS (SELECT entity, CASE WHEN min(feature % 50) < 5 THEN 'late' WHEN min(feature % 50) < 10 THEN 'event' ELSE 'pre' END AS g FROM li GROUP BY entity),
 cnt AS (SELECT entity, feature, sum(l_quantity) AS c FROM li GROUP BY ALL), t AS (SELECT * FROM cnt JOIN grp USING (entity)),
 z AS (SELECT count(*) FILTER (g = 'pre') AS zp, count(*) FILTER (g = 'event') AS ze, count(*) FILTER (g = 'late') AS zl FROM grp),
 lib AS (SELECT sum(c) FILTER (g = 'pre') AS lp, sum(c) FILTER (g = 'event') AS le, sum(c) FILTER (g = 'late') AS ll FROM t),
 w AS (SELECT feature, coalesce(sum(c) FILTER (g = 'pre'), 0) AS pre_count, coalesce(sum(c) FILTER (g = 'event'), 0) AS event_count, coalesce(sum(c) FILTER (g = 'late'), 0) AS late_count,
   count(*) FILTER (g = 'pre') AS pre_detected, count(*) FILTER (g = 'event') AS event_detected, count(*) FILTER (g = 'late') AS late_detected FROM t GROUP BY feature),
-eff AS (SELECT w.*, pre_count / lp * 1e6 AS pre_cpm, event_count / le * 1e6 AS event_cpm, late_count / ll * 1e6 AS late_cpm, pre_detected / zp AS pre_fraction, event_detected / ze AS event_fraction, late_detected / zl AS late_fraction,
-  log2((event_count / le * 1e6 + 0.5) / (pre_count / lp * 1e6 + 0.5)) AS log2fc_event_vs_pre, event_detected / ze - pre_detected / zp AS delta_event_vs_pre,
-  log2((late_count / ll * 1e6 + 0.5) / (event_count / le * 1e6 + 0.5)) AS log2fc_late_vs_event, late_detected / zl - event_detected / ze AS delta_late_vs_event FROM w, z, lib)"""
+eff AS (SELECT w.*, pre_count / lp * 1e6 AS pre_cpm, event_count / le * 1e6 AS event_cpm, late_count / ll * 1e6 AS late_cpm, pre_detected / nullif(zp, 0) AS pre_fraction, event_detected / nullif(ze, 0) AS event_fraction, late_detected / nullif(zl, 0) AS late_fraction,
+  log2((event_count / le * 1e6 + 0.5) / (pre_count / lp * 1e6 + 0.5)) AS log2fc_event_vs_pre, event_detected / nullif(ze, 0) - pre_detected / nullif(zp, 0) AS delta_event_vs_pre,
+  log2((late_count / ll * 1e6 + 0.5) / (event_count / le * 1e6 + 0.5)) AS log2fc_late_vs_event, late_detected / nullif(zl, 0) - event_detected / nullif(ze, 0) AS delta_late_vs_event FROM w, z, lib)"""
 _NUM = ["pre_cpm", "event_cpm", "late_cpm", "pre_fraction", "event_fraction", "late_fraction", "log2fc_event_vs_pre", "delta_event_vs_pre", "log2fc_late_vs_event", "delta_late_vs_event"]
 _EFF_COLS = "feature, pre_count, event_count, late_count, pre_detected, event_detected, late_detected, " + ", ".join(f"round({c}, 6) AS {c}" for c in _NUM)
 
@@ -139,8 +139,8 @@ def ranked_top(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PRES = f"""{_GRP}, pe AS (SELECT feature, count(*) FILTER (g = 'pre') AS pre_entities, count(*) FILTER (g = 'event') AS event_entities, count(*) FILTER (g = 'late') AS late_entities,
-  count(*) FILTER (g = 'pre') / any_value(zp) AS pre_fraction, count(*) FILTER (g = 'event') / any_value(ze) AS event_fraction, count(*) FILTER (g = 'late') / any_value(zl) AS late_fraction,
-  coalesce(sum(c) FILTER (g = 'event'), 0) / any_value(ze) AS event_mean FROM t, z GROUP BY feature)"""
+  count(*) FILTER (g = 'pre') / nullif(any_value(zp), 0) AS pre_fraction, count(*) FILTER (g = 'event') / nullif(any_value(ze), 0) AS event_fraction, count(*) FILTER (g = 'late') / nullif(any_value(zl), 0) AS late_fraction,
+  coalesce(sum(c) FILTER (g = 'event'), 0) / nullif(any_value(ze), 0) AS event_mean FROM t, z GROUP BY feature)"""
 
 
 @query("presence_effects", f"""WITH {_PRES} SELECT feature, pre_entities, event_entities, late_entities, round(pre_fraction, 6) AS pre_fraction, round(event_fraction, 6) AS event_fraction, round(late_fraction, 6) AS late_fraction, round(event_mean, 6) AS event_mean,

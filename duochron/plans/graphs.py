@@ -1,4 +1,4 @@
-"""Queries on vectors of both modalities: neighbours, graph order, clocks, change scores."""
+"""Queries on vectors of both modalities: neighbours, graph order, clocks, change along a clock."""
 
 from __future__ import annotations
 
@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import r6
 from ..functions.vectors import doubles
-from ..operators import clock as ck, instability as ins, knn, representation as rep, report, stats, windows as win
+from ..operators import clock as ck, energy, knn, representation as rep, report, stats, windows as win
 from ..operators.ordered import rank_rows
 from ..session import materialize
 from . import tables as T
 from .catalog import query
 
-K = 10
-PERMS = 20
+K = 30
+PERMS = 100
 SMALL = win.Design("50/10", 50, 10)  # the vector table has a few hundred rows
 
 
@@ -22,7 +22,7 @@ def _round(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: r6(F.col(c)) for c in cols})
 
 
-_PAIRS = "pr AS (SELECT x.id AS src, y.id AS dst, sqrt(list_sum(list_transform(range(1, 11), lambda i: (x.{v}[i] - y.{v}[i]) * (x.{v}[i] - y.{v}[i])))) AS dist FROM vectors x JOIN vectors y ON x.id <> y.id {on})"
+_PAIRS = "pr AS (SELECT x.id AS src, y.id AS dst, sqrt(list_sum(list_transform(range(1, 33), lambda i: (x.{v}[i] - y.{v}[i]) * (x.{v}[i] - y.{v}[i])))) AS dist FROM vectors x JOIN vectors y ON x.id <> y.id {on})"
 _EDGES = f"{T.VECTORS}, {_PAIRS.format(v='va', on='')}, edges AS (SELECT src, dst, rank, dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM pr) WHERE rank <= {K})"
 
 
@@ -65,7 +65,7 @@ def _branch_sql(name: str, s: list[str]) -> str:
     inlist = ", ".join(f"'{x}'" for x in s)
     n = lambda x, y: f"count(*) FILTER (s = '{x}' AND t = '{y}')"
     return f"""(WITH sub AS (SELECT * FROM vectors WHERE label IN ({inlist})),
-p AS (SELECT x.id AS src, y.id AS dst, x.label AS s, y.label AS t, sqrt(list_sum(list_transform(range(1, 11), lambda i: (x.va[i] - y.va[i]) * (x.va[i] - y.va[i])))) AS d FROM sub x JOIN sub y ON x.id <> y.id),
+p AS (SELECT x.id AS src, y.id AS dst, x.label AS s, y.label AS t, sqrt(list_sum(list_transform(range(1, 33), lambda i: (x.va[i] - y.va[i]) * (x.va[i] - y.va[i])))) AS d FROM sub x JOIN sub y ON x.id <> y.id),
 e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS r FROM p) WHERE r <= {K}),
 m AS (SELECT count(*) FILTER (s <> t) / count(*) AS cross_fraction, ({n(a, b)} + {n(b, a)} + {n(b, c)} + {n(c, b)}) / count(*) FILTER (s <> t) AS adjacent_of_cross, ({n(a, c)} + {n(c, a)}) / count(*) FILTER (s <> t) AS bypass_of_cross,
   {n(a, b)} / count(*) FILTER (s = '{a}') AS f1, {n(b, c)} / count(*) FILTER (s = '{b}') AS f2, {n(c, b)} / count(*) FILTER (s = '{c}') AS f3 FROM e),
@@ -94,11 +94,11 @@ def branch_selection(spark: SparkSession, sf: str) -> DataFrame:
     return _round(report.branch_selection(m, "branch"), "min_cross_fraction", "min_adjacent", "max_bypass", "min_bridge", "min_chain_ratio")
 
 
-@query("connected_components", f"""WITH RECURSIVE {_EDGES.lstrip()}, near AS (SELECT src AS u, dst AS w FROM edges WHERE rank <= 1 UNION SELECT dst, src FROM edges WHERE rank <= 1),
+@query("connected_components", f"""WITH RECURSIVE {_EDGES.lstrip()}, near AS (SELECT src AS u, dst AS w FROM edges UNION SELECT dst, src FROM edges),
 reach AS (SELECT id AS u, id AS w FROM vectors UNION SELECT r.u, n.w FROM reach r JOIN near n ON n.u = r.w)
 SELECT u AS id, min(w) AS component FROM reach GROUP BY u""")
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
-    return knn.components(_edges(spark, sf).where("rank <= 1"), T.vectors(spark, sf), "id")
+    return knn.components(_edges(spark, sf), T.vectors(spark, sf), "id")
 
 
 # --------------------------------------------------------------------- coherence
@@ -108,11 +108,11 @@ _CLK = "clk AS (SELECT id, va[1] AS clock, row_number() OVER (ORDER BY va[1], id
 def _clocked(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     v = T.vectors(spark, sf).withColumn("clock", doubles(F.col("va"))[0])
     n = v.count()
-    return materialize(rank_rows(v, ["clock", "id"], at_most=n)), n
+    return materialize(rank_rows(v, ["clock", "id"])), n
 
 
 def _h(*p: str) -> str:
-    return "('0x' || substr(md5(concat_ws(':', " + ", ".join(p) + ")), 1, 8))::BIGINT"
+    return "('0x' || substr(md5(concat_ws(':', " + ", ".join(p) + ")), 1, 15))::BIGINT"
 
 
 @query("graph_smoothness", f"""WITH {_EDGES}, {_CLK}, und AS (SELECT DISTINCT least(src, dst) AS s, greatest(src, dst) AS d FROM edges), eg AS (SELECT abs(a.clock - b.clock) AS g FROM und JOIN clk a ON a.id = s JOIN clk b ON b.id = d),
@@ -135,16 +135,20 @@ def neighbor_coherence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("adjacent_distance_ratio", f"""WITH {T.VECTORS}, o AS (SELECT -1 AS p, id, vb, row_number() OVER (ORDER BY va[1], id) AS r FROM vectors UNION ALL SELECT p, id, vb, row_number() OVER (PARTITION BY p ORDER BY {_h("'785'", 'p', 'id')}, id) FROM vectors, (SELECT unnest(range(0, {PERMS})) AS p)),
-d AS (SELECT x.p, sqrt(list_sum(list_transform(range(1, 11), lambda i: (x.vb[i] - y.vb[i]) * (x.vb[i] - y.vb[i])))) AS d FROM o x JOIN o y ON y.p = x.p AND y.r = x.r + 1), m AS (SELECT p, median(d) AS m FROM d GROUP BY p)
+d AS (SELECT x.p, sqrt(list_sum(list_transform(range(1, 33), lambda i: (x.vb[i] - y.vb[i]) * (x.vb[i] - y.vb[i])))) AS d FROM o x JOIN o y ON y.p = x.p AND y.r = x.r + 1), m AS (SELECT p, median(d) AS m FROM d GROUP BY p)
 SELECT round(max(m) FILTER (p = -1), 6) AS observed_median, round(median(m) FILTER (p >= 0), 6) AS random_median, round(quantile_cont(m, 0.025) FILTER (p >= 0), 6) AS random_low, round(quantile_cont(m, 0.975) FILTER (p >= 0), 6) AS random_high, round(max(m) FILTER (p = -1) / median(m) FILTER (p >= 0), 6) AS ratio FROM m""")
 def adjacent_distance_ratio(spark: SparkSession, sf: str) -> DataFrame:
     v, n = _clocked(spark, sf)
     return _round(knn.order_coherence(v, "id", "clock", "vb", n, PERMS, 785), "observed_median", "random_median", "random_low", "random_high", "ratio")
 
 
-@query("silhouette", f"""WITH {T.VECTORS}, p AS (SELECT x.id, x.label AS lx, y.label AS ly, sqrt(list_sum(list_transform(range(1, 11), lambda i: (x.va[i] - y.va[i]) * (x.va[i] - y.va[i])))) AS d FROM vectors x JOIN vectors y ON x.id <> y.id),
-m AS (SELECT id, lx, ly, avg(d) AS m FROM p GROUP BY ALL), s AS (SELECT id, max(m) FILTER (lx = ly) AS a, min(m) FILTER (lx <> ly) AS b FROM m GROUP BY id)
-SELECT count(*) AS n_scored, (SELECT count(DISTINCT label) FROM vectors) AS n_labels, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s""")
+_MEANS = f"""{T.VECTORS}, one AS (SELECT id, label, list_sum(list_transform({{v}}, lambda x: x * x)) AS q FROM vectors), tot AS (SELECT label, count(*) AS n, sum(q) AS q FROM one GROUP BY 1), su AS (SELECT label, dimension, sum({{x}}) AS s FROM dims GROUP BY ALL),
+ds AS (SELECT d.id, d.label AS own, su.label AS l, sum(d.{{x}} * su.s) AS p FROM dims d JOIN su USING (dimension) GROUP BY ALL),
+far AS (SELECT ds.id, own, l, (t.n * o.q - 2 * p + t.q) AS f, t.n FROM ds JOIN tot t ON t.label = l JOIN one o ON o.id = ds.id WHERE t.n >= 2),
+sil AS (SELECT id, own, max(f / (n - 1)) FILTER (l = own) AS a, min(f / n) FILTER (l <> own) AS b FROM far GROUP BY ALL)"""
+
+
+@query("silhouette", f"""WITH {_MEANS.format(v='va', x='xa')} SELECT count(*) AS n_scored, (SELECT count(*) FROM tot WHERE n >= 2) AS n_labels, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM sil""")
 def silhouette(spark: SparkSession, sf: str) -> DataFrame:
     return _round(knn.silhouette(T.vectors(spark, sf), "id", "va", "label"), "silhouette")
 
@@ -156,35 +160,7 @@ e AS (SELECT a.w + 1 AS w, sum((a.m - b.m) ** 2) AS d2 FROM c a JOIN c b ON b.w
 SELECT w.w AS window_index, round(coalesce(d2 / ((p.s2 + n.s2) / 2), 0), 6) AS transition_energy FROM w LEFT JOIN e USING (w) LEFT JOIN s p ON p.w = w.w - 1 LEFT JOIN s n ON n.w = w.w + 1""")
 def transition_energy(spark: SparkSession, sf: str) -> DataFrame:
     v, n = _clocked(spark, sf)
-    return _round(ins.transition_energy(v, "va", T.DIMS, SMALL, n), "transition_energy")
-
-
-def _scored(spark: SparkSession, sf: str, vec: str, weight: float) -> DataFrame:
-    v, n = _clocked(spark, sf)
-    raw = ins.descriptors(v, vec, SMALL, n)
-    energy = ins.transition_energy(v, vec, T.DIMS, SMALL, n)
-    pos = win.window_positions(v, "clock", [SMALL], n)
-    return materialize(ins.score(raw, energy, pos, ins.ScoreConfig(transition_weight=weight)))
-
-
-@query("instability_profile")
-def instability_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of both modalities over the same windows of one clock."""
-    cols = ["score", "sustained_instability", "transition_instability", "transition_energy", "parameter"]
-    parts = [_scored(spark, sf, v, 0.18).select(F.lit(m).alias("modality"), "window_index", *[r6(F.col(c)).alias(c) for c in cols], "critical_value_source") for m, v in (("A", "va"), ("B", "vb"))]
-    return parts[0].unionByName(parts[1])
-
-
-@query("weight_invariance")
-def weight_invariance(spark: SparkSession, sf: str) -> DataFrame:
-    names = ["jacobian_raw", "stretching_raw", "expansion_raw", "entropy_raw", "temporal_raw", "core", "sustained_instability", "transition_energy", "transition_instability"]
-    w = ins.weight_invariance(_scored(spark, sf, "va", 0.0), _scored(spark, sf, "va", 0.18), names)
-    return w.select("descriptor", "identical")
-
-
-@query("score_invariants")
-def score_invariants(spark: SparkSession, sf: str) -> DataFrame:
-    return ins.bounded(_scored(spark, sf, "va", 0.18))
+    return _round(energy.transition_energy(v, "va", T.DIMS, SMALL, n), "transition_energy")
 
 
 # ----------------------------------------------------------------------- clocks
@@ -213,7 +189,7 @@ def representation_grid(spark: SparkSession, sf: str) -> DataFrame:
     v = materialize(T.vectors(spark, sf))
     rows = None
     for m, vec in (("A", "va"), ("B", "vb")):
-        for d in (5, 10):
+        for d in (16, 32):
             x = rep.zscore_vector(v.withColumn(vec, F.slice(vec, 1, d)), vec, d)
             r = stats.partial_r2(rep.dims_as_columns(x, vec, 1, d), [f"d{i}" for i in range(1, d + 1)], ["label"], ["batch"])
             mix = knn.batch_mixing(x, "id", vec, "label", "batch", K).agg(stats.weighted_mean(F.col("normalized_mixing"), F.col("n_entities")).alias("mixing"))

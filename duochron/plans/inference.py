@@ -22,7 +22,7 @@ def _round(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def _hash(*parts: str) -> str:
-    return "('0x' || substr(md5(concat_ws(':', " + ", ".join(parts) + ")), 1, 8))::BIGINT"
+    return "('0x' || substr(md5(concat_ws(':', " + ", ".join(parts) + ")), 1, 15))::BIGINT"
 
 
 # ------------------------------------------------------------------- bootstrap

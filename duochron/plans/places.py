@@ -89,16 +89,16 @@ def start_site_by_strand(spark: SparkSession, sf: str) -> DataFrame:
     return readers.with_start_site(a, "position", "stop").select("anchor_id", "tss")
 
 
-@query("resolve_symbols", """WITH g AS (SELECT DISTINCT 'T' || p_partkey AS transcript_id, p_name AS gene_symbol FROM part WHERE p_partkey % 3 > 0),
-a AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN (SELECT min(p_name) FROM part) ELSE 'T' || l_partkey END AS name FROM lineitem)
+@query("resolve_symbols", """WITH g AS (SELECT 'T' || (p_partkey // 2) AS transcript_id, p_name AS gene_symbol, p_partkey AS line FROM part WHERE p_partkey % 3 > 0),
+a AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN (SELECT min(p_name) FROM part) ELSE 'T' || (l_partkey // 2) END AS name FROM lineitem)
 SELECT l_orderkey, l_linenumber, coalesce(m.s, a.name) AS symbol, CASE WHEN m.s IS NOT NULL THEN 'transcript_map' WHEN a.name IN (SELECT gene_symbol FROM g) THEN 'name_is_symbol' ELSE 'unresolved' END AS symbol_source
-FROM a LEFT JOIN (SELECT transcript_id, max(gene_symbol) AS s FROM g GROUP BY 1) m ON m.transcript_id = a.name""")
+FROM a LEFT JOIN (SELECT transcript_id, arg_max(gene_symbol, line) AS s FROM g GROUP BY 1) m ON m.transcript_id = a.name""")
 def resolve_symbols(spark: SparkSession, sf: str) -> DataFrame:
     p = T.table(spark, sf, "part")
-    g = p.where("p_partkey % 3 > 0").select(F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("transcript_id"), F.col("p_name").alias("gene_symbol"))
+    g = p.where("p_partkey % 3 > 0").select(F.concat(F.lit("T"), F.floor(F.col("p_partkey") / 2).cast("string")).alias("transcript_id"), F.col("p_name").alias("gene_symbol"), F.col("p_partkey").alias("line"))
     first = p.agg(F.min("p_name").alias("first"))
     l = T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").crossJoin(F.broadcast(first))  # one row
-    a = l.withColumn("name", F.when(F.col("l_linenumber") == 1, F.col("first")).otherwise(F.concat(F.lit("T"), F.col("l_partkey").cast("string"))))
+    a = l.withColumn("name", F.when(F.col("l_linenumber") == 1, F.col("first")).otherwise(F.concat(F.lit("T"), F.floor(F.col("l_partkey") / 2).cast("string"))))
     return iv.resolve_symbols(a, "name", g).select("l_orderkey", "l_linenumber", "symbol", "symbol_source")
 
 
@@ -115,7 +115,7 @@ def cross_modal_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ backgrounds
-_BG = f"""{T.SEQUENCES}, g AS (SELECT doc_id, lang, length(regexp_replace(seq, '[^GC]', '', 'g')) / nullif(length(seq), 0) AS gc, ('0x' || substr(md5('786:' || doc_id), 1, 8))::BIGINT AS h FROM sequences),
+_BG = f"""{T.SEQUENCES}, g AS (SELECT doc_id, lang, length(regexp_replace(seq, '[^GC]', '', 'g')) / nullif(length(seq), 0) AS gc, ('0x' || substr(md5('786:' || doc_id), 1, 15))::BIGINT AS h FROM sequences),
 s AS (SELECT doc_id, lang, gc, h, (gc >= 0.35)::INT + (gc >= 0.45)::INT + (gc >= 0.55)::INT + (gc >= 0.65)::INT AS gc_bin, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS cand FROM g),
 want AS (SELECT lang, gc_bin, count(*) AS c, count(*) * 10 AS n FROM s WHERE cand GROUP BY ALL),
 bg AS (SELECT *, row_number() OVER (PARTITION BY lang, gc_bin ORDER BY h, doc_id) AS r FROM s WHERE NOT cand),
@@ -127,7 +127,7 @@ def _matched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
     d = T.sequences(spark, sf).select("doc_id", "lang", S.gc_fraction(F.col("seq")).alias("gc")).join(t, "doc_id", "left")
     d = materialize(d.withColumn("gc_bin", S.edge_bin(F.col("gc"), iv.GC_INNER_EDGES)))  # texts are read once
     cand, bg = d.where("_t"), d.where("_t IS NULL")
-    chosen, audit = iv.match_background(bg, cand, ["lang", "gc_bin"], iv.BACKGROUND_PER_CANDIDATE, S.hash32(786, F.col("doc_id")), "doc_id")
+    chosen, audit = iv.match_background(bg, cand, ["lang", "gc_bin"], iv.BACKGROUND_PER_CANDIDATE, S.hash60(786, F.col("doc_id")), "doc_id")
     return cand, chosen, audit
 
 
@@ -219,11 +219,15 @@ def motif_universe(spark: SparkSession, sf: str) -> DataFrame:
     return u.select("motif_id", "tf_name", "single_factor", "mapped", "expressed", "is_later_candidate", "eligible")
 
 
-@query("extract_sequences", f"""WITH {T.SEQUENCES}, iv AS (SELECT doc_id, length(seq) // 5 * k AS s, least(length(seq), length(seq) // 5 * k + 120) AS e, seq FROM sequences, LATERAL (SELECT unnest([0, 1, 3]) AS k) WHERE length(seq) >= 50)
-SELECT doc_id, s AS start, e AS "end", substr(seq, s + 1, e - s) AS sequence, length(substr(seq, s + 1, e - s)) = e - s AS complete FROM iv""")
+# four intervals a text: three inside, one past its end; texts of any length, and one unknown sequence
+@query("extract_sequences", f"""WITH {T.SEQUENCES}, iv AS (SELECT doc_id, length(seq) // 5 * k AS s, least(length(seq), length(seq) // 5 * k + 120) + CASE WHEN k = 4 THEN 120 ELSE 0 END AS e, length(seq) AS n, seq FROM sequences, LATERAL (SELECT unnest([0, 1, 3, 4]) AS k)),
+all_iv AS (SELECT * FROM iv UNION ALL SELECT -1 - doc_id, 0, 50, NULL, NULL FROM documents)
+SELECT doc_id, s AS start, e AS "end", CASE WHEN n IS NOT NULL AND e > s AND e <= n THEN substr(seq, s + 1, e - s) END AS sequence, n IS NOT NULL AND e > s AND e <= n AS complete,
+  CASE WHEN n IS NULL THEN 'unknown_sequence' WHEN e <= s OR e > n THEN 'out_of_range' END AS issue FROM all_iv""")
 def extract_sequences(spark: SparkSession, sf: str) -> DataFrame:
-    s = T.sequences(spark, sf).select("doc_id", "seq").where(F.length("seq") >= 50)
-    n, k = F.length("seq").cast("bigint"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(3)))
-    i = s.select("doc_id", n.alias("n"), k.alias("k")).select("doc_id", (F.floor(F.col("n") / 5) * F.col("k")).alias("start"), "n")
-    i = i.select("doc_id", "start", F.least("n", F.col("start") + 120).alias("end"))
-    return readers.extract_sequences(i, s, "doc_id", tile=128)
+    s = T.sequences(spark, sf).select("doc_id", "seq")
+    n, k = F.length("seq").cast("bigint"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(3), F.lit(4)))
+    i = s.select("doc_id", n.alias("n"), k.alias("k")).select("doc_id", (F.floor(F.col("n") / 5) * F.col("k")).alias("start"), "n", "k")
+    i = i.select("doc_id", "start", (F.least("n", F.col("start") + 120) + F.when(F.col("k") == 4, 120).otherwise(0)).alias("end"))
+    unknown = T.table(spark, sf, "documents").select((-1 - F.col("doc_id")).alias("doc_id"), F.lit(0).cast("bigint").alias("start"), F.lit(50).cast("bigint").alias("end"))
+    return readers.extract_sequences(i.unionByName(unknown), s, "doc_id", tile=128)

@@ -43,15 +43,15 @@ def matrix_entries(spark: SparkSession, sf: str) -> DataFrame:
     return readers.parse_entries(t.select(F.concat_ws("  ", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_quantity").cast("string")).alias("value")))
 
 
-@query("dense_unfold", """WITH c AS (SELECT l_suppkey AS f, l_linenumber AS k, sum(CASE WHEN l_quantity > 40 THEN l_quantity ELSE 0 END) AS c FROM lineitem WHERE l_linenumber BETWEEN 1 AND 6 GROUP BY ALL)
+@query("dense_unfold", """WITH c AS (SELECT l_suppkey AS f, l_linenumber AS k, sum(CASE WHEN l_quantity > 40 THEN l_quantity ELSE 0 END) AS c FROM lineitem GROUP BY ALL)
 SELECT CAST(f AS VARCHAR) AS feature, 'e' || k AS entity, c AS count FROM c WHERE c <> 0 AND k <> 4""")
 def dense_unfold(spark: SparkSession, sf: str) -> DataFrame:
-    t = T.table(spark, sf, "lineitem").where(F.col("l_linenumber").between(1, 6))
+    t = T.table(spark, sf, "lineitem")
     heavy = F.when(F.col("l_quantity") > 40, F.col("l_quantity")).otherwise(0.0)
-    wide = t.groupBy("l_suppkey").agg(*[F.coalesce(F.sum(F.when(F.col("l_linenumber") == k, heavy)), F.lit(0.0)).alias(f"e{k}") for k in range(1, 7)])
-    lines = wide.select(F.concat_ws("\t", F.col("l_suppkey").cast("string"), *[F.col(f"e{k}").cast("string") for k in range(1, 7)]).alias("value"))
-    names = spark.createDataFrame([(k - 1, f"e{k}") for k in (1, 2, 3, 5, 6)], "position int, entity string")
-    return readers.unfold_dense(lines, names, 6)
+    wide = t.groupBy("l_suppkey").agg(*[F.coalesce(F.sum(F.when(F.col("l_linenumber") == k, heavy)), F.lit(0.0)).alias(f"e{k}") for k in range(1, 8)])
+    lines = wide.select(F.concat_ws("\t", F.col("l_suppkey").cast("string"), *[F.col(f"e{k}").cast("string") for k in range(1, 8)]).alias("value"))
+    names = spark.createDataFrame([(k - 1, f"e{k}") for k in (1, 2, 3, 5, 6, 7)], "position int, entity string")
+    return readers.unfold_dense(lines, names, 7)
 
 
 @query("member_classes", """WITH n AS (SELECT event_id, format('GSM{}_s{}_{}', event_id, user_id % 11, CASE event_id % 4 WHEN 0 THEN 'GEX_barcodes.tsv.gz' WHEN 1 THEN 'GEX_matrix.mtx.gz' WHEN 2 THEN 'ATAC_fragments.tsv.gz' ELSE 'notes.txt' END) AS name, user_id % 11 AS u FROM events)

@@ -13,7 +13,7 @@ from ..operators.ordered import rank_rows
 
 LABELS = ["view", "click", "signup", "purchase", "error"]
 VECTOR_LABELS = [str(i) for i in range(10)]
-DIMS = 10
+DIMS = 32
 
 # wall-clock days since the table's first month, read without a time zone
 _DAYS = (
@@ -52,7 +52,7 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY clock, id) - 1 AS rk FROM entit
 def ranked(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     e = entities(spark, sf)
     n = e.count()
-    return rank_rows(e, ["clock", "id"], at_most=n), n
+    return rank_rows(e, ["clock", "id"]), n
 
 
 DESIGNS_SQL = """
@@ -79,23 +79,23 @@ def profiles(spark: SparkSession, sf: str, designs=None) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """embeddings as paired vectors: modality A = dims 1-10, modality B = dims 11-20."""
+    """embeddings as paired vectors: modality A = the first half of the dimensions, B = the second."""
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"),
         F.col("label").cast("string").alias("label"),
         (F.col("vec_id") % 3).alias("batch"),
         (F.col("vec_id") % 7).alias("stage"),
         section(F.col("embedding"), 1, DIMS).alias("va"),
-        section(F.col("embedding"), 11, DIMS).alias("vb"),
+        section(F.col("embedding"), DIMS + 1, DIMS).alias("vb"),
     )
 
 
 VECTORS = """
 vectors AS (
   SELECT vec_id AS id, CAST(label AS VARCHAR) AS label, vec_id % 3 AS batch, vec_id % 7 AS stage,
-         CAST(embedding[1:10] AS DOUBLE[]) AS va, CAST(embedding[11:20] AS DOUBLE[]) AS vb
+         CAST(embedding[1:32] AS DOUBLE[]) AS va, CAST(embedding[33:64] AS DOUBLE[]) AS vb
   FROM embeddings),
-dims AS (SELECT id, label, batch, stage, d AS dimension, va[d] AS xa, vb[d] AS xb FROM vectors, LATERAL (SELECT unnest(range(1, 11)) AS d))"""
+dims AS (SELECT id, label, batch, stage, d AS dimension, va[d] AS xa, vb[d] AS xb FROM vectors, LATERAL (SELECT unnest(range(1, 33)) AS d))"""
 
 
 def order_counts(spark: SparkSession, sf: str) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions.scalars import normalize_barcode, normalize_chromosome
 from ..operators.audit import require_columns
 from ..operators.intervals import resolve_symbols
 from ..operators.ordered import rank_rows
+from ..session import materialize
 
 MAX_HASHED_BYTES = 1 << 30
 
@@ -151,6 +152,7 @@ def gene_models(spark: SparkSession, path: str) -> DataFrame:
     """Transcript table with the strand-aware start site."""
     cols = "gene_symbol string, transcript_id string, chrom string, strand string, tx_start bigint, tx_end bigint, cds_start bigint, cds_end bigint, exon_count int, exon_starts string, exon_ends string"
     t = spark.read.csv(path, sep="\t", schema=cols).dropna(subset=["gene_symbol", "transcript_id", "chrom", "strand", "tx_start", "tx_end"])
+    t = t.withColumn("line", F.monotonically_increasing_id())  # the place in the list
     return with_start_site(t.where(F.col("strand").isin("+", "-")).withColumn("chrom", normalize_chromosome(F.col("chrom"))), "tx_start", "tx_end")
 
 
@@ -194,20 +196,34 @@ def pfms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def extract_sequences(intervals: DataFrame, sequences: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", tile: int = 65_536) -> DataFrame:
-    """Upper-cased sequence of each interval from a table of whole sequences (chrom, seq).
+    """Upper-cased sequence of each interval from a table of whole sequences (chrom, seq), and what is
+    wrong with it (issue, NULL if nothing): unknown_sequence, out_of_range, length_mismatch or
+    no_valid_base. Repeated intervals come out repeated; an empty or reversed one is out of range.
 
     Sequences are cut into tiles first, so an interval meets a tile and never a whole
-    chromosome; an interval across tiles is put together again.
+    chromosome; an interval across tiles is put together again. Intervals are numbered and written
+    once, so that the pieces of one row meet again.
     """
+    keys = intervals.columns
+    numbered = materialize(intervals.withColumn("_row", F.monotonically_increasing_id()))
+    size = F.length("seq").cast("bigint").alias("_size")
+    sizes = sequences.select(F.col(chrom).alias("_c"), size)
+    placed = numbered.join(sizes, F.col(chrom) == F.col("_c"), "left").drop("_c")
+    wrong = F.col(start).isNull() | F.col(end).isNull() | (F.col(start) < 0) | (F.col(end) <= F.col(start)) | (F.col(end) > F.col("_size"))
+    valid = placed.where(F.col("_size").isNotNull() & ~wrong)
     tiles = sequences.select(F.col(chrom), F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / tile)), lambda i: F.substring(F.col("seq"), (i * tile + 1).cast("int"), F.lit(tile)))).alias("tile", "part"))
-    asked = intervals.withColumn("tile", F.explode(F.sequence(F.floor(F.col(start) / tile), F.floor((F.col(end) - 1) / tile))))
+    asked = valid.select("_row", chrom, start, end).withColumn("tile", F.explode(F.sequence(F.floor(F.col(start) / tile), F.floor((F.col(end) - 1) / tile))))
     lo = F.greatest(F.col(start) - F.col("tile") * tile, F.lit(0))
     hi = F.least(F.col(end) - F.col("tile") * tile, F.lit(tile))
     piece = F.substring(F.col("part"), (lo + 1).cast("int"), (hi - lo).cast("int"))
-    keys = intervals.columns
-    got = asked.join(tiles.withColumn("tile", F.col("tile").cast("bigint")), [chrom, "tile"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tile", piece.alias("p")))).alias("_p"))
+    got = asked.join(tiles.withColumn("tile", F.col("tile").cast("bigint")), [chrom, "tile"], "left").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("tile", piece.alias("p")))).alias("_p"))
     seq = F.upper(F.array_join(F.transform("_p", lambda s: s["p"]), ""))
-    return got.select(*keys, seq.alias("sequence"), (F.length(seq) == F.col(end) - F.col(start)).alias("complete"))
+    named = placed.join(got.select("_row", seq.alias("sequence")), "_row", "left")
+    issue = (
+        F.when(F.col("_size").isNull(), "unknown_sequence").when(wrong, "out_of_range")
+        .when(F.length("sequence") != F.col(end) - F.col(start), "length_mismatch").when(~F.col("sequence").rlike("[ACGT]"), "no_valid_base")
+    )
+    return named.select(*keys, "sequence", F.coalesce(F.length("sequence") == F.col(end) - F.col(start), F.lit(False)).alias("complete"), issue.alias("issue"))
 
 
 # -------------------------------------------------------------------- integrity

@@ -2,11 +2,12 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from duochron.operators import ordered as O, stats as T
 from duochron.operators.intervals import nearest, sample_per_stratum
-from duochron.functions.scalars import hash32
+from duochron.functions.scalars import hash60
 
 
 def col(df, by, name):
@@ -14,48 +15,82 @@ def col(df, by, name):
 
 
 def hot(spark):
-    # a third of the rows share one value and one group
-    return spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise((F.col("id") * 7919) % 101).alias("v"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 4).cast("string"))).alias("g"))
+    # a third of the rows share one value and one group; another group is NULL
+    g = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 != 1, F.concat(F.lit("g"), (F.col("id") % 4).cast("string")))
+    return spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise((F.col("id") * 7919) % 101).alias("v"), g.alias("g"))
 
 
-def test_rank_by_ranges(spark):
+@pytest.fixture(params=[3, 8])
+def parts(spark, request):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_rank_by_ranges(spark, parts):
     df = hot(spark)
+    p = df.toPandas().sort_values(["v", "id"])
+    p["g"] = p.g.fillna("~")
     for by in ([], ["g"]):
-        a = col(O.rank_rows(df, ["v", "id"], by), "id", "rk")
-        b = col(O.rank_rows(df, ["v", "id"], by, small_rows=5, rows_per_range=300), "id", "rk")
-        assert a == b
-    assert sorted(col(O.rank_rows(df, ["v", "id"], small_rows=5, rows_per_range=300), "id", "rk")) == list(range(3000))
+        got = O.rank_rows(df, ["v", "id"], by).toPandas().set_index("id").rk
+        want = pd.Series(np.arange(3000), p.index) if not by else p.groupby("g").cumcount()
+        assert (got[p.id].to_numpy() == want.to_numpy()).all() and len(got) == 3000
 
 
-def test_neighbors_and_running_in_blocks(spark):
+@pytest.mark.parametrize("block", [16, 1000, 16384])
+def test_neighbors_and_running_in_blocks(spark, block):
     df = O.rank_rows(hot(spark), ["v", "id"], ["g"])
-    plain = O.neighbors(df, ["g"], "rk", ["id"], 2, at_most=3000).toPandas().sort_values("id")
-    blocks = O.neighbors(df, ["g"], "rk", ["id"], 2, block=16).toPandas().sort_values("id")
-    for c in ("prev_id", "next_id"):
-        assert plain[c].fillna(-1).tolist() == blocks[c].fillna(-1).tolist()
+    p = df.toPandas().sort_values("rk")
+    p["g"] = p.g.fillna("~")
+    p["even"] = p.id.where(p.id % 2 == 0)
+    near = O.neighbors(df, ["g"], "rk", ["id"], 2, block=block).toPandas().set_index("id")
+    assert len(near) == 3000
+    for c, k in (("prev_id", 2), ("next_id", -2)):
+        assert near[c][p.id].fillna(-1).tolist() == p.groupby("g").id.shift(k).fillna(-1).tolist()
     want = {"s": ("sum", F.col("v")), "m": ("max", F.col("id")), "l": ("min", F.when(F.col("id") % 2 == 0, F.col("id")))}
     for rev in (False, True):
-        a = O.running(df, ["g"], "rk", want, rev, at_most=3000).toPandas().sort_values("id")
-        b = O.running(df, ["g"], "rk", want, rev, block=16).toPandas().sort_values("id")
+        got = O.running(df, ["g"], "rk", want, rev, block=block).toPandas().set_index("id")
+        q = (p[::-1] if rev else p).groupby("g")
+        ref = pd.DataFrame({"id": p[::-1].id if rev else p.id, "s": q.v.cumsum(), "m": q.id.cummax(), "l": q.even.cummin().groupby((p[::-1] if rev else p).g).ffill()})
         for c in want:
-            assert a[c].fillna(-1).tolist() == b[c].fillna(-1).tolist()
+            assert got[c][ref.id].fillna(-1).tolist() == ref[c].fillna(-1).tolist(), (c, rev)
 
 
-def test_quantiles_ranks_and_dominance(spark):
+def test_quantiles_ranks_and_dominance(spark, parts):
     df = hot(spark).withColumn("x", F.col("v").cast("double"))
-    q = {"lo": 0.05, "mid": 0.5, "hi": 0.93}
-    a = T.quantiles(df, ["g"], "x", q).toPandas().sort_values("g")
-    b = T.quantiles(df, ["g"], "x", q, small_rows=5).toPandas().sort_values("g")
-    assert np.allclose(a[list(q)], b[list(q)])
-    r = T.average_ranks(df, "x", ["g"], small_rows=5).toPandas()
-    assert np.allclose(r["rank"], r.groupby("g")["x"].rank())
     p = df.toPandas()
+    p["g"] = p.g.fillna("~")
+    q = {"lo": 0.05, "mid": 0.5, "hi": 0.93}
+    a = T.quantiles(df, ["g"], "x", q).toPandas()
+    a["g"] = a.g.fillna("~")
+    want = p.groupby("g").x.quantile(list(q.values())).unstack()
+    assert len(a) == p.g.nunique() and np.allclose(a.sort_values("g")[list(q)], want.to_numpy())
+    r = T.average_ranks(df, "x", ["g"]).toPandas()
+    assert len(r) == 3000 and np.allclose(r["rank"], r.assign(g=r.g.fillna("~")).groupby("g")["x"].rank())
+    assert T.spearman(df, "x", "id", ["g"]).count() == p.g.nunique() == T.group_summary(df, ["g"], "x").count()
     got = {(r.a, r.b): r.probability for r in T.dominance(df, "g", "x", ["g0", "g1", "hot"]).collect()}
     for (x, y), v in got.items():
         va, vb = p.x[p.g == x].to_numpy(), p.x[p.g == y].to_numpy()
         assert abs(v - (vb[:, None] > va[None, :]).mean()) < 1e-12
 
 
+def test_upper_tails_against_exact_sums():
+    from fractions import Fraction
+    from math import comb
+
+    def exact(a, b, c, d):
+        n1, n2, k = a + b, c + d, a + c
+        return float(Fraction(sum(comb(n1, x) * comb(n2, k - x) for x in range(a, min(n1, k) + 1)), comb(n1 + n2, k)))
+
+    rng = np.random.default_rng(6)
+    tables = [(0, 0, 0, 0), (0, 5, 3, 2), (5, 0, 0, 5), (1, 9, 9, 1), (300, 700, 500, 500), (500, 500, 300, 700), (3, 0, 2, 0)] + [tuple(rng.integers(0, 60, 4)) for _ in range(200)]
+    got = T.upper_tails(*map(np.array, zip(*tables)))
+    assert np.allclose(got, [exact(*map(int, t)) for t in tables], rtol=1e-9, atol=1e-300)
+    assert T.upper_tails(*map(np.array, ([3000], [7000], [7000], [3000])))[0] == 1.0
+    assert T.upper_tails(*map(np.array, ([7000], [3000], [3000], [7000])))[0] < 1e-200
+
+
 def test_flat_series_has_no_correlation(spark):
     df = spark.range(50).select(F.lit(1.0).alias("x"), F.col("id").cast("double").alias("y"))
     assert T.spearman(df, "x", "y").first()[0] is None
@@ -112,7 +147,7 @@ def test_nearest_by_brute_force(spark):
 def test_stratified_sample_is_exact(spark):
     df = hot(spark)
     want = spark.createDataFrame([("hot", 137), ("g1", 5000), ("g2", 1)], "g string, n bigint")
-    h = hash32(1, F.col("id"))
+    h = hash60(1, F.col("id"))
     got = sample_per_stratum(df, ["g"], h, "id", want).toPandas()
     p = df.withColumn("h", h).toPandas().sort_values(["h", "id"])
     for g, n in (("hot", 137), ("g1", 5000), ("g2", 1)):

@@ -91,9 +91,6 @@ def test_metadata_and_alignment_checks(spark, tmp_path):
         audit.paired_join(a, a.unionAll(a), "id")
     with pytest.raises(ValueError):
         audit.require_one_row(a, "pair")
-    assert audit.find_column(["rna:Cell Type", "x"], ["cell_type"]) == "rna:Cell Type" and audit.find_column(["x"], ["y"]) is None
-    name, _ = audit.choose_metadata({"rna": a.withColumnRenamed("id", "stage"), "all": a}, "rna", {"stage": ["stage"]})
-    assert name == "rna"
 
 
 def test_scalar_edges(spark):
@@ -108,4 +105,12 @@ def test_scalar_edges(spark):
 
 def test_markdown(spark):
     t = report.markdown_table(spark.createDataFrame([("a|b", 1)], "x string, y int"))
-    assert t.splitlines() == ["| x | y |", "| --- | --- |", "| a\\|b | 1 |"]
+    assert t.splitlines() == ["| x | y |", "|---|---|", "| a\\|b | 1 |"]
+
+
+def test_repeated_and_bad_intervals(spark):
+    seq = spark.createDataFrame([("c1", "ACGTNNNNacgtAC"), ("c2", "NNNN")], "chrom string, seq string")
+    rows = [("c1", 0, 4), ("c1", 0, 4), ("c1", 6, 14), ("c1", 4, 4), ("c1", 9, 2), ("c1", 10, 15), ("c1", -1, 3), ("c3", 0, 2), ("c2", 0, 4), (None, 0, 1), ("c1", None, 3)]
+    got = R.extract_sequences(spark.createDataFrame(rows, "chrom string, start bigint, end bigint"), seq, tile=3).collect()
+    want = [("ACGT", None)] * 2 + [("NNACGTAC", None)] + [(None, "out_of_range")] * 4 + [(None, "unknown_sequence")] + [("NNNN", "no_valid_base")] + [(None, "unknown_sequence"), (None, "out_of_range")]
+    assert sorted(map(str, [(r.chrom, r.start, r.end, r.sequence, r.issue) for r in got])) == sorted(map(str, [(*r, *w) for r, w in zip(rows, want)]))

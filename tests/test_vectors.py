@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from duochron.operators import clock as C, decompose as D, instability as I, knn as K, motifs as M, representation as R, windows as W
+from duochron.operators import clock as C, decompose as D, energy as E, knn as K, motifs as M, representation as R, windows as W
 from duochron.operators.ordered import rank_rows
 from duochron.session import materialize
 
@@ -81,19 +81,26 @@ def test_clock_follows_a_line_and_skips_islands(spark):
     assert abs(frac["connected_fraction"] - n / (n + 20)) < 1e-9
 
 
-def test_scores_keep_their_invariants(spark):
+def test_energy_peaks_at_the_change(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 4)) + np.r_[np.zeros(150), np.ones(150) * 2][:, None]
     df = spark.createDataFrame([(i, float(i), [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, clock double, v array<double>")
-    r = rank_rows(df, ["clock", "id"])
-    d = W.Design("w", 60, 15)
-    raw, energy, pos = I.descriptors(r, "v", d, 300), I.transition_energy(r, "v", 4, d, 300), W.window_positions(r, "clock", [d], 300)
-    s = I.score(raw, energy, pos, I.ScoreConfig(transition_weight=0.18))
-    assert all(I.bounded(s).select("score_in_unit", "sustained_in_unit", "finite", "energy_not_negative").first())
-    top = s.orderBy(F.col("transition_energy").desc()).first()
-    assert abs(top["parameter"] - 150) < 45 and top["resolved_critical_value"] == top["parameter"]
-    assert s.first()["critical_value_source"] == "transition_energy_peak"
-    assert I.score(raw, energy, pos, I.ScoreConfig(), 10.0).first()["resolved_critical_value"] == 10.0
+    e = E.transition_energy(rank_rows(df, ["clock", "id"]), "v", 4, W.Design("w", 60, 15), 300).toPandas()
+    assert (e.transition_energy >= 0).all() and abs(e.transition_energy.argmax() * 15 + 30 - 150) < 45
+
+
+def test_silhouette_of_all_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3)) + np.repeat([[0, 0, 0], [3, 0, 0], [0, 4, 0]], 20, axis=0)
+    lab = np.repeat(["a", "b", "c"], 20)
+    rows = [(i, [float(v) for v in r], g) for i, (r, g) in enumerate(zip(x, lab))] + [(60, [9.0, 9.0, 9.0], "alone"), (61, [1.0, 1.0, 1.0], None)]
+    got = K.silhouette(spark.createDataFrame(rows, "id bigint, v array<double>, g string"), "id", "v", "g").first()
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    m = np.stack([d[:, lab == g].sum(1) for g in "abc"], 1)
+    own = (lab[:, None] == np.array(list("abc"))).argmax(1)
+    a = m[np.arange(60), own] / 19
+    b = np.where(np.arange(3) == own[:, None], np.inf, m / 20).min(1)
+    assert (got.n_scored, got.n_labels) == (60, 3) and abs(got.silhouette - ((b - a) / np.maximum(a, b)).mean()) < 1e-9
 
 
 def test_motif_threshold_and_scan(spark):
