@@ -38,7 +38,3 @@ def dot(a: Column, b: Column) -> Column:
 def mean_vector(v: Column, dims: int) -> Column:
     """Aggregate expression: element-wise mean of fixed-width vectors (map-side combinable)."""
     return F.array(*[F.avg(v[i]) for i in range(dims)])
-
-
-def sum_vector(v: Column, dims: int) -> Column:
-    return F.array(*[F.sum(v[i]) for i in range(dims)])

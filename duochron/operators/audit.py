@@ -149,7 +149,3 @@ def verdict(table: DataFrame) -> DataFrame:
         F.count_if(F.col("passed")).alias("n_passed"),
         F.when(F.bool_and("passed"), "PASS").otherwise("REVIEW").alias("verdict"),
     )
-
-
-def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance, doubles, mean_vector, norm
-from .ordered import rank_rows
+from .ordered import rank_rows, same_keys
 from .stats import quantiles, spearman
 
 # Correlation at which an axis counts as technical, rows a centroid needs.
@@ -120,7 +120,8 @@ def root_medoid(df: DataFrame, id: str, vec: str, dims: int, pool: Column, cente
 def batch_shift(df: DataFrame, label: str, batch: str, clock: str) -> DataFrame:
     """Absolute difference of the two batch medians per label; labels with another batch count
     are left out."""
-    m = quantiles(df, [label, batch], clock, {"median": 0.5}).join(df.where(F.col(clock).isNotNull()).groupBy(label, batch).agg(F.count(F.lit(1)).alias("n")), [label, batch])
+    sizes = df.where(F.col(clock).isNotNull()).groupBy(label, batch).agg(F.count(F.lit(1)).alias("n"))
+    m = same_keys(quantiles(df, [label, batch], clock, {"median": 0.5}), sizes, [label, batch])
     b = F.col(batch).cast("string")
     g = m.groupBy(label).agg(
         F.min(b).alias("group_1"), F.max(b).alias("group_2"), F.min_by("n", b).alias("n_1"), F.max_by("n", b).alias("n_2"),

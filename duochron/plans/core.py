@@ -158,12 +158,12 @@ def interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("batch_median_shift", f"""
-WITH {T.ENTITIES}, m AS (SELECT label, CAST(batch AS VARCHAR) AS batch, median(clock) AS m, count(*) AS n FROM entities WHERE batch < 2 GROUP BY ALL)
+WITH {T.ENTITIES}, m AS (SELECT label, CAST(id % 2 AS VARCHAR) AS batch, median(clock) AS m, count(*) AS n FROM entities GROUP BY ALL)
 SELECT label, min(batch) AS group_1, max(batch) AS group_2, arg_min(n, batch) AS n_1, arg_max(n, batch) AS n_2, round(arg_min(m, batch), 6) AS median_1,
        round(arg_max(m, batch), 6) AS median_2, round(abs(arg_min(m, batch) - arg_max(m, batch)), 6) AS absolute_difference
 FROM m GROUP BY label HAVING count(*) = 2""")
 def batch_median_shift(spark: SparkSession, sf: str) -> DataFrame:
-    e = T.entities(spark, sf).where("batch < 2")
+    e = T.entities(spark, sf).withColumn("batch", F.col("id") % 2)  # two batches that hold every row
     return _round(rep.batch_shift(e, "label", "batch", "clock"), "median_1", "median_2", "absolute_difference")
 
 
@@ -197,11 +197,12 @@ def key_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("paired_join", f"""
-WITH {T.VECTORS} SELECT id, label, round(va[1], 6) AS a1, round(vb[1], 6) AS b1 FROM vectors""")
+WITH {T.VECTORS} SELECT id, label, round(va[1], 6) AS a1, n_chars AS b1 FROM vectors JOIN documents ON doc_id = id""")
 def paired_join(spark: SparkSession, sf: str) -> DataFrame:
-    v = T.vectors(spark, sf)
-    j = readers.align(v.select("id", "label", "va"), v.select("id", "vb"), "id")
-    return j.select("id", "label", r6(F.col("va")[0]).alias("a1"), r6(F.col("vb")[0]).alias("b1"))
+    """One modality from the vectors, the other from the documents of the same ids."""
+    b = T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("b1"))
+    j = audit.paired_join(T.vectors(spark, sf).select("id", "label", "va"), b, "id")
+    return j.select("id", "label", r6(F.col("va")[0]).alias("a1"), "b1")
 
 
 @query("many_to_one_join", """

@@ -9,8 +9,10 @@ from ..functions.scalars import r6
 from ..operators import audit, report, stats
 from ..session import materialize
 from ..sources import readers
+from . import graphs
 from . import tables as T
-from .catalog import query
+from .catalog import ORACLE, query
+from .curves import family_selection
 
 
 # ---------------------------------------------------------------- text formats
@@ -91,16 +93,19 @@ def dummy_coding(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- closing tables
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
     v = T.vectors(spark, sf)
-    pair = audit.pairing_audit(v.select("id"), v.select("id"), "id").select("one_to_one")
+    pair = audit.pairing_audit(v.select("id"), T.table(spark, sf, "documents").select(F.col("doc_id").alias("id")), "id").select("one_to_one")
     r = stats.one_label_r2(v.select("batch", *[F.col("va")[i].alias(f"d{i}") for i in range(T.DIMS)]), "batch", [f"d{i}" for i in range(T.DIMS)]).select(F.col("r2").alias("technical_r2"))
-    k = T.entities(spark, sf)
-    rho = stats.spearman(k, "clock", "id", (), "k_rho")
-    return pair.crossJoin(r).crossJoin(rho).withColumns({"ordered": F.col("k_rho") > 0, "continuous": F.col("technical_r2") > 0.5})  # one row each
+    # the clock of either modality: its first axis
+    rho = stats.spearman(v.select(F.col("va")[0].alias("a"), F.col("vb")[0].alias("b")), "a", "b", (), "k_rho")
+    near = graphs.continuity_decision(spark, sf).select("continuous")
+    return pair.crossJoin(r).crossJoin(rho).crossJoin(near).withColumn("ordered", F.col("k_rho") > 0)  # one row each
 
 
 _FACTS = f"""{T.ENTITIES}, {T.VECTORS.lstrip()}, w AS (SELECT batch, dimension, avg(xa) AS m FROM dims GROUP BY ALL), a AS (SELECT dimension, avg(xa) AS m FROM dims GROUP BY 1),
+cd AS ({ORACLE['continuity_decision']}), pr2 AS (SELECT (SELECT count(*) FROM vectors v FULL JOIN documents d ON v.id = d.doc_id WHERE v.id IS NULL OR d.doc_id IS NULL) = 0 AS o),
 r2 AS (SELECT 1 - sum((xa - w.m) ** 2) / sum((xa - a.m) ** 2) AS r FROM dims JOIN w USING (batch, dimension) JOIN a USING (dimension)),
-rk AS (SELECT rank() OVER (ORDER BY clock) + (count(*) OVER (PARTITION BY clock) - 1) / 2.0 AS x, rank() OVER (ORDER BY id) AS y FROM entities), kr AS (SELECT corr(x, y) AS k FROM rk), f AS (SELECT r, k FROM r2, kr)"""
+rk AS (SELECT rank() OVER (ORDER BY va[1]) + (count(*) OVER (PARTITION BY va[1]) - 1) / 2.0 AS x, rank() OVER (ORDER BY vb[1]) + (count(*) OVER (PARTITION BY vb[1]) - 1) / 2.0 AS y FROM vectors), kr AS (SELECT corr(x, y) AS k FROM rk),
+f AS (SELECT r, k, o, continuous AS c FROM r2, kr, pr2, cd)"""
 
 
 def _gate(step: int, name: str, test: str) -> str:
@@ -108,7 +113,7 @@ def _gate(step: int, name: str, test: str) -> str:
 
 
 @query("suitability_summary", f"WITH {_FACTS} " + " UNION ALL ".join(_gate(i, n, t) for i, (n, t) in enumerate([
-    ("paired correspondence", "true"), ("representation quality", "r < 0.05"), ("clock robustness", "k >= 0.95"), ("expected order", "k > 0"), ("local continuity", "r > 0.5"), ("eligible for timing", "r < 0.05 AND k >= 0.95 AND k > 0 AND r > 0.5")], 1)))
+    ("paired correspondence", "o"), ("representation quality", "r < 0.05"), ("clock robustness", "k >= 0.95"), ("expected order", "k > 0"), ("local continuity", "c"), ("eligible for timing", "o AND r < 0.05 AND k >= 0.95 AND k > 0 AND c")], 1)))
 def suitability_summary(spark: SparkSession, sf: str) -> DataFrame:
     return report.suitability(_facts(spark, sf))
 
@@ -120,7 +125,7 @@ def evidence_freeze(spark: SparkSession, sf: str) -> DataFrame:
     return report.evidence_freeze({"entities": e, "documents": T.table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n_documents"))})
 
 
-@query("claim_boundaries", f"""WITH {_FACTS} SELECT * FROM (SELECT 'lag_observed' AS claim, k > 0 AS supported FROM f UNION ALL SELECT 'lag_recovered', r < 0.05 FROM f UNION ALL SELECT 'alignment_beyond_chance', r > 0.5 FROM f
+@query("claim_boundaries", f"""WITH {_FACTS} SELECT * FROM (SELECT 'lag_observed' AS claim, k > 0 AS supported FROM f UNION ALL SELECT 'lag_recovered', r < 0.05 FROM f UNION ALL SELECT 'alignment_beyond_chance', c FROM f
 UNION ALL SELECT 'causal_order', false UNION ALL SELECT 'regulator_identified', false)""")
 def claim_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     f = _facts(spark, sf).first()
@@ -128,10 +133,6 @@ def claim_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     return report.claim_boundaries(spark, facts).select("claim", "supported")
 
 
-from .curves import family_selection  # noqa: E402
-from .catalog import ORACLE  # noqa: E402
-
-
 @query("selection_checks", f"""WITH fs AS (SELECT * FROM ({ORACLE['family_selection']})), f AS (SELECT count(*) FILTER (selected) AS n, count(DISTINCT modality) FILTER (selected) AS m, bool_and(NOT selected OR (robust_interior AND inside_region)) AS e FROM fs)
 SELECT 1 AS step, 'one family per modality' AS criterion, n = 2 AND m = 2 AS passed, CASE WHEN n = 2 AND m = 2 THEN 'PASS' ELSE 'REVIEW' END AS status FROM f
 UNION ALL SELECT 2, 'selected families are robust and inside the region', e, CASE WHEN e THEN 'PASS' ELSE 'REVIEW' END FROM f""")
