@@ -14,6 +14,7 @@ from .ordered import running, same_keys
 # Bin widths and edges of the matching strata, pool sizes per candidate.
 ACCESS_BIN_WIDTH = 0.05
 GC_INNER_EDGES = [0.35, 0.45, 0.55, 0.65]
+POOL_PER_CANDIDATE = 40
 BACKGROUND_PER_CANDIDATE = 10
 
 POSITION_BLOCK = 1 << 20
@@ -109,3 +110,14 @@ def match_background(
         F.coalesce("available", F.lit(0)).alias("available"), F.least("n", F.coalesce("available", F.lit(0))).alias("selected"),
     )
     return chosen, audit
+
+
+def match_in_two_stages(
+    background: DataFrame, candidates: DataFrame, coarse: Sequence[str], fine: Sequence[str], pool_h: Column, h: Column, tie: str,
+    pool: int = POOL_PER_CANDIDATE, per_candidate: int = BACKGROUND_PER_CANDIDATE,
+) -> tuple[DataFrame, DataFrame]:
+    """A pool of `pool` rows per candidate in the coarse strata first, whose composition need not be
+    known; then `per_candidate` rows per candidate from the pool in the coarse and fine strata together.
+    Returns the chosen rows and the audit of each final stratum, which counts what the pool offers."""
+    drawn, _ = match_background(background, candidates, coarse, pool, pool_h, tie)
+    return match_background(drawn, candidates, [*coarse, *fine], per_candidate, h, tie)

@@ -115,28 +115,31 @@ def cross_modal_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ backgrounds
-_BG = f"""{T.SEQUENCES}, g AS (SELECT doc_id, lang, length(regexp_replace(seq, '[^GC]', '', 'g')) / nullif(length(seq), 0) AS gc, ('0x' || substr(md5('786:' || doc_id), 1, 15))::BIGINT AS h FROM sequences),
-s AS (SELECT doc_id, lang, gc, h, (gc >= 0.35)::INT + (gc >= 0.45)::INT + (gc >= 0.55)::INT + (gc >= 0.65)::INT AS gc_bin, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS cand FROM g),
-want AS (SELECT lang, gc_bin, count(*) AS c, count(*) * 10 AS n FROM s WHERE cand GROUP BY ALL),
-bg AS (SELECT *, row_number() OVER (PARTITION BY lang, gc_bin ORDER BY h, doc_id) AS r FROM s WHERE NOT cand),
-chosen AS (SELECT bg.* FROM bg JOIN want USING (lang, gc_bin) WHERE r <= n)"""
+_BG = f"""{T.SEQUENCES}, g AS (SELECT doc_id, lang, n_chars, length(regexp_replace(seq, '[^GC]', '', 'g')) / nullif(length(seq), 0) AS gc, ('0x' || substr(md5('785:' || doc_id), 1, 15))::BIGINT AS ph, ('0x' || substr(md5('786:' || doc_id), 1, 15))::BIGINT AS h FROM sequences),
+s AS (SELECT doc_id, lang, gc, h, ph, (n_chars >= 1000)::INT + (n_chars >= 4000)::INT AS size_bin, (gc >= 0.35)::INT + (gc >= 0.45)::INT + (gc >= 0.55)::INT + (gc >= 0.65)::INT AS gc_bin, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS cand FROM g),
+ask AS (SELECT lang, size_bin, count(*) * 40 AS n FROM s WHERE cand GROUP BY ALL),
+pool AS (SELECT p.* FROM (SELECT *, row_number() OVER (PARTITION BY lang, size_bin ORDER BY ph, doc_id) AS pr FROM s WHERE NOT cand) p JOIN ask USING (lang, size_bin) WHERE pr <= n),
+want AS (SELECT lang, size_bin, gc_bin, count(*) AS c, count(*) * 10 AS n FROM s WHERE cand GROUP BY ALL),
+bg AS (SELECT *, row_number() OVER (PARTITION BY lang, size_bin, gc_bin ORDER BY h, doc_id) AS r FROM pool),
+chosen AS (SELECT bg.* FROM bg JOIN want USING (lang, size_bin, gc_bin) WHERE r <= n)"""
 
 
 def _matched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     t = T.table(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct().withColumn("_t", F.lit(True))
-    d = T.sequences(spark, sf).select("doc_id", "lang", S.gc_fraction(F.col("seq")).alias("gc")).join(t, "doc_id", "left")
+    d = T.sequences(spark, sf).select("doc_id", "lang", S.edge_bin(F.col("n_chars"), [1000, 4000]).alias("size_bin"), S.gc_fraction(F.col("seq")).alias("gc")).join(t, "doc_id", "left")
     d = materialize(d.withColumn("gc_bin", S.edge_bin(F.col("gc"), iv.GC_INNER_EDGES)))  # texts are read once
     cand, bg = d.where("_t"), d.where("_t IS NULL")
-    chosen, audit = iv.match_background(bg, cand, ["lang", "gc_bin"], iv.BACKGROUND_PER_CANDIDATE, S.hash60(786, F.col("doc_id")), "doc_id")
+    h = lambda seed: S.hash60(seed, F.col("doc_id"))
+    chosen, audit = iv.match_in_two_stages(bg, cand, ["lang", "size_bin"], ["gc_bin"], h(785), h(786), "doc_id")
     return cand, chosen, audit
 
 
-@query("matched_background", f"WITH {_BG} SELECT doc_id, lang, gc_bin, round(gc, 6) AS gc FROM chosen")
+@query("matched_background", f"WITH {_BG} SELECT doc_id, lang, size_bin, gc_bin, round(gc, 6) AS gc FROM chosen")
 def matched_background(spark: SparkSession, sf: str) -> DataFrame:
-    return _round(_matched(spark, sf)[1].select("doc_id", "lang", "gc_bin", "gc"), "gc")
+    return _round(_matched(spark, sf)[1].select("doc_id", "lang", "size_bin", "gc_bin", "gc"), "gc")
 
 
-@query("background_audit", f"WITH {_BG}, av AS (SELECT lang, gc_bin, count(*) AS a FROM bg GROUP BY ALL) SELECT lang, gc_bin, c AS candidate_n, n AS requested, coalesce(a, 0) AS available, least(n, coalesce(a, 0)) AS selected FROM want LEFT JOIN av USING (lang, gc_bin)")
+@query("background_audit", f"WITH {_BG}, av AS (SELECT lang, size_bin, gc_bin, count(*) AS a FROM bg GROUP BY ALL) SELECT lang, size_bin, gc_bin, c AS candidate_n, n AS requested, coalesce(a, 0) AS available, least(n, coalesce(a, 0)) AS selected FROM want LEFT JOIN av USING (lang, size_bin, gc_bin)")
 def background_audit(spark: SparkSession, sf: str) -> DataFrame:
     return _matched(spark, sf)[2]
 
