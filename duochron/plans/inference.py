@@ -150,7 +150,7 @@ def _stability_sql() -> str:
 near AS (SELECT p.series, p.x, p.y, abs(p.y - lag(p.y) OVER (PARTITION BY p.series ORDER BY p.idx)) AS dy FROM profile p JOIN ctr USING (series) WHERE abs(p.x - c) <= 3),
 loc AS (SELECT series, max(y) - min(y) AS rng, avg(dy) AS rough, max(y) AS top FROM near GROUP BY series HAVING count(*) >= 2), pla AS (SELECT series, max(x) - min(x) AS w FROM near JOIN loc USING (series) WHERE y >= 0.9 * top GROUP BY series),
 el AS (SELECT series, count(*) FILTER (abs(x - c) <= 3) AS ne, count(*) AS np FROM disc JOIN ctr USING (series) GROUP BY series)
-SELECT modality, count(*) AS n_replicates, round(avg(CASE WHEN coalesce(ne, 0) > 0 THEN 1 ELSE 0 END), 6) AS detection_rate, round(avg(coalesce(np, 0)), 6) AS mean_peaks, round(avg(rough), 6) AS mean_roughness, round(avg(w), 6) AS mean_plateau_width, round(avg(rng), 6) AS mean_local_range
+SELECT modality, count(*) AS n_replicates, round(avg(CASE WHEN coalesce(ne, 0) > 0 THEN 1 ELSE 0 END), 6) AS detection_rate, round(avg(coalesce(np, 0)), 6) AS mean_peaks, round(avg(rough), 4) AS mean_roughness, round(avg(w), 4) AS mean_plateau_width, round(avg(rng), 4) AS mean_local_range
 FROM ctr LEFT JOIN el USING (series) LEFT JOIN loc USING (series) LEFT JOIN pla USING (series) GROUP BY modality"""
 
 
@@ -160,7 +160,7 @@ def peak_stability_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     s = pk.stability(p, _with_keys(pk.discovery_peaks(p)), CENTERS, TOLERANCE)
     return s.groupBy("modality").agg(
         F.count(F.lit(1)).alias("n_replicates"), r6(stats.rate(F.col("detected"))).alias("detection_rate"), r6(F.avg("n_peaks")).alias("mean_peaks"),
-        r6(F.avg("roughness")).alias("mean_roughness"), r6(F.avg("plateau_width")).alias("mean_plateau_width"), r6(F.avg("local_range")).alias("mean_local_range"),
+        F.round(F.avg("roughness"), 4).alias("mean_roughness"), F.round(F.avg("plateau_width"), 4).alias("mean_plateau_width"), F.round(F.avg("local_range"), 4).alias("mean_local_range"),
     )
 
 
