@@ -135,8 +135,9 @@ def edges(numbered: DataFrame, window: int) -> DataFrame:
 
 
 def repeated(occurrences: DataFrame) -> DataFrame:
-    """The occurrences of edges that occur twice or more."""
-    twice = occurrences.groupBy("edge").count().where("count > 1").select("edge")
+    """The occurrences of edges that occur twice or more. The counts are written first, so that the join
+    meets plain tables on both sides and Spark can split an edge that very many texts share."""
+    twice = stored(occurrences.groupBy("edge").count().where("count > 1").select("edge"), "twice")
     return occurrences.join(twice, "edge", "left_semi")
 
 
@@ -283,14 +284,14 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
     numbered = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
     occ = stored(repeated(stored(edges(numbered, window), "kmers")), "repeated")
     whole = occ.groupBy("edge", "reach").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "at")).alias("first"))
-    facts = whole.join(paths(occ, window), "edge").select("edge", "reach", "tied", (F.col("times") > 1).alias("twice"), "first")
+    facts = stored(whole.join(paths(occ, window), "edge").select("edge", "reach", "tied", (F.col("times") > 1).alias("twice"), "first"), "facts")
     own = F.struct("at", "tied", "twice", (F.col("first") == F.struct("row", "at")).alias("first"))
     found = occ.join(facts, ["edge", "reach"]).groupBy("row").agg(F.collect_list(own).alias("found"))
     kind = docs.schema[id].dataType.simpleString()
     packed = numbered.select("row", "id", "text").mapInArrow(_shrink, f"row bigint, id {kind}, text binary")
     judged = stored(packed.join(found, "row", "left").select("row", "id", "text", "found").mapInArrow(_judge(window), f"row bigint, id {kind}, {_JUDGED}"), "judged")
     each = judged.select("row", F.explode(F.arrays_zip("starts", "weights", "h1", "h2")).alias("w")).select("row", "w.*")
-    twice = each.groupBy("h1", "h2").agg(F.sum("weights").alias("n")).where("n > 1").select("h1", "h2")
+    twice = stored(each.groupBy("h1", "h2").agg(F.sum("weights").alias("n")).where("n > 1").select("h1", "h2"), "windows")
     again = each.where("weights = 1").select("row", "starts", "h1", "h2").join(twice, ["h1", "h2"], "left_semi").groupBy("row").agg(F.collect_list("starts").alias("again"))
     waiting = judged.where(F.col("text").isNotNull()).select("row", "text", "spans").join(again, "row", "left")
     ended = waiting.select("row", "text", "spans", "again").mapInArrow(_finish(window, texts), f"row bigint, n_removed bigint, sha string, removed {_SPANS}, kept string")
