@@ -12,21 +12,21 @@ Spark's committer makes writing safe against lost executors, and offsets are rea
 from __future__ import annotations
 
 import json
+import os
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_folder
-from .common import raw
 
 BLOCK = 1 << 17  # ids; a block ends with the document that reaches it
-KNOWN = 400_000  # pieces kept per process; a full table starts anew
+KNOWN = 700_000  # pieces kept per process
 SCHEMA = "shard int, block int, offset bigint, n_ids bigint, width int, doc_ids array<bigint>, doc_offsets array<bigint>, payload binary"
 
 
@@ -68,6 +68,9 @@ def unpack(payload: bytes, width: int, start: int, stop: int) -> np.ndarray:
 
 
 # ------------------------------------------------------------------ encoding
+_OTHER_BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
 class Encoder:
     """Ids of texts by a byte-level file of the tokenizers library.
 
@@ -80,6 +83,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the cores
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -87,35 +91,52 @@ class Encoder:
         self.by_piece = spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"] and spec["pre_tokenizer"]["use_regex"] and not spec["normalizer"] and spec["model"]["vocab"].get("Ċ") is not None
         self.line = spec["model"]["vocab"].get("Ċ")
         names = [t["content"] for t in spec["added_tokens"]]
+        self.runs = ["  ", " \n", "\n ", "\n\n", "\0", *names]
         self.whole = re.compile("|".join([r"\s\s", "\0", *map(re.escape, names)]))
-        self.fixed = {"": b"", "\n": np.uint32(self.line or 0).tobytes()}
+        self.odd = re.compile(r"[^\S \n]| (?:\n|$)")
+        self.kind = np.uint16 if self.largest < 1 << 16 else np.uint32
+        self.fixed = {"": b"", "\n": self.kind(self.line or 0).tobytes()}
         self.known: dict[str, bytes] = dict(self.fixed)
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > KNOWN:
-            self.known = dict(self.fixed)
-        plain = [p for p in new if not re.search(r"\s", p[1:]) and p != " "]
-        for p in set(new).difference(plain):
-            self.known[p] = self._ids(p)
-        for at in range(0, len(plain), 4096):
-            group = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode("\n".join(group), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.line)
-            for p, a, b in zip(group, [0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
-                self.known[p] = ids[a:b].tobytes()
+        size, known = self.kind().itemsize, self.known
+        groups = [new[at : at + 64] for at in range(0, len(new), 64)]
+        joined = ["\n".join(g) for g in groups]
+        for g, text, found in zip(groups, joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            if self.odd.search(text):  # white space beside the line breaks: each piece alone
+                known.update((p, self._ids(p)) for p in g)
+                continue
+            ids = np.array(found.ids, self.kind)
+            cuts = (np.flatnonzero(ids == self.line) * size).tolist()
+            data, at = ids.tobytes(), 0
+            for p, end in zip(g, [*cuts, len(data)], strict=True):
+                known[p] = data[at:end]
+                at = end + size
+
+    def _in_pieces(self, text: str) -> bool:
+        """Whether nothing in the text needs to be seen whole: see the class."""
+        if not self.by_piece:
+            return False
+        if text.isascii() and not any(c in text for c in _OTHER_BLANKS):
+            return not any(x in text for x in self.runs)
+        return not self.whole.search(text)
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [None if not self.by_piece or self.whole.search(t or "") else (t or "").replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
-        used = set().union(*(c for c in cut if c))
-        new = [p for p in used if p not in self.known]
-        if len(self.known) + len(new) > KNOWN:
-            new = list(used.difference(self.fixed))
-        self._learn(new)
-        get = self.known.__getitem__
-        return [np.frombuffer(self._ids(t or "") if c is None else b"".join(map(get, c)), np.uint32) for t, c in zip(texts, cut, strict=True)]
+        cut = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if self._in_pieces(t) else None for t in (x or "" for x in texts)]
+        values = [None if c is None else list(map(self.known.get, c)) for c in cut]
+        new = set().union(*(compress(c, map(not_, v)) for c, v in zip(cut, values, strict=True) if c)) - {""}  # "" has no ids
+        if len(self.known) + len(new) > KNOWN:  # a full table keeps what this batch uses, the frequent pieces
+            self.known = self.fixed | {p: x for c, v in zip(cut, values, strict=True) if c for p, x in zip(c, v, strict=True) if x is not None}
+        self._learn(list(new))
+        known = self.known
+        out = []
+        for t, c, v in zip(texts, cut, values, strict=True):
+            data = self._ids(t or "") if c is None else b"".join([known[p] if x is None else x for p, x in zip(c, v, strict=True)] if None in v else v)
+            out.append(np.frombuffer(data, self.kind))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -129,11 +150,6 @@ def encoder(path: str) -> Encoder:
 
 
 # ------------------------------------------------------------------ writing
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors reach, under spark.checkpoint.dir."""
-    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def write(docs: DataFrame, to: str, path: str, id: str = "doc_id", text: str = "text", end: int = 0) -> None:
     """Encode every text (null: empty), append `end`, and write shards in ascending id order (nulls
     first, repeated ids by text) to folder `to`. One range partition is one shard."""
@@ -149,7 +165,7 @@ def write(docs: DataFrame, to: str, path: str, id: str = "doc_id", text: str = "
         ids: list[int | None] = []
         block = offset = filled = 0
         shard = 0
-        stop = np.array([end], np.uint32)
+        stop = np.array([end], enc.kind)
 
         def flush() -> pa.RecordBatch:
             sizes = np.array([len(h) + 1 for h in held], np.int64)
@@ -159,8 +175,8 @@ def write(docs: DataFrame, to: str, path: str, id: str = "doc_id", text: str = "
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
                 shard = b.column(2)[0].as_py()
                 for i, found in zip(b.column(0).to_pylist(), enc.batch(b.column(1).to_pylist()), strict=True):
                     held.append(found)
