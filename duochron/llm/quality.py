@@ -4,10 +4,11 @@ For every text one pass counts the base measures and two histograms: characters
 occurrences of common function words (one class more for all other words). The references are the same
 histograms summed per language over the texts that pass the base rule; a second round sums only
 those whose characters lie no farther from the first reference than the language's average text, so that
-junk does not shape what it is held against. A language with less than one row in a hundred takes the pooled
-reference, so at most 100 references exist whatever the data. A text is rejected if its Jensen-Shannon
-distance from its reference is too large in either histogram. The limits shrink with the square root
-of the length, as sampling noise does, and texts under a minimum length are not judged at all.
+junk does not shape what it is held against. Every language has a reference of its own, however rare; one with
+few texts is not trimmed, so that each of its texts is part of what it is held against. A text without a
+language is held against the reference nearest to it, never against a mix. A text is rejected if its
+Jensen-Shannon distance from its reference is too large in either histogram. The limits shrink with the square
+root of the length, as sampling noise does, and texts under a minimum length are not judged at all.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ MAX_REPEAT = 30  # percent of words
 GUARD = 50  # words that a text needs to be held against a reference
 CHAR_LIMIT = (0.12, 0.9)  # a + b / sqrt(words)
 WORD_LIMIT = (0.12, 2.0)
-LEAST_SHARE = 100  # a language has its own reference from one row in so many
+TRIMMED = 30  # texts from which a language's reference is trimmed
+SMALL = 10_000  # languages up to which their references are broadcast
 
 _CLASS_NAMES = ("lower", "upper", "digit", "mark", "symbol", "blank", "other")
 _MARKS = b".,;:!?'\"()-"
@@ -120,16 +122,11 @@ def measures(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     return map_text(docs, keep, text, build, f"{longs}, chars array<bigint>, common array<bigint>")
 
 
-def references(measured: DataFrame, lang: str) -> tuple[dict[str, tuple[list[int], list[int]]], tuple[list[int], list[int]]]:
-    """(by language, pooled): summed histograms. At most LEAST_SHARE languages can reach the share."""
+def references(measured: DataFrame, lang: str) -> DataFrame:
+    """(ref_lang, ref_chars, ref_common): the shares of the summed histograms of every language."""
     sums = [F.sum(F.col("chars")[i]) for i in range(len(_CLASS_NAMES))], [F.sum(F.col("common")[i]) for i in range(len(WORDS) + 1)]
-    by = materialize(measured.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"), *(F.array(*s).alias(k) for s, k in zip(sums, ("chars", "common"), strict=True))))
-    add = [F.array(*(F.sum(F.col(k)[i]) for i in range(n))).alias(k) for k, n in (("chars", len(_CLASS_NAMES)), ("common", len(WORDS) + 1))]
-    total = by.agg(F.sum("n").alias("n"), *add).first()
-    if not total.n:
-        return {}, ([0] * len(_CLASS_NAMES), [0] * (len(WORDS) + 1))
-    rows = by.where(F.col("lang").isNotNull() & (F.col("n") * LEAST_SHARE >= total.n)).collect()
-    return {r.lang: (r.chars, r.common) for r in rows}, (total.chars, total.common)
+    by = measured.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("ref_lang")).agg(*(F.array(*s).alias(k) for s, k in zip(sums, ("chars", "common"), strict=True)))
+    return materialize(by.select("ref_lang", *(_shares(k).alias(f"ref_{k}") for k in ("chars", "common"))))
 
 
 def distance(counts: str, reference: Column) -> Column:
@@ -140,41 +137,50 @@ def distance(counts: str, reference: Column) -> Column:
     return F.when((total > 0) & (F.aggregate(reference, F.lit(0.0), lambda a, x: a + x) > 0), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / 2)))
 
 
-def _shares(counts: list[int]) -> Column:
-    total = sum(counts)
-    return F.array(*(F.lit(c / total if total else 0.0) for c in counts))
+def _shares(counts: str) -> Column:
+    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(0.0))
+
+
+def _small(by: DataFrame) -> DataFrame:
+    return F.broadcast(by) if by.count() <= SMALL else by
+
+
+def _against(m: DataFrame, lang: str, refs: DataFrame) -> DataFrame:
+    """The rows of `m` with both distances from their language's reference; null if it has none."""
+    far = [distance(k, F.col(f"ref_{k}")).alias(name) for k, name in (("chars", "char_distance"), ("common", "word_distance"))]
+    return m.join(_small(refs), F.col(lang) == F.col("ref_lang"), "left").select(*m.columns, *far)
 
 
-def _against(m: DataFrame, lang: str, refs) -> DataFrame:
-    by, pooled = refs
-    out = m
-    for i, (counts, name) in enumerate((("chars", "char_distance"), ("common", "word_distance"))):
-        ref = _shares(pooled[i])
-        for own, hists in sorted(by.items()):
-            ref = F.when(F.col(lang) == own, _shares(hists[i])).otherwise(ref)
-        out = out.withColumn(name, distance(counts, ref))
-    return out
+def _against_nearest(m: DataFrame, refs: DataFrame) -> DataFrame:
+    """The rows of `m` with both distances from the one reference whose words, then characters, are nearest."""
+    every = refs.agg(F.collect_list(F.struct("ref_chars", "ref_common")).alias("ref_all"))
+    apart = lambda r: F.struct(F.coalesce(distance("common", r["ref_common"]), F.lit(2.0)).alias("w"), distance("chars", r["ref_chars"]).alias("c"))
+    near = m.crossJoin(F.broadcast(every)).withColumn("ref_near", F.array_min(F.transform("ref_all", apart)))
+    return near.select(*m.columns, F.col("ref_near.c").alias("char_distance"), F.when(F.col("ref_near.w") <= 1.5, F.col("ref_near.w")).alias("word_distance"))
 
 
 def judged(docs: DataFrame, keep: list[str], text: str, lang: str) -> DataFrame:
     """The `keep` columns with the base measures, char_distance, word_distance, base_failed and kept.
 
     `keep` must hold `lang` and none of the added names. Null and empty texts have no words and fail
-    the base rule; a null or rare language is held against the pooled reference; repeated rows are
-    judged alike; without any text that passes the base rule nothing more is rejected; an empty table
-    gives no rows.
+    the base rule; a text with a null language is held against the nearest of all references; a language
+    none of whose texts passes the base rule has no reference and null distances; repeated rows are
+    judged alike; without any text of a known language that passes the base rule nothing more is rejected;
+    an empty table gives no rows.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     m = materialize(measures(docs, keep, text).withColumn("base_failed", failed))
-    sound = m.where(~F.col("base_failed"))
-    first_refs = references(sound, lang)
-    first = _against(sound, lang, first_refs)
-    by, _ = first_refs
-    own = {r[0]: r[1] for r in first.where(F.col(lang).isin(list(by))).groupBy(lang).agg(F.avg("char_distance")).collect()}  # at most 100 rows
-    average = F.lit(first.agg(F.avg("char_distance")).first()[0] or 0.0)
-    for name, value in sorted(own.items()):
-        average = F.when(F.col(lang) == name, value).otherwise(average)
-    out = _against(m, lang, references(first.where(F.col("char_distance") <= average + 1e-9), lang))
+    sound = m.where(~F.col("base_failed") & F.col(lang).isNotNull())
+    first = _against(sound, lang, references(sound, lang))
+    average = materialize(first.groupBy(F.col(lang).alias("ref_lang")).agg(F.avg("char_distance").alias("ref_average"), F.count(F.lit(1)).alias("ref_n")))
+    inner = first.join(_small(average), F.col(lang) == F.col("ref_lang")).where((F.col("ref_n") < TRIMMED) | (F.col("char_distance") <= F.col("ref_average") + 1e-9))
+    refs = references(inner.select(*m.columns), lang)
+    unnamed = m.where(F.col(lang).isNull())
+    if unnamed.isEmpty():
+        out = _against(m, lang, refs)
+    else:
+        out = _against(m.where(F.col(lang).isNotNull()), lang, refs).unionByName(_against_nearest(unnamed, refs))
     over = lambda d, limit: F.col(d) > limit[0] + limit[1] / F.sqrt("n_words")
     far = (F.col("n_words") >= GUARD) & (over("char_distance", CHAR_LIMIT) | over("word_distance", WORD_LIMIT))
     return out.drop("chars", "common").withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))

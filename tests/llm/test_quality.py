@@ -63,3 +63,23 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [4, 4, 5]
     assert quality.report(df.limit(0)).count() == 0
     assert quality.report(df.where("doc_id < 3")).where("kept").count() == 0
+
+
+def test_rare_and_unnamed_languages(spark):
+    """A language with under one row in a hundred, or none, loses no more than a common one."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    bad = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 0").select("doc_id")
+    good = docs.join(bad, "doc_id", "left_anti").where(F.size(F.split("text", r"\s+")) >= 60)
+    whole = quality.report(good).where("kept").select("doc_id")
+    es = good.where("lang = 'es'").join(whole, "doc_id", "left_semi").orderBy("doc_id").limit(4)
+    some = es.unionByName(good.where("lang <> 'es'")).unionByName(good.where("lang = 'es'").orderBy(F.desc("doc_id")).limit(3).withColumn("lang", F.lit("rare")))
+    out = {r.doc_id: r for r in quality.report(some).collect()}
+    rare = [out[r.doc_id] for r in es.collect()]
+    assert len(rare) * 100 < len(out) and len(rare) == 4 and all(r.kept for r in rare)
+    unnamed = good.withColumn("lang", F.when(F.col("doc_id") % 10 > 0, F.col("lang")))
+    got = {r.doc_id: r for r in quality.report(unnamed).collect()}
+    for g in ("en", "fr", "de", "es"):
+        mine = [got[r.doc_id] for r in good.where(F.col("lang") == g).where("doc_id % 10 = 0").collect() if not got[r.doc_id].base_failed]
+        assert len(mine) > 3 and sum(r.kept for r in mine) >= 0.8 * len(mine), g
