@@ -6,7 +6,7 @@ Learned transitions join neighbours, so that code-switched text is labelled word
 forward-backward. A text's language has the largest mean posterior over its words.
 
 The field is fitted on the driver from at most `sample` documents per language (chosen by the hash of their
-id, a documented bound), cut into sequences and mixed into code-switched ones. Every whole text is
+id, a documented bound; no language is left out), cut into sequences and mixed into code-switched ones. Every whole text is
 labelled on the executors. Forward-backward over long texts runs block by block: first the transfer
 matrix of every block, all blocks at once, then the messages at the block edges, then the words.
 """
@@ -19,10 +19,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import map_text, materialize
 
 SAMPLE = 400  # documents per language
 BUCKETS = 1 << 16
@@ -31,7 +31,7 @@ SEQUENCES = 6000
 STEPS, RATE, DECAY = 60, 0.05, 1e-4
 BLOCK = 128  # words
 KNOWN = 400_000  # words kept per process; a full table starts anew
-LEAST_SHARE = 0.01  # of the labelled rows: at most 100 languages
+LABELS = 200  # languages; more are refused, none is left out
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -119,17 +119,22 @@ class Field:
         norm = 1 / np.sqrt(np.array(list(map(len, feats))))
         share = norm[owner]
         n = len(self.langs)
-        one = np.eye(n)[truth]
         seen = np.zeros((n, n))
         np.add.at(seen, (truth[:, :-1].ravel(), truth[:, 1:].ravel()), 1)
         params = [self.weights.astype(float), self.trans]
+        group = max(1, SEQUENCES * 20 // max(20, n))  # sequences at once: memory does not follow the labels
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for step in range(1, STEPS + 1):
             score = np.stack([np.bincount(owner, weights=params[0][flat, k] * share, minlength=len(feats)) for k in range(n)], axis=1)
-            e = np.exp(score - score.max(axis=1, keepdims=True))[seqs]
-            post, pairs = forward_backward(e, np.exp(params[1]), np.full(n, 1 / n))
-            off = (post - one).reshape(-1, n)
-            by_type = np.stack([np.bincount(seqs.ravel(), weights=off[:, k], minlength=len(feats)) for k in range(n)], axis=1)
+            factors = np.exp(score - score.max(axis=1, keepdims=True))
+            pairs, by_type = np.zeros((n, n)), np.zeros((len(feats), n))
+            for at in range(0, SEQUENCES, group):
+                some_seqs = seqs[at : at + group]
+                post, some_pairs = forward_backward(factors[some_seqs], np.exp(params[1]), np.full(n, 1 / n))
+                off = post.reshape(-1, n)
+                off[np.arange(len(off)), truth[at : at + group].ravel()] -= 1
+                pairs += some_pairs
+                by_type += np.stack([np.bincount(some_seqs.ravel(), weights=off[:, k], minlength=len(feats)) for k in range(n)], axis=1)
             grads = [np.stack([np.bincount(flat, weights=by_type[owner, k] * share, minlength=BUCKETS) for k in range(n)], axis=1), pairs - seen]
             for i, g in enumerate(grads):
                 g = g / SEQUENCES + DECAY * params[i]
@@ -211,23 +216,24 @@ class Field:
 
 
 def train(docs: DataFrame, id: str, text: str, lang: str, fold: Callable[[Column], Column] | None = None, sample: int = SAMPLE) -> Field:
-    """Fit on at most `sample` documents of each language that has a hundredth of the labelled rows.
+    """Fit on at most `sample` documents of every language, however rare.
 
     Rows with a null language or id, or without letters, teach nothing; with one language every text with
-    letters has it; with none every text is und.
+    letters has it; with none every text is und. More than LABELS languages are an error.
     """
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("id")) if fold else F.lit(True)))
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    langs = sorted(r.lang for r in counts.where(F.col("count") >= LEAST_SHARE * total).collect())  # at most 100
-    texts, names = [], []
-    for g in langs:  # `sample` rows of each, taken by a top-k, not by a sort of the language
-        ids = rows.where(F.col("lang") == g).select("id", "lang", F.xxhash64("id").alias("h")).distinct().orderBy("h", "id").limit(sample)
-        some = rows.join(F.broadcast(ids.select("id", "lang")), ["id", "lang"]).groupBy("id").agg(F.min("text").alias("text")).orderBy("id").collect()
-        texts += [words_of(r.text) for r in some]
-        names += [g] * len(some)
-    return Field(langs).fit(texts, names)
+    ids = rows.select("id", "lang", F.xxhash64("id").alias("h")).distinct()
+    # tasks keep `sample` rows of a language before the shuffle, so that no whole language is sorted
+    ids = materialize(ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("rank") <= sample).select("id", "lang"))
+    langs = sorted(r.lang for r in ids.select("lang").distinct().limit(LABELS + 1).collect())
+    if len(langs) > LABELS:
+        raise ValueError(f"more than {LABELS} values of {lang}")
+    some = rows.join(F.broadcast(ids), ["id", "lang"]).groupBy("lang", "id").agg(F.min("text").alias("text")).collect()
+    some.sort(key=lambda r: (r.lang, r.id))
+    same: dict[str, str] = {}  # one object for each word
+    texts = [[same.setdefault(w, w) for w in words_of(r.text)] for r in some]
+    return Field(langs).fit(texts, [r.lang for r in some])
 
 
 def labelled(docs: DataFrame, keep: list[str], text: str, field: Field) -> DataFrame:
@@ -260,7 +266,7 @@ def labelled(docs: DataFrame, keep: list[str], text: str, field: Field) -> DataF
 
         return make
 
-    return map_text(docs, keep, text, build, f"lang_pred string, score double, runs {runs_kind}", piece=1000)
+    return map_text(docs, keep, text, build, f"lang_pred string, score double, runs {runs_kind}", piece=max(1, 1000 * 400 // max(20, len(field.langs)) ** 2))
 
 
 def report(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> DataFrame:

@@ -75,3 +75,18 @@ def test_odd_rows(spark):
     none = df.select("doc_id", "text", df.score.cast("string").alias("lang")).selectExpr("doc_id", "text", "nullif(lang, lang) as lang")
     assert {r.lang_pred for r in langid.report(none).collect()} == {"und"}
     assert langid.report(df.limit(0)).count() == 0
+
+
+def test_rare_language(spark):
+    """A language with under one row in a hundred is learned; too many labels are refused, not cut."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 200")
+    es = docs.where("lang = 'es'").orderBy("doc_id").limit(6)
+    some = docs.where("lang <> 'es'").unionByName(es)
+    assert 6 * 100 < some.count()
+    field = langid.train(some, "doc_id", "text", "lang")
+    assert field.langs == ["de", "en", "es", "fr"]
+    rest = docs.where("lang = 'es'").join(es.select("doc_id"), "doc_id", "left_anti")
+    out = langid.labelled(rest, ["doc_id"], "text", field).collect()
+    assert np.mean([r.lang_pred == "es" for r in out]) >= 0.9
+    with pytest.raises(ValueError):
+        langid.train(spark.createDataFrame([(i, "a b", f"l{i}") for i in range(langid.LABELS + 1)], "doc_id int, text string, lang string"), "doc_id", "text", "lang")
