@@ -1,7 +1,7 @@
 """Secret scans: patterns for candidates, then structural confirmation by decoding them.
 
-Base kinds come from three patterns. The method looks at every maximal run of base64 or hex letters of
-sufficient length, decodes it and reports it only if the bytes have the structure of a secret: a key in
+Base kinds come from three patterns. The method looks at every maximal run of base64 (also url-safe, also
+wrapped over lines, also with escaped line ends) or hex letters of sufficient length, decodes it and reports it only if the bytes have the structure of a secret: a key in
 DER (nested tags whose lengths add up to the end, with a key's version, object identifier or integers),
 an OpenSSH key, or a signed token whose header is JSON with an algorithm. Every span is in code points of
 the original text, end exclusive.
@@ -13,6 +13,8 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +33,13 @@ _ORDER = {k: i for i, k in enumerate(KINDS)}
 _HINTS = ("passw", "secret", "token", "api")  # every assignment has one of these, in either case
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+_END = r"(?:[ \t]*(?:\r\n?|\n|\\+[nr])[ \t]*)+"
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}(?:" + _END + r"[A-Za-z0-9+/_-]+={0,2})*")
+_LINE = re.compile(r"(?:\\+[nr])|([A-Za-z0-9+/_-]+)={0,2}")
+_SOFT = re.compile(r"\\+[nr]|\\(?=/)|\s")  # what may stand between the letters of armour
+_HEADER = re.compile(r"(?:^|(?<=[\n\r])|(?<=\\[nr]))[ \t]*[A-Za-z][A-Za-z0-9-]*:[^\n\r\\]*")
+_SEALED = re.compile(r"DEK-Info:\s*[A-Z0-9-]+\s*,\s*[0-9A-Fa-f]{16,}")
+_PKCS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))  # encryption by password
 _HEXES = re.compile(r"[0-9A-Fa-f]{48,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 
@@ -80,6 +89,8 @@ def is_key(data: bytes) -> bool:
         return True  # version, algorithm, wrapped key
     if whole and tags[1:2] == [0x04] and len(parts[1][1]) in (20, 24, 28, 32, 48, 66):
         return True  # version, scalar of a curve
+    if tags == [0x30, 0x04] and [t for t, _, _ in parts[0][2]] == [0x06, 0x30] and parts[0][2][0][1].startswith(_PKCS):
+        return True  # cipher with its parameters, encrypted key
     return tags == [0x30, 0x03] and bool(parts[0][2]) and parts[0][2][0][0] == 0x06  # algorithm, public bits
 
 
@@ -130,6 +141,73 @@ def _kind_of(data: bytes | None) -> str | None:
     return "key" if is_key(data) else "ssh" if is_ssh(data) else None
 
 
+def _armoured_kind(body: str) -> str | None:
+    """Of what stands between the two lines of PEM armour."""
+    data = _unpadded(_SOFT.sub("", _HEADER.sub("", body)), True)
+    if _SEALED.search(body):
+        return "key" if data and len(data) >= 24 and len(data) % 8 == 0 else None  # whole cipher blocks
+    return _kind_of(data)
+
+
+def _der_size(head: bytes) -> int:
+    """Bytes of the key that may begin so, by its own length; else 0."""
+    if len(head) < 6 or head[0] != 0x30:
+        return 0
+    more = head[1] & 0x7F if head[1] >= 0x80 else 0
+    if more > 3 or head[1] == 0x80 or head[2 + more] not in (0x02, 0x30):
+        return 0
+    return 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
+
+
+def _ssh_sizes(data: bytes) -> list[int]:
+    """Sizes at which an OpenSSH key that begins so can end."""
+    if data.startswith(b"openssh-key-v1\0"):
+        at, left = 15, 3  # cipher, derivation, its options; then the number of keys
+        while left and at + 4 <= len(data):
+            at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+        if left or at + 4 > len(data):
+            return []
+        at, left = at + 4, int.from_bytes(data[at : at + 4], "big") + 1
+        while left and at + 4 <= len(data):
+            at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+        return [] if left else [at]
+    out, at = [], 0
+    while at + 4 <= len(data):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        if at > len(data):
+            break
+        out.append(at)
+    return out[1:]
+
+
+def _wrapped(text: str, start: int, stop: int) -> list[tuple[int, int, int]]:
+    """Keys in consecutive lines of base64: each begins with a line, and its own length says at the end of
+    which line it must end."""
+    lines = [(m.start(), m.end(), m[1]) for m in _LINE.finditer(text, start, stop) if m[1]]
+    ends = list(accumulate(len(t) for _, _, t in lines))
+    whole, out, i = "".join(t for _, _, t in lines), [], 0
+    while i < len(lines):
+        begin = ends[i] - len(lines[i][2])
+        sizes: list[int] = []
+        if whole[begin] == "M":
+            sizes = [_der_size(_unpadded(whole[begin : begin + 8], True) or b"")]
+        elif whole.startswith(("AAAA", "b3BlbnNzaC1rZXktdjEA"), begin):
+            rest = whole[begin:]
+            sizes = _ssh_sizes(_unpadded(rest[: len(rest) // 4 * 4], True) or b"")
+        found = None
+        for size in sorted(set(sizes), reverse=True):
+            letters = -(-4 * size // 3)
+            j = bisect_left(ends, begin + letters)
+            if size and j < len(lines) and ends[j] == begin + letters and (kind := _kind_of(_unpadded(whole[begin : begin + letters], True))):
+                found = j, kind
+                break
+        if found:
+            out.append((lines[i][0], lines[found[0]][1], _ORDER[found[1]]))
+            i = found[0]
+        i += 1
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) by the three base patterns."""
     out = []
@@ -147,10 +225,12 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     out, armoured = [], []
     if "-----BEGIN " in text:
         for m in _ARMOUR.finditer(text):
-            kind = _kind_of(_unpadded(re.sub(r"\s", "", m[2])))
+            kind = _armoured_kind(m[2])
             if kind:
                 out.append((m.start(), m.end(), _ORDER[kind]))
                 armoured.append(m.span())
+    for m in _WRAPPED.finditer(text):
+        out += [s for s in _wrapped(text, *m.span()) if not any(a <= s[0] and s[1] <= b for a, b in armoured)]
     for pattern, decode in ((_BASE64, _unpadded), (_HEXES, lambda h: bytes.fromhex(h) if len(h) % 2 == 0 else None)):
         for m in pattern.finditer(text):
             kind = _kind_of(decode(m[0]))

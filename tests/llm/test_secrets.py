@@ -96,3 +96,32 @@ def test_odd_rows(spark):
     text = {r.base: r.text for r in m.collect()}
     assert text[0] is None and text[1] == "" and text[2] == "token token=abc [assign] é" and text[7] == "[assign]'" and text[5] == texts[5]
     assert secrets.report(df.limit(0)).count() == 0
+
+
+def test_keys_as_they_are_stored():
+    """Escaped line ends, wrapped lines without armour, encrypted keys and url-safe letters."""
+    key = secrets.KINDS.index("key")
+    lines = lambda b: re.sub("(.{64})", r"\1\n", base64.b64encode(b).decode())
+    pem = "-----BEGIN PRIVATE KEY-----\n" + lines(PKCS8) + "\n-----END PRIVATE KEY-----"
+    for t in (pem.replace("\n", "\\n"), pem.replace("\n", "\\r\\n"), pem.replace("\n", "\\\\n").replace("/", "\\/")):
+        assert secrets.confirmed_spans('{"k": "' + t + '"}') == [(7, 7 + len(t), key)]
+    for data in (RSA, PKCS8, PUBLIC):
+        for t in (lines(data), lines(data).replace("\n", "\r\n"), lines(data).replace("\n", "\\n")):
+            assert secrets.confirmed_spans("key:\n" + t + "\nthe end") == [(5, 5 + len(t), key)]
+            assert secrets.confirmed_spans(t + "\n\n" + t) == [(0, len(t), key), (len(t) + 2, 2 * len(t) + 2, key)]
+        for bad in (data[:-1], data + b"\0"):
+            assert secrets.confirmed_spans(lines(bad)) == []
+    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + b"\0\0\0\1" + b"".join(len(x).to_bytes(4, "big") + x for x in (SSH, bytes(136)))
+    assert (0, len(lines(ssh)), secrets.KINDS.index("ssh")) in secrets.confirmed_spans(lines(ssh) + "\nthe end")
+    pbes2 = wrap(6, bytes.fromhex("2a864886f70d01050d"))
+    locked = wrap(0x30, wrap(0x30, pbes2, wrap(0x30, b"\x05\x00")), wrap(4, bytes(range(64))))
+    t = base64.b64encode(locked).decode()
+    assert secrets.confirmed_spans("x " + t) == [(2, 2 + len(t), key)]
+    digest = wrap(0x30, wrap(0x30, wrap(6, bytes.fromhex("608648016503040201")), b"\x05\x00"), wrap(4, bytes(32)))
+    assert secrets.confirmed_spans(base64.b64encode(digest).decode()) == []
+    old = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n" + lines(bytes(range(160))) + "\n-----END RSA PRIVATE KEY-----"
+    for t in (old, old.replace("\n", "\\n")):
+        assert secrets.confirmed_spans("a\n" + t) == [(2, 2 + len(t), key)]
+    odd = wrap(0x30, number(1), wrap(4, bytes([251, 255] * 16)))
+    t = base64.urlsafe_b64encode(odd).decode()
+    assert "-" in t + "_" and ("-" in t or "_" in t) and secrets.confirmed_spans("k " + t) == [(2, 2 + len(t), key)]
