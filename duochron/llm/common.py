@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..session import checkpoint_folder, materialize
 
-__all__ = ["fresh", "map_text", "materialize", "raw", "shared_folder", "stored"]
+__all__ = ["discard", "fresh", "map_batches", "map_text", "materialize", "raw", "shared_folder", "stored"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -39,6 +39,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the table that `stored` wrote, once nothing will read `df` again."""
+    jvm = df.sparkSession._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """`run` over the Arrow batches of each task."""
+    return df.mapInArrow(run, schema)
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

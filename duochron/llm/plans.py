@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, contamination, langid, mil, packed, quality, secrets, simhash, substrings, urls
+from . import bpe, contamination, langid, mil, packed, quality, secrets, simhash, substrings, topk, urls
 from .common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +88,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = shared_folder(spark, "packed")
     packed.write(table(spark, sf_dir, "documents"), to, tokenizer_file("byte_bpe_50k.json"))
     return packed.documents(spark, to)
+
+
+OP13_SQL = """
+WITH v AS (
+    SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(coalesce(list_sum([q.e[i] * c.e[i] for i in range(1, len(q.e) + 1)]), 0) AS BIGINT) AS score
+    FROM v AS q JOIN v AS c ON c.vec_id IS DISTINCT FROM q.vec_id AND len(c.e) = len(q.e)
+    WHERE q.vec_id % 100 = 0
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op13_topk", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, 10)
