@@ -6,12 +6,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql.types import StructType
 
 from ..session import checkpoint_folder, materialize
 
-__all__ = ["discard", "fresh", "map_batches", "map_text", "materialize", "raw", "shared_folder", "stored"]
+__all__ = ["discard", "fresh", "map_batches", "map_groups", "map_text", "materialize", "raw", "shared_folder", "stored"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -52,6 +52,15 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(run, schema)
 
 
+def map_groups(groups: GroupedData, run: Callable[[pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
+    """`run` over the Arrow table of each group; callers see to it that groups are bounded."""
+
+    def each(t: pa.Table) -> pa.Table:
+        return run(t)
+
+    return groups.applyInArrow(each, schema)
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
