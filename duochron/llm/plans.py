@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, langid, merkle, mil, packed, quality, secrets, simhash, substrings, topk, urls
+from . import bpe, contamination, langid, merkle, mil, packed, quality, secrets, simhash, substrings, topk, urls, whitening
 from .common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.documents(spark, to)
 
 
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whitened(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
+    return out.withColumn("deviation", F.col("deviation").try_cast("bigint"))  # beyond long: null
+
+
 OP12_SQL = """
 WITH RECURSIVE d AS (
     SELECT doc_id, lang, text, coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
