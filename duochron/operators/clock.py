@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import hash60
-from ..session import materialize
+from ..session import materialize, shipped
 from .knn import components, knn
 
 # Eigenvalue above which a direction counts as stationary, components kept.
@@ -59,7 +59,7 @@ def _gram(state: DataFrame, left: str, right: str, rows: int, cols: int) -> np.n
         yield pd.DataFrame({"pos": np.arange(rows * cols), "x": acc.ravel()})
 
     cols_used = list(dict.fromkeys([left, right]))
-    got = state.select(*cols_used).mapInPandas(part, "pos int, x double").groupBy("pos").agg(F.sum("x").alias("x")).toPandas()
+    got = shipped(state.select(*cols_used)).mapInPandas(part, "pos int, x double").groupBy("pos").agg(F.sum("x").alias("x")).toPandas()
     return got.sort_values("pos")["x"].to_numpy().reshape(rows, cols)
 
 
@@ -74,7 +74,7 @@ def _combine(state: DataFrame, col: str, m: np.ndarray, out: str) -> DataFrame:
             res = np.stack(pdf[col].to_numpy()) @ shared.value if len(pdf) else np.zeros((0, shared.value.shape[1]))
             yield pdf[keep].assign(**{out: list(res)})
 
-    return state.mapInPandas(apply, schema)
+    return shipped(state).mapInPandas(apply, schema)
 
 
 def _multiply(t: DataFrame, state: DataFrame, col: str, width: int) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, shipped
 
 MAX_FEATURES = 100_000
 OVERSAMPLE = 10
@@ -69,7 +69,7 @@ def _gram_times(rows: DataFrame, q: np.ndarray, mean: np.ndarray) -> np.ndarray:
         acc -= np.outer(mu, total)
         yield pd.DataFrame({"f": np.arange(d, dtype="int32"), "z": list(acc)})
 
-    summed = rows.mapInPandas(part, "f int, z array<double>").groupBy("f").agg(F.array(*[F.sum(F.col("z")[i]) for i in range(b)]).alias("z")).toPandas()
+    summed = shipped(rows).mapInPandas(part, "f int, z array<double>").groupBy("f").agg(F.array(*[F.sum(F.col("z")[i]) for i in range(b)]).alias("z")).toPandas()
     return np.stack(summed.sort_values("f")["z"].to_numpy())
 
 
@@ -103,7 +103,7 @@ def factor(values: DataFrame, features: DataFrame, entities: DataFrame, k: int,
         for pdf in batches:
             yield pd.DataFrame({"entity": pdf["entity"], "scores": list(_times(pdf, *shared.value))})
 
-    scores = rows.mapInPandas(project, f"entity {rows.schema['entity'].dataType.simpleString()}, scores array<double>")
+    scores = shipped(rows).mapInPandas(project, f"entity {rows.schema['entity'].dataType.simpleString()}, scores array<double>")
     score_mean = np.zeros(k) if center else mean @ load
     variance = lam[top] / n - score_mean**2
     axes = pd.DataFrame({"axis": np.arange(1, k + 1), "singular_value": np.sqrt(np.maximum(lam[top], 0)), "explained_variance_ratio": variance / total_var if total_var > 0 else np.nan})

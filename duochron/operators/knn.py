@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import hash60
 from ..functions.vectors import distance, doubles, mean_vector
-from ..session import materialize
+from ..session import materialize, shipped
 from .ordered import neighbors, rank_rows
 from .stats import quantiles
 
@@ -74,7 +74,7 @@ def _assign_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
             cell = d.argmin(1)
             yield pdf.assign(cell=cell.astype("int32"), r=d[np.arange(len(pdf)), cell])
 
-    return points.mapInPandas(assign, "did bigint, g string, v array<double>, cell int, r double")
+    return shipped(points).mapInPandas(assign, "did bigint, g string, v array<double>, cell int, r double")
 
 
 def _cell_pairs(stats: pd.DataFrame, near: pd.DataFrame, pivots: np.ndarray, k: int) -> list[tuple]:
@@ -136,7 +136,7 @@ def knn(
         F.col("did").alias("cid"), F.col("v").alias("cv"), F.col("g").alias("cg"), F.col("qc").alias("cqc"), F.col("cell").alias("ccc"), chunk(F.col("cn")).alias("cck"),
         F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("cqk"),
     )
-    found = q.groupBy("g", "qc", "cc", "qk", "ck").cogroup(c.groupBy("cg", "cqc", "ccc", "cqk", "cck")).applyInPandas(
+    found = shipped(q).groupBy("g", "qc", "cc", "qk", "ck").cogroup(c.groupBy("cg", "cqc", "ccc", "cqk", "cck")).applyInPandas(
         lambda a, b: _unit(a, b, kk), "src bigint, dst bigint, dist double"
     )
     best = _keep_nearest(found, kk)

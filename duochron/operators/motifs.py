@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize_symbol
+from ..session import shipped
 from .stats import bh_adjust, fisher_greater, odds_ratio
 
 # Background, pseudocount, match p, enrichment limits, expression limits.
@@ -125,7 +126,7 @@ def scan(sequences: DataFrame, id: str, seq: str, motifs: DataFrame) -> DataFram
     if src.rdd.getNumPartitions() < cores:
         src = src.repartition(cores, "id")  # scanning is compute-bound: use every core
     t = src.schema["id"].dataType.simpleString()
-    return src.mapInPandas(run, f"id {t}, motif_id string, forward_hits bigint, reverse_hits bigint, total_hits bigint").withColumnRenamed("id", id)
+    return shipped(src).mapInPandas(run, f"id {t}, motif_id string, forward_hits bigint, reverse_hits bigint, total_hits bigint").withColumnRenamed("id", id)
 
 
 def universe(motifs: DataFrame, effects: DataFrame, feature: str, cpm: list[str], fraction: list[str], later: DataFrame, early: DataFrame) -> DataFrame:
@@ -161,7 +162,7 @@ def enrichment(presence: DataFrame, id: str, flagged: DataFrame, flag: Column, m
     t = t.select("motif_id", F.coalesce("_a", F.lit(0)).alias("candidate_hits"), "candidate_n", F.coalesce("_b", F.lit(0)).alias("background_hits"), "background_n")
     a, c = F.col("candidate_hits"), F.col("background_hits")
     b, d = F.col("candidate_n") - a, F.col("background_n") - c
-    t = t.withColumn("odds_ratio", odds_ratio(a, b, c, d)).withColumn("fisher_p", fisher_greater(a, b, c, d))
+    t = shipped(t).withColumn("odds_ratio", odds_ratio(a, b, c, d)).withColumn("fisher_p", fisher_greater(a, b, c, d))
     t = t.withColumn("candidate_fraction", a / F.col("candidate_n")).withColumn("background_fraction", c / F.col("background_n"))
     t = bh_adjust(t, "fisher_p", "motif_id", "fdr")
     return t.withColumn("enriched", F.coalesce((F.col("fdr") <= MAX_FDR) & (F.col("odds_ratio") >= MIN_ODDS) & (a >= MIN_HITS), F.lit(False)))

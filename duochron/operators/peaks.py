@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, shipped
 from .ordered import BLOCK, neighbors, rank_rows, running, same_keys
 from .profiles import extent, spacing
 from .stats import quantiles
@@ -122,7 +122,7 @@ def _hop(queries: DataFrame, table: pd.DataFrame) -> DataFrame:
                 blocks.append(int(block[away][turn][reach]) if len(higher) else None)
             yield pdf.assign(low=lows, low_idx=ats, block=pd.array(blocks, dtype="Int64"))[_QUERY_COLUMNS]
 
-    return queries.mapInPandas(hop, _QUERY)
+    return shipped(queries).mapInPandas(hop, _QUERY)
 
 
 def first_beyond(curve: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -136,7 +136,7 @@ def first_beyond(curve: DataFrame, queries: DataFrame, block: int = BLOCK) -> Da
         F.lit(None).cast("bigint").alias("hit"), F.floor(F.col("idx") / block).cast("bigint").alias("block"),
     )
     keys = ["series", "block"]
-    local = start.groupBy(*keys).cogroup(rows.groupBy("s", "b")).applyInPandas(_scan, _QUERY)
+    local = shipped(start).groupBy(*keys).cogroup(rows.groupBy("s", "b")).applyInPandas(_scan, _QUERY)
     long_curves = curve.where(F.col("idx") >= block).select("series").distinct()
     if not long_curves.limit(1).collect():
         return local.drop("block")  # the ends of the one block are the ends of the curve
@@ -153,7 +153,7 @@ def first_beyond(curve: DataFrame, queries: DataFrame, block: int = BLOCK) -> Da
     asked = target.join(shares, keys).withColumn("share", F.pmod(F.xxhash64("idx", "side", "h"), F.col("shares")).cast("int")).drop("shares")
     split = shares.select(F.col("series").alias("s"), F.col("block").alias("b"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("part"))
     copies = rows.join(split, ["s", "b"])
-    finished = asked.groupBy(*keys, "share").cogroup(copies.groupBy("s", "b", "part")).applyInPandas(_scan, _QUERY)
+    finished = shipped(asked).groupBy(*keys, "share").cogroup(copies.groupBy("s", "b", "part")).applyInPandas(_scan, _QUERY)
     rest = hopped.where(F.col("block").isNull())
     return local.where(~is_open).unionByName(short).unionByName(rest).unionByName(finished).drop("block")
 
@@ -247,7 +247,7 @@ def found_peaks(p: DataFrame, distance: int = 1, block: int = BLOCK) -> DataFram
         raise ValueError("adjacent-only pruning holds for distances up to 4 windows")
     if p.where(F.col("idx") >= block).limit(1).collect():
         return prominences(p, spaced(local_maxima(p, block), distance), block)
-    return p.select("series", "idx", "y").groupBy("series").applyInPandas(lambda pdf: _scan_curve(pdf, distance), _FOUND)
+    return shipped(p.select("series", "idx", "y")).groupBy("series").applyInPandas(lambda pdf: _scan_curve(pdf, distance), _FOUND)
 
 
 # ------------------------------------------------------------ the two peak tables
@@ -328,7 +328,7 @@ def _by_piece(pieces: DataFrame, by: str, heads) -> DataFrame:
         return pdf.assign(_head=np.concatenate(([True], family[1:] != family[:-1])))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", _head boolean"
-    return pieces.groupBy(by, "_piece").applyInPandas(mark, schema)
+    return shipped(pieces).groupBy(by, "_piece").applyInPandas(mark, schema)
 
 
 def greedy_families(peaks: DataFrame, tolerance: float = DISCOVERY_TOLERANCE) -> DataFrame:

@@ -89,6 +89,11 @@ def test_upper_tails_against_exact_sums():
     assert np.allclose(got, [exact(*map(int, t)) for t in tables], rtol=1e-9, atol=1e-300)
     assert T.upper_tails(*map(np.array, ([3000], [7000], [7000], [3000])))[0] == 1.0
     assert T.upper_tails(*map(np.array, ([7000], [3000], [3000], [7000])))[0] < 1e-200
+    far = [(3, 10**10, 5, 10**10), (9, 10**10, 2, 10**10), (2, 10**10, 9, 3 * 10**9)]  # totals of 10^10
+    assert np.allclose(T.upper_tails(*map(np.array, zip(*far))), [exact(*t) for t in far], rtol=1e-10, atol=0)
+    half = 25 * 10**8
+    p = T.upper_tails(*map(np.array, zip((half + 10**5, half - 10**5, half - 10**5, half + 10**5), (half, half, half, half))))
+    assert np.allclose(p, [3.16739e-05, 0.500008], rtol=1e-5)  # as the normal limit has it
 
 
 def test_flat_series_has_no_correlation(spark):
