@@ -14,6 +14,7 @@ last, so the table is walked once from left to right. Decoding writes the arcs'
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 
@@ -22,9 +23,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import kept, map_text, raw
 
-TABLE_SIZE = 400_000  # arcs and words kept per process; a full table starts anew
+TABLE_SIZE = 400_000  # arcs and words kept per process
 
 
 def byte_letters() -> list[str]:
@@ -79,6 +80,29 @@ class Automaton:
         return found
 
 
+class Recent:
+    """A table of at most `size` entries. When its younger half is full, the older half goes, and what was
+    looked up meanwhile has moved to the younger one: frequent entries stay."""
+
+    def __init__(self, size: int):
+        self.half = max(1, size // 2)
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Codec:
     """Encodes and decodes with one tokenizer file whose pieces are words with an end mark."""
 
@@ -92,16 +116,25 @@ class Codec:
         self.automaton = Automaton(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
-        self.inner: dict[bytes, int] = {}
-        self.last: dict[bytes, int] = {}
+        # tree of tokens by byte: child of (node, byte), and the token at a node inside a word or at its end
+        self.child: dict[int, int] = {}
+        self.inner, self.last = [-1], [-1]
+        self.width: dict[int, int] = {}
         for text, i in model["vocab"].items():
             whole = bool(self.end) and text.endswith(self.end)
             body = text[: -len(self.end)] if whole else text
-            (self.last if whole else self.inner)[bytes(byte_of[c] for c in body)] = i
+            node = 0
+            for c in body:
+                key = node << 8 | byte_of[c]
+                if key not in self.child:
+                    self.child[key] = len(self.inner)
+                    self.inner.append(-1)
+                    self.last.append(-1)
+                node = self.child[key]
+            (self.last if whole else self.inner)[node] = i
+            self.width[i] = len(body)
         if not self.end:
             self.last = self.inner
-        self.width = {i: len(b) for known in (self.inner, self.last) for b, i in known.items()}
-        self.longest = max(map(len, [*self.inner, *self.last]))
         whole = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer, self.byte_of = whole.normalizer, whole.pre_tokenizer, byte_of
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -109,31 +142,36 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.label = dict(enumerate(self.automaton.label)) | {i: t for t, i in self.special.items()}
-        self.known: dict[bytes, list[int]] = {}
-        self.chunks: dict[bytes, tuple[str, str, bytes]] = {}
+        self.known = Recent(TABLE_SIZE)
+        self.chunks = Recent(TABLE_SIZE)
         self.kind = "H" if max(self.label) < 1 << 16 else "I"
 
     def word(self, word: bytes) -> list[int]:
-        """The tokens of one pre-split word, by one walk over its prefixes."""
-        n, inner, last, longest = len(word), self.inner, self.last, self.longest
-        table, step = self.automaton.table, self.automaton.step
+        """The tokens of one pre-split word: from every prefix that some token ends, the letters are
+        followed through the tree of tokens, and a token counts where the automaton has its arc."""
+        n, step, table = len(word), self.automaton.step, self.automaton.table
+        child, inner, last = self.child, self.inner, self.last
         came = [-1] * (n + 1)  # the one token that can end each prefix
-        for i in range(1, n + 1):
-            tokens = inner if i < n else last
-            for j in range(max(0, i - longest), i):
-                if j and came[j] < 0:
-                    continue
-                t = tokens.get(word[j:i])
-                if t is None:
+        for j in range(n):
+            before = came[j]
+            if j and before < 0:
+                continue
+            node, i = 0, j
+            while i < n:
+                node = child.get(node << 8 | word[i])
+                if node is None:
+                    break
+                i += 1
+                t = inner[node] if i < n else last[node]
+                if t < 0 or came[i] >= 0:
                     continue
                 if j:
-                    goes = table.get((came[j], t))
+                    goes = table.get((before, t))
                     if goes is None:
-                        goes = step(came[j], t)
+                        goes = step(before, t)
                     if not goes:
                         continue
                 came[i] = t
-                break
         if came[n] < 0:
             raise ValueError(f"no path spells {word!r}")
         out, at = [], n
@@ -162,9 +200,7 @@ class Codec:
                 if ids is None:
                     ids = self.word(b)
                     if len(b) <= 64:
-                        if len(self.known) >= TABLE_SIZE:
-                            self.known.clear()
-                        self.known[b] = ids
+                        self.known.put(b, ids)
                 out += ids
         return out
 
@@ -178,31 +214,26 @@ class Codec:
     def all(self, text: bytes) -> tuple[str, str, bytes]:
         """(decimal ids, decoded text, little-endian ids). Nothing crosses ASCII white space, so the
         text is done by the chunks between it, and frequent chunks once."""
-        ids, labels, packed, known = [], [], [], self.chunks
-        for c in text.split():
-            got = known.get(c)
-            if got is None:
-                found = self.chunk(c.decode())
-                got = (" ".join(map(str, found)), self.decode(found), struct.pack(f"<{len(found)}{self.kind}", *found))
-                if len(c) <= 64:
-                    if len(known) >= TABLE_SIZE:
-                        known.clear()
-                    known[c] = got
-            if got[0]:
-                ids.append(got[0])
-                labels.append(got[1])
-                packed.append(got[2])
-        return " ".join(ids), " ".join(labels), b"".join(packed)
-
-
-_CODECS: dict[str, Codec] = {}
+        chunks = text.split()
+        known = self.chunks
+        found = list(map(known.young.get, chunks))
+        if None in found:
+            for at, got in enumerate(found):
+                if got is None:
+                    c = chunks[at]
+                    got = known.get(c)
+                    if got is None:
+                        ids = self.chunk(c.decode())
+                        got = (" ".join(map(str, ids)), self.decode(ids), struct.pack(f"<{len(ids)}{self.kind}", *ids))
+                        if len(c) <= 64:
+                            known.put(c, got)
+                    found[at] = got
+        return " ".join([g[0] for g in found if g[0]]), " ".join([g[1] for g in found if g[0]]), b"".join([g[2] for g in found])
 
 
 def codec(path: str) -> Codec:
     """One per process and file."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return kept(f"codec {path}", lambda: Codec(path))
 
 
 def coded(docs: DataFrame, keep: list[str], text: str, path: str, texts: bool = True) -> DataFrame:
@@ -215,10 +246,6 @@ def coded(docs: DataFrame, keep: list[str], text: str, path: str, texts: bool =
     """
 
     def build():
-        import hashlib
-
-        from .common import raw
-
         c = codec(path)
 
         def make(column: pa.Array) -> dict[str, object]:

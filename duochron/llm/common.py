@@ -6,12 +6,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, GroupedData, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..session import checkpoint_folder, materialize
+from ..session import checkpoint_folder, materialize, shipped
 
-__all__ = ["discard", "fresh", "map_batches", "map_groups", "map_text", "materialize", "raw", "shared_folder", "stored"]
+__all__ = ["discard", "fresh", "kept", "map_batches", "map_groups", "map_text", "materialize", "raw", "shared_folder", "stored"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -39,6 +39,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
+_KEPT: dict[str, object] = {}
+KEPT_AT_ONCE = 4
+
+
+def kept(key: str, make: Callable[[], object]) -> object:
+    """What `make` gives, made once in a worker process; the last few keys are kept."""
+    if key not in _KEPT:
+        while len(_KEPT) >= KEPT_AT_ONCE:
+            _KEPT.pop(next(iter(_KEPT)))
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def discard(df: DataFrame) -> None:
     """Remove the table that `stored` wrote, once nothing will read `df` again."""
     jvm = df.sparkSession._jvm
@@ -49,16 +62,16 @@ def discard(df: DataFrame) -> None:
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """`run` over the Arrow batches of each task."""
-    return df.mapInArrow(run, schema)
+    return shipped(df).mapInArrow(run, schema)
 
 
-def map_groups(groups: GroupedData, run: Callable[[pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
-    """`run` over the Arrow table of each group; callers see to it that groups are bounded."""
+def map_groups(df: DataFrame, by: list[str], run: Callable[[pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
+    """`run` over the Arrow table of each group of `by`; callers see to it that groups are bounded."""
 
     def each(t: pa.Table) -> pa.Table:
         return run(t)
 
-    return groups.applyInArrow(each, schema)
+    return shipped(df).groupBy(*by).applyInArrow(each, schema)
 
 
 def raw(column: pa.Array) -> list[bytes | None]:
@@ -87,4 +100,4 @@ def map_text(df: DataFrame, keep: list[str], text: str, build: Callable[[], Call
                 got = make(b.column(cols.index(text)))
                 yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [got[n] if isinstance(got[n], pa.Array) else pa.array(got[n]) for n in names], names=[*keep, *names])
 
-    return df.select(*cols).mapInArrow(run, schema)
+    return map_batches(df.select(*cols), run, schema)

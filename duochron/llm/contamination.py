@@ -12,6 +12,7 @@ the item, each built and scanned in turn, and the hits of a row are united.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import map_text, materialize, raw
+from .common import kept, map_batches, map_text, materialize, raw
 
 SIZE = 10
-BOUND = 20_000_000
+BOUND = 500_000  # characters of items in one automaton, which takes about 380 bytes a character in each worker
 _TO = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
 SPAN = "array<struct<first:int,stop:int,begin:int,end:int>>"
@@ -79,8 +80,10 @@ def scan_text(text: bytes | None, a) -> tuple[int, list[dict[str, int]], list[st
 
 
 def _scan(docs: DataFrame, keep: list[str], text: str, found: dict) -> DataFrame:
+    key = f"automaton {uuid.uuid4().hex}"
+
     def build():
-        a = automaton(found)
+        a = kept(key, lambda: automaton(found))
 
         def make(column: pa.Array) -> dict[str, object]:
             n, spans, items = zip(*(scan_text(t, a) for t in raw(column)), strict=True)
@@ -135,7 +138,7 @@ def hits(docs: DataFrame, keep: list[str], text: str, benchmark: DataFrame, item
         *(F.first(c).alias(c) for c in keep[:-1]), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
     fields = [one.schema[c] for c in (*keep[:-1], "n_words", "spans", "items")]
-    return one.drop("_row").mapInArrow(_unite, StructType([StructField(f.name, f.dataType) for f in fields]))
+    return map_batches(one.drop("_row"), _unite, StructType([StructField(f.name, f.dataType) for f in fields]))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, bound: int = BOUND) -> DataFrame:

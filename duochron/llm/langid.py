@@ -14,6 +14,7 @@ matrix of every block, all blocks at once, then the messages at the block edges,
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Callable
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_text, materialize
+from .common import kept, map_text, materialize
 
 SAMPLE = 400  # documents per language
 BUCKETS = 1 << 16
@@ -31,6 +32,7 @@ SEQUENCES = 6000
 STEPS, RATE, DECAY = 60, 0.05, 1e-4
 BLOCK = 128  # words
 KNOWN = 400_000  # words kept per process; a full table starts anew
+SLICES = 256
 LABELS = 200  # languages; more are refused, none is left out
 UNKNOWN = "und"
 
@@ -224,8 +226,10 @@ def train(docs: DataFrame, id: str, text: str, lang: str, fold: Callable[[Column
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("id")) if fold else F.lit(True)))
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
     ids = rows.select("id", "lang", F.xxhash64("id").alias("h")).distinct()
-    # tasks keep `sample` rows of a language before the shuffle, so that no whole language is sorted
-    ids = materialize(ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("rank") <= sample).select("id", "lang"))
+    # first within slices of a language by hash, so that no whole language goes to one task
+    for by in (["lang", F.pmod("h", F.lit(SLICES))], ["lang"]):
+        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))).where(F.col("rank") <= sample)
+    ids = materialize(ids.select("id", "lang"))
     langs = sorted(r.lang for r in ids.select("lang").distinct().limit(LABELS + 1).collect())
     if len(langs) > LABELS:
         raise ValueError(f"more than {LABELS} values of {lang}")
@@ -240,8 +244,12 @@ def labelled(docs: DataFrame, keep: list[str], text: str, field: Field) -> DataF
     """The `keep` columns with lang_pred, score (mean posterior of that language), and runs: the words'
     own languages as (start, stop, lang) over runs of letters. Texts without letters: und, 0, no runs."""
     runs_kind = "array<struct<start:int,stop:int,lang:string>>"
+    key = f"field {uuid.uuid4().hex}"
+    sent = field
 
     def build():
+        field = kept(key, lambda: sent)  # the first copy in a process, with the words it has seen
+
         def make(column: pa.Array) -> dict[str, object]:
             docs = [words_of(t) if field.langs else [] for t in column.to_pylist()]
             full = [d for d in docs if d]

@@ -185,7 +185,7 @@ class Manifest:
         self.trees = sizes.count()
         placed = rank_rows(sizes, ["tree"], out="at").withColumn("trees", F.lit(self.trees).cast("bigint"))
         self.leaves = ranked.join(placed, "tree")
-        tops = materialize(map_groups(self.leaves.select("tree", "part", "n", "pos", "leaf").groupBy("tree", "part"), partial(_top, most=most), "tree string, level int, idx bigint, digest string, m bigint"))
+        tops = materialize(map_groups(self.leaves.select("tree", "part", "n", "pos", "leaf"), ["tree", "part"], partial(_top, most=most), "tree string, level int, idx bigint, digest string, m bigint"))
         inner = materialize(_levels(tops))
         subroots = inner.where("m = 1").join(placed.select("tree", "at"), "tree").select(F.lit(ROOTS).alias("tree"), F.lit(0).alias("level"), F.col("at").alias("idx"), "digest", F.lit(self.trees).cast("bigint").alias("m"))
         self.nodes = materialize(inner.unionByName(_levels(materialize(subroots))))
@@ -199,7 +199,7 @@ class Manifest:
         fetched = ask.join(nodes, ["from_tree", "level", "idx"])
         own = self.leaves.select("tree", "part", "n", "at", "trees", "pos", "doc_id", F.col("leaf").alias("digest"), "held")
         both = own.unionByName(fetched, allowMissingColumns=True)
-        return map_groups(both.groupBy("tree", "part"), partial(_expanded, most=self.most), "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+        return map_groups(both, ["tree", "part"], partial(_expanded, most=self.most), "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
 
 
 def report(docs: DataFrame) -> DataFrame:

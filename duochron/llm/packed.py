@@ -16,7 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import compress
+from itertools import accumulate, compress
 from operator import not_
 
 import numpy as np
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import kept, map_batches
 
 BLOCK = 1 << 17  # ids; a block ends with the document that reaches it
 KNOWN = 700_000  # pieces kept per process
@@ -139,20 +140,16 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One per process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 # ------------------------------------------------------------------ writing
 def write(docs: DataFrame, to: str, path: str, id: str = "doc_id", text: str = "text", end: int = 0) -> None:
     """Encode every text (null: empty), append `end`, and write shards in ascending id order (nulls
-    first, repeated ids by text) to folder `to`. One range partition is one shard."""
+    first, repeated ids by text) to folder `to`. One range partition is one shard. Ids are numbers: text
+    that is none is an error where Spark is strict about casts, else null."""
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
@@ -190,24 +187,19 @@ def write(docs: DataFrame, to: str, path: str, id: str = "doc_id", text: str = "
         if held:
             yield flush()
 
-    ordered.mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(to)
+    map_batches(ordered, run, SCHEMA).write.option("compression", "none").parquet(to)
 
 
 # ------------------------------------------------------------------ reading
-def bases(spark: SparkSession, at: str) -> list[tuple[int, int]]:
-    """(shard, ids before it): read from the offsets; one row for each shard that was written."""
+def bases(spark: SparkSession, at: str) -> DataFrame:
+    """(shard, base): the ids before each shard that was written, read from the offsets."""
     sizes = spark.read.schema(SCHEMA).parquet(at).groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
-    out, before = [], 0
-    for r in sizes:
-        out.append((r.shard, before))
-        before += r.n
-    return out
+    before = [0, *accumulate(r.n for r in sizes)]
+    return spark.createDataFrame([(r.shard, b) for r, b in zip(sizes, before)], "shard int, base bigint")
 
 
 def documents(spark: SparkSession, at: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, unpacked from the files in `at`."""
-    found = bases(spark, at)
-    base = F.create_map(*(F.lit(x) for pair in found for x in pair)) if found else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,21 +212,18 @@ def documents(spark: SparkSession, at: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    blocks = spark.read.schema(SCHEMA).parquet(at)
-    blocks = blocks.withColumn("base", base[F.col("shard")] if base is not None else F.lit(0).cast("bigint"))
-    return blocks.select("base", "offset", "n_ids", "width", "doc_ids", "doc_offsets", "payload").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    blocks = spark.read.schema(SCHEMA).parquet(at).join(bases(spark, at), "shard")
+    return map_batches(blocks.select("base", "offset", "n_ids", "width", "doc_ids", "doc_offsets", "payload"), run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def ids_between(spark: SparkSession, at: str, start: int, stop: int) -> DataFrame:
     """(position, id) for positions start to stop of all ids: only the blocks that hold them are unpacked."""
-    found = bases(spark, at)
-    base = F.create_map(*(F.lit(x) for pair in found for x in pair))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 a, b = max(0, start - r["first"]), min(r["n_ids"], stop - r["first"])
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b) + r["first"], pa.int64()), pa.array(unpack(r["payload"], r["width"], a, b).astype(np.int64))], names=["position", "id"])
 
-    blocks = spark.read.schema(SCHEMA).parquet(at).withColumn("first", base[F.col("shard")] + F.col("offset"))
-    return blocks.where((F.col("first") < stop) & (F.col("first") + F.col("n_ids") > start)).select("first", "n_ids", "width", "payload").mapInArrow(run, "position bigint, id bigint")
+    blocks = spark.read.schema(SCHEMA).parquet(at).join(bases(spark, at), "shard").withColumn("first", F.col("base") + F.col("offset"))
+    held = blocks.where((F.col("first") < stop) & (F.col("first") + F.col("n_ids") > start))
+    return map_batches(held.select("first", "n_ids", "width", "payload"), run, "position bigint, id bigint")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.knn import components
-from .common import fresh, map_text, materialize
+from .common import fresh, map_batches, map_text, materialize, raw
 
 BITS = 64
 DISTANCE = 4
@@ -62,8 +62,6 @@ def with_fingerprints(docs: DataFrame, keep: list[str], text: str, shingle: int,
     """The `keep` columns and the text's fingerprint as a signed 64-bit number in column `name`."""
 
     def build():
-        from .common import raw
-
         def make(column: pa.Array) -> dict[str, object]:
             return {name: np.array([fingerprint(t, shingle) for t in raw(column)], np.uint64).view(np.int64)}
 
@@ -178,16 +176,16 @@ def _words_within_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def linked(fps: DataFrame, large: int = LARGE) -> DataFrame:
     """(src, dst) between the distinct fingerprints in column `fp`, enough to join every class."""
-    spread = materialize(fps.select("fp").mapInArrow(_expand, "anchor bigint, fp bigint, home boolean"))
+    spread = materialize(map_batches(fps.select("fp"), _expand, "anchor bigint, fp bigint, home boolean"))
     crowded = spread.groupBy("anchor").count().where(F.col("count") > large).select("anchor")
     crowd = materialize(spread.join(crowded, "anchor", "left_semi").select("fp").distinct())
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = (
-        spread.join(crowded, "anchor", "left_anti").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "src bigint, dst bigint")
+        map_batches(spread.join(crowded, "anchor", "left_anti").repartition(parts, "anchor").sortWithinPartitions("anchor"), _compare, "src bigint, dst bigint")
     )
     if crowd.isEmpty():
         return pairs
-    words = crowd.mapInArrow(_words_within_two, "word bigint, fp bigint")
+    words = map_batches(crowd, _words_within_two, "word bigint, fp bigint")
     low = words.groupBy("word").agg(F.min("fp").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").select("word", "src")
     # every member of a crowded anchor meets its links here, whichever anchor they came from
     return pairs.unionByName(words.join(low, "word").where("src <> fp").select("src", F.col("fp").alias("dst")).distinct())

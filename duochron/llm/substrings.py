@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import raw, stored
+from .common import map_batches, raw, stored
 
 WINDOW = 35
 K = 5
@@ -131,7 +131,7 @@ def edges(numbered: DataFrame, window: int) -> DataFrame:
             if out[0]:
                 yield batch(out)
 
-    return numbered.select("row", "text").mapInArrow(run, "edge bigint, reach bigint, row bigint, at int")
+    return map_batches(numbered.select("row", "text"), run, "edge bigint, reach bigint, row bigint, at int")
 
 
 def repeated(occurrences: DataFrame) -> DataFrame:
@@ -288,13 +288,13 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
     own = F.struct("at", "tied", "twice", (F.col("first") == F.struct("row", "at")).alias("first"))
     found = occ.join(facts, ["edge", "reach"]).groupBy("row").agg(F.collect_list(own).alias("found"))
     kind = docs.schema[id].dataType.simpleString()
-    packed = numbered.select("row", "id", "text").mapInArrow(_shrink, f"row bigint, id {kind}, text binary")
-    judged = stored(packed.join(found, "row", "left").select("row", "id", "text", "found").mapInArrow(_judge(window), f"row bigint, id {kind}, {_JUDGED}"), "judged")
+    packed = map_batches(numbered.select("row", "id", "text"), _shrink, f"row bigint, id {kind}, text binary")
+    judged = stored(map_batches(packed.join(found, "row", "left").select("row", "id", "text", "found"), _judge(window), f"row bigint, id {kind}, {_JUDGED}"), "judged")
     each = judged.select("row", F.explode(F.arrays_zip("starts", "weights", "h1", "h2")).alias("w")).select("row", "w.*")
     twice = stored(each.groupBy("h1", "h2").agg(F.sum("weights").alias("n")).where("n > 1").select("h1", "h2"), "windows")
     again = each.where("weights = 1").select("row", "starts", "h1", "h2").join(twice, ["h1", "h2"], "left_semi").groupBy("row").agg(F.collect_list("starts").alias("again"))
     waiting = judged.where(F.col("text").isNotNull()).select("row", "text", "spans").join(again, "row", "left")
-    ended = waiting.select("row", "text", "spans", "again").mapInArrow(_finish(window, texts), f"row bigint, n_removed bigint, sha string, removed {_SPANS}, kept string")
+    ended = map_batches(waiting.select("row", "text", "spans", "again"), _finish(window, texts), f"row bigint, n_removed bigint, sha string, removed {_SPANS}, kept string")
     out = judged.select("row", "id", "n_words", "kept_sha256").join(ended, "row", "left")
     cols = [F.col("id").alias(id), "n_words", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("sha", "kept_sha256").alias("kept_sha256"), "removed"]
     return out.select(*cols, *(["kept"] if texts else []))
