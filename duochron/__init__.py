@@ -1,8 +1 @@
 """Spark engine for paired, ordered measurements of the same entities in two modalities."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# executors get the small kernels with the task itself; the package need not be installed there
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
