@@ -13,7 +13,7 @@ import base64
 import binascii
 import json
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 import pyarrow as pa
@@ -31,12 +31,16 @@ KINDS = ("assign", "access", "hex", "key", "ssh", "jwt")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
 _HINTS = ("passw", "secret", "token", "api")  # every assignment has one of these, in either case
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-_END = r"(?:[ \t]*(?:\r\n?|\n|\\+[nr])[ \t]*)+"
-_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}(?:" + _END + r"[A-Za-z0-9+/_-]+={0,2})*")
-_LINE = re.compile(r"(?:\\+[nr])|([A-Za-z0-9+/_-]+)={0,2}")
-_SOFT = re.compile(r"\\+[nr]|\\(?=/)|\s")  # what may stand between the letters of armour
+# Every pattern gives back nothing it has taken ("+" after a repeat) where it could try again, and begins
+# at few places, so that a scan takes time in proportion to the text.
+_ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)(?=-----)")
+_BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}+={0,2}")
+_END = r"[ \t]*+(?:\r|\n|\\++[nr])(?:[ \t\r\n]|\\++[nr])*+"  # one line end or more, with blanks
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{20,}+={0,2}(?:" + _END + r"[A-Za-z0-9+/_-]++={0,2})*+")
+_LINE = re.compile(r"(?:\\++[nr])|([A-Za-z0-9+/_-]++)={0,2}")
+_SOFT = re.compile(r"(?<!\\)\\++[nr]|\\(?=/)|\s")  # what may stand between the letters of armour
+_MOST_FIELDS = 32  # of an OpenSSH key; certificates have some fifteen
+_MOST_BYTES = 1 << 17  # of a key wrapped over lines without armour: one of 16,384 bits has under 10,000
 _HEADER = re.compile(r"(?:^|(?<=[\n\r])|(?<=\\[nr]))[ \t]*[A-Za-z][A-Za-z0-9-]*:[^\n\r\\]*")
 _SEALED = re.compile(r"DEK-Info:\s*[A-Z0-9-]+\s*,\s*[0-9A-Fa-f]{16,}")
 _PKCS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))  # encryption by password
@@ -98,7 +102,7 @@ def is_ssh(data: bytes) -> bool:
     if data.startswith(b"openssh-key-v1\0"):
         return True
     fields, at = 0, 0
-    while at + 4 <= len(data):
+    while at + 4 <= len(data) and fields < _MOST_FIELDS:
         size = int.from_bytes(data[at : at + 4], "big")
         if size > len(data) - at - 4:
             return False
@@ -159,27 +163,59 @@ def _der_size(head: bytes) -> int:
     return 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
 
 
-def _ssh_sizes(data: bytes) -> list[int]:
+class Letters:
+    """The bytes of base64 letters from one place on, decoded no further than they are asked for."""
+
+    def __init__(self, whole: str, begin: int):
+        self.whole, self.begin = whole, begin
+        self.size = (len(whole) - begin) // 4 * 3
+
+    def bytes(self, at: int, n: int) -> bytes:
+        first = self.begin + at // 3 * 4
+        return (_unpadded(self.whole[first : first + -(-(at % 3 + n) // 3) * 4], True) or b"")[at % 3 : at % 3 + n]
+
+    def number(self, at: int) -> int:
+        return int.from_bytes(self.bytes(at, 4), "big")
+
+
+def _ssh_sizes(data: Letters) -> list[int]:
     """Sizes at which an OpenSSH key that begins so can end."""
-    if data.startswith(b"openssh-key-v1\0"):
+    if data.bytes(0, 15) == b"openssh-key-v1\0":
         at, left = 15, 3  # cipher, derivation, its options; then the number of keys
-        while left and at + 4 <= len(data):
-            at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
-        if left or at + 4 > len(data):
+        while left and at + 4 <= data.size:
+            at, left = at + 4 + data.number(at), left - 1
+        if left or at + 4 > data.size:
             return []
-        at, left = at + 4, int.from_bytes(data[at : at + 4], "big") + 1
-        while left and at + 4 <= len(data):
-            at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+        at, left = at + 4, data.number(at) + 1
+        if left > _MOST_FIELDS:
+            return []
+        while left and at + 4 <= data.size:
+            at, left = at + 4 + data.number(at), left - 1
         return [] if left else [at]
+    first = data.number(0)
+    if not 4 <= first <= 64 or not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", data.bytes(4, first)):
+        return []
     out, at = [], 0
-    while at + 4 <= len(data):
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-        if at > len(data):
+    while at + 4 <= data.size and len(out) < _MOST_FIELDS:
+        at += 4 + data.number(at)
+        if at > data.size:
             break
         out.append(at)
     return out[1:]
 
 
+def _may_be_der(data: Letters, size: int) -> bool:
+    """Whether the sizes of the outermost parts, sixteen at most, add up to `size`."""
+    at, parts = 2 + (data.bytes(1, 1)[0] & 0x7F if data.bytes(1, 1)[0] >= 0x80 else 0), 0
+    while at < size and parts < 16:
+        head = data.bytes(at, 6)
+        more = head[1] & 0x7F if len(head) == 6 and head[1] >= 0x80 else 0
+        if len(head) < min(6, size - at) or len(head) < 2 or more > 4:
+            return False
+        at, parts = at + 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1]), parts + 1
+    return at == size
+
+
 def _wrapped(text: str, start: int, stop: int) -> list[tuple[int, int, int]]:
     """Keys in consecutive lines of base64: each begins with a line, and its own length says at the end of
     which line it must end."""
@@ -190,15 +226,17 @@ def _wrapped(text: str, start: int, stop: int) -> list[tuple[int, int, int]]:
         begin = ends[i] - len(lines[i][2])
         sizes: list[int] = []
         if whole[begin] == "M":
-            sizes = [_der_size(_unpadded(whole[begin : begin + 8], True) or b"")]
+            size = _der_size(_unpadded(whole[begin : begin + 8], True) or b"")
+            sizes = [size] if size <= _MOST_BYTES else []
         elif whole.startswith(("AAAA", "b3BlbnNzaC1rZXktdjEA"), begin):
-            rest = whole[begin:]
-            sizes = _ssh_sizes(_unpadded(rest[: len(rest) // 4 * 4], True) or b"")
+            sizes = _ssh_sizes(Letters(whole, begin))
         found = None
         for size in sorted(set(sizes), reverse=True):
             letters = -(-4 * size // 3)
             j = bisect_left(ends, begin + letters)
-            if size and j < len(lines) and ends[j] == begin + letters and (kind := _kind_of(_unpadded(whole[begin : begin + letters], True))):
+            if not size or j >= len(lines) or ends[j] != begin + letters or whole[begin] == "M" and not _may_be_der(Letters(whole, begin), size):
+                continue
+            if kind := _kind_of(_unpadded(whole[begin : begin + letters], True)):
                 found = j, kind
                 break
         if found:
@@ -208,6 +246,20 @@ def _wrapped(text: str, start: int, stop: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _armours(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, body's start, body's end, end) of armour: each end line with the last such begin line since
+    the armour before it."""
+    out: list[tuple[int, int, int, int]] = []
+    begun: dict[str, tuple[int, int]] = {}
+    for m in _ARMOUR.finditer(text):
+        if m[1] == "BEGIN":
+            begun[m[2]] = m.start(), m.end() + 5
+        elif m[2] in begun and m.start() >= begun[m[2]][1]:
+            out.append((*begun[m[2]], m.start(), m.end() + 5))
+            begun = {}
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) by the three base patterns."""
     out = []
@@ -222,19 +274,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of candidates whose decoded bytes have a secret's structure."""
-    out, armoured = [], []
+    out, first, last = [], [], []  # and the places of armour, in order
     if "-----BEGIN " in text:
-        for m in _ARMOUR.finditer(text):
-            kind = _armoured_kind(m[2])
+        for a, b, c, d in _armours(text):
+            kind = _armoured_kind(text[b:c])
             if kind:
-                out.append((m.start(), m.end(), _ORDER[kind]))
-                armoured.append(m.span())
+                out.append((a, d, _ORDER[kind]))
+                first.append(a)
+                last.append(d)
+
+    def in_armour(a: int, b: int) -> bool:
+        k = bisect_right(first, a) - 1
+        return k >= 0 and b <= last[k]
+
     for m in _WRAPPED.finditer(text):
-        out += [s for s in _wrapped(text, *m.span()) if not any(a <= s[0] and s[1] <= b for a, b in armoured)]
+        out += [s for s in _wrapped(text, *m.span()) if not in_armour(s[0], s[1])]
     for pattern, decode in ((_BASE64, _unpadded), (_HEXES, lambda h: bytes.fromhex(h) if len(h) % 2 == 0 else None)):
         for m in pattern.finditer(text):
             kind = _kind_of(decode(m[0]))
-            if kind and not any(a <= m.start() and m.end() <= b for a, b in armoured):
+            if kind and not in_armour(*m.span()):
                 out.append((m.start(), m.end(), _ORDER[kind]))
     if "eyJ" in text:
         out += [(m.start(), m.end(), _ORDER["jwt"]) for m in _JWT.finditer(text) if is_signed_token(m[0])]
