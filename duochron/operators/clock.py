@@ -1,8 +1,8 @@
 """Order keys: diffusion distance from a root over the neighbour graph, and audits of the order.
 
 The graph lives in an edge table and the vectors in an entity table. Eigenvectors come from a
-block Krylov iteration whose only heavy step is "join edges to vectors, sum per source"; the
-driver sees nothing larger than the Gram matrix of the iteration's vectors.
+thick-restart block Lanczos iteration whose only heavy step is "join edges to vectors, sum per
+source"; the driver sees nothing larger than the Gram matrix of the iteration's vectors.
 """
 
 from __future__ import annotations
@@ -25,6 +25,11 @@ COMPONENTS = 15
 CLOCK_COMPONENTS = 10
 BLOCK_VECTORS = 6
 KRYLOV_STEPS = 9
+RESIDUAL = 1e-6
+MAX_CYCLES = 40
+# Fixed values of the fuzzy kernel: halvings of the bandwidth's bracket, its least share of the mean distance.
+HALVINGS = 60
+LEAST_WIDTH = 1e-3
 
 
 def gauss_graph(edges: DataFrame) -> DataFrame:
@@ -38,6 +43,66 @@ def gauss_graph(edges: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.max("w").alias("w"))
 
 
+def _bandwidths(dist: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """(offset, width) of rows of ascending distances to the k - 1 other neighbours: memberships
+    exp(-(d - offset) / width) of a row add up to log2(k), by bisection.
+
+    The offset is the least positive distance. The bracket's upper end is the width at which even the
+    farthest neighbour alone, counted k - 1 times, would reach the sum."""
+    m = dist.shape[1]
+    target = np.log2(m + 1)
+    offset = np.where(dist > 0, dist, np.inf).min(1)
+    offset[~np.isfinite(offset)] = 0.0
+    over = np.maximum(dist - offset[:, None], 0.0)
+    width, step = np.zeros(len(dist)), over.max(1) / np.log(m / target) if m > target else np.zeros(len(dist))
+    for _ in range(HALVINGS):
+        step = step / 2
+        wider = width + step
+        with np.errstate(divide="ignore", invalid="ignore"):
+            total = np.where(over > 0, np.exp(-over / wider[:, None]), 1.0).sum(1)
+        width = np.where((total < target) & (step > 0), wider, width)
+    least = LEAST_WIDTH * np.where(offset > 0, dist.sum(1) / (m + 1), mean)
+    return offset, np.maximum(width, least)
+
+
+def memberships(edges: DataFrame) -> DataFrame:
+    """Directed fuzzy memberships (src, dst, w) of neighbour lists (McInnes, Healy, Melville 2018).
+
+    Each source's bandwidth is found from its own list, whose length is bounded by k; lists of one
+    length are searched together. Where every neighbour lies at distance zero all memberships are one."""
+    mean = edges.agg((F.sum("dist") / (F.count(F.lit(1)) + F.countDistinct("src"))).alias("m")).first()["m"] or 0.0
+    lists = edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("near"))
+
+    def widths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [np.array([e["dist"] for e in near]) for near in pdf["near"]]
+            sizes = np.array([len(r) for r in rows])
+            offset, width = np.zeros(len(pdf)), np.zeros(len(pdf))
+            for m in np.unique(sizes):
+                at = np.flatnonzero(sizes == m)
+                offset[at], width[at] = _bandwidths(np.stack([rows[i] for i in at]), mean)
+            yield pdf.assign(offset=offset, width=width)
+
+    kind = edges.schema
+    near = f"array<struct<dist:double,dst:{kind['dst'].dataType.simpleString()}>>"
+    found = shipped(lists).mapInPandas(widths, f"src {kind['src'].dataType.simpleString()}, near {near}, offset double, width double")
+    over = F.col("e.dist") - F.col("offset")
+    return found.select("src", "offset", "width", F.explode("near").alias("e")).select(
+        "src", F.col("e.dst").alias("dst"), F.when((over <= 0) | (F.col("width") <= 0), 1.0).otherwise(F.exp(-over / F.col("width"))).alias("w")
+    )
+
+
+def fuzzy_graph(edges: DataFrame) -> DataFrame:
+    """Symmetric weights (src, dst, w): the probabilistic union a + b - ab of both directions."""
+    one = memberships(edges)
+    both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    # of two directions the product is left out once; of one direction it is zero
+    return both.groupBy("src", "dst").agg((F.sum("w") - F.when(F.count(F.lit(1)) > 1, F.min("w") * F.max("w")).otherwise(0.0)).alias("w"))
+
+
+KERNELS = {"gauss": gauss_graph, "fuzzy": fuzzy_graph}
+
+
 def transitions(graph: DataFrame) -> DataFrame:
     """Density-normalised symmetric transition matrix as edges (src, dst, t)."""
     q = graph.groupBy(F.col("dst").alias("v")).agg(F.sum("w").alias("q"))
@@ -82,59 +147,88 @@ def _multiply(t: DataFrame, state: DataFrame, col: str, width: int) -> DataFrame
     return moved.groupBy(F.col("src").alias("v")).agg(F.array(*[F.sum(F.col("t") * F.col("_x")[i]) for i in range(width)]).alias("y"))
 
 
-def leading_vectors(t: DataFrame, k: int, seed: int, block: int = BLOCK_VECTORS, steps: int = KRYLOV_STEPS, cycles: int = 2) -> tuple[np.ndarray, DataFrame]:
-    """Largest eigenvalues and unit eigenvectors (v, psi) of the symmetric edge matrix."""
-    b = max(block, k // 2 + 1)
+def _ritz(gram: np.ndarray, proj: np.ndarray, images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, mixes as columns, residual norms), largest value first, of a basis with Gram matrix
+    `gram`, its products with its images, and the images' own Gram matrix."""
+    s, u = np.linalg.eigh((gram + gram.T) / 2)
+    good = s > 1e-12 * s.max()
+    white = u[:, good] / np.sqrt(s[good])
+    values, w = np.linalg.eigh(white.T @ ((proj + proj.T) / 2) @ white)
+    order = np.argsort(-values)
+    values, mix = values[order], white @ w[:, order]
+    square = np.einsum("ij,ij->j", mix, images @ mix) - 2 * values * np.einsum("ij,ij->j", mix, proj @ mix) + values**2 * np.einsum("ij,ij->j", mix, gram @ mix)
+    return values, mix, np.sqrt(np.maximum(square, 0.0))
+
+
+def leading_vectors(
+    t: DataFrame, k: int, seed: int, block: int = BLOCK_VECTORS, steps: int = KRYLOV_STEPS, residual: float = RESIDUAL, cycles: int = MAX_CYCLES
+) -> tuple[np.ndarray, DataFrame]:
+    """Largest eigenvalues and unit eigenvectors (v, psi) of the symmetric edge matrix.
+
+    Thick-restart block Lanczos: every vector of the basis keeps its image under the matrix, so a step
+    multiplies one block only. After `steps` blocks the best Ritz vectors, their images and the next
+    block go on; those that have converged stay in the basis and are never multiplied again. It ends
+    when each of the `k` has |T psi - lambda psi| <= `residual`, or the space is exhausted; otherwise
+    after `cycles` restarts it raises."""
+    b = max(1, min(block, k))
     start = F.array(*[F.lit(2.0) * hash60(seed, F.col("v"), i) / F.lit(2.0**60) - 1.0 for i in range(b)])
-    state = materialize(t.select(F.col("src").alias("v")).distinct().select("v", start.alias("last")))
-    values = np.array([])
-    for cycle in range(cycles):
-        width = len(state.first()["last"])
-        state = state.withColumn("basis", F.col("last"))
-        total = width
-        for step in range(steps):
-            nxt = state.join(_multiply(t, state, "last", width), "v", "left").select("v", "basis", F.coalesce("y", F.array_repeat(F.lit(0.0), width)).alias("y"))
+    none = F.array().cast("array<double>")
+    state = materialize(t.select(F.col("src").alias("v")).distinct().select("v", none.alias("basis"), none.alias("image"), start.alias("last")))
+    total, width = 0, b
+    for _ in range(cycles):
+        live = True
+        for _ in range(steps):
+            y = _multiply(t, state, "last", width)
+            nxt = state.join(y, "v", "left").select("v", F.concat("basis", "last").alias("basis"), F.concat("image", F.coalesce("y", F.array_repeat(F.lit(0.0), width))).alias("image"))
             nxt = materialize(nxt)
-            # orthogonalise against everything so far, then inside the block
-            g = _gram(nxt.withColumn("both", F.concat("basis", "y")), "both", "both", total + width, total + width)
+            total += width
+            # the next block: the newest images orthogonalised against everything so far, then inside
+            both = nxt.select("v", "basis", F.slice("image", total - width + 1, width).alias("y")).withColumn("both", F.concat("basis", "y"))
+            g = _gram(both, "both", "both", total + width, total + width)
             gb, gy, gyy = g[:total, :total], g[:total, total:], g[total:, total:]
-            proj = np.linalg.pinv(gb, rcond=1e-12) @ gy
+            proj = np.linalg.pinv(gb, rcond=1e-14, hermitian=True) @ gy
             rest = gyy - gy.T @ proj
             val, vec = np.linalg.eigh((rest + rest.T) / 2)
-            keep = val > 1e-12 * max(1.0, np.trace(gyy))
+            keep = val > 1e-13 * max(1e-300, np.trace(gyy))
             if not keep.any():
+                live = False
+                state = nxt
                 break
             mix = vec[:, keep] / np.sqrt(val[keep])
-            state = _combine(nxt.withColumn("both", F.concat("basis", "y")).select("v", "basis", "both"), "both", np.vstack([-proj @ mix, mix]), "last")
-            state = materialize(state.select("v", F.concat("basis", "last").alias("basis"), "last"))
+            out = _combine(nxt.withColumn("both", F.concat("basis", F.slice("image", total - width + 1, width))), "both", np.vstack([-proj @ mix, mix]), "last")
             width = mix.shape[1]
-            total += width
-        nxt = materialize(state.select("v", "basis").join(_multiply(t, state, "basis", total), "v", "left").withColumn("y", F.coalesce("y", F.array_repeat(F.lit(0.0), total))))
-        gram, proj = _gram(nxt, "basis", "basis", total, total), _gram(nxt, "basis", "y", total, total)
-        s, u = np.linalg.eigh((gram + gram.T) / 2)
-        good = s > 1e-10 * s.max()
-        white = u[:, good] / np.sqrt(s[good])
-        ritz, w = np.linalg.eigh(white.T @ ((proj + proj.T) / 2) @ white)
-        first = np.argsort(-ritz)[: min(k, len(ritz))]
-        values = ritz[first]
-        state = materialize(_combine(nxt.select("v", "basis"), "basis", white @ w[:, first], "last").select("v", "last"))
-    return values, state.withColumnRenamed("last", "psi")
+            state = out.select("v", "basis", "image", "last")  # only the products are written
+        g = _gram(state.withColumn("both", F.concat("basis", "image")), "both", "both", 2 * total, 2 * total)
+        values, mix, left = _ritz(g[:total, :total], g[:total, total:], g[total:, total:])
+        wanted = min(k, len(values))
+        done = not live or (len(values) >= k and left[:wanted].max() <= residual)
+        if done:
+            out = _combine(state.select("v", "basis"), "basis", mix[:, :wanted], "psi").select("v", "psi")
+            return values[:wanted], materialize(out)
+        held = min(len(values), k + block)
+        cut = np.zeros((2 * total, 2 * held))
+        cut[:total, :held] = cut[total:, held:] = mix[:, :held]
+        out = _combine(state.withColumn("both", F.concat("basis", "image")), "both", cut, "kept")
+        state = materialize(out.select("v", F.slice("kept", 1, held).alias("basis"), F.slice("kept", held + 1, held).alias("image"), "last"))
+        total = held
+    raise RuntimeError(f"eigenvectors have residuals up to {left[:wanted].max():.3g} after {cycles} cycles, more than {residual:g}")
 
 
 def diffusion_clock(
-    df: DataFrame, id: str, vec: str, root: int, k: int, n_components: int = COMPONENTS, n_clock: int = CLOCK_COMPONENTS, seed: int = 785
+    df: DataFrame, id: str, vec: str, root: int, k: int, n_components: int = COMPONENTS, n_clock: int = CLOCK_COMPONENTS, seed: int = 785, kernel: str = "gauss", residual: float = RESIDUAL
 ) -> DataFrame:
     """(id, component, clock): diffusion distance to the root, scaled to at most 1 (Coifman &
     Lafon 2006; Haghverdi et al. 2016). Entities in another component than the root get NULL.
 
-    `k` counts the entity itself, as the graph builders of the field do.
+    `k` counts the entity itself, as the graph builders of the field do. `kernel` weighs the graph: a
+    Gaussian of local width, or fuzzy memberships.
     """
-    graph = materialize(gauss_graph(knn(df, id, vec, k - 1)))
+    graph = materialize(KERNELS[kernel](materialize(knn(df, id, vec, k - 1))))
     comp = materialize(components(graph, df, id))
     home = comp.where(F.col(id) == root).select("component").first()["component"]
     inside = comp.where(F.col("component") == home).select(F.col(id).alias("src"))
     t = materialize(transitions(graph.join(inside, "src", "left_semi")))
-    values, psi = leading_vectors(t, n_components, seed)
+    values, psi = leading_vectors(t, n_components, seed, residual=residual)
     lam = values[:n_clock]
     scale = np.where(lam < STATIONARY, lam / (1 - np.minimum(lam, STATIONARY)), 1.0)
     at_root = np.array(psi.where(F.col("v") == root).first()["psi"])[: len(lam)]

@@ -5,8 +5,8 @@ curve, so a curve of any length is spread over tasks:
 
 1. equal neighbours collapse to runs; a peak is a run above both neighbouring runs;
 2. prominence needs, on each side, the lowest point before the first higher one. A peak's own
-   block answers that when it can; the rest look up the nearest block with a higher maximum in
-   the small table of block extremes, then finish inside that one block.
+   block answers that when it can; the rest climb levels of block extremes until a group holds a
+   higher value, and descend to it again, by one join a level.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from .profiles import extent, spacing
 from .stats import quantiles
 
 S = ["series"]
-MAX_BLOCK_TABLE = 4_000_000  # rows of block extremes that may be shipped to every task
 QUERIES_PER_TASK = 65_536
 
 # Fixed values of the discovery rule: relative prominence, minimum distance in windows.
@@ -57,105 +56,109 @@ def local_maxima(p: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 # ------------------------------------------------------- first point beyond a height
-_QUERY = "series string, idx bigint, side int, h double, low double, low_idx bigint, hit bigint, block bigint"
-_QUERY_COLUMNS = ["series", "idx", "side", "h", "low", "low_idx", "hit", "block"]
-
-
-def _scan(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    """Walk each query through one block: first value above `h`, lowest value passed on the way."""
-    rows = rows.sort_values("idx")
-    idx, v = rows["idx"].to_numpy(), rows["y"].to_numpy(float)
-    lows, ats, hits = [], [], []
-    for i, side, h, low, at in zip(queries["idx"], queries["side"], queries["h"], queries["low"], queries["low_idx"]):
-        if side > 0:
-            cut = int(np.searchsorted(idx, i, side="right"))
-            vv, ii = v[cut:], idx[cut:]
-        else:
-            cut = int(np.searchsorted(idx, i))
-            vv, ii = v[:cut][::-1], idx[:cut][::-1]
-        above = vv > h
-        reach = int(np.argmax(above)) if above.any() else len(vv)
-        if reach:
-            j = int(np.argmin(vv[:reach]))
-            if vv[j] < low:
-                low, at = vv[j], ii[j]
-        lows.append(low)
-        ats.append(at)
-        hits.append(int(ii[reach]) if reach < len(vv) else None)
-    return queries.assign(low=lows, low_idx=ats, hit=pd.array(hits, dtype="Int64"))[_QUERY_COLUMNS]
-
-
-def _block_extremes(rows: DataFrame, block: int) -> DataFrame:
-    """Per block: maximum, minimum, and the minimum's position nearest to either end."""
-    return rows.groupBy("series", F.floor(F.col("idx") / block).cast("bigint").alias("block")).agg(
-        F.max("y").alias("top"),
-        F.min("y").alias("low"),
-        F.max(F.struct((-F.col("y")).alias("k"), F.col("idx").alias("i")))["i"].alias("low_last"),
-        F.min(F.struct(F.col("y").alias("k"), F.col("idx").alias("i")))["i"].alias("low_first"),
+_QUERY = "series string, idx bigint, side int, h double, low double, low_idx bigint, pos bigint, at bigint"
+
+
+def _reach(top: np.ndarray, low: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each start: the first place from there on with top > h (the length if none), and the place of
+    the least `low` passed on the way (-1 if none), of equal ones the first.
+
+    Places are passed in steps of falling powers of two, over which largest and least are known."""
+    n = len(top)
+    tops, lows = [top], [np.arange(n)]
+    while 2 << (len(tops) - 1) <= n:
+        half, t, a = 1 << (len(tops) - 1), tops[-1], lows[-1]
+        m = n - 2 * half + 1
+        tops.append(np.fmax(t[:m], t[half : half + m]))
+        lows.append(np.where(low[a[half : half + m]] < low[a[:m]], a[half : half + m], a[:m]))
+    at, least = start.copy(), np.full(len(start), -1)
+    for k in range(len(tops) - 1, -1, -1):
+        go = np.flatnonzero(at + (1 << k) <= n)
+        go = go[~(tops[k][at[go]] > h[go])]
+        seen = lows[k][at[go]]
+        better = (least[go] < 0) | (low[seen] < low[least[go]])
+        least[go[better]] = seen[better]
+        at[go] += 1 << k
+    return at, least
+
+
+def _scan(queries: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+    """Queries of one group of nodes: `at` becomes the first node beyond `pos` on the query's side (a NULL
+    `pos` stands before the whole group) that holds a value above `h`, else NULL."""
+    nodes = nodes.sort_values("n")
+    n, top, low = nodes["n"].to_numpy(), nodes["top"].to_numpy(float), nodes["low"].to_numpy(float)
+    at = np.full(len(queries), -1, np.int64)
+    lows, places = queries["low"].to_numpy(float).copy(), queries["low_idx"].to_numpy(np.int64).copy()
+    pos, sides, h = queries["pos"].to_numpy(float), queries["side"].to_numpy(), queries["h"].to_numpy(float)
+    for side, name, turn in ((1, "low_first", slice(None)), (-1, "low_last", slice(None, None, -1))):
+        mine = np.flatnonzero((sides > 0) == (side > 0))
+        if not len(mine):
+            continue
+        order, where = n[turn] * side, nodes[name].to_numpy(np.int64)[turn]
+        start = np.where(np.isnan(pos[mine]), 0, np.searchsorted(order, pos[mine] * side, side="right")).astype(np.int64)
+        found, least = _reach(top[turn], low[turn], start, h[mine])
+        hit = found < len(n)
+        at[mine[hit]] = n[turn][found[hit]]
+        better = (least >= 0) & (low[turn][least] < lows[mine])
+        lows[mine[better]], places[mine[better]] = low[turn][least[better]], where[least[better]]
+    found = pd.Series(at, index=queries.index, dtype="Int64").mask(at < 0)
+    return queries.assign(low=lows, low_idx=places, pos=queries["pos"].astype("Int64"), at=found)[[f.split()[0] for f in _QUERY.split(", ")]]
+
+
+def _ask(queries: DataFrame, group: Column, nodes: DataFrame, block: int) -> DataFrame:
+    """Each query in its group of `block` nodes. Very many queries may aim at one group: they are dealt
+    into shares, and the group is copied for each share."""
+    keys = ["series", "g"]
+    asked = queries.withColumn("g", group)
+    shares = asked.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).cast("int").alias("shares"))
+    asked = asked.join(shares, keys).withColumn("part", F.pmod(F.xxhash64("idx", "side", "h"), F.col("shares")).cast("int")).drop("shares")
+    split = shares.select(*keys, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("part"))
+    copies = nodes.withColumn("g", F.floor(F.col("n") / block).cast("bigint")).join(split, keys)
+    # renamed: both sides of the co-group may come from the same table
+    copies = copies.select(F.col("series").alias("s"), F.col("g").alias("b"), F.col("part").alias("r"), "n", "top", "low", "low_first", "low_last")
+    return shipped(asked).groupBy(*keys, "part").cogroup(copies.groupBy("s", "b", "r")).applyInPandas(_scan, _QUERY)
+
+
+def _extremes(nodes: DataFrame, block: int) -> DataFrame:
+    """The level above: per group of nodes the maximum, the minimum, and its positions from either end."""
+    return nodes.groupBy("series", F.floor(F.col("n") / block).cast("bigint").alias("n")).agg(
+        F.max("top").alias("top"),
+        F.min("low").alias("low"),
+        F.min(F.struct(F.col("low").alias("k"), F.col("low_first").alias("i")))["i"].alias("low_first"),
+        F.max(F.struct((-F.col("low")).alias("k"), F.col("low_last").alias("i")))["i"].alias("low_last"),
     )
 
 
-def _hop(queries: DataFrame, table: pd.DataFrame) -> DataFrame:
-    """Move each open query to the nearest block that holds a higher value (NULL: none)."""
-    names = ("block", "top", "low", "low_first", "low_last")
-    shared = queries.sparkSession.sparkContext.broadcast(
-        {s: tuple(g[c].to_numpy() for c in names) for s, g in table.sort_values("block").groupby("series")}
-    )
-
-    def hop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lows, ats, blocks = [], [], []
-            for s, side, h, low, at, b in zip(pdf["series"], pdf["side"], pdf["h"], pdf["low"], pdf["low_idx"], pdf["block"]):
-                block, top, bottom, low_first, low_last = shared.value[s]
-                here = int(np.searchsorted(block, b))
-                away = slice(here + 1, None) if side > 0 else slice(0, here)
-                turn = slice(None) if side > 0 else slice(None, None, -1)
-                tops, bottoms = top[away][turn], bottom[away][turn]
-                higher = np.flatnonzero(tops > h)
-                reach = int(higher[0]) if len(higher) else len(tops)
-                if reach:
-                    j = int(np.argmin(bottoms[:reach]))
-                    if bottoms[j] < low:
-                        low, at = bottoms[j], (low_first if side > 0 else low_last)[away][turn][j]
-                lows.append(low)
-                ats.append(at)
-                blocks.append(int(block[away][turn][reach]) if len(higher) else None)
-            yield pdf.assign(low=lows, low_idx=ats, block=pd.array(blocks, dtype="Int64"))[_QUERY_COLUMNS]
-
-    return shipped(queries).mapInPandas(hop, _QUERY)
-
-
 def first_beyond(curve: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
     """For queries (series, idx, side, h): nearest position on that side with y > h (`hit`,
     NULL when the curve ends first) and the lowest value passed on the way (`low`, `low_idx`).
+
+    Levels of block extremes over the curve form a tree of fan `block`. A query climbs until the rest of
+    its group holds a higher value, then descends to it; every move is a join with one level. A curve of
+    up to `block` points has one level.
     """
-    # aliased: both sides of the co-group may come from the same table
-    rows = curve.select(F.col("series").alias("s"), F.floor(F.col("idx") / block).cast("bigint").alias("b"), F.col("idx").alias("idx"), F.col("y").alias("y"))
-    start = queries.select(
-        "series", "idx", "side", "h", F.lit(float("inf")).alias("low"), F.col("idx").alias("low_idx"),
-        F.lit(None).cast("bigint").alias("hit"), F.floor(F.col("idx") / block).cast("bigint").alias("block"),
+    nodes = curve.select("series", F.col("idx").alias("n"), F.col("y").alias("top"), F.col("y").alias("low"), F.col("idx").alias("low_first"), F.col("idx").alias("low_last"))
+    levels, size = [nodes], (curve.agg(F.max("idx")).first()[0] or 0) + 1
+    while size > block:
+        size = -(-size // block)
+        levels.append(materialize(_extremes(levels[-1], block)))
+    up = F.floor(F.col("pos") / block).cast("bigint")
+    moving = queries.select(
+        "series", "idx", "side", "h", F.lit(float("inf")).alias("low"), F.col("idx").alias("low_idx"), F.col("idx").alias("pos"), F.lit(None).cast("bigint").alias("at"),
     )
-    keys = ["series", "block"]
-    local = shipped(start).groupBy(*keys).cogroup(rows.groupBy("s", "b")).applyInPandas(_scan, _QUERY)
-    long_curves = curve.where(F.col("idx") >= block).select("series").distinct()
-    if not long_curves.limit(1).collect():
-        return local.drop("block")  # the ends of the one block are the ends of the curve
-    local = materialize(local)
-    extremes = _block_extremes(curve.join(long_curves, "series", "left_semi"), block)
-    if extremes.count() > MAX_BLOCK_TABLE:
-        return first_beyond(curve, queries, block * 16)  # larger blocks until their table is small
-    is_open = F.col("hit").isNull()
-    short = local.where(is_open).join(long_curves, "series", "left_anti")
-    hopped = materialize(_hop(local.where(is_open).join(long_curves, "series", "left_semi"), extremes.toPandas()))
-    target = hopped.where(F.col("block").isNotNull())
-    # very many queries may aim at one block: split them and copy the block per share
-    shares = target.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).cast("int").alias("shares"))
-    asked = target.join(shares, keys).withColumn("share", F.pmod(F.xxhash64("idx", "side", "h"), F.col("shares")).cast("int")).drop("shares")
-    split = shares.select(F.col("series").alias("s"), F.col("block").alias("b"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("part"))
-    copies = rows.join(split, ["s", "b"])
-    finished = shipped(asked).groupBy(*keys, "share").cogroup(copies.groupBy("s", "b", "part")).applyInPandas(_scan, _QUERY)
-    rest = hopped.where(F.col("block").isNull())
-    return local.where(~is_open).unionByName(short).unionByName(rest).unionByName(finished).drop("block")
+    found: list[DataFrame] = []  # by level: queries that know the node to look into
+    for level in levels:
+        got = _ask(moving, up, level, block)
+        if len(levels) == 1:
+            return got.select("series", "idx", "side", "h", "low", "low_idx", F.col("at").alias("hit"))
+        got = materialize(got)
+        found.append(got.where(F.col("at").isNotNull()))
+        moving = got.where(F.col("at").isNull()).withColumn("pos", up)
+    down = found.pop()
+    for level in levels[-2::-1]:
+        inside = _ask(down.withColumn("pos", F.lit(None).cast("bigint")), F.col("at"), level, block)
+        down = found.pop().unionByName(materialize(inside))
+    return down.unionByName(moving).select("series", "idx", "side", "h", "low", "low_idx", F.col("at").alias("hit"))
 
 
 def both_sides(df: DataFrame, h: Column) -> DataFrame:
@@ -204,50 +207,9 @@ def spaced(peaks: DataFrame, distance: int) -> DataFrame:
     return kept.where(F.coalesce(F.col("_keep"), valley)).select(*peaks.columns)
 
 
-# ------------------------------------------------------------------- short curves
-_FOUND = "series string, idx bigint, y double, left_low double, right_low double, left_base bigint, right_base bigint, prominence double"
-
-
-def _scan_curve(pdf: pd.DataFrame, distance: int) -> pd.DataFrame:
-    """Peaks, distance pruning and prominence of one curve of at most one block."""
-    pdf = pdf.sort_values("idx")
-    idx, y = pdf["idx"].to_numpy(), pdf["y"].to_numpy(float)
-    edges = np.flatnonzero(np.diff(y) != 0) + 1
-    first, last = np.r_[0, edges], np.r_[edges, len(y)] - 1
-    level = y[first]
-    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
-    at = (first[top] + last[top]) // 2
-    if distance > 2:
-        alive = dict.fromkeys(at.tolist(), True)
-        for k in sorted(alive, key=lambda k: (y[k], k), reverse=True):
-            if alive[k]:
-                for j in range(k - distance + 1, k + distance):
-                    if j != k and j in alive:
-                        alive[j] = False
-        at = np.array([k for k, a in alive.items() if a], dtype=int)
-    out = []
-    for k in at:
-        higher = np.flatnonzero(y > y[k])
-        cut = int(np.searchsorted(higher, k))
-        lo = int(higher[cut - 1]) + 1 if cut else 0
-        hi = int(higher[cut]) if cut < len(higher) else len(y)
-        left = k - int(np.argmin(y[lo : k + 1][::-1]))
-        right = k + int(np.argmin(y[k:hi]))
-        out.append((pdf["series"].iat[0], idx[k], y[k], y[left], y[right], idx[left], idx[right], y[k] - max(y[left], y[right])))
-    return pd.DataFrame(out, columns=["series", "idx", "y", "left_low", "right_low", "left_base", "right_base", "prominence"])
-
-
 def found_peaks(p: DataFrame, distance: int = 1, block: int = BLOCK) -> DataFrame:
-    """Peaks at least `distance` apart with prominence and bases.
-
-    When every curve fits one block, a curve is a bounded group and one pass does it all; longer
-    curves take the blockwise steps.
-    """
-    if distance > 4:
-        raise ValueError("adjacent-only pruning holds for distances up to 4 windows")
-    if p.where(F.col("idx") >= block).limit(1).collect():
-        return prominences(p, spaced(local_maxima(p, block), distance), block)
-    return shipped(p.select("series", "idx", "y")).groupBy("series").applyInPandas(lambda pdf: _scan_curve(pdf, distance), _FOUND)
+    """Peaks at least `distance` apart with prominence and bases."""
+    return prominences(p, spaced(local_maxima(p, block), distance), block)
 
 
 # ------------------------------------------------------------ the two peak tables

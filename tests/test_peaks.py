@@ -56,6 +56,35 @@ def test_peaks_any_block(curves):
         assert got == want
 
 
+def test_first_beyond_over_several_levels(spark, monkeypatch):
+    """Climbing and descending four levels, with many queries on one group, against a plain walk."""
+    monkeypatch.setattr(P, "QUERIES_PER_TASK", 50)
+    rng = np.random.default_rng(9)
+    y = np.round(np.cumsum(rng.normal(size=900)), 1)
+    p = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(y)] + [("t", i, float(i)) for i in range(5)], "series string, idx bigint, y double")
+    asked = [("s", int(i), int(side), float(y[i] + extra)) for i in rng.integers(0, 900, 150) for side in (-1, 1) for extra in (0.0, 3.0)] + [("t", 2, 1, 3.0), ("t", 2, -1, 9.0)]
+    asked = list(dict.fromkeys(asked))
+    got = {(r.series, r.idx, r.side, r.h): (r.hit, r.low, r.low_idx) for r in P.first_beyond(p, spark.createDataFrame(asked, "series string, idx bigint, side int, h double"), 6).collect()}
+    assert len(got) == len(asked)
+    for s, i, side, h in asked:
+        v = y if s == "s" else np.arange(5.0)
+        low, place, at = np.inf, i, i + side
+        while 0 <= at < len(v) and v[at] <= h:
+            if v[at] < low:
+                low, place = v[at], at
+            at += side
+        assert got[s, i, side, h] == (at if 0 <= at < len(v) else None, low, place)
+
+
+def test_long_curves(spark):
+    """Two million points in one curve: only the asked groups' rows reach a task, none the driver."""
+    n = 2_000_000
+    p = spark.range(n).select(F.lit("s").alias("series"), F.col("id").alias("idx"), F.when(F.col("id") == n - 7, 2.0).when(F.col("id") == 5, -1.0).otherwise(F.col("id") % 2 * 1.0).alias("y"))
+    q = spark.createDataFrame([("s", 9, 1, 1.0), ("s", n - 9, -1, 1.0), ("s", 1_000_000, 1, 0.5), ("s", 1_000_000, -1, -0.5)], "series string, idx bigint, side int, h double")
+    got = {(r.idx, r.side): (r.hit, r.low, r.low_idx) for r in P.first_beyond(p, q).collect()}
+    assert got == {(9, 1): (n - 7, 0.0, 10), (n - 9, -1): (None, -1.0, 5), (1_000_000, 1): (1_000_001, np.inf, 1_000_000), (1_000_000, -1): (999_999, np.inf, 1_000_000)}
+
+
 def test_distance_pruning(curves):
     data, p = curves
     want = sorted((s, k) for s, y in data.items() for k in spaced([a for a, _ in brute(y)], y, 3))

@@ -63,16 +63,48 @@ def test_leading_vectors_match_dense_eigh(spark):
     dense = np.zeros((60, 60))
     dense[p.src, p.dst] = p.t
     want = np.sort(np.linalg.eigvalsh(dense))[::-1][:4]
-    got, _ = C.leading_vectors(t, 4, 785, steps=6, cycles=1)
-    assert np.allclose(got, want, atol=1e-4) and abs(got[0] - 1) < 1e-6
-
-
-@pytest.mark.skipif(not os.environ.get("DUOCHRON_ALL"), reason="about a minute; set DUOCHRON_ALL=1")
-def test_clock_follows_a_line_and_skips_islands(spark):
+    got, psi = C.leading_vectors(t, 4, 785, steps=12, residual=1e-7)
+    assert np.allclose(got, want, atol=1e-9) and abs(got[0] - 1) < 1e-9
+    v = psi.toPandas().sort_values("v")
+    x = np.stack(v["psi"].to_numpy())
+    assert np.abs(x.T @ x - np.eye(4)).max() < 1e-8 and np.linalg.norm(dense @ x - x * got, axis=0).max() < 2e-7
+    with pytest.raises(RuntimeError, match="residuals"):
+        C.leading_vectors(t, 4, 785, steps=2, residual=1e-300, cycles=2)
+
+
+def test_memberships_against_a_dense_search(spark):
+    """Plain bisection row by row, and both directions' union on a dense matrix."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate((rng.normal(size=(70, 3)), np.repeat(rng.normal(size=(1, 3)), 12, axis=0), [[50.0, 0, 0]]))
+    n, k = len(x), 9
+    df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "id bigint, v array<double>")
+    edges = materialize(K.knn(df, "id", "v", k - 1))
+    p = edges.toPandas()
+    a = np.zeros((n, n))
+    for src, rows in p.groupby("src"):
+        d = np.sort(rows.dist.to_numpy())
+        rho = d[d > 0].min() if (d > 0).any() else 0.0
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if np.exp(-np.maximum(d - rho, 0) / mid).sum() < np.log2(k) else (low, mid)
+        sigma = max(low, 1e-3 * (d.sum() / k if rho > 0 else p.dist.sum() / (n * k)))
+        a[src, rows.dst] = np.exp(-np.maximum(rows.dist - rho, 0) / sigma)
+    want = a + a.T - a * a.T
+    got = np.zeros((n, n))
+    g = C.fuzzy_graph(edges).toPandas()
+    got[g.src, g.dst] = g.w
+    assert np.abs(got - want).max() < 1e-6 and (got == got.T).all()
+    sums = C.memberships(edges).groupBy("src").agg(F.sum("w").alias("w")).toPandas().set_index("src").w
+    assert np.isclose(sums.loc[range(70)], np.log2(k), atol=1e-6).sum() > 60 and sums.min() > np.log2(k) - 1e-6
+
+
+@pytest.mark.parametrize("kernel", ["gauss", "fuzzy"])
+def test_clock_follows_a_line_and_skips_islands(spark, kernel):
     n = 90
     pts = [(i, [i / 10.0, 0.0]) for i in range(n)] + [(1000 + i, [500.0 + i / 10, 0.0]) for i in range(20)]
     df = spark.createDataFrame(pts, "id bigint, v array<double>")
-    got = C.diffusion_clock(df, "id", "v", 0, 10, 6, 5).toPandas().sort_values("id")
+    got = C.diffusion_clock(df, "id", "v", 0, 10, 6, 5, kernel=kernel).toPandas().sort_values("id")
     line = got[got.id < n]["clock"].to_numpy()
     assert line[0] == 0 and abs(line.max() - 1) < 1e-9 and np.corrcoef(np.arange(n), line.argsort().argsort())[0, 1] > 0.99
     assert got[got.id >= n]["clock"].isna().all()
