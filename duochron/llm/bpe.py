@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import kept, map_text, raw
 
 TABLE_SIZE = 400_000  # arcs and words kept per process
+CHUNKS = 1_000_000  # chunks of text with their ids, some 300 bytes each
 
 
 def byte_letters() -> list[str]:
@@ -119,6 +120,7 @@ class Codec:
         # tree of tokens by byte: child of (node, byte), and the token at a node inside a word or at its end
         self.child: dict[int, int] = {}
         self.inner, self.last = [-1], [-1]
+        self.above: list[tuple[int, int]] = [(0, 0)]
         self.width: dict[int, int] = {}
         for text, i in model["vocab"].items():
             whole = bool(self.end) and text.endswith(self.end)
@@ -130,48 +132,88 @@ class Codec:
                     self.child[key] = len(self.inner)
                     self.inner.append(-1)
                     self.last.append(-1)
+                    self.above.append((node, byte_of[c]))
                 node = self.child[key]
             (self.last if whole else self.inner)[node] = i
             self.width[i] = len(body)
         if not self.end:
             self.last = self.inner
+        self.falls: dict[int, int] = {0: 0}
+        self.goes: dict[int, int] = {}
+        self.inner_ends: dict[int, list[tuple[int, int]]] = {}
+        self.last_ends: dict[int, list[tuple[int, int]]] = {} if self.end else self.inner_ends
         whole = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer, self.byte_of = whole.normalizer, whole.pre_tokenizer, byte_of
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split)
+        letters_only = "".join(map(chr, range(ord("a"), ord("z") + 1)))
+        self.runs = self.words.findall(letters_only) == [letters_only]  # letters make one word
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.label = dict(enumerate(self.automaton.label)) | {i: t for t, i in self.special.items()}
         self.known = Recent(TABLE_SIZE)
-        self.chunks = Recent(TABLE_SIZE)
+        self.chunks = Recent(CHUNKS)
+        self.singles: dict[int, tuple[str, str, bytes]] = {}
         self.kind = "H" if max(self.label) < 1 << 16 else "I"
 
+    def _falls(self, node: int) -> int:
+        """The node of the longest proper end of a node's letters that is in the tree."""
+        found = self.falls.get(node)
+        if found is None:
+            above, byte = self.above[node]
+            found = self.falls[node] = self._goes(self._falls(above), byte) if above else 0
+        return found
+
+    def _goes(self, node: int, byte: int) -> int:
+        """The node of the longest end of a node's letters and one more that is in the tree."""
+        key = node << 8 | byte
+        found = self.goes.get(key)
+        if found is None:
+            found = self.child.get(key)
+            if found is None:
+                found = self._goes(self._falls(node), byte) if node else 0
+            if len(self.goes) >= TABLE_SIZE:
+                self.goes.clear()
+            self.goes[key] = found
+        return found
+
+    def _ending(self, node: int, tokens: list[int], known: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int]]:
+        """(token, width) of `tokens` that end a node's letters, longest first."""
+        out, at = [], node
+        while at:
+            if tokens[at] >= 0:
+                out.append((tokens[at], self.width[tokens[at]]))
+            at = self._falls(at)
+        known[node] = out
+        return out
+
     def word(self, word: bytes) -> list[int]:
-        """The tokens of one pre-split word: from every prefix that some token ends, the letters are
-        followed through the tree of tokens, and a token counts where the automaton has its arc."""
-        n, step, table = len(word), self.automaton.step, self.automaton.table
-        child, inner, last = self.child, self.inner, self.last
-        came = [-1] * (n + 1)  # the one token that can end each prefix
-        for j in range(n):
-            before = came[j]
-            if j and before < 0:
-                continue
-            node, i = 0, j
-            while i < n:
-                node = child.get(node << 8 | word[i])
-                if node is None:
-                    break
-                i += 1
-                t = inner[node] if i < n else last[node]
-                if t < 0 or came[i] >= 0:
-                    continue
+        """The tokens of one pre-split word. One scan gives, for every prefix, the tokens that can end it,
+        longest first; the one whose arc the automaton has after its own prefix's token is the only one."""
+        n, goes, ends, table, step = len(word), self.goes, self.inner_ends, self.automaton.table, self.automaton.step
+        came = [-1] * (n + 1)
+        node = 0
+        for i, byte in enumerate(word, 1):
+            now = goes.get(node << 8 | byte)
+            node = self._goes(node, byte) if now is None else now
+            if i == n:
+                ends = self.last_ends
+            candidates = ends.get(node)
+            if candidates is None:
+                candidates = self._ending(node, self.inner if i < n else self.last, ends)
+            for t, width in candidates:
+                j = i - width
                 if j:
-                    goes = table.get((before, t))
-                    if goes is None:
-                        goes = step(before, t)
-                    if not goes:
+                    before = came[j]
+                    if before < 0:
+                        continue
+                    arc = table.get((before, t))
+                    if arc is None:
+                        arc = step(before, t)
+                    if not arc:
                         continue
                 came[i] = t
+                break
         if came[n] < 0:
             raise ValueError(f"no path spells {word!r}")
         out, at = [], n
@@ -189,6 +231,16 @@ class Codec:
 
     def chunk(self, text: str) -> list[int]:
         """The ids of a text: special tokens, then normalised words."""
+        if self.runs and text.isascii() and text.isalpha():
+            b = text.lower().encode()
+            if text.islower():  # kept with its chunk
+                return self.word(b)
+            ids = self.known.get(b)
+            if ids is None:
+                ids = self.word(b)
+                if len(b) <= 64:
+                    self.known.put(b, ids)
+            return ids
         out: list[int] = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
@@ -204,6 +256,11 @@ class Codec:
                 out += ids
         return out
 
+    def single(self, id: int) -> tuple[str, str, bytes]:
+        if id not in self.singles:
+            self.singles[id] = str(id), self.label[id], struct.pack(f"<{self.kind}", id)
+        return self.singles[id]
+
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.label[i] for i in ids)
 
@@ -218,17 +275,25 @@ class Codec:
         known = self.chunks
         found = list(map(known.young.get, chunks))
         if None in found:
-            for at, got in enumerate(found):
+            for at in [i for i, got in enumerate(found) if got is None]:
+                c = chunks[at]
+                got = known.get(c)
                 if got is None:
-                    c = chunks[at]
-                    got = known.get(c)
-                    if got is None:
-                        ids = self.chunk(c.decode())
+                    ids = self.chunk(c.decode())
+                    if len(ids) == 1:
+                        got = self.single(ids[0])
+                    else:
                         got = (" ".join(map(str, ids)), self.decode(ids), struct.pack(f"<{len(ids)}{self.kind}", *ids))
-                        if len(c) <= 64:
-                            known.put(c, got)
-                    found[at] = got
-        return " ".join([g[0] for g in found if g[0]]), " ".join([g[1] for g in found if g[0]]), b"".join([g[2] for g in found])
+                    if len(c) <= 64:
+                        known.put(c, got)
+                found[at] = got
+        if not found:
+            return "", "", b""
+        decimals, labels, packed = zip(*found, strict=True)
+        if "" in decimals:  # a chunk that normalises to nothing
+            labels = [x for x, d in zip(labels, decimals, strict=True) if d]
+            decimals = [d for d in decimals if d]
+        return " ".join(decimals), " ".join(labels), b"".join(packed)
 
 
 def codec(path: str) -> Codec:
