@@ -6,6 +6,7 @@ same rows and a SQL engine can reproduce them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -125,6 +126,20 @@ def permute_blocks(rows: DataFrame, idx: str, value: str, n: int, block: int, re
     return src.join(plan, "block").select("replicate", (F.col("start") + F.col("_i") - F.col("first")).alias(idx), value)
 
 
+def block_pieces(rows: DataFrame, idx: str, value: str, n: int, block: int, d: Design) -> DataFrame:
+    """(idx, value): sums over the pieces of a block that no window of `d` ever cuts, wherever the block is
+    moved to, each at its first position.
+
+    A moved block starts at a multiple of the block length, or, behind the shorter last block, at one plus
+    that block's length; so window edges fall on two grids inside it. A replicate then moves two rows a
+    pane instead of the entities, and its windows come from them as from entities."""
+    g = math.gcd(d.size, d.step, block)
+    inside = F.col(idx) % block
+    turn = -(n % block) % g
+    piece = F.floor(inside / g) * 2 + (inside % g >= turn).cast("int")
+    return rows.groupBy(F.floor(F.col(idx) / block).alias("_b"), piece.alias("_p")).agg(F.min(idx).alias(idx), F.sum(value).alias(value)).drop("_b", "_p")
+
+
 def admissible_offsets(n: int, span: int) -> tuple[int, int]:
     """First and last shift whose circular distance from no shift is at least `span`."""
     return span, n - span

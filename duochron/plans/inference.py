@@ -11,7 +11,10 @@ from ..session import materialize
 from . import tables as T
 from .catalog import query
 
-REPLICATES = 40
+REPLICATES = 500
+STABILITY_REPLICATES = 200
+ENTITY_REPLICATES = 500
+PROFILE_PERMUTATIONS = 5_000
 REGION = (8.0, 22.0)
 CENTERS = {"A": 15.0, "B": 14.0}
 TOLERANCE = 3.0
@@ -26,12 +29,12 @@ def _hash(*parts: str) -> str:
 
 
 # ------------------------------------------------------------------- bootstrap
-def _boot_sql(seed: int, first: str, size: str) -> str:
+def _boot_sql(seed: int, first: str, size: str, replicates: int = REPLICATES) -> str:
     """Drawn rows (replicate, pos, clock, a, b) for strata with the given first rank and size."""
     return f"""
 nn AS (SELECT count(*) AS n FROM ranked),
 strat AS (SELECT rk, {first} AS f, {size} AS z FROM ranked, nn),
-draws AS (SELECT r AS replicate, f + {_hash(str(seed), 'r', '0', 'rk')} % z AS rk FROM strat, (SELECT unnest(range(0, {REPLICATES})) AS r)),
+draws AS (SELECT r AS replicate, f + {_hash(str(seed), 'r', '0', 'rk')} % z AS rk FROM strat, (SELECT unnest(range(0, {replicates})) AS r)),
 booted AS (SELECT d.replicate, row_number() OVER (PARTITION BY d.replicate ORDER BY d.rk) - 1 AS pos, k.clock, k.a, k.b FROM draws d JOIN ranked k USING (rk)),
 bwin AS (SELECT b.replicate, w AS idx, b.clock, b.a, b.b FROM booted b, LATERAL (SELECT unnest(range(greatest(0, floor((b.pos - 400) / 100)::BIGINT + 1), least(b.pos // 100, ((SELECT n FROM nn) - 400) // 100)::BIGINT + 1)) AS w)),
 bw AS (SELECT replicate, idx, median(clock) AS x, round(sum(a) / 400, 9) AS ya, round(sum(b) / 400, 9) AS yb FROM bwin GROUP BY ALL),
@@ -39,18 +42,19 @@ profile AS (SELECT 'A|400/100|' || replicate AS series, replicate, 'A' AS modali
 
 
 _CHUNKS = _boot_sql(rs.DISCOVERY_SEED, "rk // 100 * 100", "least(100, n - rk // 100 * 100)")
+_FEWER_CHUNKS = _boot_sql(rs.DISCOVERY_SEED, "rk // 100 * 100", "least(100, n - rk // 100 * 100)", STABILITY_REPLICATES)
 _PARTS_ID = "CASE WHEN rk < (n % 20) * (n // 20 + 1) THEN rk // (n // 20 + 1) ELSE n % 20 + (rk - (n % 20) * (n // 20 + 1)) // (n // 20) END"
 _PARTS = _boot_sql(rs.VALIDATION_SEED, f"({_PARTS_ID}) * (n // 20) + least(({_PARTS_ID}), n % 20)", f"n // 20 + CASE WHEN ({_PARTS_ID}) < n % 20 THEN 1 ELSE 0 END")
 
 
-def _booted(spark: SparkSession, sf: str, validation: bool) -> DataFrame:
+def _booted(spark: SparkSession, sf: str, validation: bool, replicates: int = REPLICATES) -> DataFrame:
     r, n = T.ranked(spark, sf)
     r = materialize(r.select("rk", "clock", "a", "b"))
     if validation:
         s = rs.strata(r, n, parts=rs.N_STRATA)
-        return rs.bootstrap_profiles(s, "clock", {"A": "a", "B": "b"}, win.PRIMARY, n, REPLICATES, rs.VALIDATION_SEED)
+        return rs.bootstrap_profiles(s, "clock", {"A": "a", "B": "b"}, win.PRIMARY, n, replicates, rs.VALIDATION_SEED)
     s = rs.strata(r, n, size=rs.STRATUM_SIZE)
-    rows = rs.bootstrap(s, ["clock", "a", "b"], REPLICATES, rs.DISCOVERY_SEED, n)
+    rows = rs.bootstrap(s, ["clock", "a", "b"], replicates, rs.DISCOVERY_SEED, n)
     return materialize(rs.replicate_profiles(rows, "clock", {"A": "a", "B": "b"}, win.PRIMARY, n))
 
 
@@ -146,7 +150,7 @@ def region_timing_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 def _stability_sql() -> str:
     from .curves import disc_sql
 
-    return disc_sql(f"{T.RANKED}, {_CHUNKS}") + """, ctr AS (SELECT series, modality, CASE modality WHEN 'A' THEN 15.0 ELSE 14.0 END AS c FROM ext),
+    return disc_sql(f"{T.RANKED}, {_FEWER_CHUNKS}") + """, ctr AS (SELECT series, modality, CASE modality WHEN 'A' THEN 15.0 ELSE 14.0 END AS c FROM ext),
 near AS (SELECT p.series, p.x, p.y, abs(p.y - lag(p.y) OVER (PARTITION BY p.series ORDER BY p.idx)) AS dy FROM profile p JOIN ctr USING (series) WHERE abs(p.x - c) <= 3),
 loc AS (SELECT series, max(y) - min(y) AS rng, avg(dy) AS rough, max(y) AS top FROM near GROUP BY series HAVING count(*) >= 2), pla AS (SELECT series, max(x) - min(x) AS w FROM near JOIN loc USING (series) WHERE y >= 0.9 * top GROUP BY series),
 el AS (SELECT series, count(*) FILTER (abs(x - c) <= 3) AS ne, count(*) AS np FROM disc JOIN ctr USING (series) GROUP BY series)
@@ -156,7 +160,7 @@ FROM ctr LEFT JOIN el USING (series) LEFT JOIN loc USING (series) LEFT JOIN pla
 
 @query("peak_stability_bootstrap", _stability_sql())
 def peak_stability_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    p = _booted(spark, sf, False)
+    p = _booted(spark, sf, False, STABILITY_REPLICATES)
     s = pk.stability(p, _with_keys(pk.discovery_peaks(p)), CENTERS, TOLERANCE)
     return s.groupBy("modality").agg(
         F.count(F.lit(1)).alias("n_replicates"), r6(stats.rate(F.col("detected"))).alias("detection_rate"), r6(F.avg("n_peaks")).alias("mean_peaks"),
@@ -245,8 +249,7 @@ def alignment_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return t.agg(F.count_if(F.col("significant")).alias("n_significant")).withColumn("evidence", stats.evidence_class(F.col("n_significant")))
 
 
-_PERMS = 200
-_BLOCKS = f"""{_PAIR}, blk AS (SELECT r, k AS block, least(4, n - k * 4) AS z, {_hash('785', 'r', 'k')} AS h FROM np, (SELECT unnest(range(0, {_PERMS})) AS r), LATERAL (SELECT unnest(range(0, (n + 3) // 4)) AS k)),
+_BLOCKS = f"""{_PAIR}, blk AS (SELECT r, k AS block, least(4, n - k * 4) AS z, {_hash('785', 'r', 'k')} AS h FROM np, (SELECT unnest(range(0, {PROFILE_PERMUTATIONS})) AS r), LATERAL (SELECT unnest(range(0, (n + 3) // 4)) AS k)),
 st AS (SELECT r, block, sum(z) OVER (PARTITION BY r ORDER BY h, block) - z AS s FROM blk),
 perm AS (SELECT st.r AS k, st.s + p.idx - st.block * 4 AS idx, p.b FROM st JOIN pair p ON p.idx // 4 = st.block),
 src AS (SELECT r.k, p.idx, p.x, p.a, r.b FROM pair p JOIN perm r USING (idx) WHERE p.x BETWEEN 8.0 AND 22.0)"""
@@ -255,41 +258,77 @@ src AS (SELECT r.k, p.idx, p.x, p.a, r.b FROM pair p JOIN perm r USING (idx) WHE
 @query("block_perm_null", f"WITH {_BLOCKS}, {_metrics_sql('src', 'k')} SELECT k, {_SHOW} FROM metrics")
 def block_perm_null(spark: SparkSession, sf: str) -> DataFrame:
     pair, n = _pair(spark, sf)
-    null = rs.permute_blocks(pair, "idx", "b", n, 4, _PERMS, rs.VALIDATION_SEED).withColumnRenamed("replicate", "k")
+    null = rs.permute_blocks(pair, "idx", "b", n, 4, PROFILE_PERMUTATIONS, rs.VALIDATION_SEED).withColumnRenamed("replicate", "k")
     rows = materialize(_in_region(pair).drop("b").join(null, "idx").select("k", "idx", "x", "a", "b"))
     return _round(rs.alignment(rows, "k"), *_COLS)
 
 
-_ENTITY_REPS = 20
+def _grid_sql(source: str, key: str) -> str:
+    """Tables q, rho and js by k: both curves of `source` (series, key, modality, idx, x, y) on one grid."""
+    return f"""reg AS (SELECT {key}, greatest(8.0, max(x0)) AS lo, least(22.0, min(x1)) AS hi FROM (SELECT {key}, modality, min(x) AS x0, max(x) AS x1 FROM {source} GROUP BY ALL) GROUP BY 1),
+grid AS (SELECT r.{key}, m.modality, g, lo + (hi - lo) * g / 499 AS gx FROM reg r, (SELECT unnest(range(0, 500)) AS g), (SELECT unnest(['A', 'B']) AS modality) m),
+seg AS (SELECT *, lead(x) OVER s AS ex, lead(y) OVER s AS ey FROM {source} WINDOW s AS (PARTITION BY series ORDER BY idx)),
+rd AS (SELECT g.{key} AS k, g.modality, g.g AS idx, g.gx AS x, coalesce(s.y + (g.gx - s.x) / (s.ex - s.x) * (s.ey - s.y), s.y) AS y FROM grid g ASOF JOIN seg s ON g.{key} = s.{key} AND g.modality = s.modality AND g.gx >= s.x),
+e AS (SELECT *, y - min(y) OVER (PARTITION BY k, modality) AS e FROM rd),
+tr AS (SELECT k, modality, idx, x, e, coalesce((x - lag(x) OVER s) * (e + lag(e) OVER s) / 2, 0) AS t FROM e WINDOW s AS (PARTITION BY k, modality ORDER BY idx)),
+cu AS (SELECT k, modality, idx, x, sum(t) OVER (PARTITION BY k, modality ORDER BY idx) / sum(t) OVER (PARTITION BY k, modality) AS c FROM tr),
+lo AS (SELECT k, modality, arg_max(x, idx) AS x, arg_max(c, idx) AS c FROM cu WHERE c <= 0.5 GROUP BY ALL), hi AS (SELECT k, modality, arg_min(x, idx) AS x, arg_min(c, idx) AS c FROM cu WHERE c > 0.5 GROUP BY ALL),
+q AS (SELECT k, modality, lo.x + (0.5 - lo.c) / (hi.c - lo.c) * (hi.x - lo.x) AS q FROM lo JOIN hi USING (k, modality)),
+w AS (SELECT k, idx, round(max(y) FILTER (modality = 'A'), 9) AS ya, round(max(y) FILTER (modality = 'B'), 9) AS yb, max(e) FILTER (modality = 'A') AS ea, max(e) FILTER (modality = 'B') AS eb FROM e GROUP BY ALL),
+rk2 AS (SELECT k, rank() OVER (PARTITION BY k ORDER BY ya) + (count(*) OVER (PARTITION BY k, ya) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY k ORDER BY yb) + (count(*) OVER (PARTITION BY k, yb) - 1) / 2.0 AS rb FROM w),
+rho AS (SELECT k, corr(ra, rb) AS rho FROM rk2 GROUP BY k), pq AS (SELECT k, ea / sum(ea) OVER (PARTITION BY k) AS p, eb / sum(eb) OVER (PARTITION BY k) AS q FROM w),
+js AS (SELECT k, sqrt((sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END)) / 2) AS js FROM pq GROUP BY k)"""
 
 
-@query("entity_block_null", f"""WITH {T.RANKED}, nn AS (SELECT count(*) AS n FROM ranked),
-blk AS (SELECT r, k AS block, least(100, n - k * 100) AS z, {_hash('20260920', 'r', 'k')} AS h FROM nn, (SELECT unnest(range(0, {_ENTITY_REPS})) AS r), LATERAL (SELECT unnest(range(0, (n + 99) // 100)) AS k)),
+_MOVED = f"""total AS (SELECT count(*) AS n FROM ranked),
+blk AS (SELECT r, k AS block, least(100, n - k * 100) AS z, {_hash('20260920', 'r', 'k')} AS h FROM total, (SELECT unnest(range(0, {ENTITY_REPLICATES})) AS r), LATERAL (SELECT unnest(range(0, (n + 99) // 100)) AS k)),
 st AS (SELECT r, block, sum(z) OVER (PARTITION BY r ORDER BY h, block) - z AS s FROM blk),
 perm AS (SELECT st.r AS replicate, (st.s + p.rk - st.block * 100)::BIGINT AS pos, p.b FROM st JOIN ranked p ON p.rk // 100 = st.block),
-bwin AS (SELECT b.replicate, w AS idx, b.b FROM perm b, LATERAL (SELECT unnest(range(greatest(0, floor((b.pos - 400) / 100)::BIGINT + 1), least(b.pos // 100, ((SELECT n FROM nn) - 400) // 100)::BIGINT + 1)) AS w))
-SELECT replicate, idx, round(sum(b) / 400, 6) AS y FROM bwin GROUP BY ALL""")
-def entity_block_null(spark: SparkSession, sf: str) -> DataFrame:
+bwin AS (SELECT b.replicate, w AS idx, b.b FROM perm b, LATERAL (SELECT unnest(range(greatest(0, floor((b.pos - 400) / 100)::BIGINT + 1), least(b.pos // 100, ((SELECT n FROM total) - 400) // 100)::BIGINT + 1)) AS w)),
+moved AS (SELECT replicate, idx, sum(b) / 400 AS y FROM bwin GROUP BY ALL)"""
+
+
+def _entity_null(spark: SparkSession, sf: str) -> DataFrame:
+    """(replicate, idx, y): windows of the second modality with its entities moved in blocks."""
     r, n = T.ranked(spark, sf)
-    b = rs.permute_blocks(materialize(r.select("rk", "b")), "rk", "b", n, rs.NULL_BLOCK, _ENTITY_REPS, rs.DISCOVERY_SEED)
+    pieces = materialize(rs.block_pieces(r.select("rk", "b"), "rk", "b", n, rs.NULL_BLOCK, win.PRIMARY))
+    b = rs.permute_blocks(pieces, "rk", "b", n, rs.NULL_BLOCK, ENTITY_REPLICATES, rs.DISCOVERY_SEED)
     t = win.window_table(b, [win.PRIMARY], n, {"s": F.col("b")}, None, ["replicate"])
-    return t.select("replicate", F.col("window_index").alias("idx"), r6(F.col("s") / F.col("window_size")).alias("y"))
+    return t.select("replicate", F.col("window_index").alias("idx"), (F.col("s") / F.col("window_size")).alias("y"))
+
+
+@query("entity_block_null", f"WITH {T.RANKED}, {_MOVED} SELECT replicate, idx, round(y, 6) AS y FROM moved")
+def entity_block_null(spark: SparkSession, sf: str) -> DataFrame:
+    return _round(_entity_null(spark, sf), "y")
+
+
+_GRID_SIDES = {"absolute_gap": "low", "spearman_rho": "high", "js_distance": "low"}
+
+
+@query("entity_block_null_summary", f"""WITH {T.PROFILES}, {_MOVED},
+one AS (SELECT modality, idx, x, y FROM profile WHERE window_config = '400/100'),
+np AS (SELECT modality || '|-1' AS series, -1 AS rep, modality, idx, x, y FROM one UNION ALL SELECT 'A|' || r, r, 'A', idx, x, y FROM one, (SELECT unnest(range(0, {ENTITY_REPLICATES})) AS r) WHERE modality = 'A'
+  UNION ALL SELECT 'B|' || m.replicate, m.replicate, 'B', m.idx, o.x, m.y FROM moved m JOIN one o ON o.idx = m.idx AND o.modality = 'A'),
+{_grid_sql('np', 'rep')},
+gm AS (SELECT k, abs(max(q) FILTER (modality = 'A') - max(q) FILTER (modality = 'B')) AS absolute_gap, any_value(rho) AS spearman_rho, any_value(js) AS js_distance FROM q JOIN rho USING (k) JOIN js USING (k) GROUP BY k),
+nul AS ({" UNION ALL ".join(f"SELECT '{m}' AS metric, '{s}' AS side, o.{m} AS observed, g.{m} AS v, g.{m} {'<=' if s == 'low' else '>='} o.{m} AS ext FROM gm g, (SELECT * FROM gm WHERE k = -1) o WHERE g.k >= 0" for m, s in _GRID_SIDES.items())})
+SELECT metric, side, round(observed, 5) AS observed, count(v) AS n_null, round(avg(v), 5) AS null_mean, round(median(v), 5) AS null_median, round((1 + count(*) FILTER (ext)) / (1 + count(v)), 6) AS p FROM nul GROUP BY metric, side, observed""")
+def entity_block_null_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The discovery metrics of the observed curves against those of every permutation, and empirical p."""
+    one = materialize(T.profiles(spark, sf, [win.PRIMARY]).select("modality", "idx", "x", "y"))
+    a = one.where("modality = 'A'")
+    moved = materialize(_entity_null(spark, sf))
+    null = moved.join(a.select("idx", "x"), "idx").select("replicate", F.lit("B").alias("modality"), "idx", "x", "y")
+    same = a.crossJoin(spark.range(ENTITY_REPLICATES).select(F.col("id").cast("int").alias("replicate")))  # a curve for each replicate
+    curves = null.unionByName(same.select("replicate", "modality", "idx", "x", "y")).unionByName(one.select(F.lit(-1).alias("replicate"), "modality", "idx", "x", "y"))
+    m = materialize(rs.grid_alignment(materialize(curves), "replicate", "A", "B", *REGION))
+    out = report.null_summary(m.where("replicate = -1"), m.where("replicate >= 0"), _GRID_SIDES)
+    five = {c: F.round(c, 5) for c in ("observed", "null_mean", "null_median")}
+    return out.withColumns(five).select("metric", "side", "observed", "n_null", "null_mean", "null_median", r6(F.col("p")).alias("p"))
 
 
 @query("discovery_alignment", f"""WITH {T.PROFILES},
-reg AS (SELECT window_config, greatest(8.0, max(x0)) AS lo, least(22.0, min(x1)) AS hi FROM (SELECT window_config, modality, min(x) AS x0, max(x) AS x1 FROM profile GROUP BY ALL) GROUP BY 1),
-grid AS (SELECT r.window_config, m.modality, g, lo + (hi - lo) * g / 499 AS gx FROM reg r, (SELECT unnest(range(0, 500)) AS g), (SELECT unnest(['A', 'B']) AS modality) m),
-seg AS (SELECT *, lead(x) OVER s AS ex, lead(y) OVER s AS ey FROM profile WINDOW s AS (PARTITION BY series ORDER BY idx)),
-rd AS (SELECT g.window_config AS k, g.modality, g.g AS idx, g.gx AS x, coalesce(s.y + (g.gx - s.x) / (s.ex - s.x) * (s.ey - s.y), s.y) AS y FROM grid g ASOF JOIN seg s ON g.window_config = s.window_config AND g.modality = s.modality AND g.gx >= s.x),
-e AS (SELECT *, y - min(y) OVER (PARTITION BY k, modality) AS e FROM rd),
-tr AS (SELECT k, modality, idx, x, e, coalesce((x - lag(x) OVER s) * (e + lag(e) OVER s) / 2, 0) AS t FROM e WINDOW s AS (PARTITION BY k, modality ORDER BY idx)),
-cu AS (SELECT k, modality, idx, x, sum(t) OVER (PARTITION BY k, modality ORDER BY idx) / sum(t) OVER (PARTITION BY k, modality) AS c FROM tr),
-lo AS (SELECT k, modality, arg_max(x, idx) AS x, arg_max(c, idx) AS c FROM cu WHERE c <= 0.5 GROUP BY ALL), hi AS (SELECT k, modality, arg_min(x, idx) AS x, arg_min(c, idx) AS c FROM cu WHERE c > 0.5 GROUP BY ALL),
-q AS (SELECT k, modality, lo.x + (0.5 - lo.c) / (hi.c - lo.c) * (hi.x - lo.x) AS q FROM lo JOIN hi USING (k, modality)),
-w AS (SELECT k, idx, round(max(y) FILTER (modality = 'A'), 9) AS ya, round(max(y) FILTER (modality = 'B'), 9) AS yb, max(e) FILTER (modality = 'A') AS ea, max(e) FILTER (modality = 'B') AS eb FROM e GROUP BY ALL),
-rk2 AS (SELECT k, rank() OVER (PARTITION BY k ORDER BY ya) + (count(*) OVER (PARTITION BY k, ya) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY k ORDER BY yb) + (count(*) OVER (PARTITION BY k, yb) - 1) / 2.0 AS rb FROM w),
-rho AS (SELECT k, corr(ra, rb) AS rho FROM rk2 GROUP BY k), pq AS (SELECT k, ea / sum(ea) OVER (PARTITION BY k) AS p, eb / sum(eb) OVER (PARTITION BY k) AS q FROM w),
-js AS (SELECT k, sqrt((sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END)) / 2) AS js FROM pq GROUP BY k)
+{_grid_sql('profile', 'window_config')}
 SELECT k AS window_config, round(max(q) FILTER (modality = 'A'), 5) AS q50_a, round(max(q) FILTER (modality = 'B'), 5) AS q50_b, round(any_value(rho), 5) AS spearman_rho, round(any_value(js), 5) AS js_distance FROM q JOIN rho USING (k) JOIN js USING (k) GROUP BY k""")
 def discovery_alignment(spark: SparkSession, sf: str) -> DataFrame:
     g = rs.grid_alignment(materialize(T.profiles(spark, sf)), "window_config", "A", "B", *REGION)
