@@ -47,10 +47,10 @@ def hvg_moments(spark: SparkSession, sf: str) -> DataFrame:
     return _round(p.join(s, "feature"), "mean", "variance_population", "variance_sample")
 
 
-@query("hvg_topk", f"WITH {_LOG}, m AS ({_MOM.format(d=1)}) SELECT feature, round(variance, 6) AS variance FROM (SELECT feature, round(variance, 9) AS variance FROM m) ORDER BY variance DESC, feature LIMIT 250")
+@query("hvg_topk", f"WITH {_LOG}, m AS ({_MOM.format(d=1)}) SELECT feature, round(variance, 6) AS variance FROM (SELECT feature, round(variance, 9) AS variance FROM m) ORDER BY variance DESC, feature LIMIT {ct.TOP_FEATURES_A}")
 def hvg_topk(spark: SparkSession, sf: str) -> DataFrame:
     m = ct.feature_moments(ct.log_normalized(T.order_counts(spark, sf)), _n_orders(spark, sf), sample=True)
-    top = ct.top_features(m.withColumn("variance", F.round("variance", 9)), 250)
+    top = ct.top_features(m.withColumn("variance", F.round("variance", 9)), ct.TOP_FEATURES_A)
     return _round(top.select("feature", "variance"), "variance")
 
 
@@ -71,10 +71,10 @@ def tfidf_binary(spark: SparkSession, sf: str) -> DataFrame:
     return _round(ct.tfidf(T.order_counts(spark, sf), _n_orders(spark, sf)), "value")
 
 
-@query("support_topk", f"WITH {T.COUNTS} SELECT feature, n_detected FROM (SELECT feature, count(*) AS n_detected FROM counts GROUP BY 1) ORDER BY n_detected DESC, feature LIMIT 300")
+@query("support_topk", f"WITH {T.COUNTS} SELECT feature, n_detected FROM (SELECT feature, count(*) AS n_detected FROM counts GROUP BY 1) ORDER BY n_detected DESC, feature LIMIT {ct.TOP_FEATURES_B}")
 def support_topk(spark: SparkSession, sf: str) -> DataFrame:
     support = T.order_counts(spark, sf).groupBy("feature").agg(F.count(F.lit(1)).alias("n_detected"))
-    return ct.top_features(support, 300, "n_detected")
+    return ct.top_features(support, ct.TOP_FEATURES_B, "n_detected")
 
 
 @query("zero_depth_entities", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -266,22 +266,25 @@ SELECT *, technical_r2 > 0.05 AND technical_r2 > biology_r2 AS batch_dominant FR
 
 
 # --------------------------------------------------------------- decomposition
+AXES = 50
+
+
 @query("pca_scores")
 def pca_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten principal components of the scaled, clipped top features of the order counts."""
+    """Principal components of the scaled, clipped top features of the order counts."""
     v = materialize(ct.log_normalized(T.order_counts(spark, sf)))
     ent = materialize(v.select("entity").distinct())
-    m = materialize(ct.top_features(ct.feature_moments(v, ent.count(), sample=True), 250))
-    s, _, axes = decompose.factor(ct.scaled(v, m), m.select("feature"), ent, 10, center=True, value="delta")
+    m = materialize(ct.top_features(ct.feature_moments(v, ent.count(), sample=True), ct.TOP_FEATURES_A))
+    s, _, axes = decompose.factor(ct.scaled(v, m), m.select("feature"), ent, AXES, center=True, value="delta")
     return s.select("entity", *[r6(F.col("scores")[i]).alias(f"pc{i + 1}") for i in range(len(axes))])
 
 
 @query("lsi_scores")
 def lsi_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten latent axes of the TF-IDF weights of the best supported features."""
+    """Latent axes of the TF-IDF weights of the best supported features."""
     c = materialize(T.order_counts(spark, sf))
-    top = materialize(ct.top_features(c.groupBy("feature").agg(F.count(F.lit(1)).alias("n_detected")), 300, "n_detected"))
+    top = materialize(ct.top_features(c.groupBy("feature").agg(F.count(F.lit(1)).alias("n_detected")), ct.TOP_FEATURES_B, "n_detected"))
     kept = c.join(top.select("feature"), "feature", "left_semi")
     ent = materialize(kept.select("entity").distinct())
-    s, _, axes = decompose.factor(ct.tfidf(kept, ent.count()), top.select("feature"), ent, 10, center=False)
+    s, _, axes = decompose.factor(ct.tfidf(kept, ent.count()), top.select("feature"), ent, AXES, center=False)
     return s.select("entity", *[r6(F.col("scores")[i]).alias(f"axis{i + 1}") for i in range(len(axes))])

@@ -60,37 +60,47 @@ def continuity_decision(spark: SparkSession, sf: str) -> DataFrame:
 _BRANCHES = {"left": ["1", "2", "3"], "right": ["1", "2", "4"]}
 
 
-def _branch_sql(name: str, s: list[str]) -> str:
+def _branch_sql(name: str, s: list[str], k: int) -> str:
     a, b, c = s
     inlist = ", ".join(f"'{x}'" for x in s)
     n = lambda x, y: f"count(*) FILTER (s = '{x}' AND t = '{y}')"
     return f"""(WITH sub AS (SELECT * FROM vectors WHERE label IN ({inlist})),
 p AS (SELECT x.id AS src, y.id AS dst, x.label AS s, y.label AS t, sqrt(list_sum(list_transform(range(1, 33), lambda i: (x.va[i] - y.va[i]) * (x.va[i] - y.va[i])))) AS d FROM sub x JOIN sub y ON x.id <> y.id),
-e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS r FROM p) WHERE r <= {K}),
+e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS r FROM p) WHERE r <= {k}),
 m AS (SELECT count(*) FILTER (s <> t) / count(*) AS cross_fraction, ({n(a, b)} + {n(b, a)} + {n(b, c)} + {n(c, b)}) / count(*) FILTER (s <> t) AS adjacent_of_cross, ({n(a, c)} + {n(c, a)}) / count(*) FILTER (s <> t) AS bypass_of_cross,
   {n(a, b)} / count(*) FILTER (s = '{a}') AS f1, {n(b, c)} / count(*) FILTER (s = '{b}') AS f2, {n(c, b)} / count(*) FILTER (s = '{c}') AS f3 FROM e),
 ce AS (SELECT label, dimension, avg(xa) AS m FROM dims WHERE label IN ({inlist}) GROUP BY ALL), ds AS (SELECT x.label AS p, y.label AS q, sqrt(sum((x.m - y.m) ** 2)) AS d FROM ce x JOIN ce y USING (dimension) GROUP BY ALL),
 g AS (SELECT max(d) FILTER (p = '{a}' AND q = '{b}') AS d1, max(d) FILTER (p = '{b}' AND q = '{c}') AS d2, max(d) FILTER (p = '{a}' AND q = '{c}') AS d3 FROM ds)
-SELECT '{name}' AS branch, round(cross_fraction, 6) AS cross_fraction, round(adjacent_of_cross, 6) AS adjacent_of_cross, round(bypass_of_cross, 6) AS bypass_of_cross, round(least(f1, f2, f3), 6) AS min_bridge, round(d3 / (d1 + d2), 6) AS chain_ratio, d3 >= d1 AND d3 >= d2 AS endpoint_largest FROM m, g)"""
+SELECT '{name}' AS branch, {k} AS neighbours, round(1 - cross_fraction, 6) AS self_fraction, round(cross_fraction, 6) AS cross_fraction, round(adjacent_of_cross, 6) AS adjacent_of_cross, round(bypass_of_cross, 6) AS bypass_of_cross, round(least(f1, f2, f3), 6) AS min_bridge, round(d3 / (d1 + d2), 6) AS chain_ratio, d3 >= d1 AND d3 >= d2 AS endpoint_largest FROM m, g)"""
 
 
-def _branch(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    states = _BRANCHES[name]
-    v = T.vectors(spark, sf).where(F.col("label").isin(states))
-    e = materialize(knn.knn(v, "id", "va", K))
-    return knn.branch_metrics(e, v, "id", "label", "va", T.DIMS, states).select(F.lit(name).alias("branch"), "*")
+_NEIGHBOURS = (20, 30, 50)
+_ALL_BRANCHES = " UNION ALL ".join(f"SELECT * FROM {_branch_sql(n, s, k)}" for n, s in _BRANCHES.items() for k in _NEIGHBOURS)
 
 
-@query("branch_continuity", f"WITH {T.VECTORS} " + " UNION ALL ".join(f"SELECT * FROM {_branch_sql(n, s)}" for n, s in _BRANCHES.items()))
+def _branches(spark: SparkSession, sf: str) -> DataFrame:
+    """Both branches at every neighbour count; the lists of the largest hold the others."""
+    out = None
+    for name, states in _BRANCHES.items():
+        v = materialize(T.vectors(spark, sf).where(F.col("label").isin(states)))
+        e = materialize(knn.knn(v, "id", "va", max(_NEIGHBOURS)))
+        for k in _NEIGHBOURS:
+            m = knn.branch_metrics(e.where(F.col("rank") <= k), v, "id", "label", "va", T.DIMS, states)
+            one = m.select(F.lit(name).alias("branch"), F.lit(k).alias("neighbours"), (1 - F.col("cross_fraction")).alias("self_fraction"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("branch_continuity", f"WITH {T.VECTORS} {_ALL_BRANCHES}")
 def branch_continuity(spark: SparkSession, sf: str) -> DataFrame:
-    m = _branch(spark, sf, "left").unionByName(_branch(spark, sf, "right"))
-    cols = ["cross_fraction", "adjacent_of_cross", "bypass_of_cross", "min_bridge", "chain_ratio"]
-    return _round(m.select("branch", *cols, "endpoint_largest"), *cols)
+    m = _branches(spark, sf)
+    cols = ["self_fraction", "cross_fraction", "adjacent_of_cross", "bypass_of_cross", "min_bridge", "chain_ratio"]
+    return _round(m.select("branch", "neighbours", *cols, "endpoint_largest"), *cols)
 
 
-@query("branch_selection", f"WITH {T.VECTORS}, a AS (" + " UNION ALL ".join(f"SELECT * FROM {_branch_sql(n, s)}" for n, s in _BRANCHES.items()) + ") SELECT branch, count(*) AS n_settings, min(cross_fraction) AS min_cross_fraction, min(adjacent_of_cross) AS min_adjacent, max(bypass_of_cross) AS max_bypass, min(min_bridge) AS min_bridge, min(chain_ratio) AS min_chain_ratio, bool_and(endpoint_largest) AS endpoint_always_largest FROM a GROUP BY branch")
+@query("branch_selection", f"WITH {T.VECTORS}, a AS ({_ALL_BRANCHES}) SELECT branch, count(*) AS n_settings, min(cross_fraction) AS min_cross_fraction, min(adjacent_of_cross) AS min_adjacent, max(bypass_of_cross) AS max_bypass, min(min_bridge) AS min_bridge, min(chain_ratio) AS min_chain_ratio, bool_and(endpoint_largest) AS endpoint_always_largest FROM a GROUP BY branch")
 def branch_selection(spark: SparkSession, sf: str) -> DataFrame:
-    m = _branch(spark, sf, "left").unionByName(_branch(spark, sf, "right"))
+    m = _branches(spark, sf)
     return _round(report.branch_selection(m, "branch"), "min_cross_fraction", "min_adjacent", "max_bypass", "min_bridge", "min_chain_ratio")
 
 
@@ -164,6 +174,36 @@ def transition_energy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ----------------------------------------------------------------------- clocks
+_NEAR = f"ds AS (SELECT src, list(dist ORDER BY dist) AS d, count(*) AS m, list_min(list(dist) FILTER (dist > 0)) AS rho FROM edges WHERE rank < {K} GROUP BY src)"
+_WIDTH = """wd AS (SELECT src, coalesce(rho, 0) AS rho, greatest(list_reduce(list_prepend(0.0::DOUBLE, [mx / ln(m / log2(m + 1)) / pow(2.0, i) for i in range(1, 61)]),
+  lambda s, x: CASE WHEN list_sum([CASE WHEN o > 0 THEN exp(-o / (s + x)) ELSE 1.0 END for o in ov]) < log2(m + 1) THEN s + x ELSE s END), 0.001 * list_sum(d) / (m + 1)) AS sigma
+  FROM (SELECT *, list_max(ov) AS mx FROM (SELECT *, [greatest(x - coalesce(rho, 0), 0) for x in d] AS ov FROM ds)))"""
+
+
+@query("fuzzy_graph", f"""WITH {_EDGES}, {_NEAR}, {_WIDTH}, one AS (SELECT e.src, e.dst, CASE WHEN e.dist <= w.rho THEN 1.0 ELSE exp(-(e.dist - w.rho) / w.sigma) END AS w FROM edges e JOIN wd w USING (src) WHERE e.rank < {K}),
+sides AS (SELECT src, dst, w FROM one UNION ALL SELECT dst, src, w FROM one) SELECT src, dst, round(sum(w) - CASE WHEN count(*) > 1 THEN min(w) * max(w) ELSE 0 END, 6) AS w FROM sides GROUP BY src, dst""")
+def fuzzy_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Fuzzy-set weights of the neighbour graph, each vector counted among its own neighbours."""
+    return _round(ck.fuzzy_graph(materialize(knn.knn(T.vectors(spark, sf), "id", "va", K - 1))), "w")
+
+
+@query("clock_invariants", f"""WITH RECURSIVE {_EDGES.lstrip()}, near AS (SELECT src AS u, dst AS w FROM edges WHERE rank < {K} UNION SELECT dst, src FROM edges WHERE rank < {K}),
+reach AS (SELECT id AS u, id AS w FROM vectors UNION SELECT r.u, n.w FROM reach r JOIN near n ON n.u = r.w), co AS (SELECT u AS id, min(w) AS c FROM reach GROUP BY u),
+rt AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS r FROM vectors) WHERE r = 1), k AS (SELECT unnest(['fuzzy', 'gauss']) AS kernel)
+SELECT kernel, (SELECT count(*) FROM co WHERE c = (SELECT c FROM co JOIN rt USING (id))) AS n_connected, (SELECT count(*) FROM co WHERE c <> (SELECT c FROM co JOIN rt USING (id))) AS n_null, 0.0::DOUBLE AS at_root, 1.0::DOUBLE AS largest, true AS none_below_root FROM k""")
+def clock_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """What every clock must be, for both kernels: zero at the root, one at its end, NULL off the root's component."""
+    v = materialize(T.vectors(spark, sf))
+    root = v.agg(F.min("id")).first()[0]
+    out = None
+    for kernel in ("fuzzy", "gauss"):
+        c = materialize(ck.diffusion_clock(v, "id", "va", root, K, kernel=kernel))
+        one = c.agg(F.count("clock").alias("n_connected"), F.count_if(F.col("clock").isNull()).alias("n_null"), r6(F.max(F.when(F.col("id") == root, F.col("clock")))).alias("at_root"), r6(F.max("clock")).alias("largest"), (F.min("clock") >= 0).alias("none_below_root"))
+        one = one.select(F.lit(kernel).alias("kernel"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("diffusion_clock")
 def diffusion_clock(spark: SparkSession, sf: str) -> DataFrame:
     v = T.vectors(spark, sf)
@@ -173,14 +213,17 @@ def diffusion_clock(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("clock_sensitivity")
 def clock_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
-    """Rank correlation between clocks built with different neighbour counts."""
+    """Rank correlation of clocks with 20 and 50 neighbours with the clock of 30."""
     v = T.vectors(spark, sf)
     root = rep.root_medoid(v, "id", "va", T.DIMS, F.col("label") == "3").first()["root_id"]
     base = materialize(ck.diffusion_clock(v, "id", "va", root, 30).select("id", F.col("clock").alias("base")))
-    other = materialize(ck.diffusion_clock(v, "id", "va", root, 20).select("id", F.round("clock", 9).alias("other")))
-    j = base.join(other, "id").select(F.round("base", 9).alias("base"), "other")
-    rho = stats.spearman(j, "base", "other", (), "rho")
-    return j.agg(F.count("base").alias("n_connected")).crossJoin(rho).select(F.lit("30 vs 20").alias("neighbours"), "n_connected", r6(F.col("rho")).alias("rho"))
+    others = None
+    for k in (20, 50):
+        one = materialize(ck.diffusion_clock(v, "id", "va", root, k).select(F.lit(f"30 vs {k}").alias("neighbours"), "id", F.round("clock", 9).alias("other")))
+        others = one if others is None else others.unionByName(one)
+    j = materialize(base.join(others, "id").select("neighbours", F.round("base", 9).alias("base"), "other"))
+    rho = stats.spearman(j, "base", "other", ["neighbours"], "rho")
+    return j.groupBy("neighbours").agg(F.count("base").alias("n_connected")).join(rho, "neighbours").select("neighbours", "n_connected", r6(F.col("rho")).alias("rho"))
 
 
 @query("representation_grid")

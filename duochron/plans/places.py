@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.counts import TOP_FEATURES_B
 from ..operators import intervals as iv, motifs as mo, stats
 from ..session import materialize
 from ..sources import readers
@@ -45,10 +46,10 @@ def bin_presence(spark: SparkSession, sf: str) -> DataFrame:
     return iv.bin_presence(iv.binned(T.intervals(spark, sf), "chrom", "start", "end"), "l_orderkey")
 
 
-@query("bin_support_topk", f"WITH {_BINS}, p AS (SELECT DISTINCT l_orderkey, bin FROM binned WHERE bin IS NOT NULL) SELECT bin AS feature, count(*) AS n FROM p GROUP BY bin ORDER BY n DESC, bin LIMIT 500")
+@query("bin_support_topk", f"WITH {_BINS}, p AS (SELECT DISTINCT l_orderkey, bin FROM binned WHERE bin IS NOT NULL) SELECT bin AS feature, count(*) AS n FROM p GROUP BY bin ORDER BY n DESC, bin LIMIT {TOP_FEATURES_B}")
 def bin_support_topk(spark: SparkSession, sf: str) -> DataFrame:
     p = iv.bin_presence(iv.binned(T.intervals(spark, sf), "chrom", "start", "end"), "l_orderkey")
-    return p.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "feature").limit(500)
+    return p.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "feature").limit(TOP_FEATURES_B)
 
 
 @query("edge_and_width_bins", f"""WITH {T.SEQUENCES}, g AS (SELECT doc_id, n_chars, length(regexp_replace(seq, '[^GC]', '', 'g')) / nullif(length(seq), 0) AS gc FROM sequences)
@@ -154,22 +155,39 @@ def background_smd(spark: SparkSession, sf: str) -> DataFrame:
 
 # ----------------------------------------------------------------------- motifs
 def _motifs(spark: SparkSession, sf: str) -> DataFrame:
-    """One matrix per benchmark item: its first eight A/C/G/T letters, ten counts against one."""
-    core = F.substring(F.regexp_replace(F.upper("text"), "[^ACGT]", ""), 1, 8)
-    letters = F.filter(F.split("core", ""), lambda x: x != "")
-
-    def row(base: str):
-        return F.transform(letters, lambda x: F.when(x == base, 10.0).otherwise(1.0))
-
-    rows = F.array(*[row(b) for b in "ACGT"])
-    m = T.table(spark, sf, "benchmark").select(F.format_string("M%04d", "item_id").alias("motif_id"), core.alias("core")).where(F.length("core") == 8)
-    return m.select("motif_id", "core", rows.alias("pfm"))
-
-
-_MOTIFS = """mot AS (SELECT motif_id, core, reverse(translate(core, 'ACGT', 'TGCA')) AS rev FROM (SELECT printf('M%04d', item_id) AS motif_id, substr(regexp_replace(upper(text), '[^ACGT]', '', 'g'), 1, 8) AS core FROM benchmark) WHERE length(core) = 8),
-kmer AS (SELECT doc_id, substr(seq, i, 8) AS w FROM sequences, LATERAL (SELECT unnest(range(1, length(seq) - 6)) AS i) WHERE length(seq) >= 8),
-kc AS (SELECT doc_id, w, count(*) AS n FROM kmer GROUP BY ALL),
-hit AS (SELECT doc_id, motif_id, sum(n) FILTER (w = core) AS f, sum(n) FILTER (w = rev) AS r FROM kc JOIN mot ON w = core OR w = rev GROUP BY ALL)"""
+    """One matrix per benchmark item, 7 to 11 columns wide by its id: how often each of A, C, G and T
+    stands at the places of the whole text's letters that fall on a column. An item with fewer letters has
+    empty columns, which weigh nothing."""
+    letters = F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGT]", "")
+    base = T.table(spark, sf, "benchmark").select(F.format_string("M%04d", "item_id").alias("motif_id"), (F.lit(7) + F.col("item_id") % 5).cast("int").alias("w"), letters.alias("letters"))
+    placed = base.where("letters <> ''").select("motif_id", "w", F.posexplode(F.split("letters", "")).alias("p", "c")).where("c <> ''")
+    counts = placed.groupBy("motif_id", (F.col("p") % F.col("w")).alias("j")).agg(*[F.count_if(F.col("c") == b).alias(b) for b in "ACGT"])
+    slots = base.select("motif_id", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("j")).join(counts, ["motif_id", "j"], "left")
+    cols = slots.groupBy("motif_id").agg(F.array_sort(F.collect_list(F.struct("j", *[F.coalesce(F.col(b), F.lit(0)).cast("double").alias(b) for b in "ACGT"]))).alias("c"))
+    row = lambda b: F.transform("c", lambda x: x[b])
+    return cols.select("motif_id", F.array(*[row(b) for b in "ACGT"]).alias("pfm"))
+
+
+def _motif_sql() -> str:
+    """Matrices, weights in units of 0.001, exact thresholds by one column after the other, and hits."""
+    unit = lambda b: f"CAST(round(ln((count(*) FILTER (l = '{b}') + 0.2) / (count(l) + 0.8) / 0.25) / 0.001) AS BIGINT)"
+    steps = "".join(
+        f", d{j + 1} AS (SELECT d.motif_id, d.s + coalesce(c.u, 0) AS s, sum(d.n * CASE WHEN c.u IS NULL THEN 1.0 ELSE 0.25 END) AS n FROM d{j} d LEFT JOIN cell c ON c.motif_id = d.motif_id AND c.j = {j} GROUP BY ALL)" for j in range(11)
+    )
+    score = lambda w: f"list_sum([m.u[(i - 1) * 4 + strpos('ACGT', {w}[i])] for i in range(1, m.w + 1)])"
+    return f"""item AS (SELECT printf('M%04d', item_id) AS motif_id, 7 + item_id % 5 AS w, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS t FROM benchmark),
+slot AS (SELECT motif_id, w, t, unnest(range(0, w)) AS j FROM item), lett AS (SELECT motif_id, j, unnest([t[i] for i in range(j + 1, len(t) + 1, w)]) AS l FROM slot),
+col AS (SELECT s.motif_id, s.j, s.w, {unit('A')} AS a, {unit('C')} AS c, {unit('G')} AS g, {unit('T')} AS t FROM slot s LEFT JOIN lett x ON x.motif_id = s.motif_id AND x.j = s.j GROUP BY s.motif_id, s.j, s.w),
+cell AS (SELECT motif_id, j, unnest([a, c, g, t]) AS u FROM col), d0 AS (SELECT motif_id, 0::BIGINT AS s, 1.0::DOUBLE AS n FROM item){steps},
+tail AS (SELECT motif_id, s, sum(n) OVER (PARTITION BY motif_id ORDER BY s DESC) AS q FROM d11), cut AS (SELECT motif_id, min(s) AS cut FROM tail WHERE q <= 1e-4 GROUP BY motif_id),
+mot AS (SELECT motif_id, any_value(w) AS w, flatten(list([a, c, g, t] ORDER BY j)) AS u FROM col GROUP BY motif_id),
+kmer AS (SELECT doc_id, w, substr(seq, i, w) AS k FROM sequences, (SELECT unnest(range(7, 12)) AS w), LATERAL (SELECT unnest(range(1, length(seq) - w + 2)) AS i) WHERE length(seq) >= w),
+kc AS (SELECT doc_id, w, k, count(*) AS n FROM kmer GROUP BY ALL), dk AS (SELECT DISTINCT w, k, reverse(translate(k, 'ACGT', 'TGCA')) AS r FROM kc),
+good AS (SELECT m.motif_id, dk.w, dk.k, {score('dk.k')} >= cut AS f, {score('dk.r')} >= cut AS r FROM dk JOIN mot m ON m.w = dk.w JOIN cut USING (motif_id)),
+hit AS (SELECT doc_id, motif_id, sum(n) FILTER (f) AS f, sum(n) FILTER (r) AS r FROM kc JOIN (SELECT * FROM good WHERE f OR r) USING (w, k) GROUP BY ALL)"""
+
+
+_MOTIFS = _motif_sql()
 
 
 @query("motif_presence", f"WITH {T.SEQUENCES}, {_MOTIFS} SELECT doc_id, motif_id, coalesce(f, 0)::BIGINT AS forward_hits, coalesce(r, 0)::BIGINT AS reverse_hits, (coalesce(f, 0) + coalesce(r, 0))::BIGINT AS total_hits FROM hit")
