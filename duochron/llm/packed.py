@@ -28,6 +28,7 @@ from .common import kept, map_batches
 
 BLOCK = 1 << 17  # ids; a block ends with the document that reaches it
 KNOWN = 700_000  # pieces kept per process
+SENT = 200_000  # shards, of some 20 bytes each, whose offsets go to every task; more are joined by a shuffle
 SCHEMA = "shard int, block int, offset bigint, n_ids bigint, width int, doc_ids array<bigint>, doc_offsets array<bigint>, payload binary"
 
 
@@ -195,7 +196,8 @@ def bases(spark: SparkSession, at: str) -> DataFrame:
     """(shard, base): the ids before each shard that was written, read from the offsets."""
     sizes = spark.read.schema(SCHEMA).parquet(at).groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
     before = [0, *accumulate(r.n for r in sizes)]
-    return spark.createDataFrame([(r.shard, b) for r, b in zip(sizes, before)], "shard int, base bigint")
+    out = spark.createDataFrame([(r.shard, b) for r, b in zip(sizes, before)], "shard int, base bigint")
+    return F.broadcast(out) if len(sizes) <= SENT else out
 
 
 def documents(spark: SparkSession, at: str) -> DataFrame:
