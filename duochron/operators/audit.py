@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], what: str) -> DataFrame:
@@ -106,8 +105,8 @@ def shared_members(membership: DataFrame, group: str, member: str, groups: Seque
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    everything = Window.partitionBy(F.lit(0))  # one row per label
-    return counts.withColumn("fraction", F.col("n") / F.sum("n").over(everything))
+    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("_total")))  # one row
+    return counts.crossJoin(total).withColumn("fraction", F.col("n") / F.col("_total")).drop("_total")
 
 
 def crosstab_margins(df: DataFrame, rows: str, cols: str, margin: str = "All") -> DataFrame:

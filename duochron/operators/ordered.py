@@ -89,15 +89,17 @@ def running(
     idx: str,
     outputs: dict[str, tuple[str, Column]],
     reverse: bool = False,
-    block: int = BLOCK
+    block: int = BLOCK,
+    stored: bool = False,
 ) -> DataFrame:
     """Inclusive cumulative aggregates along `idx`: out -> ("sum" | "min" | "max", expression).
 
     Two levels: one row of totals per block, a window over those few rows, and a window
     inside each block. NULL values are skipped and NULL is a group. The input is written once,
-    so that what led to it is not run again for the totals.
+    so that what led to it is not run again for the totals; with `stored` it stands on written rows
+    already, such as those of `rank_rows`, and is read twice instead.
     """
-    df = materialize(df)
+    df = df if stored else materialize(df)
     direction = F.col(idx).desc() if reverse else F.col(idx).asc()
     block_order = F.col("_block").desc() if reverse else F.col("_block").asc()
     blocked = df.withColumn("_block", F.floor(F.col(idx) / block).cast("bigint"))

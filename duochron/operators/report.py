@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .audit import checks
+from .ordered import same_keys
+from .stats import quantiles
 
 MAX_RENDERED_ROWS = 10_000
 
@@ -91,11 +94,10 @@ def null_summary(observed: DataFrame, null: DataFrame, metrics: dict[str, str],
     melt = lambda d, out: d.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(s).alias("side"), F.col(m).cast("double").alias(out)) for m, s in metrics.items()])))
     j = melt(null, "null_value").join(F.broadcast(melt(observed, "observed")), ["metric", "side"])  # one row per metric
     extreme = F.when(F.col("side") == "low", F.col("null_value") <= F.col("observed")).otherwise(F.col("null_value") >= F.col("observed"))
-    out = j.groupBy("metric", "side", "observed").agg(
-        F.count("null_value").alias("n_null"), F.avg("null_value").alias("null_mean"), F.percentile("null_value", F.lit(0.5)).alias("null_median"),
-        F.percentile("null_value", F.lit(0.025)).alias("null_low"), F.percentile("null_value", F.lit(0.975)).alias("null_high"),
-        ((1 + F.count_if(extreme)) / (1 + F.count("null_value"))).alias("p"),
-    )
+    keys = ["metric", "side", "observed"]
+    j = materialize(j)
+    out = j.groupBy(*keys).agg(F.count("null_value").alias("n_null"), F.avg("null_value").alias("null_mean"), ((1 + F.count_if(extreme)) / (1 + F.count("null_value"))).alias("p"))
+    out = same_keys(out, quantiles(j, keys, "null_value", {"null_median": 0.5, "null_low": 0.025, "null_high": 0.975}), keys, "left")
     return out.withColumn("significant", F.col("p") <= alpha if inclusive else F.col("p") < alpha)
 
 

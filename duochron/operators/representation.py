@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance, doubles, mean_vector, norm
+from ..session import materialize
 from .ordered import rank_rows, same_keys
 from .stats import quantiles, spearman
 
 # Correlation at which an axis counts as technical, rows a centroid needs.
 AXIS_RHO = 0.8
+LABELS_PER_TILE = 512
 MIN_CENTROID_ROWS = 20
 
 
@@ -46,12 +48,16 @@ def centroids(df: DataFrame, label: Sequence[str], vec: str, dims: int, min_rows
 def centroid_distances(df: DataFrame, label: Sequence[str], vec: str, dims: int, min_rows: int = MIN_CENTROID_ROWS) -> DataFrame:
     """Distance of every pair of label centroids (labels with enough rows), pairs in name order.
 
-    The pairs are the result: one row per pair of labels, joined on a label table.
+    The pairs are the result. Labels are dealt into tiles of a few hundred, and a pair of labels meets in
+    the one pair of tiles that holds it, so the pairs are made by an ordinary join.
     """
     c = centroids(df, label, vec, dims, min_rows).select(F.concat_ws("||", *[F.col(l).cast("string") for l in label]).alias("name"), "centroid")
-    a = c.select(F.col("name").alias("a"), F.col("centroid").alias("ca"))
-    b = c.select(F.col("name").alias("b"), F.col("centroid").alias("cb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", distance(F.col("ca"), F.col("cb")).alias("distance"))
+    c = materialize(c)
+    tiles = max(1, -(-c.count() // LABELS_PER_TILE))
+    tile, every = F.pmod(F.xxhash64("name"), F.lit(tiles)), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1).cast("bigint")))
+    a = c.select(F.col("name").alias("a"), F.col("centroid").alias("ca"), tile.alias("ta"), every.alias("tb"))
+    b = c.select(F.col("name").alias("b"), F.col("centroid").alias("cb"), tile.alias("tb"), every.alias("ta"))
+    return a.join(b, ["ta", "tb"]).where(F.col("a") < F.col("b")).select("a", "b", distance(F.col("ca"), F.col("cb")).alias("distance"))
 
 
 def geometry_rho(raw: DataFrame, rescued: DataFrame, label: Sequence[str], vec: str, dims: int, min_rows: int = MIN_CENTROID_ROWS) -> DataFrame:

@@ -115,7 +115,7 @@ def block_permutation(n: int, block: int, replicates: int, seed: int, spark) ->
         "size", F.least(F.lit(block), F.lit(n) - F.col("block") * block)
     )
     order = rank_rows(keyed, ["_h", "block"], ["replicate"], "_o")
-    cum = running(order, ["replicate"], "_o", {"_end": ("sum", F.col("size"))})
+    cum = running(order, ["replicate"], "_o", {"_end": ("sum", F.col("size"))}, stored=True)
     return cum.select("replicate", "block", (F.col("block") * block).alias("first"), "size", (F.col("_end") - F.col("size")).alias("start"))
 
 

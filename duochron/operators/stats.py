@@ -28,7 +28,7 @@ def quantiles(
     # equal values collapse first: ties only need their count
     counts = rows.groupBy(*by, x).agg(F.count(F.lit(1)).alias("_c"))
     ranked = rank_rows(counts, [x], by, "_idx")
-    cum = running(ranked, by, "_idx", {"_cum": ("sum", F.col("_c"))})
+    cum = running(ranked, by, "_idx", {"_cum": ("sum", F.col("_c"))}, stored=True)
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     placed = same_keys(cum, sizes, by)
     first, last = F.col("_cum") - F.col("_c"), F.col("_cum") - 1
@@ -253,7 +253,7 @@ def bh_adjust(df: DataFrame, p: str, tie: str, out: str = "fdr") -> DataFrame:
     ranked = rank_rows(df, [p, tie], (), "_idx")  # writes the tests once: the count reads them from there
     n = ranked.count()
     scaled = F.col(p) * n / (F.col("_idx") + 1)
-    return running(ranked, [], "_idx", {out: ("min", scaled)}, reverse=True).withColumn(out, F.least(F.col(out), F.lit(1.0))).drop("_idx")
+    return running(ranked, [], "_idx", {out: ("min", scaled)}, reverse=True, stored=True).withColumn(out, F.least(F.col(out), F.lit(1.0))).drop("_idx")
 
 
 # --------------------------------------------------------- multivariate fit
