@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duochron.llm import bpe, contamination, quality, secrets, simhash
-from duochron.llm.common import stored
+from duochron.llm.common import discard, stored
 from duochron.llm.plans import table, tokenizer_file
 
 
@@ -22,7 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays, that with the smallest id. SimHash over
-    shingles of five words; four of 64 bits is well inside a similarity of 0.8."""
+    shingles of five words, four of 64 bits: copies with few edits for their length. Pairs near a
+    similarity of 0.8 differ in some ten bits and stay; see the README."""
     return simhash.one_of_each(docs, "doc_id", "text", shingle=5)
 
 
@@ -58,6 +59,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)  # its only reader is written
+        before = docs
     return docs
