@@ -6,8 +6,10 @@ after the read. Archives must be unpacked first; Spark does not look inside TAR
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,10 @@ from ..functions.scalars import normalize_barcode, normalize_chromosome
 from ..operators.audit import require_columns
 from ..operators.intervals import resolve_symbols
 from ..operators.ordered import rank_rows
-from ..session import materialize
+from ..session import materialize, shipped
+from . import files
 
-MAX_HASHED_BYTES = 1 << 30
+HASHED_PIECE = 1 << 23
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -195,6 +198,12 @@ def pfms(spark: SparkSession, path: str) -> DataFrame:
     return parse_pfms(spark.read.text(path, lineSep=">"))
 
 
+def tiles_of(sequences: DataFrame, chrom: str = "chrom", tile: int = 65_536) -> DataFrame:
+    """Whole sequences (chrom, seq) as tiles (chrom, tile, part), cut in one pass over each."""
+    parts = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{tile}}}"), F.lit(0))
+    return sequences.select(chrom, F.posexplode(parts).alias("tile", "part"))
+
+
 def extract_sequences(intervals: DataFrame, sequences: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", tile: int = 65_536) -> DataFrame:
     """Upper-cased sequence of each interval from a table of whole sequences (chrom, seq), and what is
     wrong with it (issue, NULL if nothing): unknown_sequence, out_of_range, length_mismatch or
@@ -204,19 +213,24 @@ def extract_sequences(intervals: DataFrame, sequences: DataFrame, chrom: str = "
     chromosome; an interval across tiles is put together again. Intervals are numbered and written
     once, so that the pieces of one row meet again.
     """
+    sizes = sequences.select(chrom, F.length("seq").cast("bigint").alias("size"))
+    return extract_from_tiles(intervals, tiles_of(sequences, chrom, tile), sizes, chrom, start, end, tile)
+
+
+def extract_from_tiles(intervals: DataFrame, tiles: DataFrame, sizes: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", tile: int = 65_536) -> DataFrame:
+    """`extract_sequences` on sequences that are tiles (chrom, tile, part) of known sizes (chrom, size), as
+    the packed reader gives them."""
     keys = intervals.columns
     numbered = materialize(intervals.withColumn("_row", F.monotonically_increasing_id()))
-    size = F.length("seq").cast("bigint").alias("_size")
-    sizes = sequences.select(F.col(chrom).alias("_c"), size)
-    placed = numbered.join(sizes, F.col(chrom) == F.col("_c"), "left").drop("_c")
+    placed = numbered.join(sizes.select(F.col(chrom).alias("_c"), F.col("size").alias("_size")), F.col(chrom) == F.col("_c"), "left").drop("_c")
     wrong = F.col(start).isNull() | F.col(end).isNull() | (F.col(start) < 0) | (F.col(end) <= F.col(start)) | (F.col(end) > F.col("_size"))
     valid = placed.where(F.col("_size").isNotNull() & ~wrong)
-    tiles = sequences.select(F.col(chrom), F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / tile)), lambda i: F.substring(F.col("seq"), (i * tile + 1).cast("int"), F.lit(tile)))).alias("tile", "part"))
     asked = valid.select("_row", chrom, start, end).withColumn("tile", F.explode(F.sequence(F.floor(F.col(start) / tile), F.floor((F.col(end) - 1) / tile))))
     lo = F.greatest(F.col(start) - F.col("tile") * tile, F.lit(0))
     hi = F.least(F.col(end) - F.col("tile") * tile, F.lit(tile))
     piece = F.substring(F.col("part"), (lo + 1).cast("int"), (hi - lo).cast("int"))
-    got = asked.join(tiles.withColumn("tile", F.col("tile").cast("bigint")), [chrom, "tile"], "left").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("tile", piece.alias("p")))).alias("_p"))
+    held = tiles.select(chrom, F.col("tile").cast("bigint").alias("tile"), "part")
+    got = asked.join(held, [chrom, "tile"], "left").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("tile", piece.alias("p")))).alias("_p"))
     seq = F.upper(F.array_join(F.transform("_p", lambda s: s["p"]), ""))
     named = placed.join(got.select("_row", seq.alias("sequence")), "_row", "left")
     issue = (
@@ -228,12 +242,31 @@ def extract_sequences(intervals: DataFrame, sequences: DataFrame, chrom: str = "
 
 # -------------------------------------------------------------------- integrity
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of whole files, hashed on the executors."""
+    """(name, bytes, sha256) of whole files of any size, hashed on the executors.
+
+    Spark lists the files; each is read in pieces of HASHED_PIECE bytes by one task, so memory does not
+    follow a file's size. That needs a store that pyarrow opens (`files.SCHEMES`); on any other, content
+    comes through Spark's reader, which holds at most 2 GiB a file and refuses more.
+    """
     raw = spark.read.format("binaryFile").load(path)
-    big = raw.where(F.col("length") > MAX_HASHED_BYTES).select("path").limit(1).collect()
-    if big:
-        raise ValueError(f"{big[0][0]} is too large for one row; hash it where it is staged")
-    return raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    named = raw.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumnRenamed("length", "bytes")
+    if any(files.scheme(f) not in files.SCHEMES for f in raw.inputFiles()[:1]):
+        return named.select("name", "bytes", F.sha2("content", 256).alias("sha256"))
+    spread = shipped(named.select("path", "name", "bytes")).repartition("path")  # a task a file, not a few
+    return spread.mapInPandas(_hash_files, "name string, bytes bigint, sha256 string")
+
+
+def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        digests = []
+        for path in pdf["path"]:
+            fs, at = files.opened(path)
+            digest = hashlib.sha256()
+            with fs.open_input_file(at) as f:
+                while piece := f.read(HASHED_PIECE):
+                    digest.update(piece)
+            digests.append(digest.hexdigest())
+        yield pdf[["name", "bytes"]].assign(sha256=digests)
 
 
 def verify_provenance(found: DataFrame, manifest: DataFrame) -> DataFrame:
