@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators.counts import TOP_FEATURES_B
 from ..operators import intervals as iv, motifs as mo, stats
-from ..session import materialize
-from ..sources import readers
+from ..session import checkpoint_folder, materialize
+from ..sources import readers, twobit
 from . import tables as T
 from .catalog import query
 
@@ -252,3 +254,21 @@ def extract_sequences(spark: SparkSession, sf: str) -> DataFrame:
     i = i.select("doc_id", "start", (F.least("n", F.col("start") + 120) + F.when(F.col("k") == 4, 120).otherwise(0)).alias("end"))
     unknown = T.table(spark, sf, "documents").select((-1 - F.col("doc_id")).alias("doc_id"), F.lit(0).cast("bigint").alias("start"), F.lit(50).cast("bigint").alias("end"))
     return readers.extract_sequences(i.unionByName(unknown), s, "doc_id", tile=128)
+
+
+_PACKED_TILE = 1024
+
+
+# whole texts as sequences: any other letter is unknown, lower case stays masked
+@query("packed_sequences", f"""WITH s AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^ACGTacgt]', 'N', 'g') AS seq FROM documents),
+t AS (SELECT doc_id, length(seq) AS size, unnest(range(0, greatest(1, (length(seq) + {_PACKED_TILE - 1}) // {_PACKED_TILE}))) AS tile, seq FROM s),
+p AS (SELECT doc_id, size, tile, substr(seq, tile * {_PACKED_TILE} + 1, {_PACKED_TILE}) AS part FROM t)
+SELECT CAST(doc_id AS VARCHAR) AS chrom, size, tile, tile * {_PACKED_TILE} AS start, length(part) AS letters, length(regexp_replace(part, '[^N]', '', 'g')) AS unknown, length(regexp_replace(part, '[^a-z]', '', 'g')) AS masked, sha256(part) AS part_sha256 FROM p""")
+def packed_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """Written as packed files to the shared folder and read back by tiles."""
+    s = T.table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^ACGTacgt]", "N").alias("seq"))
+    to = f"{checkpoint_folder(spark).rstrip('/')}/packed-{uuid.uuid4().hex}"
+    twobit.write_two_bit(s, to, "doc_id")
+    t = twobit.read_two_bit(spark, to, tile=_PACKED_TILE)
+    count = lambda letters: F.length(F.regexp_replace("part", f"[^{letters}]", ""))
+    return t.select("chrom", "size", "tile", "start", F.length("part").alias("letters"), count("N").alias("unknown"), count("a-z").alias("masked"), F.sha2("part", 256).alias("part_sha256"))
