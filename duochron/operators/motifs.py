@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize_symbol
-from ..session import shipped
+from ..session import materialize, shipped
 from .stats import bh_adjust, fisher_greater, odds_ratio
 
 # Background, pseudocount, match p, enrichment limits, expression limits.
@@ -23,7 +24,8 @@ MIN_HITS = 5
 MIN_TF_CPM = 2.0
 MIN_TF_FRACTION = 0.02
 SCORE_UNIT = 1e-3
-MAX_MOTIFS = 100_000
+TILE = 65_536  # letters
+LIBRARY_BYTES = 64 << 20
 
 
 def log_odds(pfm: np.ndarray) -> np.ndarray:
@@ -69,19 +71,41 @@ def _tables(units: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _match_starts(triples: np.ndarray, n: int, tables: list[np.ndarray], width: int, cut: int) -> np.ndarray:
+def _strand(units: np.ndarray, cut: int) -> tuple[list[tuple[int, np.ndarray, int]], int]:
+    """Score tables (first column, table, most that the later tables can add) in falling order of what
+    they can tell apart, and the width. A window is dropped as soon as its score and that bound miss `cut`."""
+    tables = [(3 * i, t) for i, t in enumerate(_tables(units))]
+    best = [int(t[t > _NEVER // 2].max()) for _, t in tables]
+    spread = [b - int(t[t > _NEVER // 2].min()) for b, (_, t) in zip(best, tables)]
+    order = sorted(range(len(tables)), key=lambda i: -spread[i])
+    rest = sum(best)
+    out = []
+    for i in order:
+        rest -= best[i]
+        out.append((*tables[i], cut - rest))
+    return out, units.shape[1]
+
+
+def _match_starts(triples: np.ndarray, n: int, strand: tuple[list[tuple[int, np.ndarray, int]], int]) -> np.ndarray:
     """Start positions whose score reaches the cut, in a code of n letters."""
+    tables, width = strand
     m = n - width + 1
     if m <= 0:
         return np.zeros(0, dtype=np.int64)
-    s = tables[0][triples[:m]].astype(np.int64)
-    for i, t in enumerate(tables[1:], 1):
-        s += t[triples[3 * i : 3 * i + m]]
-    return np.flatnonzero(s >= cut)
-
-
-def _scan_texts(texts: list[str], motifs: list[tuple]) -> list[tuple]:
-    """(text number, motif, forward hits, reverse hits) of several texts joined by a stop letter."""
+    at, table, least = tables[0]
+    s = table[triples[at : at + m]]
+    alive = np.flatnonzero(s >= least)
+    s = s[alive].astype(np.int64)
+    for at, table, least in tables[1:]:
+        s += table[triples[alive + at]]
+        keep = s >= least
+        alive, s = alive[keep], s[keep]
+    return alive
+
+
+def _scan_texts(texts: list[str], own: np.ndarray, motifs: list[tuple]) -> list[tuple]:
+    """(text number, motif, forward hits, reverse hits) of several texts joined by a stop letter. A hit
+    counts where it starts within the first `own` letters; the rest is the next tile's."""
     codes = [_CODE[np.frombuffer(t.upper().encode("latin-1", "replace"), dtype=np.uint8)] for t in texts]
     starts = np.cumsum([0] + [len(c) + 1 for c in codes])
     line = np.full(starts[-1] + 2, 4, dtype=np.int64)
@@ -89,44 +113,82 @@ def _scan_texts(texts: list[str], motifs: list[tuple]) -> list[tuple]:
         line[at : at + len(c)] = c
     triples = line[:-2] * 25 + line[1:-1] * 5 + line[2:]
     out = []
-    for name, width, fwd, cut, rev, rcut in motifs:
-        per = [np.bincount(np.searchsorted(starts, _match_starts(triples, int(starts[-1]), t, width, c), side="right") - 1, minlength=len(texts)) for t, c in ((fwd, cut), (rev, rcut))]
+    for name, width, units, cut, rcut in motifs:
+        fwd = np.frombuffer(units, np.int32).reshape(4, width).astype(np.int64)
+        per = []
+        for strand in (_strand(fwd, cut), _strand(fwd[::-1, ::-1], rcut)):  # complement swaps A-T and C-G
+            hits = _match_starts(triples, int(starts[-1]), strand)
+            text = np.searchsorted(starts, hits, side="right") - 1
+            per.append(np.bincount(text[hits - starts[text] < own[text]], minlength=len(texts)))
         out.extend((int(i), name, int(per[0][i]), int(per[1][i])) for i in np.flatnonzero(per[0] + per[1]))
     return out
 
 
-def scan(sequences: DataFrame, id: str, seq: str, motifs: DataFrame) -> DataFrame:
-    """(id, motif_id, forward_hits, reverse_hits, total_hits) for sequences with any hit.
-
-    Sequences stay distributed and are scanned whole; the motif library is a bounded list.
+def _weighted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Matrices as score units with the exact cuts of both strands."""
+    for pdf in batches:
+        rows = []
+        for name, pfm in zip(pdf["motif_id"], pdf["pfm"]):
+            fwd = in_units(log_odds(np.array([list(r) for r in pfm], float)))
+            rows.append((name, fwd.shape[1], fwd.astype(np.int32).tobytes(), threshold(fwd), threshold(fwd[::-1, ::-1])))
+        yield pd.DataFrame(rows, columns=["motif_id", "width", "units", "cut", "rcut"])
+
+
+def _by_bytes(rows: Iterable[Row], bound: int) -> Iterator[list[tuple]]:
+    """Parts of the library of at most `bound` bytes of weights, or one motif."""
+    held, size = [], 0
+    for r in rows:
+        n = len(r["units"]) + 200
+        if held and size + n > bound:
+            yield held
+            held, size = [], 0
+        held.append((r["motif_id"], r["width"], bytes(r["units"]), r["cut"], r["rcut"]))
+        size += n
+    if held:
+        yield held
+
+
+def scan(sequences: DataFrame, id: str, seq: str, motifs: DataFrame, tile: int = TILE, library_bytes: int = LIBRARY_BYTES) -> DataFrame:
+    """(id, motif_id, forward_hits, reverse_hits, total_hits) for ids with any hit.
+
+    A sequence is cut into tiles that overlap by the widest matrix less one letter, and tiles are spread
+    over tasks, so a sequence of any length is scanned by many; a hit belongs to the tile it starts in.
+    Cuts are computed in tasks. The library is sent as weights, in parts of at most `library_bytes`, each
+    of which is one pass over the tiles. Rows with the same id add up; a NULL sequence has no hits.
     """
-    table = motifs.select("motif_id", "pfm").limit(MAX_MOTIFS + 1).collect()
-    if len(table) > MAX_MOTIFS:
-        raise ValueError("motif library too large to ship to the tasks")
-    prepared = []
-    for r in table:
-        fwd = in_units(log_odds(np.array(r["pfm"], float)))
-        rev = fwd[::-1, ::-1]  # complement swaps A-T and C-G
-        prepared.append((r["motif_id"], fwd.shape[1], _tables(fwd), threshold(fwd), _tables(rev), threshold(rev)))
     spark = sequences.sparkSession
-    shared = spark.sparkContext.broadcast(prepared)
-
+    library = materialize(shipped(motifs.select("motif_id", "pfm")).mapInPandas(_weighted, "motif_id string, width int, units binary, cut bigint, rcut bigint"))
+    widest = library.agg(F.max("width")).first()[0] or 1
+    tile = max(tile, widest)
+    parts = F.regexp_extract_all(F.col("s"), F.lit(f"(?s).{{1,{tile}}}"), F.lit(0))
+    cut = sequences.select(F.col(id).alias("id"), F.col(seq).alias("s")).where("s IS NOT NULL").select("id", parts.alias("p"))
+    ahead = lambda i: F.coalesce(F.substring(F.get("p", i + 1), 1, widest - 1), F.lit(""))
+    tiles = cut.select("id", F.posexplode(F.transform("p", lambda x, i: F.struct(F.length(x).alias("own"), F.concat(x, ahead(i)).alias("s")))).alias("tile", "t"))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a stated number, for tiles cost more than their bytes
+    tiles = tiles.select("id", "tile", "t.own", "t.s").repartition(tasks, "id", "tile")
+    t = sequences.schema[id].dataType.simpleString()
+    schema = f"id {t}, motif_id string, forward_hits bigint, reverse_hits bigint"
+    parts = [spark.sparkContext.broadcast(part) for part in _by_bytes(library.toLocalIterator(), library_bytes)]
+    if len(parts) > 1:
+        tiles = materialize(tiles)
+    found = spark.createDataFrame([], schema)
+    for part in parts:
+        found = found.unionByName(shipped(tiles).mapInPandas(_scanner(part), schema))
+    hits = found.groupBy("id", "motif_id").agg(F.sum("forward_hits").alias("forward_hits"), F.sum("reverse_hits").alias("reverse_hits"))
+    return hits.withColumn("total_hits", F.col("forward_hits") + F.col("reverse_hits")).withColumnRenamed("id", id)
+
+
+def _scanner(part: Broadcast):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf[pdf["s"].notna()]
             group = (pdf["s"].str.len().cumsum() // LETTERS_PER_PASS).to_numpy()
-            ids, texts, out = pdf["id"].to_numpy(), pdf["s"].to_numpy(), []
+            ids, texts, own, out = pdf["id"].to_numpy(), pdf["s"].to_numpy(), pdf["own"].to_numpy(), []
             for g in np.unique(group):
                 at = np.flatnonzero(group == g)
-                out.extend((ids[at[i]], m, f, r, f + r) for i, m, f, r in _scan_texts(list(texts[at]), shared.value))
-            yield pd.DataFrame(out, columns=["id", "motif_id", "forward_hits", "reverse_hits", "total_hits"])
-
-    src = sequences.select(F.col(id).alias("id"), F.col(seq).alias("s"))
-    cores = spark.sparkContext.defaultParallelism
-    if src.rdd.getNumPartitions() < cores:
-        src = src.repartition(cores, "id")  # scanning is compute-bound: use every core
-    t = src.schema["id"].dataType.simpleString()
-    return shipped(src).mapInPandas(run, f"id {t}, motif_id string, forward_hits bigint, reverse_hits bigint, total_hits bigint").withColumnRenamed("id", id)
+                out.extend((ids[at[i]], m, f, r) for i, m, f, r in _scan_texts(list(texts[at]), own[at], part.value))
+            yield pd.DataFrame(out, columns=["id", "motif_id", "forward_hits", "reverse_hits"])
+
+    return run
 
 
 def universe(motifs: DataFrame, effects: DataFrame, feature: str, cpm: list[str], fraction: list[str], later: DataFrame, early: DataFrame) -> DataFrame:
