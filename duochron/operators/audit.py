@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,53 @@ def require_columns(df: DataFrame, columns: Sequence[str], what: str) -> DataFra
     return df
 
 
+def plain_name(name: str) -> str:
+    """A column name in lower case, every run of other signs than letters and digits one underscore."""
+    return re.sub(r"[\W_]+", "_", name.strip().lower()).strip("_")
+
+
+def columns_by_role(columns: Sequence[str], roles: Mapping[str, Sequence[str]]) -> dict[str, str | None]:
+    """The column that plays each role, or None. `roles` lists the names a role may go by, best first.
+
+    A column of that very name comes before one that carries it behind a qualifier (`rna:cell_type` for
+    `cell type`), whatever the order of names. Several columns for the deciding name are an error, for
+    which of them is meant cannot be told from names.
+    """
+    plain: dict[str, list[str]] = {}
+    for c in columns:
+        plain.setdefault(plain_name(c), []).append(c)
+
+    def behind(name: str) -> list[str]:
+        return [c for p, cs in plain.items() if p.endswith("_" + name) for c in cs]
+
+    out: dict[str, str | None] = {}
+    for role, names in roles.items():
+        wanted = [plain_name(n) for n in names]
+        hits = next((h for find in (lambda n: plain.get(n, []), behind) for n in wanted if (h := find(n))), [])
+        if len(hits) > 1:
+            raise ValueError(f"{role}: {', '.join(sorted(hits))} fit equally well")
+        out[role] = hits[0] if hits else None
+    return out
+
+
+def table_by_roles(tables: Mapping[str, Sequence[str]], roles: Mapping[str, Sequence[str]]) -> tuple[str, dict[str, str | None]]:
+    """Of several tables' columns, the table that plays most roles (the first of equals) and its columns."""
+    found = {t: columns_by_role(c, roles) for t, c in tables.items()}
+    if not any(v for f in found.values() for v in f.values()):
+        raise ValueError("no table has a column for any role")
+    best = max(found, key=lambda t: sum(v is not None for v in found[t].values()))
+    return best, found[best]
+
+
+def role_audit(df: DataFrame, chosen: Mapping[str, str | None]) -> DataFrame:
+    """(role, column, n_filled, n_distinct) of every role that has a column; values count as text."""
+    cells = [F.struct(F.lit(r).alias("role"), F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for r, c in chosen.items() if c]
+    if not cells:
+        raise ValueError("no role has a column")
+    values = df.select(F.inline(F.array(*cells))).groupBy("role", "column", "v").agg(F.count("v").alias("n"))
+    return values.groupBy("role", "column").agg(F.sum("n").alias("n_filled"), F.count("v").alias("n_distinct"))
+
+
 def require_one_row(df: DataFrame, what: str) -> DataFrame:
     n = len(df.limit(2).collect())
     if n != 1:

@@ -83,6 +83,23 @@ def provenance_check(spark: SparkSession, sf: str) -> DataFrame:
     return readers.verify_provenance(d.where("doc_id % 10 <> 9").drop("doc_id"), manifest)
 
 
+# the names under which the study's roles occur, best first
+ROLES = {
+    "entity": ["cell", "barcode", "event id", "doc id", "vec id"], "clock": ["clock", "time", "ts"], "label": ["cell type", "event-type", "lang", "label"],
+    "batch": ["batch", "sample", "user id", "source"],
+}
+_ROLE_COLUMNS = {"events": dict(entity="event_id", clock="ts", label="event_type", batch="user_id"), "documents": dict(entity="doc_id", label="lang", batch="source"), "embeddings": dict(entity="vec_id", label="label")}
+
+
+@query("role_columns", " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", '{r}' AS role, '{c}' AS \"column\", count({c}) AS n_filled, count(DISTINCT {c}) AS n_distinct, {str(t == 'events').lower()} AS most_roles FROM {t}" for t, cs in _ROLE_COLUMNS.items() for r, c in cs.items()))
+def role_columns(spark: SparkSession, sf: str) -> DataFrame:
+    tables = {t: T.table(spark, sf, t) for t in ("documents", "embeddings", "events")}
+    best, _ = audit.table_by_roles({t: d.columns for t, d in tables.items()}, ROLES)
+    out = [audit.role_audit(d, audit.columns_by_role(d.columns, ROLES)).select(F.lit(t).alias("table"), "*", F.lit(t == best).alias("most_roles")) for t, d in tables.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # --------------------------------------------------------------- design matrices
 @query("dummy_coding", f"WITH {T.ENTITIES} SELECT id, (label = 'error')::INT AS error, (label = 'purchase')::INT AS purchase, (label = 'signup')::INT AS signup, (label = 'view')::INT AS view, (batch = 1)::INT AS batch_1, (batch = 2)::INT AS batch_2 FROM entities")
 def dummy_coding(spark: SparkSession, sf: str) -> DataFrame:

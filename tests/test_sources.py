@@ -114,3 +114,21 @@ def test_repeated_and_bad_intervals(spark):
     got = R.extract_sequences(spark.createDataFrame(rows, "chrom string, start bigint, end bigint"), seq, tile=3).collect()
     want = [("ACGT", None)] * 2 + [("NNACGTAC", None)] + [(None, "out_of_range")] * 4 + [(None, "unknown_sequence")] + [("NNNN", "no_valid_base")] + [(None, "unknown_sequence"), (None, "out_of_range")]
     assert sorted(map(str, [(r.chrom, r.start, r.end, r.sequence, r.issue) for r in got])) == sorted(map(str, [(*r, *w) for r, w in zip(rows, want)]))
+
+
+def test_columns_by_role(spark):
+    roles = {"label": ["cell type", "label"], "batch": ["batch", "sample"], "clock": ["time"]}
+    got = audit.columns_by_role(["RNA:Cell-Type", "Label ", "sample", "x_batch"], roles)
+    assert got == {"label": "Label ", "batch": "sample", "clock": None}  # very names before qualified ones
+    assert audit.columns_by_role(["rna:cell_type", "subtype"], roles)["label"] == "rna:cell_type"
+    assert audit.columns_by_role(["celltype", "mysample"], roles) == {"label": None, "batch": None, "clock": None}
+    for twice in (["rna:batch", "atac:batch"], ["Sample", "sample "]):
+        with pytest.raises(ValueError):
+            audit.columns_by_role(twice, roles)
+    tables = {"a": ["time"], "b": ["batch", "label"], "c": ["label", "sample"]}
+    assert audit.table_by_roles(tables, roles) == ("b", {"label": "label", "batch": "batch", "clock": None})
+    with pytest.raises(ValueError):
+        audit.table_by_roles({"a": ["z"]}, roles)
+    df = spark.createDataFrame([("x", 1), ("x", None), (None, 2)], "`rna.label` string, batch int")
+    rows = audit.role_audit(df, audit.columns_by_role(df.columns, roles)).collect()
+    assert sorted(map(tuple, rows)) == [("batch", "batch", 2, 2), ("label", "rna.label", 2, 1)]
