@@ -37,6 +37,19 @@ def claim_boundaries(spark: SparkSession, facts: dict[str, bool]) -> DataFrame:
     return spark.createDataFrame([(k, t, bool(v)) for k, t, v in claims], "claim string, statement string, supported boolean")
 
 
+def claim_facts(pair: DataFrame, gates: DataFrame, evidence: DataFrame) -> dict[str, bool]:
+    """The facts of `claim_boundaries`, each from its own stage; a stage without a result supports nothing.
+
+    `pair` has the frozen pair per window design (lag, b_first): the events are apart if B is first in every
+    design. `gates` are the bootstrap's checks (passed): the lag is recovered if all pass. `evidence` is
+    the null's class: there is alignment beyond chance if at least two metrics are significant.
+    """
+    apart = pair.agg((F.count_if(F.col("b_first") & (F.col("lag") > 0)) == F.count(F.lit(1))) & (F.count(F.lit(1)) > 0)).first()[0]
+    recovered = gates.agg(F.bool_and(F.coalesce("passed", F.lit(False)))).first()[0]
+    aligned = evidence.agg(F.bool_or(F.col("evidence").isin("STRONG", "PARTIAL"))).first()[0]
+    return {"lag_observed": bool(apart), "lag_recovered": bool(recovered), "alignment_beyond_chance": bool(aligned)}
+
+
 def suitability(facts: DataFrame) -> DataFrame:
     """Trajectory suitability: pairing, representation, clock, order, continuity, overall.
 

@@ -9,10 +9,10 @@ from ..functions.scalars import r6
 from ..operators import audit, report, stats
 from ..session import materialize
 from ..sources import readers
-from . import graphs
+from . import graphs, inference, places
 from . import tables as T
 from .catalog import ORACLE, query
-from .curves import family_selection
+from .curves import family_selection, frozen_pair_windows
 
 
 # ---------------------------------------------------------------- text formats
@@ -135,18 +135,35 @@ def suitability_summary(spark: SparkSession, sf: str) -> DataFrame:
     return report.suitability(_facts(spark, sf))
 
 
-@query("evidence_freeze", f"""WITH {T.ENTITIES}, s AS (SELECT count(*) AS n, count(DISTINCT label) AS k FROM entities), d AS (SELECT count(*) AS n FROM documents)
-SELECT 'entities' AS stage, 'n_entities' AS field, CAST(n AS VARCHAR) AS value FROM s UNION ALL SELECT 'entities', 'n_labels', CAST(k AS VARCHAR) FROM s UNION ALL SELECT 'documents', 'n_documents', CAST(n AS VARCHAR) FROM d""")
+def _stage_sql(stage: str, source: str, fields: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{stage}' AS stage, '{f}' AS field, CAST({e} AS VARCHAR) AS value FROM {source}" for f, e in fields.items())
+
+
+_STAGES = f"""WITH RECURSIVE e AS (SELECT count(DISTINCT event_id) AS n, count(DISTINCT event_type) AS k FROM events), p AS ({ORACLE['frozen_pair_windows']}), b AS ({ORACLE['bootstrap_lag_summary']}),
+g AS ({ORACLE['bootstrap_gates']}), al AS ({ORACLE['alignment_evidence']}), m AS ({ORACLE['fisher_bh']}) """
+
+
+@query("evidence_freeze", _STAGES + " UNION ALL ".join([
+    _stage_sql("entities", "e", {"n_entities": "n", "n_labels": "k"}),
+    _stage_sql("frozen_pair", "p", {"a_family_id": "max(a_family_id)", "b_family_id": "max(b_family_id)", "n_designs": "count(*)", "shortest_lag": "min(lag)", "longest_lag": "max(lag)"}),
+    _stage_sql("bootstrap", "b", {f: f for f in ("n", "median", "ci_low", "ci_high", "p_positive", "detection_rate")}),
+    _stage_sql("alignment", "al", {"n_significant": "n_significant", "evidence": "evidence"}),
+    _stage_sql("motifs", "m", {"n_tested": "count(*)", "n_enriched": "count(*) FILTER (enriched)"}),
+]))
 def evidence_freeze(spark: SparkSession, sf: str) -> DataFrame:
-    e = T.entities(spark, sf).agg(F.count(F.lit(1)).alias("n_entities"), F.count_distinct("label").alias("n_labels"))
-    return report.evidence_freeze({"entities": e, "documents": T.table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n_documents"))})
+    """The results that later work may cite, one row a value, each from the stage that made it."""
+    e = T.entities(spark, sf).agg(F.count_distinct("id").alias("n_entities"), F.count_distinct("label").alias("n_labels"))
+    lag = F.col("lag")
+    p = frozen_pair_windows(spark, sf).agg(F.max("a_family_id").alias("a_family_id"), F.max("b_family_id").alias("b_family_id"), F.count(F.lit(1)).alias("n_designs"), F.min(lag).alias("shortest_lag"), F.max(lag).alias("longest_lag"))
+    b = inference.bootstrap_lag_summary(spark, sf).select("n", "median", "ci_low", "ci_high", "p_positive", "detection_rate")
+    m = places.fisher_bh(spark, sf).agg(F.count(F.lit(1)).alias("n_tested"), F.count_if(F.col("enriched")).alias("n_enriched"))
+    return report.evidence_freeze({"entities": e, "frozen_pair": p, "bootstrap": b, "alignment": inference.alignment_evidence(spark, sf), "motifs": m})
 
 
-@query("claim_boundaries", f"""WITH {_FACTS} SELECT * FROM (SELECT 'lag_observed' AS claim, k > 0 AS supported FROM f UNION ALL SELECT 'lag_recovered', r < 0.05 FROM f UNION ALL SELECT 'alignment_beyond_chance', c FROM f
-UNION ALL SELECT 'causal_order', false UNION ALL SELECT 'regulator_identified', false)""")
+@query("claim_boundaries", _STAGES + """SELECT 'lag_observed' AS claim, coalesce((SELECT bool_and(b_first AND lag > 0) FROM p), false) AS supported UNION ALL SELECT 'lag_recovered', coalesce((SELECT bool_and(passed) FROM g), false)
+UNION ALL SELECT 'alignment_beyond_chance', coalesce((SELECT bool_or(evidence IN ('STRONG', 'PARTIAL')) FROM al), false) UNION ALL SELECT 'causal_order', false UNION ALL SELECT 'regulator_identified', false""")
 def claim_boundaries(spark: SparkSession, sf: str) -> DataFrame:
-    f = _facts(spark, sf).first()
-    facts = {"lag_observed": f["ordered"], "lag_recovered": f["technical_r2"] < 0.05, "alignment_beyond_chance": f["continuous"]}
+    facts = report.claim_facts(frozen_pair_windows(spark, sf), inference.bootstrap_gates(spark, sf), inference.alignment_evidence(spark, sf))
     return report.claim_boundaries(spark, facts).select("claim", "supported")
 
 
