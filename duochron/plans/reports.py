@@ -66,12 +66,15 @@ def member_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("pfm_parse", """WITH m AS (SELECT p_partkey, p_name, p_size FROM part)
-SELECT 'M' || p_partkey AS motif_id, p_name AS tf_name, 2 AS motif_length, p_size::DOUBLE AS a1, 4.0::DOUBLE AS t2 FROM m""")
+SELECT 'M' || p_partkey AS motif_id, p_name AS tf_name, 2 AS motif_length, p_size::DOUBLE AS a1, 1.0::DOUBLE AS a2, 1.0::DOUBLE AS c1, (p_partkey % 9)::DOUBLE AS c2, 2.0::DOUBLE AS g1, 0.5::DOUBLE AS g2, (p_partkey % 7)::DOUBLE AS t1, 4.0::DOUBLE AS t2 FROM m""")
 def pfm_parse(spark: SparkSession, sf: str) -> DataFrame:
-    size = F.col("p_size").cast("string")
-    text = F.concat(F.lit("M"), F.col("p_partkey").cast("string"), F.lit("\t"), F.col("p_name"), F.lit("\nA  [ "), size, F.lit(" 1 ]\nC  [ 1 2 ]\nG  [ 2 3 ]\nT  [ 3 4 ]\n"))
+    own = lambda c: c.cast("string")
+    text = F.concat(
+        F.lit("M"), own(F.col("p_partkey")), F.lit("\t"), F.col("p_name"), F.lit("\nA  [ "), own(F.col("p_size")), F.lit(" 1 ]\nC  [1   "), own(F.col("p_partkey") % 9),
+        F.lit("]\r\nG  [ 2 .5 ]\nT  [ "), own(F.col("p_partkey") % 7), F.lit(" 4 ]\n"),
+    )
     m = readers.parse_pfms(T.table(spark, sf, "part").select(text.alias("value")))
-    return m.select("motif_id", "tf_name", "motif_length", F.col("pfm")[0][0].alias("a1"), F.col("pfm")[3][1].alias("t2"))
+    return m.select("motif_id", "tf_name", "motif_length", *[F.col("pfm")[i][j].alias(f"{b}{j + 1}") for i, b in enumerate("acgt") for j in range(2)])
 
 
 @query("provenance_check", """WITH f AS (SELECT doc_id, n_chars, sha256(text) AS h FROM documents)
