@@ -39,3 +39,18 @@ def test_local_draws_are_the_drawn_rows(spark, monkeypatch, parts):
     want = W.mean_scores(rows, [d], n, {"A": "a", "B": "b"}, "clock", ["replicate"], "pos")
     got = B.replicate_profiles(B.replicate_windows(s, "clock", {"A": "a", "B": "b"}, d, n, 3, 785), ["A", "B"], d)
     assert frames_equal(tidy(got), tidy(want)) is None
+
+
+def test_moved_curves_are_measured_like_rows(spark):
+    n = 61
+    rng = np.random.default_rng(5)
+    rows = [(i, float(i), None if i == 9 else round(float(rng.normal()), 1), None if i in (20, 44) else round(float(rng.normal()), 1)) for i in range(n)]
+    curve = spark.createDataFrame(rows, "idx bigint, x double, a double, b double")
+    inside = curve.where("x between 10 and 50").drop("b")
+    lo, hi = B.admissible_offsets(n, 4)
+    shifted = B.circular_shifts(curve, "b", n, 4).withColumnRenamed("offset", "k")
+    permuted = B.permute_blocks(curve, "idx", "b", n, 4, 20, 785).withColumnRenamed("replicate", "k")
+    tidy = lambda m: m.select("k", *[F.round(c, 9).alias(c) for c in B.ALIGNED]).toPandas()
+    for moved, keys, sources in ((shifted, range(lo, hi + 1), B.shift_sources(n)), (permuted, range(20), B.block_sources(n, 4, 785))):
+        want = B.alignment(inside.join(moved, "idx").select("k", "idx", "x", "a", "b").cache(), "k")
+        assert frames_equal(tidy(B.moved_alignment(curve, "k", keys, sources, 10.0, 50.0)), tidy(want)) is None
