@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from duochron.operators import peaks as P, profiles as R, resample as B, windows as W
 from duochron.operators.ordered import rank_rows
+from test_queries import frames_equal
 
 
 def brute(y):
@@ -200,3 +201,30 @@ def test_block_permutation_keeps_every_value(spark):
     got = B.permute_blocks(df, "idx", "v", 103, 10, 4, 785).toPandas()
     for _, g in got.groupby("replicate"):
         assert sorted(g.idx) == list(range(103)) and sorted(g.v) == list(range(103))
+
+
+def test_whole_curves_give_the_peaks_of_blocks(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for s, n, levels in (("A|a|0", 700, 9), ("B|b|1", 333, 4), ("A|c|2", 60, 2), ("B|flat|3", 40, 1), ("A|d|4", 2, 5), ("B|e|5", 1, 5), ("A|f|6", 900, 10**6)):
+        y = rng.integers(0, levels, n) / 8
+        x = np.cumsum(rng.integers(1, 5, n)) / 4
+        rows += [(s, i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    p = spark.createDataFrame(rows, "series string, idx bigint, x double, y double").repartition(5).cache()
+    for find in (P.discovery_peaks, P.validation_peaks):
+        got, want = find(p).toPandas(), find(p, block=64, whole=0).toPandas()
+        assert len(want) > 100 and frames_equal(got, want) is None
+    # one shuffle, where the search by blocks writes and joins tables of all points
+    assert P.validation_peaks(p, stored=False)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
+    grid = spark.range(60).selectExpr("id as g", "id * 20.25D - 30 as gx").crossJoin(p.select("series").distinct())
+    read = lambda whole: R.interpolate(grid, p, ["series"], whole).select("series", "g", "gx", "gy").toPandas()
+    assert frames_equal(read(1000), read(0)) is None
+
+
+def test_curves_with_gaps_or_longer_ones_go_by_blocks(spark):
+    rows = [("a", i, float(i), float(i % 7 % 4)) for i in range(50)]
+    short = lambda r, whole=100: R.complete(spark.createDataFrame(r, "series string, idx bigint, x double, y double"), ["series"], whole)
+    assert short(rows) and short(rows, 50) and not short(rows, 49)
+    assert not short(rows[:20] + rows[21:])
+    assert not short(rows[:20] + [("a", 20, 20.0, None)] + rows[21:])
+    assert not short(rows[:20] + [("a", 20, float("nan"), 1.0)] + rows[21:])
