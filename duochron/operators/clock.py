@@ -215,15 +215,18 @@ def leading_vectors(
 
 
 def diffusion_clock(
-    df: DataFrame, id: str, vec: str, root: int, k: int, n_components: int = COMPONENTS, n_clock: int = CLOCK_COMPONENTS, seed: int = 785, kernel: str = "gauss", residual: float = RESIDUAL
+    df: DataFrame, id: str, vec: str, root: int, k: int, n_components: int = COMPONENTS, n_clock: int = CLOCK_COMPONENTS, seed: int = 785, kernel: str = "gauss", residual: float = RESIDUAL,
+    edges: DataFrame | None = None,
 ) -> DataFrame:
     """(id, component, clock): diffusion distance to the root, scaled to at most 1 (Coifman &
     Lafon 2006; Haghverdi et al. 2016). Entities in another component than the root get NULL.
 
     `k` counts the entity itself, as the graph builders of the field do. `kernel` weighs the graph: a
-    Gaussian of local width, or fuzzy memberships.
+    Gaussian of local width, or fuzzy memberships. Several clocks may share `edges`, the stored lists of
+    at least k - 1 neighbours: longer lists begin with the shorter ones.
     """
-    graph = materialize(KERNELS[kernel](materialize(knn(df, id, vec, k - 1))))
+    near = materialize(knn(df, id, vec, k - 1)) if edges is None else edges.where(F.col("rank") < k)
+    graph = materialize(KERNELS[kernel](near))
     comp = materialize(components(graph, df, id))
     home = comp.where(F.col(id) == root).select("component").first()["component"]
     inside = comp.where(F.col("component") == home).select(F.col(id).alias("src"))

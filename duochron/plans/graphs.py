@@ -195,9 +195,10 @@ def clock_invariants(spark: SparkSession, sf: str) -> DataFrame:
     """What every clock must be, for both kernels: zero at the root, one at its end, NULL off the root's component."""
     v = materialize(T.vectors(spark, sf))
     root = v.agg(F.min("id")).first()[0]
+    near = materialize(knn.knn(v, "id", "va", K - 1))
     out = None
     for kernel in ("fuzzy", "gauss"):
-        c = materialize(ck.diffusion_clock(v, "id", "va", root, K, kernel=kernel))
+        c = materialize(ck.diffusion_clock(v, "id", "va", root, K, kernel=kernel, edges=near))
         one = c.agg(F.count("clock").alias("n_connected"), F.count_if(F.col("clock").isNull()).alias("n_null"), r6(F.max(F.when(F.col("id") == root, F.col("clock")))).alias("at_root"), r6(F.max("clock")).alias("largest"), (F.min("clock") >= 0).alias("none_below_root"))
         one = one.select(F.lit(kernel).alias("kernel"), "*")
         out = one if out is None else out.unionByName(one)
@@ -216,10 +217,11 @@ def clock_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     """Rank correlation of clocks with 20 and 50 neighbours with the clock of 30."""
     v = T.vectors(spark, sf)
     root = rep.root_medoid(v, "id", "va", T.DIMS, F.col("label") == "3").first()["root_id"]
-    base = materialize(ck.diffusion_clock(v, "id", "va", root, 30).select("id", F.col("clock").alias("base")))
+    near = materialize(knn.knn(v, "id", "va", 50 - 1))  # lists of the largest hold the others
+    base = materialize(ck.diffusion_clock(v, "id", "va", root, 30, edges=near).select("id", F.col("clock").alias("base")))
     others = None
     for k in (20, 50):
-        one = materialize(ck.diffusion_clock(v, "id", "va", root, k).select(F.lit(f"30 vs {k}").alias("neighbours"), "id", F.round("clock", 9).alias("other")))
+        one = materialize(ck.diffusion_clock(v, "id", "va", root, k, edges=near).select(F.lit(f"30 vs {k}").alias("neighbours"), "id", F.round("clock", 9).alias("other")))
         others = one if others is None else others.unionByName(one)
     j = materialize(base.join(others, "id").select("neighbours", F.round("base", 9).alias("base"), "other"))
     rho = stats.spearman(j, "base", "other", ["neighbours"], "rho")
