@@ -14,6 +14,8 @@ from duochron.llm import bpe, contamination, quality, secrets, simhash
 from duochron.llm.common import discard, stored
 from duochron.llm.plans import table, tokenizer_file
 
+TABLES = 60_000  # entries of each of the tokenizer's tables: the stages before it have filled the executor's heap
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or lie too far from their language's reference go."""
@@ -41,7 +43,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, with the digest of the text decoded from them."""
     path = tokenizer_file("word_bpe_49k.json")
-    out = bpe.coded(docs.select("doc_id", "text"), ["doc_id"], "text", path)
+    out = bpe.coded(docs.select("doc_id", "text"), ["doc_id"], "text", path, most=TABLES)
     return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

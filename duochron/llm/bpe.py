@@ -43,8 +43,9 @@ def byte_letters() -> list[str]:
 
 
 class Automaton:
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], most: int | None = None):
         size = max(vocab.values()) + 1
+        self.most = most or TABLE_SIZE
         self.label = [""] * size
         for text, i in vocab.items():
             self.label[i] = text
@@ -75,7 +76,7 @@ class Automaton:
     def step(self, state: int, label: int) -> bool:
         found = self.table.get((state, label))
         if found is None:
-            if len(self.table) >= TABLE_SIZE:
+            if len(self.table) >= self.most:
                 self.table.clear()
             found = self.table[state, label] = self.arc(state, label, self.now)
         return found
@@ -105,16 +106,18 @@ class Recent:
 
 
 class Codec:
-    """Encodes and decodes with one tokenizer file whose pieces are words with an end mark."""
+    """Encodes and decodes with one tokenizer file whose pieces are words with an end mark. `most` bounds the
+    entries of each table that grows with the text, TABLE_SIZE and CHUNKS if it is not given."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
-        self.automaton = Automaton(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
+        self.automaton = Automaton(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], most)
+        self.most = most or TABLE_SIZE
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         # tree of tokens by byte: child of (node, byte), and the token at a node inside a word or at its end
@@ -151,8 +154,8 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.label = dict(enumerate(self.automaton.label)) | {i: t for t, i in self.special.items()}
-        self.known = Recent(TABLE_SIZE)
-        self.chunks = Recent(CHUNKS)
+        self.known = Recent(self.most)
+        self.chunks = Recent(most or CHUNKS)
         self.singles: dict[int, tuple[str, str, bytes]] = {}
         self.kind = "H" if max(self.label) < 1 << 16 else "I"
 
@@ -172,7 +175,7 @@ class Codec:
             found = self.child.get(key)
             if found is None:
                 found = self._goes(self._falls(node), byte) if node else 0
-            if len(self.goes) >= TABLE_SIZE:
+            if len(self.goes) >= self.most:
                 self.goes.clear()
             self.goes[key] = found
         return found
@@ -296,22 +299,23 @@ class Codec:
         return " ".join(decimals), " ".join(labels), b"".join(packed)
 
 
-def codec(path: str) -> Codec:
-    """One per process and file."""
-    return kept(f"codec {path}", lambda: Codec(path))
+def codec(path: str, most: int | None = None) -> Codec:
+    """One per process and file; the tables of other operators leave the process."""
+    return kept(f"codec {path} {most}", lambda: Codec(path, most), alone=True)
 
 
-def coded(docs: DataFrame, keep: list[str], text: str, path: str, texts: bool = True) -> DataFrame:
+def coded(docs: DataFrame, keep: list[str], text: str, path: str, texts: bool = True, most: int | None = None) -> DataFrame:
     """The `keep` columns of every row with n_tokens, ids (binary: two little-endian bytes each, four in
     a vocabulary over 65,536) and decoded; with texts=False with the SHA-256 of the decimal ids, joined by
     blanks, and of the decoded text instead, so that neither leaves the task.
 
     Null is like empty: no ids. Rows stay where they are and `keep` must not hold the added names. `path`
-    must name the same file on every machine, as an installed package does.
+    must name the same file on every machine, as an installed package does. Tables of at most `most` entries
+    take less of a worker's memory and more of its time; the rows are the same.
     """
 
     def build():
-        c = codec(path)
+        c = codec(path, most)
 
         def make(column: pa.Array) -> dict[str, object]:
             n, ids, decoded = [], [], []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -43,11 +44,15 @@ _KEPT: dict[str, object] = {}
 KEPT_AT_ONCE = 4
 
 
-def kept(key: str, make: Callable[[], object]) -> object:
-    """What `make` gives, made once in a worker process; the last few keys are kept."""
+def kept(key: str, make: Callable[[], object], alone: bool = False) -> object:
+    """What `make` gives, made once in a worker process; the last few keys are kept. With `alone` all others
+    go first, and the memory that they and Arrow's last batches held is given back."""
     if key not in _KEPT:
-        while len(_KEPT) >= KEPT_AT_ONCE:
+        while len(_KEPT) >= (1 if alone else KEPT_AT_ONCE):
             _KEPT.pop(next(iter(_KEPT)))
+        if alone:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
         _KEPT[key] = make()
     return _KEPT[key]
 

@@ -5,7 +5,7 @@ import random
 import struct
 
 import pytest
-from duochron.llm import bpe, plans
+from duochron.llm import bpe, common, plans
 from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +74,14 @@ def test_odd_rows(spark, size, monkeypatch):
     assert bpe.report(df, PATH).count() == len(texts) and bpe.report(df.limit(0), PATH).count() == 0
     c = bpe.Codec(PATH)
     assert [c.both((t or "").encode()) for t in texts] == want(texts)
+
+
+def test_small_tables_stay_small_and_change_nothing():
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abehinortu'1!") for _ in range(rng.randint(2, 9))) for _ in range(400)) for _ in range(20)] + ODD
+    c = bpe.Codec(PATH, 100)
+    assert [c.both(t.encode()) for t in texts] == want(texts)
+    sizes = [len(t.young) + len(t.old) for t in (c.chunks, c.known)] + [len(c.automaton.table), len(c.goes)]
+    assert max(sizes) <= 100 and min(sizes) > 0
+    common._KEPT["other"] = object()
+    assert bpe.codec(PATH, 100) is bpe.codec(PATH, 100) and "other" not in common._KEPT
