@@ -2,8 +2,9 @@
 
 Vectors are collapsed to distinct ones, assigned to pivot cells, and cells are compared only
 where the triangle inequality cannot rule a neighbour out (Lu, Shen, Chen, Ooi 2012, exact kNN
-join). Cells larger than a fixed number of rows are compared chunk against chunk. A unit of
-work therefore holds two bounded chunks, keeps k rows per query, and never emits all pairs.
+join). Neighbouring cells share blocks, and a cell larger than a block has several. A unit of work
+therefore holds two bounded blocks, keeps k rows per query, and never emits all pairs; a vector is
+sent to as many units as the other side has blocks.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +26,10 @@ from .stats import quantiles
 
 ROWS_PER_CHUNK = 8_192
 MAX_PIVOTS = 512
+CHUNKS_A_BLOCK = 16  # chunks of rows that a unit of work may take from one side
+UNITS = 128  # units of a search whose blocks are not full, shared out by the squares of the groups' rows
+WIDER = 1.7  # blocks of queries a block of candidates: a list of neighbours takes more bytes than a vector
+QUERIES_AT_ONCE, CANDIDATES_AT_ONCE = 512, 8_192
 
 
 def _distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -31,36 +37,74 @@ def _distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum(sq, 0.0)
 
 
-def _top(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
-    """k nearest candidates per query by (distance, id). A matrix product shortlists, a margin
-    covers its rounding, and the shortlist is measured by direct differences."""
-    src, dst, dist = [], [], []
-    scale = (c * c).sum(1).max() if len(c) else 0.0
-    for lo in range(0, len(q), 512):
-        block = q[lo : lo + 512]
-        sq = _distances(block, c)
-        kth = np.partition(sq, min(k, len(c)) - 1, axis=1)[:, min(k, len(c)) - 1]
-        cut = kth + 1e-9 * ((block * block).sum(1) + scale + 1.0)
-        for r in range(len(block)):
-            near = np.flatnonzero(sq[r] <= cut[r])
-            d = np.sqrt(((c[near] - block[r]) ** 2).sum(1))
-            first = np.lexsort((c_id[near], d))[:k]
-            src.append(np.repeat(q_id[lo + r], len(first)))
-            dst.append(c_id[near][first])
-            dist.append(d[first])
-    cat = lambda parts: np.concatenate(parts) if parts else np.array([])
-    return pd.DataFrame({"src": cat(src), "dst": cat(dst), "dist": cat(dist)})
-
-
-def _keep_nearest(pairs: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("src").orderBy("dist", "dst")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _unit(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
-    if len(queries) == 0 or len(candidates) == 0:
-        return pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "dist": pd.Series(dtype=float)})
-    return _top(queries["did"].to_numpy(), np.stack(queries["v"].to_numpy()), candidates["cid"].to_numpy(), np.stack(candidates["cv"].to_numpy()), k)
+def _nearest(q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, candidate id, distance) of the k nearest candidates of each query, by (distance, id).
+
+    Candidates come in blocks. A matrix product shortlists those that may lie within the k-th distance so far,
+    a margin covers its rounding, and the shortlist is measured by direct differences."""
+    row, dst, dist = [], [], []
+    square = (c * c).sum(1)
+    scale = np.fmax.reduce(square, initial=0.0)
+    for lo in range(0, len(q), QUERIES_AT_ONCE):
+        block = q[lo : lo + QUERIES_AT_ONCE]
+        own = (block * block).sum(1)
+        margin = 1e-9 * (own + scale + 1.0)
+        bound = np.full(len(block), np.inf)
+        held = np.zeros(0, np.int64), np.zeros(0, c_id.dtype), np.zeros(0)
+        for at in range(0, len(c), CANDIDATES_AT_ONCE):
+            part = c[at : at + CANDIDATES_AT_ONCE]
+            sq = block @ part.T
+            sq *= -2.0
+            sq += own[:, None]
+            sq += square[None, at : at + len(part)]
+            if not at and len(part) > k:
+                kth = np.partition(sq, k - 1, axis=1)[:, k - 1]
+                bound = np.where(np.isnan(kth), np.inf, np.maximum(kth, 0.0))
+            r, j = np.nonzero(sq <= (bound + margin)[:, None])
+            diff = part[j] - block[r]
+            found = r, c_id[at + j], np.sqrt((diff * diff).sum(1))
+            r, i, d = (np.concatenate(x) for x in zip(held, found))
+            order = np.lexsort((i, d, r))
+            r, i, d = r[order], i[order], d[order]
+            first = np.searchsorted(r, np.arange(len(block)))
+            keep = np.arange(len(r)) - first[r] < k
+            held = r, i, d = r[keep], i[keep], d[keep]
+            size = np.bincount(r, minlength=len(block))
+            full = np.flatnonzero(size >= k)
+            bound[full] = d[np.cumsum(size)[full] - 1] ** 2
+        row.append(held[0] + lo), dst.append(held[1]), dist.append(held[2])
+    return tuple(np.concatenate(x) for x in (row, dst, dist))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows; a missing entry is NaN."""
+    v = column.combine_chunks()
+    sizes = v.value_lengths().to_numpy(zero_copy_only=False)
+    if v.null_count or len(np.unique(sizes)) > 1:
+        raise ValueError("vectors must be there and of one length")
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+
+def _unit(queries: pa.Table, candidates: pa.Table, meet: np.ndarray | None, k: int) -> pa.Table:
+    """The k nearest of a block of candidates to each of a block of queries, a list a query. `meet` says by
+    cell which queries and candidates may be neighbours; None: all."""
+    queries = queries.sort_by("cell")
+    near = []
+    if queries.num_rows and candidates.num_rows:
+        q, c, c_id = _matrix(queries["v"]), _matrix(candidates["cv"]), candidates["cid"].to_numpy()
+        if meet is None:
+            near.append(_nearest(q, c_id, c, k))
+        else:
+            q_cell, c_cell = queries["cell"].to_numpy(), candidates["ccell"].to_numpy()
+            edges = [*np.flatnonzero(np.diff(q_cell, prepend=-1)), len(q_cell)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                ok = meet[q_cell[lo]][c_cell]
+                row, dst, dist = _nearest(q[lo:hi], c_id, c, k) if ok.all() else _nearest(q[lo:hi], c_id[ok], c[ok], k)
+                near.append((row + lo, dst, dist))
+    row, dst, dist = (np.concatenate(x) for x in zip(*near)) if near else (np.zeros(0, np.int64),) * 3
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=queries.num_rows))))
+    items = pa.StructArray.from_arrays([pa.array(dist, pa.float64()), pa.array(dst, pa.int64())], ["dist", "dst"])
+    return pa.table({"src": queries["did"], "near": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)})
 
 
 def _assign_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -77,20 +121,43 @@ def _assign_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     return shipped(points).mapInPandas(assign, "did bigint, g string, v array<double>, cell int, r double")
 
 
-def _cell_pairs(stats: pd.DataFrame, near: pd.DataFrame, pivots: np.ndarray, k: int) -> list[tuple]:
-    """(g, query cell, candidate cell) pairs that may hold a neighbour; one row per pair."""
+def _meeting(stats: pd.DataFrame, near: pd.DataFrame, pivots: np.ndarray, k: int) -> np.ndarray:
+    """Of one group, by cell: whether a query cell's rows may have a neighbour in a candidate cell."""
+    ids, radius = stats["cell"].to_numpy(), stats["r_max"].to_numpy()
     gap = np.sqrt(_distances(pivots, pivots))
     slack = 1e-6 * (1.0 + gap.max())
-    out = []
-    for g, cells in stats.groupby("g"):
-        ids, radius = cells["cell"].to_numpy(), cells["r_max"].to_numpy()
-        close = near[near["g"] == g]
-        for i, r in zip(ids, radius):
-            upper = np.sort(gap[i, close["cell"].to_numpy()] + close["r"].to_numpy()) + r
-            bound = upper[k - 1] if len(upper) >= k else np.inf
-            for j, rj in zip(ids, radius):
-                if gap[i, j] - r - rj <= bound + slack:
-                    out.append((g, int(i), int(j)))
+    out = np.zeros((len(pivots), len(pivots)), bool)
+    close, r = near["cell"].to_numpy(), near["r"].to_numpy()
+    for i, ri in zip(ids, radius):
+        bound = np.partition(gap[i, close] + r, k - 1)[k - 1] + ri if len(close) >= k else np.inf
+        out[i, ids] = gap[i, ids] - ri - radius <= bound + slack
+    return out
+
+
+def _chain(pivots: np.ndarray) -> np.ndarray:
+    """Place of each pivot in a walk from each to the nearest one not visited yet."""
+    gap = _distances(pivots, pivots)
+    place, at, left = np.zeros(len(pivots), np.int64), 0, np.ones(len(pivots), bool)
+    for step in range(len(pivots)):
+        place[at], left[at] = step, False
+        at = int(np.where(left, gap[at], np.inf).argmin())
+    return place
+
+
+def _blocks(cells: pd.DataFrame, most: int) -> list[tuple[int, int, int]]:
+    """(cell, first block, number of blocks) for cells in their order: short ones share a block of at most
+    `most` rows, a longer one has several of its own."""
+    out, block, held = [], -1, most
+    for cell, n in zip(cells["cell"], cells["n"]):
+        parts = -(-int(n) // most)
+        if parts > 1:
+            out.append((int(cell), block + 1, parts))
+            block, held = block + parts, most
+        else:
+            if held + n > most:
+                block, held = block + 1, 0
+            out.append((int(cell), block, 1))
+            held += n
     return out
 
 
@@ -121,29 +188,39 @@ def knn(
     first = Window.partitionBy("g", "cell").orderBy("r", "did")
     near = placed.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= kk).select("g", "cell", "r").toPandas() if cells > 1 else pd.DataFrame({"g": [], "cell": [], "r": []})
     spark = df.sparkSession
-    pair_rows = _cell_pairs(stats, near, pivots, kk) if cells > 1 else [(g, 0, 0) for g in stats["g"]]
-    size = {(g, c): -(-int(m) // rows_per_chunk) for g, c, m in zip(stats["g"], stats["cell"], stats["n"])}
-    units = spark.createDataFrame(
-        [(g, i, j, size[g, i], size[g, j]) for g, i, j in pair_rows], "g string, qc int, cc int, qn int, cn int"
-    )
-    units = units.select("g", "qc", "cc", "qn", "cn")
-    chunk = lambda parts: F.pmod(F.xxhash64("did"), parts).cast("int")
-    # a query goes to every candidate chunk of its surviving cells, and the other way round
-    q = placed.join(units.withColumnRenamed("qc", "cell"), ["g", "cell"]).select(
-        F.col("did").alias("did"), F.col("v").alias("v"), F.col("g").alias("g"), F.col("cell").alias("qc"), F.col("cc").alias("cc"), chunk(F.col("qn")).alias("qk"), F.explode(F.sequence(F.lit(0), F.col("cn") - 1)).alias("ck")
-    )
-    c = placed.join(units.withColumnRenamed("cc", "cell"), ["g", "cell"]).select(
-        F.col("did").alias("cid"), F.col("v").alias("cv"), F.col("g").alias("cg"), F.col("qc").alias("cqc"), F.col("cell").alias("ccc"), chunk(F.col("cn")).alias("cck"),
-        F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("cqk"),
-    )
-    found = shipped(q).groupBy("g", "qc", "cc", "qk", "ck").cogroup(c.groupBy("cg", "cqc", "ccc", "cqk", "cck")).applyInPandas(
-        lambda a, b: _unit(a, b, kk), "src bigint, dst bigint, dist double"
+    order = _chain(pivots)
+    work = stats.groupby("g")["n"].sum().astype(float) ** 2
+    units = min(UNITS, max(1.0, work.sum() / (2.0 * rows_per_chunk**2)))
+    places, pairs, meets = [], [], {}
+    for g, mine in stats.groupby("g"):
+        mine = mine.iloc[np.argsort(order[mine["cell"].to_numpy()])]
+        rows, share = int(mine["n"].sum()), max(1.0, units * work[g] / work.sum())
+        most = max(rows_per_chunk, 1) * CHUNKS_A_BLOCK
+        many, few = (min(most, -(-rows // max(1, round(x)))) for x in (share**0.5 * WIDER, share**0.5 / WIDER))
+        q_block, c_block = _blocks(mine, many), _blocks(mine, few)
+        places += [(g, cell, qb, qn, cb, cn) for (cell, qb, qn), (_, cb, cn) in zip(q_block, c_block)]
+        meet = _meeting(mine, near[near["g"] == g], pivots, kk) if len(mine) > 1 else None
+        met = {(i, j) for cell, qb, qn in q_block for other, cb, cn in c_block if meet is None or meet[cell, other] for i in range(qb, qb + qn) for j in range(cb, cb + cn)}
+        pairs += [(g, i, j) for i, j in met]
+        if meet is not None and not meet[np.ix_(mine["cell"], mine["cell"])].all():
+            meets[g] = meet
+    place = F.broadcast(spark.createDataFrame(places, "g string, cell int, qb int, qn int, cb int, cn int"))
+    pair = F.broadcast(spark.createDataFrame(pairs, "g string, qb int, cb int"))
+    # a query goes to every block of candidates that may hold its neighbours, and the other way round
+    part = lambda first, parts: (F.col(first) + F.pmod(F.xxhash64("did"), F.col(parts))).cast("int")
+    dealt = placed.join(place, ["g", "cell"]).select("did", "v", "g", "cell", part("qb", "qn").alias("qb"), part("cb", "cn").alias("cb"))
+    q = dealt.drop("cb").join(pair, ["g", "qb"])
+    c = dealt.drop("qb").join(pair, ["g", "cb"]).select(F.col("did").alias("cid"), F.col("v").alias("cv"), F.col("cell").alias("ccell"), F.col("g").alias("cg"), F.col("qb").alias("cqb"), F.col("cb").alias("ccb"))
+    shared = spark.sparkContext.broadcast(meets)
+    found = shipped(q).groupBy("g", "qb", "cb").cogroup(c.groupBy("cg", "cqb", "ccb")).applyInArrow(
+        lambda key, a, b: _unit(a, b, shared.value.get(key[0].as_py()), kk), "src bigint, near array<struct<dist:double,dst:bigint>>"
     )
-    best = _keep_nearest(found, kk)
+    best = found.groupBy("src").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, kk).alias("near"))
     # back from distinct vectors to entities
     ids = distinct.select(F.col("did").alias("dst"), "ids")
-    spread = best.join(ids, "dst").select("src", F.explode("ids").alias("dst"), "dist")
-    listed = _keep_nearest(spread, kk).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("near"))
+    one = best.select("src", F.explode("near").alias("e")).select("src", "e.dst", "e.dist")
+    spread = one.join(ids, "dst").select("src", F.explode("ids").alias("dst"), "dist")
+    listed = spread.groupBy("src").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "dst"))), 1, kk).alias("near"))
     owners = distinct.select("g", "v", F.col("did").alias("did"))
     entity = pts.join(owners, ["g", "v"]).select("src", "did").join(listed.withColumnRenamed("src", "did"), "did")
     others = F.slice(F.filter("near", lambda e: e["dst"] != F.col("src")), 1, k)

@@ -31,6 +31,36 @@ def test_knn_cells_chunks_and_copies(spark):
         assert {s: g.dst.tolist() for s, g in got.groupby("src")} == want
 
 
+def test_knn_sends_a_vector_to_few_blocks(spark):
+    """Groups of unequal sizes in many cells: right lists, and blocks in place of pairs of cells."""
+    rng = np.random.default_rng(3)
+    g = np.repeat([0, 1, 2], [330, 60, 2])
+    x = rng.normal(size=(len(g), 4)) + rng.integers(0, 3, len(g))[:, None] * 9
+    df = spark.createDataFrame([(i, int(b), [float(v) for v in r]) for i, (b, r) in enumerate(zip(g, x))], "id bigint, g int, v array<double>")
+    got = K.knn(df, "id", "v", 4, "g", rows_per_chunk=20).toPandas().sort_values(["src", "rank"])
+    d = np.where(g[:, None] == g, np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), np.inf)
+    np.fill_diagonal(d, np.inf)
+    want = {i: [j for _, j in sorted((round(float(d[i, j]), 12), j) for j in range(len(g)) if np.isfinite(d[i, j]))[:4]] for i in range(len(g))}
+    assert {s: r.dst.tolist() for s, r in got.groupby("src")} == want
+    cells = K.pd.DataFrame({"cell": range(74), "n": [8_100] * 74})
+    blocks = K._blocks(cells, 8_192 * K.CHUNKS_A_BLOCK)
+    assert max(b for _, b, _ in blocks) + 1 == 5 and all(n == 1 for *_, n in blocks)
+    assert K._blocks(K.pd.DataFrame({"cell": [4, 1], "n": [5, 30]}), 10) == [(4, 0, 1), (1, 1, 3)]
+
+
+def test_nearest_over_blocks_of_candidates(monkeypatch):
+    monkeypatch.setattr(K, "CANDIDATES_AT_ONCE", 16), monkeypatch.setattr(K, "QUERIES_AT_ONCE", 7)
+    rng = np.random.default_rng(5)
+    q, c = rng.integers(0, 3, (30, 3)).astype(float), rng.integers(0, 3, (90, 3)).astype(float)  # many ties
+    ids = rng.permutation(90)
+    for k in (1, 5, 16, 17, 200):
+        row, dst, dist = K._nearest(q, ids, c, k)
+        for i in range(30):
+            d = np.sqrt(((c - q[i]) ** 2).sum(1))
+            order = np.lexsort((ids, d))[:k]
+            assert dst[row == i].tolist() == ids[order].tolist() and np.array_equal(dist[row == i], d[order])
+
+
 def test_components_on_long_chain_and_hub(spark):
     e = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201)]
     v = spark.createDataFrame([(i,) for i in [*range(21), *range(100, 130), 200, 201, 300]], "id bigint")
