@@ -58,6 +58,7 @@ _CODE = np.full(256, 4, dtype=np.int64)
 _CODE[[ord(c) for c in "ACGT"]] = range(4)
 _NEVER = -(10**8)  # score of any letter outside A, C, G, T: such a window never matches
 LETTERS_PER_PASS = 1 << 21
+INDEXED = 11  # columns of the widest matrix that is found by its words: a table of 4**11 flags is 4 MB
 
 
 def _tables(units: np.ndarray) -> list[np.ndarray]:
@@ -103,7 +104,61 @@ def _match_starts(triples: np.ndarray, n: int, strand: tuple[list[tuple[int, np.
     return alive
 
 
-def _scan_texts(texts: list[str], own: np.ndarray, motifs: list[tuple]) -> list[tuple]:
+def _words(units: np.ndarray, cut: int) -> np.ndarray:
+    """Words that reach the cut, as base-4 numbers: a beginning goes on while the best end can still reach it.
+    A cut leaves at most the share MATCH_P of the 4**width words."""
+    best = np.concatenate((np.cumsum(units.max(0)[::-1])[::-1], [0]))
+    word, score = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    for j in range(units.shape[1]):
+        word = (word[:, None] * 4 + np.arange(4)).ravel()
+        score = (score[:, None] + units[:, j]).ravel()
+        keep = score + best[j + 1] >= cut
+        word, score = word[keep], score[keep]
+    return word.astype(np.int32)
+
+
+class _Index:
+    """The words of all narrow matrices by width: which strands of which motifs a word belongs to."""
+
+    def __init__(self, motifs: list[tuple]):
+        self.names = [m[0] for m in motifs]
+        self.widths = {}
+        for width in sorted({m[1] for m in motifs if m[1] <= INDEXED}):
+            words, owners = [], []
+            for i, m in enumerate(motifs):
+                if m[1] == width:
+                    for strand in (0, 1):
+                        w = np.frombuffer(m[5 + strand], np.int32)
+                        words.append(w)
+                        owners.append(np.full(len(w), 2 * i + strand))
+            word, owner = np.concatenate(words), np.concatenate(owners)
+            order = np.argsort(word, kind="stable")
+            flags = np.zeros(4**width, bool)
+            flags[word] = True
+            self.widths[width] = flags, word[order], owner[order]
+
+    def hits(self, line: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(start, 2 * motif + strand) of the matches in a code of n letters, a width at a time."""
+        known = line[:n] < 4
+        code, good, done = np.zeros(n, np.int32), np.ones(n, bool), 0
+        for width, (flags, words, owners) in self.widths.items():
+            m = n - width + 1
+            if m <= 0:
+                return
+            code, good = code[:m], good[:m]
+            for j in range(done, width):
+                code = code * 4 + (line[j : j + m] & 3).astype(np.int32)
+                good = good & known[j : j + m]
+            done = width
+            at = np.flatnonzero(flags[code] & good)
+            found = code[at]
+            lo, hi = np.searchsorted(words, found, side="left"), np.searchsorted(words, found, side="right")
+            size = hi - lo
+            nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            yield np.repeat(at, size), owners[np.repeat(lo, size) + nth]
+
+
+def _scan_texts(texts: list[str], own: np.ndarray, motifs: list[tuple], index: _Index) -> list[tuple]:
     """(text number, motif, forward hits, reverse hits) of several texts joined by a stop letter. A hit
     counts where it starts within the first `own` letters; the rest is the next tile's."""
     codes = [_CODE[np.frombuffer(t.upper().encode("latin-1", "replace"), dtype=np.uint8)] for t in texts]
@@ -111,13 +166,26 @@ def _scan_texts(texts: list[str], own: np.ndarray, motifs: list[tuple]) -> list[
     line = np.full(starts[-1] + 2, 4, dtype=np.int64)
     for at, c in zip(starts, codes):
         line[at : at + len(c)] = c
+    out, n = [], int(starts[-1])
+    count = np.zeros((0, 3), np.int64)
+    for hits, owner in index.hits(line, n):
+        text = np.searchsorted(starts, hits, side="right") - 1
+        mine = hits - starts[text] < own[text]
+        cell, times = np.unique(text[mine] * (2 * len(motifs)) + owner[mine], return_counts=True)
+        count = np.concatenate((count, np.stack((cell // (2 * len(motifs)), cell % (2 * len(motifs)), times), 1)))
+    per: dict[tuple[int, int], list[int]] = {}
+    for i, owner, times in count.tolist():
+        per.setdefault((i, owner >> 1), [0, 0])[owner & 1] = times
+    out.extend((i, index.names[m], f, r) for (i, m), (f, r) in per.items())
+    wide = [m for m in motifs if m[1] > INDEXED]
+    if not wide:
+        return out
     triples = line[:-2] * 25 + line[1:-1] * 5 + line[2:]
-    out = []
-    for name, width, units, cut, rcut in motifs:
+    for name, width, units, cut, rcut, *_ in wide:
         fwd = np.frombuffer(units, np.int32).reshape(4, width).astype(np.int64)
         per = []
         for strand in (_strand(fwd, cut), _strand(fwd[::-1, ::-1], rcut)):  # complement swaps A-T and C-G
-            hits = _match_starts(triples, int(starts[-1]), strand)
+            hits = _match_starts(triples, n, strand)
             text = np.searchsorted(starts, hits, side="right") - 1
             per.append(np.bincount(text[hits - starts[text] < own[text]], minlength=len(texts)))
         out.extend((int(i), name, int(per[0][i]), int(per[1][i])) for i in np.flatnonzero(per[0] + per[1]))
@@ -125,24 +193,26 @@ def _scan_texts(texts: list[str], own: np.ndarray, motifs: list[tuple]) -> list[
 
 
 def _weighted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Matrices as score units with the exact cuts of both strands."""
+    """Matrices as score units with the exact cuts of both strands, and the words that reach them if narrow."""
     for pdf in batches:
         rows = []
         for name, pfm in zip(pdf["motif_id"], pdf["pfm"]):
             fwd = in_units(log_odds(np.array([list(r) for r in pfm], float)))
-            rows.append((name, fwd.shape[1], fwd.astype(np.int32).tobytes(), threshold(fwd), threshold(fwd[::-1, ::-1])))
-        yield pd.DataFrame(rows, columns=["motif_id", "width", "units", "cut", "rcut"])
+            strands = [(u, threshold(u)) for u in (fwd, fwd[::-1, ::-1])]  # complement swaps A-T and C-G
+            words = [_words(u, cut).tobytes() if fwd.shape[1] <= INDEXED else b"" for u, cut in strands]
+            rows.append((name, fwd.shape[1], fwd.astype(np.int32).tobytes(), strands[0][1], strands[1][1], *words))
+        yield pd.DataFrame(rows, columns=["motif_id", "width", "units", "cut", "rcut", "words", "rwords"])
 
 
 def _by_bytes(rows: Iterable[Row], bound: int) -> Iterator[list[tuple]]:
-    """Parts of the library of at most `bound` bytes of weights, or one motif."""
+    """Parts of the library of at most `bound` bytes of weights and words, or one motif."""
     held, size = [], 0
     for r in rows:
-        n = len(r["units"]) + 200
+        n = len(r["units"]) + len(r["words"]) + len(r["rwords"]) + 200
         if held and size + n > bound:
             yield held
             held, size = [], 0
-        held.append((r["motif_id"], r["width"], bytes(r["units"]), r["cut"], r["rcut"]))
+        held.append((r["motif_id"], r["width"], bytes(r["units"]), r["cut"], r["rcut"], bytes(r["words"]), bytes(r["rwords"])))
         size += n
     if held:
         yield held
@@ -153,11 +223,12 @@ def scan(sequences: DataFrame, id: str, seq: str, motifs: DataFrame, tile: int =
 
     A sequence is cut into tiles that overlap by the widest matrix less one letter, and tiles are spread
     over tasks, so a sequence of any length is scanned by many; a hit belongs to the tile it starts in.
-    Cuts are computed in tasks. The library is sent as weights, in parts of at most `library_bytes`, each
+    Cuts are computed in tasks. Matrices of up to INDEXED columns are found by their words, one look-up a
+    letter for all of one width. The library is sent as weights and words, in parts of at most `library_bytes`, each
     of which is one pass over the tiles. Rows with the same id add up; a NULL sequence has no hits.
     """
     spark = sequences.sparkSession
-    library = materialize(shipped(motifs.select("motif_id", "pfm")).mapInPandas(_weighted, "motif_id string, width int, units binary, cut bigint, rcut bigint"))
+    library = materialize(shipped(motifs.select("motif_id", "pfm")).mapInPandas(_weighted, "motif_id string, width int, units binary, cut bigint, rcut bigint, words binary, rwords binary"))
     widest = library.agg(F.max("width")).first()[0] or 1
     tile = max(tile, widest)
     parts = F.regexp_extract_all(F.col("s"), F.lit(f"(?s).{{1,{tile}}}"), F.lit(0))
@@ -180,12 +251,13 @@ def scan(sequences: DataFrame, id: str, seq: str, motifs: DataFrame, tile: int =
 
 def _scanner(part: Broadcast):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = _Index(part.value)
         for pdf in batches:
             group = (pdf["s"].str.len().cumsum() // LETTERS_PER_PASS).to_numpy()
             ids, texts, own, out = pdf["id"].to_numpy(), pdf["s"].to_numpy(), pdf["own"].to_numpy(), []
             for g in np.unique(group):
                 at = np.flatnonzero(group == g)
-                out.extend((ids[at[i]], m, f, r) for i, m, f, r in _scan_texts(list(texts[at]), own[at], part.value))
+                out.extend((ids[at[i]], m, f, r) for i, m, f, r in _scan_texts(list(texts[at]), own[at], part.value, index))
             yield pd.DataFrame(out, columns=["id", "motif_id", "forward_hits", "reverse_hits"])
 
     return run

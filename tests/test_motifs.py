@@ -59,6 +59,26 @@ def test_every_tile_of_a_long_sequence_is_scanned(spark):
     assert result(M.scan(one, "key", "s", motifs)) == {(1, "w"): (40_000, 0, 40_000)}
 
 
+def test_words_are_those_that_reach_the_cut():
+    rng = np.random.default_rng(8)
+    line = np.concatenate((rng.integers(0, 5, 4000), rng.integers(0, 4, 4000), [4, 4]))
+    motifs, want = [], set()
+    for i, pfm in enumerate(p for p in library(rng, 60).values() if len(p[0]) <= 9):
+        u = M.in_units(M.log_odds(np.array(pfm)))
+        width, cut = u.shape[1], M.threshold(u, 0.01)
+        grid = np.indices((4,) * width).reshape(width, -1)
+        scores = u[grid, np.arange(width)[:, None]].sum(0)
+        words = M._words(u, cut)
+        assert np.array_equal(np.sort(words), np.flatnonzero(scores >= cut))
+        motifs.append((f"m{i}", width, b"", cut, cut, words.tobytes(), words[::2].tobytes()))
+        for strand, kept in ((0, set(words.tolist())), (1, set(words[::2].tolist()))):
+            code = sum(line[j : 8000 - width + 1 + j] * 4 ** (width - 1 - j) for j in range(width))
+            sound = np.all([line[j : 8000 - width + 1 + j] < 4 for j in range(width)], axis=0)
+            want |= {(at, 2 * i + strand) for at in np.flatnonzero(sound) if int(code[at]) in kept}
+    got = [x for at, owner in M._Index(motifs).hits(line, 8000) for x in zip(at.tolist(), owner.tolist())]
+    assert len(got) == len(set(got)) > 500 and set(got) == want
+
+
 def test_no_sequences_or_no_motifs(spark):
     motifs = spark.createDataFrame([("w", [[9.0, 0.0]] + [[0.0, 9.0]] * 3)], "motif_id string, pfm array<array<double>>")
     seqs = spark.createDataFrame([(1, "ACGT")], "key bigint, s string")
