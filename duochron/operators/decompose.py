@@ -3,7 +3,7 @@
 Randomised subspace iteration (Halko, Martinsson, Tropp 2011) on rows (entity, feature,
 value). The kept features are a bounded list (thousands), so the feature-side matrix is small;
 entities only ever appear as distributed rows, and a matrix with implicit zeros is centred by a
-rank-one correction instead of being filled in.
+rank-one correction instead of being filled in. Entities without any kept feature never leave the JVM.
 """
 
 from __future__ import annotations
@@ -46,15 +46,26 @@ def _blocks(pdf: pd.DataFrame):
     return rows, f, x
 
 
+def _sums(at: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Rows of `y` added up by their place `at` in 0..n-1."""
+    out = np.zeros((n, y.shape[1]))
+    if len(at):
+        if (at[1:] < at[:-1]).any():
+            order = np.argsort(at, kind="stable")
+            at, y = at[order], y[order]
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        out[at[first]] = np.add.reduceat(y, first, axis=0)
+    return out
+
+
 def _times(pdf: pd.DataFrame, q: np.ndarray, mean: np.ndarray) -> np.ndarray:
     rows, f, x = _blocks(pdf)
-    y = np.zeros((len(pdf), q.shape[1]))
-    np.add.at(y, rows, x[:, None] * q[f])
-    return y - mean @ q
+    return _sums(rows, x[:, None] * q[f], len(pdf)) - mean @ q
 
 
-def _gram_times(rows: DataFrame, q: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """A'A q for the (centred) matrix A: partial sums per task, summed per feature by Spark."""
+def _gram_times(rows: DataFrame, q: np.ndarray, mean: np.ndarray, empty: int = 0) -> np.ndarray:
+    """A'A q for the (centred) matrix A: partial sums per task, summed per feature by Spark. `empty` rows of
+    zeros beside `rows` are added here: centred, all of them are the same."""
     shared = rows.sparkSession.sparkContext.broadcast((q, mean))
     d, b = q.shape
 
@@ -64,13 +75,14 @@ def _gram_times(rows: DataFrame, q: np.ndarray, mean: np.ndarray) -> np.ndarray:
         for pdf in batches:
             y = _times(pdf, qq, mu)
             r, f, x = _blocks(pdf)
-            np.add.at(acc, f, x[:, None] * y[r])
+            acc += _sums(f, x[:, None] * y[r], d)
             total += y.sum(0)
         acc -= np.outer(mu, total)
         yield pd.DataFrame({"f": np.arange(d, dtype="int32"), "z": list(acc)})
 
     summed = shipped(rows).mapInPandas(part, "f int, z array<double>").groupBy("f").agg(F.array(*[F.sum(F.col("z")[i]) for i in range(b)]).alias("z")).toPandas()
-    return np.stack(summed.sort_values("f")["z"].to_numpy())
+    found = np.stack(summed.sort_values("f")["z"].to_numpy()) if len(summed) else np.zeros((d, b))
+    return found + empty * np.outer(mean, mean @ q)
 
 
 def factor(values: DataFrame, features: DataFrame, entities: DataFrame, k: int, center: bool, value: str = "value", seed: int = 785, steps: int = POWER_STEPS) -> tuple[DataFrame, pd.DataFrame, pd.DataFrame]:
@@ -80,7 +92,8 @@ def factor(values: DataFrame, features: DataFrame, entities: DataFrame, k: int,
     """
     index, d = feature_index(features)
     rows = materialize(sparse_rows(values, index, entities, value))
-    n = rows.count()
+    held, bare = rows.where(F.size("f") > 0), rows.where(~F.coalesce(F.size("f") > 0, F.lit(False)))
+    n, empty = rows.count(), bare.count()
     k = min(k, d, n)
     stats = rows.select(F.posexplode(F.arrays_zip("f", "x")).alias("_p", "e")).groupBy(F.col("e.f").alias("f")).agg(F.sum("e.x").alias("s"), F.sum(F.col("e.x") * F.col("e.x")).alias("q")).toPandas()
     mean, square = np.zeros(d), np.zeros(d)
@@ -91,8 +104,8 @@ def factor(values: DataFrame, features: DataFrame, entities: DataFrame, k: int,
     b = min(d, k + OVERSAMPLE)
     q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, b)))
     for _ in range(steps):
-        q, _ = np.linalg.qr(_gram_times(rows, q, mu))
-    small = q.T @ _gram_times(rows, q, mu)
+        q, _ = np.linalg.qr(_gram_times(held, q, mu, empty))
+    small = q.T @ _gram_times(held, q, mu, empty)
     lam, w = np.linalg.eigh((small + small.T) / 2)
     top = np.argsort(-lam)[:k]
     load = q @ w[:, top]
@@ -103,7 +116,8 @@ def factor(values: DataFrame, features: DataFrame, entities: DataFrame, k: int,
         for pdf in batches:
             yield pd.DataFrame({"entity": pdf["entity"], "scores": list(_times(pdf, *shared.value))})
 
-    scores = shipped(rows).mapInPandas(project, f"entity {rows.schema['entity'].dataType.simpleString()}, scores array<double>")
+    scores = shipped(held).mapInPandas(project, f"entity {rows.schema['entity'].dataType.simpleString()}, scores array<double>")
+    scores = scores.unionByName(bare.select("entity", F.array(*[F.lit(float(v)) for v in -(mu @ load)]).alias("scores")))
     score_mean = np.zeros(k) if center else mean @ load
     variance = lam[top] / n - score_mean**2
     axes = pd.DataFrame({"axis": np.arange(1, k + 1), "singular_value": np.sqrt(np.maximum(lam[top], 0)), "explained_variance_ratio": variance / total_var if total_var > 0 else np.nan})

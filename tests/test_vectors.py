@@ -84,6 +84,27 @@ def test_factor_matches_dense_svd(spark):
         assert np.allclose(np.abs(got), np.abs(u[:, :3] * w[:3]), atol=1e-5)
 
 
+def test_factor_with_many_empty_entities(spark):
+    rng = np.random.default_rng(7)
+    a = np.zeros((400, 6))
+    a[:50] = rng.random((50, 6)) * (rng.random((50, 6)) < 0.7)
+    cells = [(int(i), f"f{j}", float(a[i, j])) for i, j in zip(*np.nonzero(a))]
+    v = spark.createDataFrame(cells, "entity bigint, feature string, value double")
+    ent = spark.range(400).select(F.col("id").alias("entity"))
+    for center in (True, False):
+        s, _, axes = D.factor(v, v.select("feature"), ent, 3, center)
+        m = a - a.mean(0) if center else a
+        u, w, _ = np.linalg.svd(m, full_matrices=False)
+        p = s.toPandas().sort_values("entity")
+        assert p.entity.tolist() == list(range(400)) and np.allclose(axes["singular_value"], w[:3], rtol=1e-6)
+        assert np.allclose(np.abs(np.stack(p["scores"].to_numpy())), np.abs(u[:, :3] * w[:3]), atol=1e-5)
+    at = rng.integers(0, 9, 500)
+    y = rng.random((500, 4))
+    want = np.zeros((9, 4))
+    np.add.at(want, at, y)
+    assert np.allclose(D._sums(at, y, 9), want) and not D._sums(at[:0], y[:0], 2).any()
+
+
 def test_leading_vectors_match_dense_eigh(spark):
     rng = np.random.default_rng(6)
     x = np.sort(rng.random(60))[:, None]
