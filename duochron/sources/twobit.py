@@ -27,6 +27,7 @@ LETTERS = b"TCAG"
 
 TILE = 65_536  # letters a row
 LETTERS_PER_TASK = 1 << 25
+LETTERS_PER_BATCH = 1 << 22
 BYTES_PER_FILE = 1 << 26
 LIST = "_files.json"
 SCHEMA = "chrom string, size bigint, tile bigint, start bigint, part string"
@@ -44,6 +45,12 @@ def _spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - edge[::2]
 
 
+def _inside(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n letters lie in the runs [start, end)."""
+    step = np.bincount(np.maximum(starts, 0), minlength=n + 1) - np.bincount(np.minimum(ends, n), minlength=n + 1)
+    return np.cumsum(step[:n]) > 0
+
+
 def packed(seq: str) -> bytes:
     """One record. Letters other than A, C, G and T, in either case, become unknown."""
     raw = np.frombuffer(seq.encode("ascii", "replace"), np.uint8)
@@ -114,10 +121,11 @@ class Record:
             raise ValueError("the two-bit file ends within a sequence")
         code = ((raw[:, None] >> np.array([6, 4, 2, 0], np.uint8)) & 3).ravel()[start % 4 :][: end - start]
         text = np.frombuffer(LETTERS, np.uint8)[code]
-        for (starts, ends), change in ((self.unknown, lambda s: s.fill(ord("N"))), (self.lower, lambda s: np.add(s, 32, out=s))):
+        for name, (starts, ends) in (("N", self.unknown), ("a", self.lower)):
             first, last = np.searchsorted(ends, start, side="right"), np.searchsorted(starts, end)
-            for a, b in zip(starts[first:last], ends[first:last]):
-                change(text[max(a - start, 0) : b - start])
+            if first < last:
+                mask = _inside(starts[first:last] - start, ends[first:last] - start, len(text))
+                text = np.where(mask, np.uint8(ord("N")) if name == "N" else text | 32, text)
         return text.tobytes().decode()
 
 
@@ -165,7 +173,25 @@ class TwoBitReader(DataSourceReader):
                 out.append(Stretch(path, order, held))
         return out or [Stretch("", "<", [])]
 
-    def read(self, partition: Stretch) -> Iterator[tuple]:
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+        """Tiles in batches of some LETTERS_PER_BATCH letters."""
+        rows, held = [], 0
+        for row in self._tiles(partition):
+            rows.append(row)
+            held += len(row[4]) + 64
+            if held >= LETTERS_PER_BATCH:
+                yield self._batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    @staticmethod
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        names, sizes, tiles, starts, parts = zip(*rows)
+        columns = [pa.array(names, pa.string()), *[pa.array(c, pa.int64()) for c in (sizes, tiles, starts)], pa.array(parts, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["chrom", "size", "tile", "start", "part"])
+
+    def _tiles(self, partition: Stretch) -> Iterator[tuple]:
         if not partition.records:
             return
         fs, at = opened(partition.path)

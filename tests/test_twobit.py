@@ -51,6 +51,23 @@ def test_one_file_in_either_byte_order_and_broken_ones(spark, tmp_path):
         B.write_two_bit(spark.createDataFrame([(None, "A")], "chrom string, seq string"), str(tmp_path / "n"))
 
 
+def test_runs_at_the_edges_of_a_part(tmp_path):
+    rnd = random.Random(6)
+    text = "".join(rnd.choices("ACGTacgtNn", k=400)) + "N" * 30 + "acgt" * 9
+    (tmp_path / "x").write_bytes(b"".join(B.file_bytes(["a"], [B.packed(text)])))
+    reader = B.TwoBitReader({"path": str(tmp_path / "x"), "tile": "64", "lettersPerTask": "128"})
+    with open(tmp_path / "x", "rb") as f:
+        import pyarrow as pa
+
+        order, entries = B.index(pa.PythonFile(f))
+        r = B.Record(pa.PythonFile(f), entries[0][1], order)
+        for a in range(0, 440, 4):
+            for b in (a + 1, a + 3, a + 64, 10_000):
+                assert r.part(a, b) == text[a:b]
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert "".join(x for b in batches for x in b.column("part").to_pylist()) == text and len(batches) < 8
+
+
 def test_wide_offsets():
     class Long(bytes):
         def __len__(self):
