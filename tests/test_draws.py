@@ -41,6 +41,29 @@ def test_local_draws_are_the_drawn_rows(spark, monkeypatch, parts):
     assert frames_equal(tidy(got), tidy(want)) is None
 
 
+@pytest.mark.parametrize("gaps", [True, False])
+def test_moved_windows_are_those_of_moved_rows(spark, gaps):
+    n, d = 733, W.Design("60/15", 60, 15)
+    rng = np.random.default_rng(9)
+    rows = [(i, None if gaps and 100 <= i < 300 else float(rng.normal()), float(i // 3 * 3 + i % 3)) for i in range(n)]
+    e = spark.createDataFrame(rows, "rk bigint, b double, clock double")
+    pieces = B.block_pieces(e, "rk", "b", n, 40, d).cache()
+    rows = B.permute_blocks(e, "rk", "b", n, 40, 5, 785)
+    want = W.window_table(rows, [d], n, {"s": F.col("b")}, None, ["replicate"]).select("replicate", F.col("window_index").alias("idx"), (F.col("s") / 60).alias("y")).cache()
+    tidy = lambda p, *c: p.withColumns({k: F.round(k, 7) for k in c}).toPandas()
+    got = B.moved_windows(pieces, "rk", "b", n, 40, d, 5, 785, cells=3)
+    assert frames_equal(tidy(got, "y"), tidy(want, "y")) is None
+    one = W.mean_scores(e.withColumn("a", F.col("rk") % 7), [d], n, {"A": "a", "B": "b"}).select("modality", "idx", "x", "y").cache()
+    a = one.where("modality = 'A'")
+    null = want.join(a.select("idx", "x"), "idx").select("replicate", F.lit("B").alias("modality"), "idx", "x", "y")
+    same = a.crossJoin(spark.range(5).select(F.col("id").cast("int").alias("replicate"))).select("replicate", "modality", "idx", "x", "y")
+    curves = null.unionByName(same).unionByName(one.select(F.lit(-1).alias("replicate"), "modality", "idx", "x", "y")).cache()
+    cols = ("q50_a", "q50_b", "signed_gap", "absolute_gap", "spearman_rho", "js_distance")
+    wanted = B.grid_alignment(curves, "replicate", "A", "B", 100.0, 600.0, 50)
+    found = B.moved_grid_alignment(one, pieces, "rk", "b", n, 40, d, 5, 785, "A", "B", 100.0, 600.0, 50)
+    assert found.columns == wanted.columns and frames_equal(tidy(found, *cols), tidy(wanted, *cols)) is None
+
+
 def test_moved_curves_are_measured_like_rows(spark):
     n = 61
     rng = np.random.default_rng(5)
