@@ -352,22 +352,24 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def clock_permutations(entities: DataFrame, id: str, clock: str, n: int, permutations: int, seed: int) -> DataFrame:
-    """(perm, id, clock): the clock dealt anew to the entities, each value used once."""
+    """(id, clocks): the clock dealt anew to the entities, each value used once, as an array by permutation."""
     by_rank = rank_rows(entities.select(id, clock), [id], (), "_r")
     order = by_rank.select(F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"), id, clock)
     order = rank_rows(order.withColumn("_h", hash60(seed, F.col("perm"), F.col(id))), ["_h", id], ["perm"], "_r")
-    return order.select("perm", "_r", clock).join(by_rank.select("_r", id), "_r").select("perm", id, clock)
+    dealt = order.groupBy("_r").agg(F.array_sort(F.collect_list(F.struct("perm", F.col(clock).alias("c")))).alias("_d"))  # one value a permutation
+    return dealt.join(by_rank.select("_r", id), "_r").select(id, F.transform("_d", lambda d: d["c"]).alias("clocks"))
 
 
-def neighbor_coherence(edges: DataFrame, entities: DataFrame, id: str, clock: str, permuted: DataFrame) -> DataFrame:
-    """Mean clock difference of neighbours over the mean after permuting the clock."""
-    def mean_gap(values: DataFrame, key: list[str]) -> DataFrame:
-        s = values.select(*key, F.col(id).alias("src"), F.col(clock).alias("_s"))
-        d = values.select(*key, F.col(id).alias("dst"), F.col(clock).alias("_d"))
-        return edges.select("src", "dst").join(s, "src").join(d, [*key, "dst"]).groupBy(*key).agg(F.avg(F.abs(F.col("_s") - F.col("_d"))).alias("gap"))
+def neighbor_coherence(edges: DataFrame, entities: DataFrame, id: str, clock: str, permuted: DataFrame, permutations: int) -> DataFrame:
+    """Mean clock difference of neighbours over the mean after permuting the clock: an edge meets the arrays of
+    `clock_permutations` of its ends once, whatever the number of permutations."""
+    def ends(values: DataFrame, col: str) -> DataFrame:
+        s, d = (values.select(F.col(id).alias(side), F.col(col).alias(f"_{side}")) for side in ("src", "dst"))
+        return edges.select("src", "dst").join(s, "src").join(d, "dst")
 
-    obs = mean_gap(entities.select(id, clock), []).withColumnRenamed("gap", "observed_mean")
-    rnd = mean_gap(permuted, ["perm"]).agg(F.avg("gap").alias("random_mean"))
+    obs = ends(entities, clock).agg(F.avg(F.abs(F.col("_src") - F.col("_dst"))).alias("observed_mean"))
+    gaps = F.array(*[F.avg(F.abs(F.col("_src")[i] - F.col("_dst")[i])) for i in range(permutations)])
+    rnd = ends(permuted, "clocks").agg(gaps.alias("_g")).select(F.explode("_g").alias("gap")).agg(F.avg("gap").alias("random_mean"))
     return obs.crossJoin(rnd).withColumn("ratio", F.when(F.col("random_mean") > 0, F.col("observed_mean") / F.col("random_mean")))
 
 
@@ -375,10 +377,13 @@ def order_coherence(entities: DataFrame, id: str, clock: str, vec: str, n: int,
     """Median distance between consecutive entities along the clock over the median of the same
     along random orders, with the 2.5 and 97.5 % points of the random medians."""
     base = entities.select(id, clock, doubles(F.col(vec)).alias("_v"))
-    observed = rank_rows(base, [clock, id], (), "_k").withColumn("perm", F.lit(-1))
-    rnd = base.select(F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"), id, clock, "_v")
-    rnd = rank_rows(rnd.withColumn("_h", hash60(seed, F.col("perm"), F.col(id))), ["_h", id], ["perm"], "_k").drop("_h")
-    steps = neighbors(observed.unionByName(rnd, allowMissingColumns=True).select("perm", "_k", "_v"), ["perm"], "_k", ["_v"]).where(F.col("prev__v").isNotNull())
+    row = rank_rows(base, [clock, id], (), "_row")  # orders are made of row numbers; vectors meet pairs of them
+    observed = row.select(F.lit(-1).alias("perm"), F.col("_row").alias("_k"), "_row")
+    rnd = row.select(F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"), id, "_row")
+    rnd = rank_rows(rnd.withColumn("_h", hash60(seed, F.col("perm"), F.col(id))), ["_h", id, "_row"], ["perm"], "_k")
+    near = neighbors(observed.unionByName(rnd.select("perm", "_k", "_row")), ["perm"], "_k", ["_row"]).where(F.col("prev__row").isNotNull())
+    at = lambda name, vector: row.select(F.col("_row").alias(name), F.col("_v").alias(vector))
+    steps = near.select("perm", "_row", "prev__row").join(at("_row", "_v"), "_row").join(at("prev__row", "prev__v"), "prev__row")
     med = quantiles(steps.select("perm", distance(F.col("_v"), F.col("prev__v")).alias("d")), ["perm"], "d", {"m": 0.5})
     obs = med.where("perm = -1").select(F.col("m").alias("observed_median"))
     q = quantiles(med.where("perm >= 0"), [], "m", {"random_median": 0.5, "random_low": 0.025, "random_high": 0.975})

@@ -141,7 +141,7 @@ SELECT round(o.g, 6) AS observed_mean, round((SELECT avg(g) FROM rg), 6) AS rand
 def neighbor_coherence(spark: SparkSession, sf: str) -> DataFrame:
     v, n = _clocked(spark, sf)
     perm = knn.clock_permutations(v, "id", "clock", n, PERMS, 20260920)
-    return _round(knn.neighbor_coherence(_edges(spark, sf), v, "id", "clock", perm), "observed_mean", "random_mean", "ratio")
+    return _round(knn.neighbor_coherence(_edges(spark, sf), v, "id", "clock", perm, PERMS), "observed_mean", "random_mean", "ratio")
 
 
 @query("adjacent_distance_ratio", f"""WITH {T.VECTORS}, o AS (SELECT -1 AS p, id, vb, row_number() OVER (ORDER BY va[1], id) AS r FROM vectors UNION ALL SELECT p, id, vb, row_number() OVER (PARTITION BY p ORDER BY {_h("'785'", 'p', 'id')}, id) FROM vectors, (SELECT unnest(range(0, {PERMS})) AS p)),

@@ -61,6 +61,36 @@ def test_nearest_over_blocks_of_candidates(monkeypatch):
             assert dst[row == i].tolist() == ids[order].tolist() and np.array_equal(dist[row == i], d[order])
 
 
+def test_orders_and_dealt_clocks_by_hand(spark):
+    """Ids that come twice and vectors and clocks that are missing, against the same orders in numpy."""
+    from hashlib import md5
+
+    rng = np.random.default_rng(11)
+    ids = [*range(40), 3, 7]
+    clock = [None if i == 5 else round(float(rng.normal()), 3) for i in range(42)]
+    x = rng.normal(size=(42, 3))
+    x[40:] = x[[3, 7]]
+    clock[40:] = clock[3], clock[7]
+    rows = [(i, c, None if k == 9 else [float(v) for v in r]) for k, (i, c, r) in enumerate(zip(ids, clock, x))]
+    df = spark.createDataFrame(rows, "id bigint, clock double, v array<double>")
+    h = lambda *p: int(md5(":".join(map(str, p)).encode()).hexdigest()[:15], 16)
+    step = lambda o: [np.sqrt(((x[a] - x[b]) ** 2).sum()) for a, b in zip(o[:-1], o[1:]) if 9 not in (a, b)]
+    got = K.order_coherence(df, "id", "clock", "v", 42, 6, 785).first()
+    first = sorted(range(42), key=lambda k: (clock[k] is not None, clock[k] or 0, ids[k]))
+    med = [np.median(step(sorted(range(42), key=lambda k: (h(785, p, ids[k]), ids[k])))) for p in range(6)]
+    assert np.isclose(got.observed_median, np.median(step(first))) and np.isclose(got.random_median, np.median(med))
+    perm = K.clock_permutations(df, "id", "clock", 42, 6, 785)
+    held = [(r.id, r.clocks) for r in perm.collect()]
+    assert sorted(i for i, _ in held) == sorted(ids) and all(len(c) == 6 for _, c in held)
+    key = lambda c: (c is None, c or 0)
+    assert all(sorted((c[p] for _, c in held), key=key) == sorted(clock, key=key) for p in range(6))
+    edges = spark.createDataFrame([(i, (i * 7 + 1) % 40) for i in range(40)], "src bigint, dst bigint")
+    got = K.neighbor_coherence(edges, df, "id", "clock", perm, 6).first()
+    gaps = lambda at: [abs(a - b) for e in edges.collect() for i, a in at if i == e.src for j, b in at if j == e.dst and None not in (a, b)]
+    assert np.isclose(got.observed_mean, np.mean(gaps(list(zip(ids, clock)))))
+    assert np.isclose(got.random_mean, np.mean([np.mean(gaps([(i, c[p]) for i, c in held])) for p in range(6)]))
+
+
 def test_components_on_long_chain_and_hub(spark):
     e = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201)]
     v = spark.createDataFrame([(i,) for i in [*range(21), *range(100, 130), 200, 201, 300]], "id bigint")
