@@ -22,7 +22,7 @@ from ..functions.scalars import hash60
 from ..functions.vectors import distance, doubles, mean_vector
 from ..session import materialize, shipped
 from .ordered import neighbors, rank_rows
-from .stats import quantiles
+from .stats import MAX_LEVELS, quantiles
 
 ROWS_PER_CHUNK = 8_192
 MAX_PIVOTS = 512
@@ -175,6 +175,8 @@ def knn(
     distinct = materialize(copies.groupBy("g", "v").agg(F.array_sort(F.collect_list("src")).alias("ids")).select(F.col("ids")[0].alias("did"), "g", "v", "ids"))
     vectors = distinct.select("did", "g", "v")
     n = vectors.count()
+    if not n:
+        return df.sparkSession.createDataFrame([], "src bigint, dst bigint, rank int, dist double")
     kk = k + 1
     cells = min(MAX_PIVOTS, -(-n // rows_per_chunk))
     if cells <= 1:
@@ -420,3 +422,74 @@ def silhouette(df: DataFrame, id: str, vec: str, label: str) -> DataFrame:
     scored = held.select((far(own) / (own["n"] - 1)).alias("a"), near.alias("b"))
     top = F.greatest("a", "b")
     return scored.agg(F.count(F.lit(1)).alias("n_scored"), F.lit(n_labels).cast("bigint").alias("n_labels"), F.avg(F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0)).alias("silhouette"))
+
+
+def _distance_sums(q: np.ndarray, c: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """Per query and column of the 0/1 matrix `member` (one row a candidate): the summed distances to its members.
+    Pairs so close that the matrix product cancels are measured by direct differences."""
+    out = np.zeros((len(q), member.shape[1]))
+    square = (c * c).sum(1)
+    for lo in range(0, len(q), QUERIES_AT_ONCE):
+        block = q[lo : lo + QUERIES_AT_ONCE]
+        own = (block * block).sum(1)
+        for at in range(0, len(c), CANDIDATES_AT_ONCE):
+            part = c[at : at + CANDIDATES_AT_ONCE]
+            sq = block @ part.T
+            sq *= -2.0
+            sq += own[:, None]
+            sq += square[None, at : at + len(part)]
+            r, j = np.nonzero(sq <= 1e-6 * (own[:, None] + 1.0))
+            for few in range(0, len(r), CANDIDATES_AT_ONCE):
+                a, b = r[few : few + CANDIDATES_AT_ONCE], j[few : few + CANDIDATES_AT_ONCE]
+                sq[a, b] = ((part[b] - block[a]) ** 2).sum(1)
+            out[lo : lo + len(block)] += np.sqrt(sq, out=sq) @ member[at : at + len(part)]
+    return out
+
+
+def plain_silhouettes(df: DataFrame, vec: str, labels: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> dict[str, float | None]:
+    """Mean silhouette over all entities by each label column, with plain Euclidean distances.
+
+    Every pair is measured, once for all label columns: two bounded blocks of rows meet in a unit of work, which
+    returns a row's summed distances to each label. Rows without a label and labels of a single row are left
+    out; NULL under two labels. The number of labels is checked before their sums are made.
+    """
+    rows = materialize(df.select(F.monotonically_increasing_id().alias("row"), doubles(F.col(vec)).alias("v"), *[F.col(l).cast("string").alias(f"l{i}") for i, l in enumerate(labels)]))
+    n = rows.count()
+    sizes: list[dict[str, int]] = []
+    for i in range(len(labels)):
+        held = rows.groupBy(f"l{i}").count().where(F.col(f"l{i}").isNotNull() & (F.col("count") >= 2)).limit(MAX_LEVELS + 1).collect()
+        if len(held) > MAX_LEVELS:
+            raise ValueError("too many labels for a silhouette")
+        sizes.append({r[0]: r["count"] for r in held} if len(held) > 1 else {})
+    columns = {(i, l): at for at, (i, l) in enumerate((i, l) for i, of in enumerate(sizes) for l in sorted(of))}
+    if not columns:
+        return dict.fromkeys(labels)
+    units = min(UNITS, max(1.0, n**2 / (2.0 * rows_per_chunk**2)))
+    blocks = max(round(units**0.5), -(-n // (rows_per_chunk * CHUNKS_A_BLOCK)))
+    own, every = F.pmod(F.xxhash64("row"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    marks = [f"l{i}" for i in range(len(labels))]
+    q = rows.select("row", "v", own.alias("qb"), every.alias("cb"))
+    c = rows.select(F.col("v").alias("cv"), *marks, own.alias("ccb"), every.alias("cqb"))
+
+    def unit(a: pa.Table, b: pa.Table) -> pa.Table:
+        got = np.zeros((a.num_rows, len(columns)))
+        if a.num_rows and b.num_rows:
+            member = np.zeros((b.num_rows, len(columns)))
+            for i, l in enumerate(marks):
+                code = np.array([columns.get((i, x), -1) for x in b[l].to_pylist()])
+                member[np.flatnonzero(code >= 0), code[code >= 0]] = 1.0
+            got = _distance_sums(_matrix(a["v"]), _matrix(b["cv"]), member)
+        ends = np.arange(a.num_rows + 1, dtype=np.int32) * len(columns)
+        return pa.table({"row": a["row"], "s": pa.ListArray.from_arrays(pa.array(ends), pa.array(got.ravel()))})
+
+    found = shipped(q).groupBy("qb", "cb").cogroup(c.groupBy("cqb", "ccb")).applyInArrow(unit, "row bigint, s array<double>")
+    sums = found.groupBy("row").agg(*[F.sum(F.col("s")[at]).alias(f"s{at}") for at in range(len(columns))]).join(rows.drop("v"), "row")
+    means = []
+    for i, of in enumerate(sizes):
+        at = {l: F.col(f"s{columns[i, l]}") for l in of}
+        inside = F.coalesce(*[F.when(F.col(f"l{i}") == l, at[l] / (of[l] - 1)) for l in of]) if of else F.lit(None).cast("double")
+        outside = F.least(*[F.when(F.col(f"l{i}") != l, at[l] / of[l]) for l in of]) if of else F.lit(None).cast("double")
+        top = F.greatest(inside, outside)
+        means.append(F.avg(F.when(inside.isNotNull(), F.when(top > 0, (outside - inside) / top).otherwise(0.0))).alias(f"m{i}"))
+    got = sums.agg(*means).first()
+    return {l: got[f"m{i}"] for i, l in enumerate(labels)}

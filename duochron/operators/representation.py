@@ -148,18 +148,26 @@ def pairwise_overlap(q: DataFrame, label: str, low: str, high: str, order: Seque
 
 
 # ------------------------------------------------------------------- QC classes
+def biology_ratio(technical: Column, biology: Column) -> Column:
+    """Biology's share of variance over the technical one; infinite where nothing technical is found."""
+    return F.when((technical > 0) & ~F.isnan(technical), F.try_divide(biology, technical)).otherwise(F.lit(float("inf")))
+
+
 def qc_label(technical: Column, biology: Column, mixing: Column) -> Column:
-    """PASS / WARN / REVIEW of a representation."""
-    wins = biology > technical
+    """PASS / WARN / REVIEW of a representation; a measure that is not a number passes nothing."""
+    known = ~F.isnan(technical) & ~F.isnan(biology) & ~F.isnan(mixing)
+    wins = known & (biology > technical)
     return F.when((technical < 0.05) & wins & (mixing >= 0.70), "PASS").when((technical < 0.10) & wins & (mixing >= 0.50), "WARN").otherwise("REVIEW")
 
 
 def qc_class(technical: Column, ratio: Column, mixing: Column) -> Column:
-    """STRONG / ACCEPTABLE / CAUTION / REVIEW of a rescued representation."""
+    """STRONG / ACCEPTABLE / CAUTION / REVIEW of a rescued representation, `ratio` as `biology_ratio` gives it.
+    Spark ranks NaN above all numbers, the method below: a measure that is not a number passes nothing."""
+    known = ~F.isnan(technical) & ~F.isnan(ratio) & ~F.isnan(mixing)
     return (
-        F.when((technical < 0.05) & (ratio >= 4) & (mixing >= 0.70), "STRONG")
-        .when((technical < 0.08) & (ratio >= 3) & (mixing >= 0.55), "ACCEPTABLE")
-        .when((technical < 0.10) & (ratio >= 2) & (mixing >= 0.40), "CAUTION")
+        F.when(known & (technical < 0.05) & (ratio >= 4) & (mixing >= 0.70), "STRONG")
+        .when(known & (technical < 0.08) & (ratio >= 3) & (mixing >= 0.55), "ACCEPTABLE")
+        .when(known & (technical < 0.10) & (ratio >= 2) & (mixing >= 0.40), "CAUTION")
         .otherwise("REVIEW")
     )
 

@@ -230,18 +230,22 @@ def clock_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("representation_grid")
 def representation_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Quality of both modalities at several widths: variance shares, mixing, silhouette, class."""
+    """Quality of both modalities at several widths: variance shares and their ratio, silhouettes by label and by
+    batch, mixing, label and class."""
     v = materialize(T.vectors(spark, sf))
     rows = None
     for m, vec in (("A", "va"), ("B", "vb")):
         for d in (16, 32):
-            x = rep.zscore_vector(v.withColumn(vec, F.slice(vec, 1, d)), vec, d)
+            x = materialize(rep.zscore_vector(v.withColumn(vec, F.slice(vec, 1, d)), vec, d))
             r = stats.partial_r2(rep.dims_as_columns(x, vec, 1, d), [f"d{i}" for i in range(1, d + 1)], ["label"], ["batch"])
+            sil = knn.plain_silhouettes(x, vec, ["label", "batch"])
             mix = knn.batch_mixing(x, "id", vec, "label", "batch", K).agg(stats.weighted_mean(F.col("normalized_mixing"), F.col("n_entities")).alias("mixing"))
             tech, bio = F.lit(r["technical_partial_r2"]), F.lit(r["biology_partial_r2"])
+            ratio = rep.biology_ratio(tech, bio)
             one = mix.select(
-                F.lit(m).alias("modality"), F.lit(d).alias("dimensions"), r6(bio).alias("biology_partial_r2"), r6(tech).alias("technical_partial_r2"), r6(F.col("mixing")).alias("mixing"),
-                rep.qc_label(tech, bio, F.col("mixing")).alias("qc"), rep.qc_class(tech, bio / tech, F.col("mixing")).alias("qc_class"),
+                F.lit(m).alias("modality"), F.lit(d).alias("dimensions"), r6(bio).alias("biology_partial_r2"), r6(tech).alias("technical_partial_r2"), r6(ratio).alias("biology_to_technical_ratio"),
+                *[r6(F.lit(sil[l]).cast("double")).alias(f"{l}_silhouette") for l in ("label", "batch")], r6(F.col("mixing")).alias("mixing"),
+                rep.qc_label(tech, bio, F.col("mixing")).alias("qc"), rep.qc_class(tech, ratio, F.col("mixing")).alias("qc_class"),
             )
             rows = one if rows is None else rows.unionByName(one)
     return rows
