@@ -1,8 +1,8 @@
 """Order keys: diffusion distance from a root over the neighbour graph, and audits of the order.
 
 The graph lives in an edge table and the vectors in an entity table. Eigenvectors come from a
-thick-restart block Lanczos iteration whose only heavy step is "join edges to vectors, sum per
-source"; the driver sees nothing larger than the Gram matrix of the iteration's vectors.
+thick-restart block Lanczos iteration over blocks of rows in the shared folder (`blocks`); the driver
+sees nothing larger than the Gram matrix of the iteration's vectors.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import hash60
 from ..session import materialize, shipped
+from .blocks import Blocks
 from .knn import components, knn
 
 # Eigenvalue above which a direction counts as stationary, components kept.
@@ -113,40 +114,6 @@ def transitions(graph: DataFrame) -> DataFrame:
     return t.select("src", "dst", (F.col("k") / (F.col("zs") * F.col("zd"))).alias("t"))
 
 
-def _gram(state: DataFrame, left: str, right: str, rows: int, cols: int) -> np.ndarray:
-    """left' x right over all entities: one small matrix per task, summed by Spark."""
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros((rows, cols))
-        for pdf in batches:
-            if len(pdf):
-                acc += np.stack(pdf[left].to_numpy()).T @ np.stack(pdf[right].to_numpy())
-        yield pd.DataFrame({"pos": np.arange(rows * cols), "x": acc.ravel()})
-
-    cols_used = list(dict.fromkeys([left, right]))
-    got = shipped(state.select(*cols_used)).mapInPandas(part, "pos int, x double").groupBy("pos").agg(F.sum("x").alias("x")).toPandas()
-    return got.sort_values("pos")["x"].to_numpy().reshape(rows, cols)
-
-
-def _combine(state: DataFrame, col: str, m: np.ndarray, out: str) -> DataFrame:
-    """Row vectors times a small matrix, as an added array column."""
-    shared = state.sparkSession.sparkContext.broadcast(m)
-    keep = state.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema) + f", `{out}` array<double>"
-
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            res = np.stack(pdf[col].to_numpy()) @ shared.value if len(pdf) else np.zeros((0, shared.value.shape[1]))
-            yield pdf[keep].assign(**{out: list(res)})
-
-    return shipped(state).mapInPandas(apply, schema)
-
-
-def _multiply(t: DataFrame, state: DataFrame, col: str, width: int) -> DataFrame:
-    moved = t.join(state.select(F.col("v").alias("dst"), F.col(col).alias("_x")), "dst")
-    return moved.groupBy(F.col("src").alias("v")).agg(F.array(*[F.sum(F.col("t") * F.col("_x")[i]) for i in range(width)]).alias("y"))
-
-
 def _ritz(gram: np.ndarray, proj: np.ndarray, images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(values, mixes as columns, residual norms), largest value first, of a basis with Gram matrix
     `gram`, its products with its images, and the images' own Gram matrix."""
@@ -171,20 +138,26 @@ def leading_vectors(
     when each of the `k` has |T psi - lambda psi| <= `residual`, or the space is exhausted; otherwise
     after `cycles` restarts it raises."""
     b = max(1, min(block, k))
-    start = F.array(*[F.lit(2.0) * hash60(seed, F.col("v"), i) / F.lit(2.0**60) - 1.0 for i in range(b)])
-    none = F.array().cast("array<double>")
-    state = materialize(t.select(F.col("src").alias("v")).distinct().select("v", none.alias("basis"), none.alias("image"), start.alias("last")))
-    total, width = 0, b
+    rows = Blocks(t, lambda v: F.array(*[F.lit(2.0) * hash60(seed, v, i) / F.lit(2.0**60) - 1.0 for i in range(b)]))
+    try:
+        values, psi, left = rows.iterate(lambda rows: _lanczos(rows, k, b, block, steps, residual, cycles))
+        if psi is None:
+            raise RuntimeError(f"eigenvectors have residuals up to {left:.3g} after {cycles} cycles, more than {residual:g}")
+        return values, rows.frame(psi, "psi")
+    finally:
+        rows.close()
+
+
+def _lanczos(rows: Blocks, k: int, width: int, block: int, steps: int, residual: float, cycles: int) -> tuple[np.ndarray, list[str] | None, float]:
+    """(values, vectors as a column of `rows`, largest residual) from the `width` columns it starts with; no vectors
+    where `cycles` did not suffice."""
+    basis, image, last, total = [], [], rows.start, 0
     for _ in range(cycles):
         live = True
         for _ in range(steps):
-            y = _multiply(t, state, "last", width)
-            nxt = state.join(y, "v", "left").select("v", F.concat("basis", "last").alias("basis"), F.concat("image", F.coalesce("y", F.array_repeat(F.lit(0.0), width))).alias("image"))
-            nxt = materialize(nxt)
-            total += width
+            y, g = rows.multiply(basis, last, width)
+            basis, image, total = [*basis, last], [*image, y], total + width
             # the next block: the newest images orthogonalised against everything so far, then inside
-            both = nxt.select("v", "basis", F.slice("image", total - width + 1, width).alias("y")).withColumn("both", F.concat("basis", "y"))
-            g = _gram(both, "both", "both", total + width, total + width)
             gb, gy, gyy = g[:total, :total], g[:total, total:], g[total:, total:]
             proj = np.linalg.pinv(gb, rcond=1e-14, hermitian=True) @ gy
             rest = gyy - gy.T @ proj
@@ -192,42 +165,38 @@ def leading_vectors(
             keep = val > 1e-13 * max(1e-300, np.trace(gyy))
             if not keep.any():
                 live = False
-                state = nxt
                 break
             mix = vec[:, keep] / np.sqrt(val[keep])
-            out = _combine(nxt.withColumn("both", F.concat("basis", F.slice("image", total - width + 1, width))), "both", np.vstack([-proj @ mix, mix]), "last")
             width = mix.shape[1]
-            state = out.select("v", "basis", "image", "last")  # only the products are written
-        g = _gram(state.withColumn("both", F.concat("basis", "image")), "both", "both", 2 * total, 2 * total)
+            [last] = rows.combine([*basis, y], np.vstack([-proj @ mix, mix]))
+        g = rows.gram([*basis, *image])
         values, mix, left = _ritz(g[:total, :total], g[:total, total:], g[total:, total:])
         wanted = min(k, len(values))
-        done = not live or (len(values) >= k and left[:wanted].max() <= residual)
-        if done:
-            out = _combine(state.select("v", "basis"), "basis", mix[:, :wanted], "psi").select("v", "psi")
-            return values[:wanted], materialize(out)
+        if not live or (len(values) >= k and left[:wanted].max() <= residual):
+            return values[:wanted], rows.combine(basis, mix[:, :wanted])[0], left[:wanted].max()
         held = min(len(values), k + block)
-        cut = np.zeros((2 * total, 2 * held))
-        cut[:total, :held] = cut[total:, held:] = mix[:, :held]
-        out = _combine(state.withColumn("both", F.concat("basis", "image")), "both", cut, "kept")
-        state = materialize(out.select("v", F.slice("kept", 1, held).alias("basis"), F.slice("kept", held + 1, held).alias("image"), "last"))
-        total = held
-    raise RuntimeError(f"eigenvectors have residuals up to {left[:wanted].max():.3g} after {cycles} cycles, more than {residual:g}")
+        cut, none = mix[:, :held], np.zeros((total, held))
+        kept = rows.combine([*basis, *image], np.vstack([cut, none]), np.vstack([none, cut]))
+        rows.drop([*basis, *image])
+        basis, image, total = [kept[0]], [kept[1]], held
+    return values[:wanted], None, left[:wanted].max()
 
 
 def diffusion_clock(
     df: DataFrame, id: str, vec: str, root: int, k: int, n_components: int = COMPONENTS, n_clock: int = CLOCK_COMPONENTS, seed: int = 785, kernel: str = "gauss", residual: float = RESIDUAL,
-    edges: DataFrame | None = None,
+    edges: DataFrame | None = None, parts: DataFrame | None = None,
 ) -> DataFrame:
     """(id, component, clock): diffusion distance to the root, scaled to at most 1 (Coifman &
     Lafon 2006; Haghverdi et al. 2016). Entities in another component than the root get NULL.
 
     `k` counts the entity itself, as the graph builders of the field do. `kernel` weighs the graph: a
     Gaussian of local width, or fuzzy memberships. Several clocks may share `edges`, the stored lists of
-    at least k - 1 neighbours: longer lists begin with the shorter ones.
+    at least k - 1 neighbours: longer lists begin with the shorter ones; clocks of one `k` also `parts`, the stored
+    (id, component) of those lists, which no kernel changes.
     """
     near = materialize(knn(df, id, vec, k - 1)) if edges is None else edges.where(F.col("rank") < k)
     graph = materialize(KERNELS[kernel](near))
-    comp = materialize(components(graph, df, id))
+    comp = materialize(components(near, df, id)) if parts is None else parts
     home = comp.where(F.col(id) == root).select("component").first()["component"]
     inside = comp.where(F.col("component") == home).select(F.col(id).alias("src"))
     t = materialize(transitions(graph.join(inside, "src", "left_semi")))
