@@ -196,9 +196,10 @@ def clock_invariants(spark: SparkSession, sf: str) -> DataFrame:
     v = materialize(T.vectors(spark, sf))
     root = v.agg(F.min("id")).first()[0]
     near = materialize(knn.knn(v, "id", "va", K - 1))
+    parts = materialize(knn.components(near, v, "id"))
     out = None
     for kernel in ("fuzzy", "gauss"):
-        c = materialize(ck.diffusion_clock(v, "id", "va", root, K, kernel=kernel, edges=near))
+        c = materialize(ck.diffusion_clock(v, "id", "va", root, K, kernel=kernel, edges=near, parts=parts))
         one = c.agg(F.count("clock").alias("n_connected"), F.count_if(F.col("clock").isNull()).alias("n_null"), r6(F.max(F.when(F.col("id") == root, F.col("clock")))).alias("at_root"), r6(F.max("clock")).alias("largest"), (F.min("clock") >= 0).alias("none_below_root"))
         one = one.select(F.lit(kernel).alias("kernel"), "*")
         out = one if out is None else out.unionByName(one)
