@@ -154,13 +154,16 @@ g AS ({ORACLE['bootstrap_gates']}), al AS ({ORACLE['alignment_evidence']}), m AS
     _stage_sql("motifs", "m", {"n_tested": "count(*)", "n_enriched": "count(*) FILTER (enriched)"}),
 ]))
 def evidence_freeze(spark: SparkSession, sf: str) -> DataFrame:
-    """The results that later work may cite, one row a value, each from the stage that made it."""
+    """The results that later work may cite, one row a value, each from the stage that made it. The order of the
+    entities and the curves of all designs are made once for the stages that read them."""
+    order = inference.ordered(spark, sf)
+    curves = materialize(T.profiles(spark, sf, order=order))
     e = T.entities(spark, sf).agg(F.count_distinct("id").alias("n_entities"), F.count_distinct("label").alias("n_labels"))
     lag = F.col("lag")
-    p = frozen_pair_windows(spark, sf).agg(F.max("a_family_id").alias("a_family_id"), F.max("b_family_id").alias("b_family_id"), F.count(F.lit(1)).alias("n_designs"), F.min(lag).alias("shortest_lag"), F.max(lag).alias("longest_lag"))
-    b = inference.bootstrap_lag_summary(spark, sf).select("n", "median", "ci_low", "ci_high", "p_positive", "detection_rate")
+    p = frozen_pair_windows(spark, sf, curves).agg(F.max("a_family_id").alias("a_family_id"), F.max("b_family_id").alias("b_family_id"), F.count(F.lit(1)).alias("n_designs"), F.min(lag).alias("shortest_lag"), F.max(lag).alias("longest_lag"))
+    b = inference.bootstrap_lag_summary(spark, sf, order).select("n", "median", "ci_low", "ci_high", "p_positive", "detection_rate")
     m = places.fisher_bh(spark, sf).agg(F.count(F.lit(1)).alias("n_tested"), F.count_if(F.col("enriched")).alias("n_enriched"))
-    return report.evidence_freeze({"entities": e, "frozen_pair": p, "bootstrap": b, "alignment": inference.alignment_evidence(spark, sf), "motifs": m})
+    return report.evidence_freeze({"entities": e, "frozen_pair": p, "bootstrap": b, "alignment": inference.alignment_evidence(spark, sf, curves), "motifs": m})
 
 
 @query("claim_boundaries", _STAGES + """SELECT 'lag_observed' AS claim, coalesce((SELECT bool_and(b_first AND lag > 0) FROM p), false) AS supported UNION ALL SELECT 'lag_recovered', coalesce((SELECT bool_and(passed) FROM g), false)
