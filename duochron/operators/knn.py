@@ -450,10 +450,11 @@ def plain_silhouettes(df: DataFrame, vec: str, labels: Sequence[str], rows_per_c
     """Mean silhouette over all entities by each label column, with plain Euclidean distances.
 
     Every pair is measured, once for all label columns: two bounded blocks of rows meet in a unit of work, which
-    returns a row's summed distances to each label. Rows without a label and labels of a single row are left
-    out; NULL under two labels. The number of labels is checked before their sums are made.
+    returns a row's summed distances to each label. Rows without a label or with a missing coordinate and labels
+    of a single row are left out; NULL under two labels. The number of labels is checked before their sums are made.
     """
-    rows = materialize(df.select(F.monotonically_increasing_id().alias("row"), doubles(F.col(vec)).alias("v"), *[F.col(l).cast("string").alias(f"l{i}") for i, l in enumerate(labels)]))
+    whole = F.col(vec).isNotNull() & ~F.exists(doubles(F.col(vec)), lambda c: c.isNull() | F.isnan(c))
+    rows = materialize(df.where(whole).select(F.monotonically_increasing_id().alias("row"), doubles(F.col(vec)).alias("v"), *[F.col(l).cast("string").alias(f"l{i}") for i, l in enumerate(labels)]))
     n = rows.count()
     sizes: list[dict[str, int]] = []
     for i in range(len(labels)):

@@ -33,6 +33,9 @@ def test_plain_silhouettes_of_all_rows(spark):
         got = K.plain_silhouettes(df, "v", ["g", "h"], rows_per_chunk=chunk)
         assert got["g"] == pytest.approx(silhouette(x, g), abs=1e-9) and got["h"] == pytest.approx(silhouette(x, h), abs=1e-9)
     assert K.plain_silhouettes(df.where("g = 'a'"), "v", ["g"]) == {"g": None}
+    holes = spark.createDataFrame([([1.0, None, 0.0, 0.0], "a", 0), (None, "b", 1), ([float("nan")] * 4, "c", 1)], df.schema)
+    more = K.plain_silhouettes(df.unionByName(holes), "v", ["g", "h"])
+    assert more["g"] == pytest.approx(silhouette(x, g), abs=1e-9) and more["h"] == pytest.approx(silhouette(x, h), abs=1e-9)
 
 
 def test_classes_of_measures_that_are_no_numbers(spark):
